@@ -1,0 +1,19 @@
+"""Broadcast a join side only behind a proven size bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df`` unchanged.
+
+    The bound is proven by counting at most ``max_rows + 1`` rows (a limited job that stops
+    early), not guessed from file sizes. Beyond the bound the join stays a shuffle join, which
+    AQE may still turn into a broadcast from runtime sizes.
+    """
+    if max_rows <= 0:
+        return df
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
