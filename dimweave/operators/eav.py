@@ -61,9 +61,14 @@ def pick_latest(rows: DataFrame, out: str) -> DataFrame:
     return top1_per_key(rows, "id_demanda", latest_order()).select("id_demanda", F.col("nm_valor").alias(out))
 
 
-def pick_all(rows: DataFrame, out: str) -> DataFrame:
-    """Every value row of the demand (multi-valued attributes fan the result out)."""
-    return rows.select("id_demanda", F.col("nm_valor").alias(out))
+def pick_all(rows: DataFrame, out: str, distinct: bool = False) -> DataFrame:
+    """Every value row of the demand (multi-valued attributes fan the result out).
+
+    ``distinct`` folds exact copies first. Under a final DISTINCT the result is the same, and
+    joining several multi-valued attributes then multiplies distinct values, not rows.
+    """
+    vals = rows.select("id_demanda", F.col("nm_valor").alias(out))
+    return vals.distinct() if distinct else vals
 
 
 def pick_max_date(rows: DataFrame, out: str, date_format: str = "yyyy-MM-dd") -> DataFrame:

@@ -101,7 +101,8 @@ def _scalars_per_attribute(tables, cfg, base):
         if a.pick == ALL:
             continue
         rows = eav_rows(tables, a.ids, demands)
-        picked = pick_latest(rows, n) if a.pick == LATEST else pick_max_date(rows, n, cfg.date_format)
+        # tied greatest dates are one value; fold them so they do not multiply rows
+        picked = pick_latest(rows, n) if a.pick == LATEST else pick_max_date(rows, n, cfg.date_format).distinct()
         if n in ("municipio",) + _GATED:
             local[n] = picked
             continue
@@ -121,7 +122,7 @@ def _multi_per_attribute(tables, cfg, demands):
     for n, a in cfg.attributes.items():
         if a.pick != ALL:
             continue
-        vals = pick_all(eav_rows(tables, a.ids, demands), n)
+        vals = pick_all(eav_rows(tables, a.ids, demands), n, distinct=True)
         if a.cast == "int":
             vals = vals.withColumn(n, strict_int(n))
         elif a.cast == "date":
