@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int | None) -> DataFrame:
     """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df`` unchanged.
 
     The bound is proven by counting at most ``max_rows + 1`` rows (a limited job that stops
     early), not guessed from file sizes. Beyond the bound the join stays a shuffle join, which
     AQE may still turn into a broadcast from runtime sizes.
     """
-    if max_rows <= 0:
+    if max_rows is None or max_rows <= 0:
         return df
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def guard_dimensions(tables, max_rows: int | None):
+    """The tables with ``elemento_pn`` and ``status_demanda`` broadcast where bounded.
+
+    Each dimension is checked once; the hint then holds for every filter or projection of it
+    that is joined later, so operators given these tables need no check of their own.
+    """
+    return replace(
+        tables,
+        elemento_pn=bounded_broadcast(tables.elemento_pn, max_rows),
+        status_demanda=bounded_broadcast(tables.status_demanda, max_rows),
+    )

@@ -14,11 +14,12 @@ from dimweave.operators.topk import desc_nulls_first, top1_per_key
 from dimweave.sources.tables import DemandTables
 
 
-def stage_log(tables: DemandTables, element_version=None, broadcast_max_rows: int = 1_000_000) -> DataFrame:
+def stage_log(tables: DemandTables, element_version=None, broadcast_max_rows: int | None = 1_000_000) -> DataFrame:
     """Stages whose starting element belongs to ``element_version``, with the element's name.
 
     The version test acts before any ranking, so a newer stage of another version never hides
-    this version's newest stage. The element dimension is broadcast behind a row-count check.
+    this version's newest stage. The element dimension is broadcast behind a row-count check
+    (``broadcast_max_rows``; None when the caller already checked it, see ``guard_dimensions``).
     """
     el = tables.elemento_pn
     if element_version is not None:
@@ -58,7 +59,7 @@ def existence_flag(
     label: str,
     element_version=None,
     flag_col: str = "sit",
-    broadcast_max_rows: int = 1_000_000,
+    broadcast_max_rows: int | None = 1_000_000,
 ) -> DataFrame:
     """Distinct demands with a stage moving ``from_element`` -> ``to_element``, flagged ``label``.
 
@@ -90,7 +91,7 @@ def role_join(
     dim_key: str,
     columns: dict[str, str],
     how: str = "inner",
-    broadcast_max_rows: int = 1_000_000,
+    broadcast_max_rows: int | None = 1_000_000,
 ) -> DataFrame:
     """Join one role of a dimension: ``df[on] == dim[dim_key]``, bringing ``columns``
     (dimension column -> output name). Call once per role to play a dimension twice."""

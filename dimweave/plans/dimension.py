@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from dimweave.config import ALL, LATEST, MAX_DATE, DimensionConfig
 from dimweave.functions.dates import month_name, strict_date, to_day
 from dimweave.functions.text import executor_label, place_label, strict_int, substr
-from dimweave.operators.broadcast import bounded_broadcast
+from dimweave.operators.broadcast import guard_dimensions
 from dimweave.operators.eav import eav_rows, pick_all, pick_latest, pick_max_date, spine
 from dimweave.operators.joins import gated, gated_left_chain
+from dimweave.operators.materialize import write_shared
 from dimweave.operators.pivot import multi_values, role_values, scalar_picks
 from dimweave.operators.stages import current_stage, existence_flag, stage_log
 from dimweave.sources.tables import DemandTables
@@ -71,9 +72,7 @@ def _registry_ids(cfg: DimensionConfig) -> list:
 
 def _base(tables: DemandTables, cfg: DimensionConfig) -> DataFrame:
     demands = spine(tables, cfg.version).select("id_demanda", "id_status_demanda", "dt_cadastro", "nm_login_cadastrador")
-    status = bounded_broadcast(
-        tables.status_demanda.select("id_status_demanda", "nm_status_demanda"), cfg.broadcast_max_rows
-    )
+    status = tables.status_demanda.select("id_status_demanda", "nm_status_demanda")
     return demands.join(status, "id_status_demanda")
 
 
@@ -111,9 +110,12 @@ def _scalars_per_attribute(tables, cfg, base):
     return df.join(place, "id_demanda", "left")
 
 
-def _multi_single_pass(cfg, rows):
+def _multi_single_pass(cfg, rows, demands):
     multi = {n: a for n, a in cfg.attributes.items() if a.pick == ALL}
-    mv = multi_values(rows, multi)
+    mv = multi_values(rows, multi).join(demands, "id_demanda", "left_semi")
+    if len(multi) > 1:
+        # every role reads the distinct values once written, instead of recomputing them
+        mv = write_shared(mv, "multi_values", partition_by="role")
     return [(n, role_values(mv, n, a, cfg.date_format), a.required) for n, a in multi.items()]
 
 
@@ -176,18 +178,19 @@ def demand_dimension(
     cfg = cfg or DimensionConfig()
     if plan not in PLANS:
         raise ValueError(f"unknown plan {plan!r}; expected one of {PLANS}")
+    tables = guard_dimensions(tables, cfg.broadcast_max_rows)
     base = _base(tables, cfg)
     if plan == "single_pass":
         rows = eav_rows(tables, _registry_ids(cfg))
         df = _scalars_single_pass(tables, cfg, base, rows)
-        multi = _multi_single_pass(cfg, rows)
+        multi = _multi_single_pass(cfg, rows, spine(tables, cfg.version).select("id_demanda"))
     else:
         df = _scalars_per_attribute(tables, cfg, base)
         multi = _multi_per_attribute(tables, cfg, base.select("id_demanda"))
     if cfg.office is not None:
         df = df.where(F.col("nurac") == F.lit(cfg.office))
     stages = current_stage(
-        stage_log(tables, cfg.stage_version, cfg.broadcast_max_rows), cfg.stage_rules, cfg.stage_default, cfg.as_of
+        stage_log(tables, cfg.stage_version, None), cfg.stage_rules, cfg.stage_default, cfg.as_of
     ).select("id_demanda", "nm_login_executor", "etapa")
     df = df.join(stages, "id_demanda")
     capture = existence_flag(
@@ -196,7 +199,7 @@ def demand_dimension(
         cfg.capture_to,
         cfg.capture_label,
         cfg.stage_version,
-        broadcast_max_rows=cfg.broadcast_max_rows,
+        broadcast_max_rows=None,
     )
     df = df.join(capture, "id_demanda", "left")
     for name, vals, required in multi:

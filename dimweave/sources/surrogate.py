@@ -62,9 +62,9 @@ def _value_text() -> F.Column:
     )
 
 
-def demanda(spark, sf_dir) -> DataFrame:
+def demanda(customer: DataFrame) -> DataFrame:
     c = F.col
-    return read(spark, sf_dir, "customer").select(
+    return customer.select(
         c("c_custkey").alias("id_demanda"),
         c("c_mktsegment").alias("id_versao_processo"),
         F.timestamp_add("HOUR", c("c_custkey"), F.lit(dt.datetime(2023, 1, 1)).cast("timestamp_ntz")).alias(
@@ -75,24 +75,24 @@ def demanda(spark, sf_dir) -> DataFrame:
     )
 
 
-def status_demanda(spark, sf_dir) -> DataFrame:
-    return read(spark, sf_dir, "nation").select(
+def status_demanda(nation: DataFrame) -> DataFrame:
+    return nation.select(
         F.col("n_nationkey").alias("id_status_demanda"), F.col("n_name").alias("nm_status_demanda")
     )
 
 
-def demanda_dado(spark, sf_dir) -> DataFrame:
+def demanda_dado(events: DataFrame) -> DataFrame:
     c = F.col
-    return read(spark, sf_dir, "events").select(
+    return events.select(
         c("user_id").alias("id_demanda"),
         c("event_id").alias("id_dado_valor"),
         F.when(c("event_id") % 11 == 0, F.lit(None)).otherwise(c("ts")).alias("dt_cadastro"),
     )
 
 
-def dado_valor(spark, sf_dir) -> DataFrame:
+def dado_valor(events: DataFrame) -> DataFrame:
     c = F.col
-    return read(spark, sf_dir, "events").select(
+    return events.select(
         c("event_id").alias("id_dado_valor"), c("event_type").alias("id_dado"), _value_text().alias("nm_valor")
     )
 
@@ -106,10 +106,10 @@ def executor_login(orderkey="o_orderkey", priority="o_orderpriority") -> F.Colum
     )
 
 
-def demanda_etapa(spark, sf_dir) -> DataFrame:
+def demanda_etapa(orders: DataFrame) -> DataFrame:
     c = F.col
     k = c("o_orderkey")
-    return read(spark, sf_dir, "orders").select(
+    return orders.select(
         k.alias("id_demanda_etapa"),
         c("o_custkey").alias("id_demanda"),
         executor_login().alias("nm_login_executor"),
@@ -125,8 +125,8 @@ def demanda_etapa(spark, sf_dir) -> DataFrame:
     )
 
 
-def elemento_pn(spark, sf_dir) -> DataFrame:
-    return read(spark, sf_dir, "nation").select(
+def elemento_pn(nation: DataFrame) -> DataFrame:
+    return nation.select(
         F.col("n_nationkey").alias("id_elemento_pn"),
         F.col("n_name").alias("nm_elemento_pn"),
         F.col("n_regionkey").alias("id_versao_processo"),
@@ -134,13 +134,15 @@ def elemento_pn(spark, sf_dir) -> DataFrame:
 
 
 def surrogate_tables(spark: SparkSession, sf_dir: str) -> DemandTables:
+    """The six workflow tables over one read of each testdata table used."""
+    events, nation = read(spark, sf_dir, "events"), read(spark, sf_dir, "nation")
     return DemandTables(
-        demanda=demanda(spark, sf_dir),
-        demanda_dado=demanda_dado(spark, sf_dir),
-        dado_valor=dado_valor(spark, sf_dir),
-        demanda_etapa=demanda_etapa(spark, sf_dir),
-        elemento_pn=elemento_pn(spark, sf_dir),
-        status_demanda=status_demanda(spark, sf_dir),
+        demanda=demanda(read(spark, sf_dir, "customer")),
+        demanda_dado=demanda_dado(events),
+        dado_valor=dado_valor(events),
+        demanda_etapa=demanda_etapa(read(spark, sf_dir, "orders")),
+        elemento_pn=elemento_pn(nation),
+        status_demanda=status_demanda(nation),
     )
 
 
