@@ -37,6 +37,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
     for k, v in PLAN_CONF.items():
         builder = builder.config(k, v)
+    # Locally the shuffle partitions already equal the cores; coalescing small shuffles would
+    # only serialize the fan-out that follows them onto one core. On a cluster (many more
+    # shuffle partitions than cores) coalescing stays on.
+    builder = builder.config("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -133,8 +133,22 @@ def elemento_pn(nation: DataFrame) -> DataFrame:
     )
 
 
+_REGISTERED: dict[tuple, DemandTables] = {}
+
+
 def surrogate_tables(spark: SparkSession, sf_dir: str) -> DemandTables:
-    """The six workflow tables over one read of each testdata table used."""
+    """The six workflow tables over one read of each testdata table used.
+
+    The (lazy) table definitions are built once per session and folder, as tables are
+    registered once in a catalog; every query still reads the files.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _REGISTERED:
+        _REGISTERED[key] = _build(spark, sf_dir)
+    return _REGISTERED[key]
+
+
+def _build(spark: SparkSession, sf_dir: str) -> DemandTables:
     events, nation = read(spark, sf_dir, "events"), read(spark, sf_dir, "nation")
     return DemandTables(
         demanda=demanda(read(spark, sf_dir, "customer")),
