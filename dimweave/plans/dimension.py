@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dimweave.config import ALL, LATEST, MAX_DATE, DimensionConfig
-from dimweave.functions.dates import month_name, strict_date, to_day
+from dimweave.functions.dates import business_days, month_name, strict_date, to_day
 from dimweave.functions.text import executor_label, place_label, strict_int, substr
 from dimweave.operators.broadcast import guard_dimensions
 from dimweave.operators.eav import eav_rows, pick_all, pick_latest, pick_max_date, spine
@@ -206,3 +206,22 @@ def demand_dimension(
         df = df.join(vals, "id_demanda", "inner" if required else "left")
     out = report_columns(df, cfg).distinct()
     return out.orderBy(REPORT_COLUMNS[0]) if sort else out
+
+
+def planned_business_days(tables: DemandTables, cfg: DimensionConfig | None = None) -> DataFrame:
+    """Business days between the greatest planned start and end date of each demand.
+
+    Demands with a planned start (a row of ``ini_prev``); 1 when the planned end is missing,
+    else Monday-to-Friday days of [start, end] minus ``cfg.holidays``. Output: id_demanda,
+    dias_uteis_previstos. One aggregation over the two attributes' rows.
+    """
+    cfg = cfg or DimensionConfig()
+    attrs = {n: cfg.attributes[n] for n in ("ini_prev", "term_prev")}
+    ids = list(dict.fromkeys(i for a in attrs.values() for i in a.ids))
+    picks = scalar_picks(eav_rows(tables, ids, spine(tables, cfg.version)), attrs, ["ini_prev"], cfg.date_format)
+    return picks.where(F.col("has_ini_prev").isNotNull()).select(
+        "id_demanda",
+        F.when(F.col("term_prev").isNull(), F.lit(1))
+        .otherwise(business_days("ini_prev", "term_prev", cfg.holidays))
+        .alias("dias_uteis_previstos"),
+    )

@@ -21,7 +21,7 @@ from dimweave.operators.joins import gated_left_chain, join_flag
 from dimweave.operators.pivot import scalar_picks
 from dimweave.operators.stages import current_stage, existence_flag, role_join
 from dimweave.operators.topk import desc_nulls_first, top1_per_key
-from dimweave.plans.dimension import REPORT_COLUMNS, demand_dimension
+from dimweave.plans.dimension import REPORT_COLUMNS, demand_dimension, planned_business_days
 from dimweave.sources import surrogate as S
 
 CFG = S.SURROGATE_CONFIG
@@ -243,6 +243,12 @@ def q21_dimension_per_attribute(spark, sf_dir):
     return demand_dimension(_t(spark, sf_dir), CFG, plan="per_attribute")
 
 
+def q22_planned_business_days(spark, sf_dir):
+    """Business days from the greatest planned start to the greatest planned end date per
+    demand of the version; 1 without a planned end."""
+    return planned_business_days(_t(spark, sf_dir), CFG)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -267,5 +273,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         q19_star_sorted,
         q20_demand_dimension,
         q21_dimension_per_attribute,
+        q22_planned_business_days,
     )
 }

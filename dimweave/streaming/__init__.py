@@ -1,0 +1,5 @@
+"""Streaming form of the latest-value pick."""
+
+from dimweave.streaming.latest import latest_value_updates, start_latest_values
+
+__all__ = ["latest_value_updates", "start_latest_values"]

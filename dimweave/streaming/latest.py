@@ -1,0 +1,55 @@
+"""The latest-value pick over a stream of attribute rows (Structured Streaming).
+
+The batch job re-reads the whole attribute table. When bridge rows (``demanda_dado``) arrive
+as a stream, the same pick is a streaming aggregation: per (demand, attribute) Spark keeps one
+state row, the value with the greatest (time is NULL, time, value id) seen so far, and emits the
+keys a micro-batch changed ("update" mode). The state is constant-size per key and is kept in
+the checkpoint location, so the query resumes after a driver or executor loss.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from dimweave.operators.eav import id_filter
+
+
+def latest_value_updates(bridge: DataFrame, values: DataFrame, ids: Iterable) -> DataFrame:
+    """Streaming (id_demanda, id_dado, nm_valor, dt_cadastro, id_dado_valor): newest row so far.
+
+    ``bridge`` is a streaming DataFrame of (id_demanda, id_dado_valor, dt_cadastro); ``values``
+    a batch DataFrame of (id_dado_valor, id_dado, nm_valor), joined stream-static and filtered
+    on ``ids``. The order is the batch pick's: a NULL time first, then the newest time, then
+    the newest value id.
+    """
+    vals = values.where(id_filter(ids)).select("id_dado_valor", "id_dado", "nm_valor")
+    rows = bridge.select("id_demanda", "id_dado_valor", "dt_cadastro").join(vals, "id_dado_valor")
+    dt = F.col("dt_cadastro")
+    key = F.struct(dt.isNull().alias("n"), dt.alias("t"), F.col("id_dado_valor").alias("i"))
+    picked = rows.groupBy("id_demanda", "id_dado").agg(
+        F.max_by(F.col("nm_valor"), key).alias("nm_valor"), F.max(key).alias("k")
+    )
+    return picked.select(
+        "id_demanda", "id_dado", "nm_valor", F.col("k.t").alias("dt_cadastro"), F.col("k.i").alias("id_dado_valor")
+    )
+
+
+def start_latest_values(
+    updates: DataFrame,
+    checkpoint_location: str,
+    upsert: Callable[[DataFrame, int], None],
+    trigger_seconds: int | None = None,
+    name: str | None = None,
+) -> StreamingQuery:
+    """Run ``updates`` in update mode, handing each micro-batch's changed keys to ``upsert``
+    (for example a MERGE into the table the dimension job reads)."""
+    writer = updates.writeStream.outputMode("update").option("checkpointLocation", checkpoint_location)
+    if name:
+        writer = writer.queryName(name)
+    if trigger_seconds:
+        writer = writer.trigger(processingTime=f"{trigger_seconds} seconds")
+    return writer.foreachBatch(upsert).start()

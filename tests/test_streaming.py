@@ -1,0 +1,48 @@
+"""The streaming latest-value pick equals the batch pick after the same rows arrived."""
+
+import datetime as dt
+
+from dimweave.operators.eav import latest_order
+from dimweave.operators.topk import top1_per_key
+from dimweave.sources.schemas import DEMANDA_DADO
+from dimweave.streaming import latest_value_updates
+
+T0 = dt.datetime(2024, 1, 1)
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    values = spark.createDataFrame(
+        [(i, 9 if i % 2 else 8, f"v{i}") for i in range(1, 13)], "id_dado_valor long, id_dado int, nm_valor string"
+    )
+    batches = [
+        [(1, 1, T0), (1, 2, T0 + dt.timedelta(days=1)), (2, 3, T0), (2, 4, T0)],
+        [(1, 5, None), (2, 6, T0 + dt.timedelta(days=3)), (3, 7, T0)],
+        [(1, 9, T0 + dt.timedelta(days=9)), (3, 8, None), (3, 10, None), (2, 11, T0 + dt.timedelta(days=2))],
+    ]
+    src = tmp_path / "bridge"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, DEMANDA_DADO).coalesce(1).write.mode("append").parquet(str(src / f"b={i}"))
+    stream = spark.readStream.schema(DEMANDA_DADO).option("maxFilesPerTrigger", 1).parquet(str(src / "*"))
+    updates = latest_value_updates(stream, values, [8, 9])
+    q = (
+        updates.writeStream.outputMode("complete")
+        .format("memory")
+        .queryName("latest_values_test")
+        .option("checkpointLocation", str(tmp_path / "ckpt"))
+        .start()
+    )
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = sorted(tuple(r) for r in spark.sql("SELECT id_demanda, id_dado, nm_valor FROM latest_values_test").collect())
+
+    allrows = spark.createDataFrame([r for b in batches for r in b], DEMANDA_DADO).join(values, "id_dado_valor")
+    want = sorted(
+        tuple(r)
+        for r in top1_per_key(allrows, ["id_demanda", "id_dado"], latest_order())
+        .select("id_demanda", "id_dado", "nm_valor")
+        .collect()
+    )
+    assert got == want
+    assert len(got) == 6
