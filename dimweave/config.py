@@ -65,7 +65,7 @@ ROLES = (
 # stage-name patterns with their labels, the fixed labels, and the month names of the report's
 # (Portuguese) locale.
 # ---------------------------------------------------------------------------------------------
-REFERENCE_ATTRIBUTES = {
+SOURCE_ATTRIBUTES = {
     "situacao": Attribute((4632,), LATEST, required=True),
     "cliente": Attribute((4599,), ALL, required=True),
     "nup": Attribute((35,), ALL, required=True),
@@ -81,11 +81,11 @@ REFERENCE_ATTRIBUTES = {
     "ini_prev": Attribute((4604,), MAX_DATE),
     "term_prev": Attribute((4647,), MAX_DATE),
 }
-REFERENCE_VERSION = 8747
-REFERENCE_OFFICE = "BHZ"
-REFERENCE_CAPTURE_FROM = 106298
-REFERENCE_CAPTURE_TO = 106308
-REFERENCE_STAGE_RULES = (
+SOURCE_VERSION = 8747
+SOURCE_OFFICE = "BHZ"
+SOURCE_CAPTURE_FROM = 106298
+SOURCE_CAPTURE_TO = 106308
+SOURCE_STAGE_RULES = (
     ("%entrada%do%processo%sei%", "Etapa 00"),
     ("%conferir%cadastro%", "Etapa 01"),
     ("%distribuir%atividade%exec%", "Etapa 02"),
@@ -131,13 +131,13 @@ class DimensionConfig:
     ``broadcast_max_rows`` largest dimension table (rows) shipped to every task
     """
 
-    version: object = REFERENCE_VERSION
+    version: object = SOURCE_VERSION
     element_version: object = None
-    office: str | None = REFERENCE_OFFICE
-    capture_from: object = REFERENCE_CAPTURE_FROM
-    capture_to: object = REFERENCE_CAPTURE_TO
-    attributes: dict = field(default_factory=lambda: dict(REFERENCE_ATTRIBUTES))
-    stage_rules: tuple = REFERENCE_STAGE_RULES
+    office: str | None = SOURCE_OFFICE
+    capture_from: object = SOURCE_CAPTURE_FROM
+    capture_to: object = SOURCE_CAPTURE_TO
+    attributes: dict = field(default_factory=lambda: dict(SOURCE_ATTRIBUTES))
+    stage_rules: tuple = SOURCE_STAGE_RULES
     stage_default: str = STAGE_DEFAULT
     capture_label: str = CAPTURE_LABEL
     capture_default: str = CAPTURE_DEFAULT

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from dimweave.config import MONTH_NAMES_PT, REFERENCE_STAGE_RULES, STAGE_DEFAULT
+from dimweave.config import MONTH_NAMES_PT, SOURCE_STAGE_RULES, STAGE_DEFAULT
 from dimweave.functions import (
     business_days,
     close_interval,
@@ -77,7 +77,7 @@ def test_first_match_label_order_and_default(spark):
     names = ["Conferir cadastro e executar atividade", "Emitir a O.S.", "Emitir Relatório Síntese", None, "Fim",
              "ENTRADA DO PROCESSO SEI"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
-    got = [r[0] for r in df.select(first_match_label("n", REFERENCE_STAGE_RULES, STAGE_DEFAULT)).collect()]
+    got = [r[0] for r in df.select(first_match_label("n", SOURCE_STAGE_RULES, STAGE_DEFAULT)).collect()]
     # the first matching pattern wins; the loose 'emitir%o%s' also takes a report name
     assert got == ["Etapa 01", "Etapa 05", "Etapa 05", STAGE_DEFAULT, STAGE_DEFAULT, "Etapa 00"]
 

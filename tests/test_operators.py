@@ -18,7 +18,7 @@ from dimweave.operators import (
     stage_log,
     top1_per_key,
 )
-from dimweave.config import LATEST, MAX_DATE, Attribute, REFERENCE_STAGE_RULES, STAGE_DEFAULT
+from dimweave.config import LATEST, MAX_DATE, Attribute, SOURCE_STAGE_RULES, STAGE_DEFAULT
 from dimweave.sources.tables import from_rows
 
 T0 = dt.datetime(2024, 1, 1)
@@ -84,7 +84,7 @@ def test_version_spine_filters_attribute_rows(spark):
 
 
 def test_current_stage_rank_after_version_filter(spark, fixture_tables):
-    cur = current_stage(stage_log(fixture_tables, 8747), REFERENCE_STAGE_RULES, STAGE_DEFAULT, dt.datetime(2025, 1, 1))
+    cur = current_stage(stage_log(fixture_tables, 8747), SOURCE_STAGE_RULES, STAGE_DEFAULT, dt.datetime(2025, 1, 1))
     got = {r["id_demanda"]: (r["id_demanda_etapa"], r["etapa"]) for r in cur.collect()}
     assert got[14] == (15, "Etapa 05")  # stage 16 belongs to another version
     assert 12 not in got  # only a foreign-version stage
