@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 from dimweave.functions.text import col
 
+# Up to this many weekday holidays are compared inline (code-generated); longer calendars use
+# one higher-order aggregate over the holiday array.
+_INLINE_HOLIDAYS = 200
+
 
 def strict_date(c, fmt: str = "yyyy-MM-dd") -> Column:
     """Text to date that fails the query on text not in ``fmt``, whatever the ANSI mode."""
@@ -61,12 +65,14 @@ def business_days(start, end, holidays=()) -> Column:
     tail = F.greatest(F.lit(0), F.least(F.lit(4), w0 + r - 1) - w0 + 1) + F.greatest(F.lit(0), w0 + r - 7)
     count = weeks * 5 + tail
     days = sorted({d if isinstance(d, dt.date) else dt.date.fromisoformat(str(d)) for d in holidays})
-    if days:
+    days = [d for d in days if d.weekday() < 5]  # a weekend holiday is not a business day anyway
+    if days and len(days) <= _INLINE_HOLIDAYS:
+        # constants: one comparison pair each, inside generated code
+        off = sum((F.when((F.lit(d) >= s) & (F.lit(d) <= e), 1).otherwise(0) for d in days[1:]),
+                  F.when((F.lit(days[0]) >= s) & (F.lit(days[0]) <= e), 1).otherwise(0))
+        count = count - off
+    elif days:
         hol = F.array(*[F.lit(d) for d in days])
-        off = F.aggregate(
-            hol,
-            F.lit(0),
-            lambda acc, h: acc + F.when((h >= s) & (h <= e) & (F.weekday(h) < 5), F.lit(1)).otherwise(F.lit(0)),
-        )
+        off = F.aggregate(hol, F.lit(0), lambda acc, h: acc + F.when((h >= s) & (h <= e), 1).otherwise(0))
         count = count - off
     return F.when(s.isNull() | e.isNull(), F.lit(None).cast("int")).when(e < s, F.lit(0)).otherwise(count)

@@ -133,17 +133,32 @@ def _multi_per_attribute(tables, cfg, demands):
     return out
 
 
+def _derive(name: str, vals: DataFrame, cfg: DimensionConfig) -> DataFrame:
+    """Report values that depend on one multi-valued attribute only, computed once per distinct
+    value before the fan-out instead of once per output row. Codes whose two substrings
+    coincide fold into one row here."""
+    if name == "cliente":
+        return vals.select(
+            "id_demanda", substr(name, 5, 7).alias("gerencia"), substr(name, 1, 3).alias("superint")
+        ).distinct()
+    if name == "nup":
+        return vals.withColumn("ano_nup", strict_int(substr(name, 14, 4)))
+    if name == "data_exec":
+        return vals.withColumn("mes_exec", month_name(name, cfg.month_names))
+    return vals
+
+
 def report_columns(df: DataFrame, cfg: DimensionConfig) -> DataFrame:
-    """The 23 report columns from the assembled internal columns."""
+    """The 23 report columns from the assembled internal columns (see ``_derive``)."""
     c = F.col
     completed = c("nm_status_demanda") == F.lit(cfg.completed_status)
     return df.select(
         c("id_demanda").alias(REPORT_COLUMNS[0]),
         to_day("dt_cadastro").alias(REPORT_COLUMNS[1]),
         c("nup").alias(REPORT_COLUMNS[2]),
-        strict_int(substr("nup", 14, 4)).alias(REPORT_COLUMNS[3]),
-        substr("cliente", 5, 7).alias(REPORT_COLUMNS[4]),
-        substr("cliente", 1, 3).alias(REPORT_COLUMNS[5]),
+        c("ano_nup").alias(REPORT_COLUMNS[3]),
+        c("gerencia").alias(REPORT_COLUMNS[4]),
+        c("superint").alias(REPORT_COLUMNS[5]),
         c("tp_insp").alias(REPORT_COLUMNS[6]),
         c("linha_pta").alias(REPORT_COLUMNS[7]),
         c("situacao").alias(REPORT_COLUMNS[8]),
@@ -154,7 +169,7 @@ def report_columns(df: DataFrame, cfg: DimensionConfig) -> DataFrame:
         F.when(c("term_prev").isNotNull(), month_name("term_prev", cfg.month_names))
         .otherwise(substr("mes_prev", 6, 10))
         .alias(REPORT_COLUMNS[13]),
-        F.when(completed, month_name("data_exec", cfg.month_names)).alias(REPORT_COLUMNS[14]),
+        F.when(completed, c("mes_exec")).alias(REPORT_COLUMNS[14]),
         place_label("municipio", "uf").alias(REPORT_COLUMNS[15]),
         c("aerodromo").alias(REPORT_COLUMNS[16]),
         c("etapa").alias(REPORT_COLUMNS[17]),
@@ -203,7 +218,7 @@ def demand_dimension(
     )
     df = df.join(capture, "id_demanda", "left")
     for name, vals, required in multi:
-        df = df.join(vals, "id_demanda", "inner" if required else "left")
+        df = df.join(_derive(name, vals, cfg), "id_demanda", "inner" if required else "left")
     out = report_columns(df, cfg).distinct()
     return out.orderBy(REPORT_COLUMNS[0]) if sort else out
 
