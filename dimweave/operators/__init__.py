@@ -2,7 +2,7 @@
 
 from dimweave.operators.broadcast import bounded_broadcast
 from dimweave.operators.eav import eav_rows, pick_all, pick_latest, pick_max_date, spine
-from dimweave.operators.joins import gated, gated_left_chain, join_flag
+from dimweave.operators.joins import gated, gated_left_chain, join_flag, with_missing_keys
 from dimweave.operators.pivot import multi_values, role_values, scalar_picks
 from dimweave.operators.stages import current_stage, existence_flag, role_join, stage_log
 from dimweave.operators.topk import desc_nulls_first, top1_per_key
@@ -25,5 +25,6 @@ __all__ = [
     "scalar_picks",
     "spine",
     "stage_log",
+    "with_missing_keys",
     "top1_per_key",
 ]

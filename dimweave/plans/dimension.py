@@ -27,7 +27,7 @@ from dimweave.functions.dates import business_days, month_name, strict_date, to_
 from dimweave.functions.text import executor_label, place_label, strict_int, substr
 from dimweave.operators.broadcast import guard_dimensions
 from dimweave.operators.eav import eav_rows, pick_all, pick_latest, pick_max_date, spine
-from dimweave.operators.joins import gated, gated_left_chain
+from dimweave.operators.joins import gated, gated_left_chain, with_missing_keys
 from dimweave.operators.materialize import write_shared
 from dimweave.operators.pivot import multi_values, role_values, scalar_picks
 from dimweave.operators.stages import current_stage, existence_flag, stage_log
@@ -217,10 +217,23 @@ def demand_dimension(
         broadcast_max_rows=None,
     )
     df = df.join(capture, "id_demanda", "left")
+    # The fan-out. In the single pass every optional attribute is completed with a NULL row for
+    # the version's demands that lack it (see with_missing_keys; the version's demands are a
+    # superset of the surviving ones, and cheap), so each join is an inner join that AQE can
+    # split on a hot demand. The per-attribute plan keeps the original LEFT JOINs.
+    keys = spine(tables, cfg.version).select("id_demanda")
     for name, vals, required in multi:
-        df = df.join(_derive(name, vals, cfg), "id_demanda", "inner" if required else "left")
+        vals = _derive(name, vals, cfg)
+        if required:
+            df = df.join(vals, "id_demanda")
+        elif plan == "single_pass":
+            df = df.join(with_missing_keys(vals, keys), "id_demanda")
+        else:
+            df = df.join(vals, "id_demanda", "left")
     out = report_columns(df, cfg).distinct()
-    return out.orderBy(REPORT_COLUMNS[0]) if sort else out
+    # sorted by demand number; the other columns only order rows within a demand, and let the
+    # range partitioning split a demand with very many rows over several tasks
+    return out.orderBy(*REPORT_COLUMNS) if sort else out
 
 
 def planned_business_days(tables: DemandTables, cfg: DimensionConfig | None = None) -> DataFrame:

@@ -64,7 +64,9 @@ def _text(rng: random.Random, attr_id: int, demand: int):
     return rng.choice(["A", "B", "C", "01 - Janeiro", "07 - Julho"])
 
 
-def random_rows(seed: int, n_demands: int = 40) -> dict[str, list[tuple]]:
+def random_rows(seed: int, n_demands: int = 40, hot_rows: int = 0) -> dict[str, list[tuple]]:
+    """Random tables; with ``hot_rows`` demand 1 also gets that many extra attribute rows
+    (spread over all attributes), so one key can hold a large share of the table."""
     rng = random.Random(seed)
     base = dt.datetime(2024, 1, 1)
     demanda, dado, valor, etapa = [], [], [], []
@@ -82,6 +84,12 @@ def random_rows(seed: int, n_demands: int = 40) -> dict[str, list[tuple]]:
                 valor.append((vid, attr_id, _text(rng, attr_id, d)))
                 t = None if rng.random() < 0.1 else base + dt.timedelta(days=rng.randrange(0, 3))  # ties likely
                 dado.append((d, vid, t))
+        if d == 1:
+            for k in range(hot_rows):
+                vid += 1
+                attr_id = 1 + k % 15
+                valor.append((vid, attr_id, _text(rng, attr_id, d)))
+                dado.append((d, vid, None if k % 17 == 0 else base + dt.timedelta(minutes=k % 500)))
         for _ in range(rng.choice([0, 1, 2, 3])):
             sid += 1
             el = rng.choice(elementos)[0]

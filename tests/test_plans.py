@@ -29,6 +29,20 @@ def test_plans_agree_on_random_eav(spark, seed):
     assert sum(ra.values()) > 0
 
 
+def test_plans_agree_with_a_hot_demand(spark):
+    # demand 1 holds about a third of all attribute rows
+    rows = random_rows(5, n_demands=60, hot_rows=600)
+    assert sum(1 for r in rows["demanda_dado"] if r[0] == 1) * 3 >= len(rows["demanda_dado"])
+    rows["demanda"][0] = (1, 1) + rows["demanda"][0][2:]  # keep it in the version
+    rows["demanda_etapa"].append((10_000, 1, "ana", 101, None, None, None, None))
+    t = from_rows(spark, rows)
+    cfg = RANDOM_CONFIG.with_(office=None)
+    a = _bag(demand_dimension(t, cfg, plan="per_attribute", sort=False))
+    b = _bag(demand_dimension(t, cfg, plan="single_pass", sort=False))
+    assert a == b
+    assert any(r[0] == 1 for r in b)
+
+
 @pytest.mark.parametrize("office", [None, "BHZ"])
 def test_plans_agree_without_office_filter(spark, office):
     t = from_rows(spark, random_rows(7))
