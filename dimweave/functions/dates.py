@@ -40,13 +40,18 @@ def month_name(d, names) -> Column:
     return F.when(d.isNotNull(), F.element_at(F.array(*[F.lit(n) for n in names]), F.month(d)))
 
 
+def ntz_literal(ts: dt.datetime) -> Column:
+    """A timestamp-without-zone literal, the same whatever the session or Python time zone."""
+    return F.lit(ts.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def close_interval(end, as_of: dt.datetime | None = None) -> Column:
     """End of an interval, the ``as_of`` instant when still open (NULL).
 
     With ``as_of`` None the session's local time is used (``localtimestamp``, timestamp
     without zone, like the stored ends); pass a fixed instant for repeatable runs.
     """
-    now = F.localtimestamp() if as_of is None else F.lit(as_of).cast("timestamp_ntz")
+    now = F.localtimestamp() if as_of is None else ntz_literal(as_of)
     return F.coalesce(col(end).cast("timestamp_ntz"), now)
 
 

@@ -47,8 +47,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; fails when the session has none."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The shared folder for intermediate tables: the session's ``spark.checkpoint.dir``.
+
+    On a cluster that setting names a folder every executor reaches and it is used as is. Only
+    when the session has none (a local or test session) is a scratch folder set, once.
+    """
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        raise RuntimeError("spark.checkpoint.dir is not set; point it at a folder all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="dimweave-ckpt-"))
+        path = sc.getCheckpointDir()
     return path

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dimweave.config import ALL, LATEST, MAX_DATE, Attribute, DimensionConfig
+from dimweave.functions.dates import ntz_literal
 from dimweave.sources.tables import DemandTables
 
 TESTDATA_TABLES = (
@@ -67,7 +68,7 @@ def demanda(customer: DataFrame) -> DataFrame:
     return customer.select(
         c("c_custkey").alias("id_demanda"),
         c("c_mktsegment").alias("id_versao_processo"),
-        F.timestamp_add("HOUR", c("c_custkey"), F.lit(dt.datetime(2023, 1, 1)).cast("timestamp_ntz")).alias(
+        F.timestamp_add("HOUR", c("c_custkey"), ntz_literal(dt.datetime(2023, 1, 1))).alias(
             "dt_cadastro"
         ),
         c("c_name").alias("nm_login_cadastrador"),
