@@ -58,6 +58,13 @@ ROLES = (
     "term_prev",
 )
 
+# The pick each role is read with: one value per demand, or one row per value (fan-out).
+ROLE_PICKS = {
+    **{r: (LATEST,) for r in ("situacao", "nurac", "mes_prev", "municipio", "uf", "aerodromo")},
+    **{r: (MAX_DATE,) for r in ("ini_prev", "term_prev")},
+    **{r: (ALL,) for r in ("cliente", "nup", "ano_prev", "data_exec", "linha_pta", "tp_insp")},
+}
+
 # ---------------------------------------------------------------------------------------------
 # Fixed values of the source job. They must stay exactly as written for the dimension to
 # match the original report: attribute ids (id_dado) per role, the process version, the
@@ -155,6 +162,9 @@ class DimensionConfig:
         missing = [r for r in ROLES if r not in self.attributes]
         if missing:
             raise ValueError(f"attribute registry lacks roles {missing}")
+        for role, kinds in ROLE_PICKS.items():
+            if self.attributes[role].pick not in kinds:
+                raise ValueError(f"role {role!r} needs a pick in {kinds}, got {self.attributes[role].pick!r}")
         if len(self.month_names) != 12:
             raise ValueError("month_names needs 12 entries")
 

@@ -62,7 +62,7 @@ REPORT_COLUMNS = (
     "Data de Execução",
 )
 
-# Roles joined in the order of the assembly (multi-valued ones last).
+# Roles read only through the municipality row (the gated place chain).
 _GATED = ("uf", "aerodromo")
 
 
@@ -76,10 +76,10 @@ def _base(tables: DemandTables, cfg: DimensionConfig) -> DataFrame:
     return demands.join(status, "id_status_demanda")
 
 
-def _scalars_single_pass(tables, cfg, base, rows):
+def _scalars_single_pass(cfg, base, rows):
     scalar = {n: a for n, a in cfg.attributes.items() if a.pick in (LATEST, MAX_DATE)}
     presence = [n for n, a in scalar.items() if a.required]
-    if "municipio" in scalar and "municipio" not in presence:
+    if "municipio" not in presence:
         presence.append("municipio")
     picks = scalar_picks(rows, scalar, presence, cfg.date_format)
     df = base.join(picks, "id_demanda", "left")
@@ -197,7 +197,7 @@ def demand_dimension(
     base = _base(tables, cfg)
     if plan == "single_pass":
         rows = eav_rows(tables, _registry_ids(cfg))
-        df = _scalars_single_pass(tables, cfg, base, rows)
+        df = _scalars_single_pass(cfg, base, rows)
         multi = _multi_single_pass(cfg, rows, spine(tables, cfg.version).select("id_demanda"))
     else:
         df = _scalars_per_attribute(tables, cfg, base)

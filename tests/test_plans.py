@@ -131,3 +131,12 @@ def test_status_and_elements_are_broadcast(spark, tmp_path):
     t = _parquet_tables(spark, tmp_path)
     plan = _executed(demand_dimension(t, DimensionConfig(as_of=AS_OF)))
     assert "BroadcastHashJoin" in plan
+
+
+def test_config_rejects_wrong_pick_for_a_role():
+    attrs = dict(DimensionConfig().attributes)
+    attrs["cliente"] = Attribute((4599,), "latest", required=True)
+    with pytest.raises(ValueError, match="cliente"):
+        DimensionConfig(attributes=attrs)
+    with pytest.raises(ValueError, match="pick"):
+        Attribute((1,), "first")
