@@ -118,3 +118,40 @@ def test_bounded_broadcast_checks_size(spark):
     j2 = spark.range(100).join(bounded_broadcast(big, 20), "id")
     assert "broadcast" in j1._jdf.queryExecution().analyzed().toString().lower()
     assert "broadcast" not in j2._jdf.queryExecution().analyzed().toString().lower()
+
+
+def _brute_latest(rows):
+    """Newest row per demand by (time is NULL, time, value id), in plain Python."""
+    best = {}
+    for d, vid, t, v in rows:
+        k = (t is None, t or dt.datetime.min, vid)
+        if d not in best or k > best[d][0]:
+            best[d] = (k, v)
+    return {d: v for d, (k, v) in best.items()}
+
+
+def _brute_max_date(rows):
+    out = {}
+    for d, vid, t, v in rows:
+        day = None if v is None else dt.date.fromisoformat(v)
+        k = (day is None, day or dt.date.min)
+        if d not in out or k > out[d][0]:
+            out[d] = (k, day)
+    return {d: day for d, (k, day) in out.items()}
+
+
+def test_single_pass_picks_match_brute_force(spark):
+    import random
+
+    rng = random.Random(17)
+    rows = []
+    for vid in range(1, 2001):
+        d = rng.randrange(1, 60)
+        t = None if rng.random() < 0.15 else T0 + dt.timedelta(hours=rng.randrange(0, 30))
+        v = None if rng.random() < 0.1 else (dt.date(2024, 1, 1) + dt.timedelta(days=rng.randrange(0, 90))).isoformat()
+        rows.append((d, vid, t, v))
+    t = _tables(spark, [(d, vid, ts) for d, vid, ts, _ in rows], [(vid, 9, v) for _, vid, _, v in rows])
+    attrs = {"x": Attribute((9,), LATEST), "m": Attribute((9,), MAX_DATE)}
+    got = {r["id_demanda"]: (r["x"], r["m"]) for r in scalar_picks(eav_rows(t, [9]), attrs).collect()}
+    latest, greatest = _brute_latest(rows), _brute_max_date(rows)
+    assert got == {d: (latest[d], greatest[d]) for d in latest}
