@@ -7,8 +7,9 @@ one row per map task, not its rows. Multi-valued attributes are a ``distinct`` o
 (demand, attribute, value), which is also combined map-side and is spread over reducers by
 value, not by demand; no group is ever gathered into one task.
 
-Casts of value text happen only inside ``CASE WHEN id_dado IN (...)`` of the attribute that
-owns the text, so a strict cast never sees another attribute's text.
+Value text is parsed only inside ``CASE WHEN id_dado IN (...)`` of the attribute that owns it,
+so a strict cast never sees another attribute's text, and a greatest date's parse error is
+raised after the join to the kept demands (see ``scalar_picks``).
 """
 
 from __future__ import annotations
@@ -36,23 +37,39 @@ def scalar_picks(
     attributes: Mapping[str, Attribute],
     presence: Iterable[str] = (),
     date_format: str = "yyyy-MM-dd",
+    demands: DataFrame | None = None,
 ) -> DataFrame:
     """One row per demand with a column per LATEST / MAX_DATE attribute and a ``has_<name>``
-    column (True, or NULL when the demand has no row of it) for each name in ``presence``."""
-    aggs = []
+    column (True, or NULL when the demand has no row of it) for each name in ``presence``.
+
+    With ``demands`` the picks are left-joined to it (every demand gets a row, with all its
+    columns). Greatest dates are parsed leniently inside the map-side aggregation, which sees
+    the rows of every demand; a value that is not a date then fails the query only for a kept
+    demand (one of ``demands``, or any when it is None), as a per-demand lookup would.
+    """
+    aggs, dated = [], []
     for name, attr in attributes.items():
         hit = id_filter(attr.ids)
         if attr.pick == LATEST:
             aggs.append(F.max_by(F.col("nm_valor"), _latest_key(hit)).alias(name))
         elif attr.pick == MAX_DATE:
-            d = strict_date(F.when(hit, F.col("nm_valor")), date_format)
+            text = F.when(hit, F.col("nm_valor"))
+            d = F.try_to_date(text, date_format)
             # a NULL date outranks every date (descending, NULL first); equal dates are one value
             aggs.append(F.max_by(d, F.when(hit, F.struct(d.isNull().alias("n"), d.alias("d")))).alias(name))
+            aggs.append(F.max(F.when(text.isNotNull() & d.isNull(), text)).alias(f"__bad_{name}"))
+            dated.append(name)
         else:
             raise ValueError(f"{name}: pick {attr.pick!r} is not scalar")
     for name in presence:
         aggs.append(F.max(F.when(id_filter(attributes[name].ids), F.lit(True))).alias(f"has_{name}"))
-    return rows.groupBy("id_demanda").agg(*aggs)
+    picks = rows.groupBy("id_demanda").agg(*aggs)
+    out = picks if demands is None else demands.join(picks, "id_demanda", "left")
+    for name in dated:
+        bad = F.col(f"__bad_{name}")
+        failed = F.raise_error(F.concat(F.lit("not a date: "), bad))
+        out = out.withColumn(name, F.when(bad.isNotNull(), failed).otherwise(F.col(name)))
+    return out.drop(*[f"__bad_{n}" for n in dated])
 
 
 def multi_values(rows: DataFrame, attributes: Mapping[str, Attribute]) -> DataFrame:

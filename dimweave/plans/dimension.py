@@ -81,8 +81,7 @@ def _scalars_single_pass(cfg, base, rows):
     presence = [n for n, a in scalar.items() if a.required]
     if "municipio" not in presence:
         presence.append("municipio")
-    picks = scalar_picks(rows, scalar, presence, cfg.date_format)
-    df = base.join(picks, "id_demanda", "left")
+    df = scalar_picks(rows, scalar, presence, cfg.date_format, demands=base)
     for n in presence:
         if scalar[n].required:
             df = df.where(F.col(f"has_{n}").isNotNull())
@@ -246,7 +245,8 @@ def planned_business_days(tables: DemandTables, cfg: DimensionConfig | None = No
     cfg = cfg or DimensionConfig()
     attrs = {n: cfg.attributes[n] for n in ("ini_prev", "term_prev")}
     ids = list(dict.fromkeys(i for a in attrs.values() for i in a.ids))
-    picks = scalar_picks(eav_rows(tables, ids, spine(tables, cfg.version)), attrs, ["ini_prev"], cfg.date_format)
+    demands = spine(tables, cfg.version).select("id_demanda")
+    picks = scalar_picks(eav_rows(tables, ids), attrs, ["ini_prev"], cfg.date_format, demands=demands)
     return picks.where(F.col("has_ini_prev").isNotNull()).select(
         "id_demanda",
         F.when(F.col("term_prev").isNull(), F.lit(1))

@@ -206,8 +206,7 @@ def q17_single_pass(spark, sf_dir):
     t = _t(spark, sf_dir)
     attrs = {n: CFG.attributes[n] for n in ("situacao", "nurac", "mes_prev", "municipio", "uf", "aerodromo", "ini_prev")}
     ids = [i for a in attrs.values() for i in a.ids]
-    picks = scalar_picks(eav_rows(t, ids), attrs)
-    return spine(t, V).select("id_demanda").join(picks, "id_demanda", "left")
+    return scalar_picks(eav_rows(t, ids), attrs, demands=spine(t, V).select("id_demanda"))
 
 
 def q18_last_turn(spark, sf_dir):

@@ -78,6 +78,14 @@ def test_bad_text_under_its_attribute_raises(spark, plan, attr, text):
         demand_dimension(t, DimensionConfig(as_of=AS_OF), plan=plan).collect()
 
 
+@pytest.mark.parametrize("plan", ["single_pass", "per_attribute"])
+def test_bad_date_of_another_version_is_never_read(spark, plan):
+    # demand 9 belongs to another process version: its attribute rows are never parsed
+    t = from_rows(spark, _with_value(fixture_rows(), 9, 900, 4604, "31/12/2024"))
+    out = demand_dimension(t, DimensionConfig(as_of=AS_OF), plan=plan).collect()
+    assert len(out) == 13
+
+
 def test_same_text_under_another_attribute_does_not_raise(spark):
     # a text that is no date under an attribute that is not read as a date: no error in the single pass
     rows = _with_value(fixture_rows(), 1, 900, 4623, "31/12/2024")
