@@ -65,11 +65,16 @@ def scalar_picks(
         aggs.append(F.max(F.when(id_filter(attributes[name].ids), F.lit(True))).alias(f"has_{name}"))
     picks = rows.groupBy("id_demanda").agg(*aggs)
     out = picks if demands is None else demands.join(picks, "id_demanda", "left")
-    for name in dated:
+    if not dated:
+        return out
+
+    def checked(name):
         bad = F.col(f"__bad_{name}")
         failed = F.raise_error(F.concat(F.lit("not a date: "), bad))
-        out = out.withColumn(name, F.when(bad.isNotNull(), failed).otherwise(F.col(name)))
-    return out.drop(*[f"__bad_{n}" for n in dated])
+        return F.when(bad.isNotNull(), failed).otherwise(F.col(name)).alias(name)
+
+    hidden = {f"__bad_{n}" for n in dated}
+    return out.select(*[checked(c) if c in dated else F.col(c) for c in out.columns if c not in hidden])
 
 
 def multi_values(rows: DataFrame, attributes: Mapping[str, Attribute]) -> DataFrame:

@@ -19,6 +19,8 @@ attributes (the fan-out, last, after every filter) -> report columns -> distinct
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,13 +84,11 @@ def _scalars_single_pass(cfg, base, rows):
     if "municipio" not in presence:
         presence.append("municipio")
     df = scalar_picks(rows, scalar, presence, cfg.date_format, demands=base)
-    for n in presence:
-        if scalar[n].required:
-            df = df.where(F.col(f"has_{n}").isNotNull())
+    required = [F.col(f"has_{n}").isNotNull() for n in presence if scalar[n].required]
+    if required:
+        df = df.where(reduce(lambda a, b: a & b, required))
     gate = F.col("has_municipio")
-    for n in _GATED:
-        df = df.withColumn(n, gated(n, gate))
-    return df
+    return df.select(*[gated(c, gate).alias(c) if c in _GATED else F.col(c) for c in df.columns])
 
 
 def _scalars_per_attribute(tables, cfg, base):
