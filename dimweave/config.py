@@ -136,6 +136,8 @@ class DimensionConfig:
     ``date_format``      format of date values stored as text
     ``holidays``         dates subtracted by the business-day count
     ``broadcast_max_rows`` largest dimension table (rows) shipped to every task
+    ``fanout_rows_per_task`` output rows of one demand above which its fan-out is split
+    ``max_salts``        most tasks one demand's fan-out is split over
     """
 
     version: object = SOURCE_VERSION
@@ -157,6 +159,8 @@ class DimensionConfig:
     as_of: dt.datetime | None = None
     holidays: tuple = ()
     broadcast_max_rows: int = 1_000_000
+    fanout_rows_per_task: int = 2_000_000
+    max_salts: int = 1024
 
     def __post_init__(self):
         missing = [r for r in ROLES if r not in self.attributes]

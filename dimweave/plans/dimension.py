@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from dimweave.config import ALL, LATEST, MAX_DATE, DimensionConfig
 from dimweave.functions.dates import business_days, month_name, strict_date, to_day
 from dimweave.functions.text import executor_label, place_label, strict_int, substr
-from dimweave.operators.broadcast import guard_dimensions
+from dimweave.operators.broadcast import bounded_broadcast, guard_dimensions
 from dimweave.operators.eav import eav_rows, pick_all, pick_latest, pick_max_date, spine
+from dimweave.operators.fanout import hot_demands, replicate_over_salts, salt_role
 from dimweave.operators.joins import gated, gated_left_chain, with_missing_keys
 from dimweave.operators.materialize import write_shared
 from dimweave.operators.pivot import multi_values, role_values, scalar_picks
@@ -112,10 +113,10 @@ def _scalars_per_attribute(tables, cfg, base):
 def _multi_single_pass(cfg, rows, demands):
     multi = {n: a for n, a in cfg.attributes.items() if a.pick == ALL}
     mv = multi_values(rows, multi).join(demands, "id_demanda", "left_semi")
-    if len(multi) > 1:
-        # every role reads the distinct values once written, instead of recomputing them
-        mv = write_shared(mv, "multi_values", partition_by="role")
-    return [(n, role_values(mv, n, a, cfg.date_format), a.required) for n, a in multi.items()]
+    # every role (and the fan-out estimate) reads the distinct values once written, instead of
+    # recomputing them from the attribute tables
+    mv = write_shared(mv, "multi_values", partition_by="role")
+    return mv, [(n, role_values(mv, n, a, cfg.date_format), a.required) for n, a in multi.items()]
 
 
 def _multi_per_attribute(tables, cfg, demands):
@@ -147,6 +148,24 @@ def _derive(name: str, vals: DataFrame, cfg: DimensionConfig) -> DataFrame:
     return vals
 
 
+def _fan_out_salted(df, multi, mv, keys, cfg):
+    """Join the multi-valued attributes on (id_demanda, salt).
+
+    Every optional attribute is first completed with a NULL row for the version's demands that
+    lack it (``with_missing_keys``; the version's demands are a superset of the surviving ones),
+    so every join is an inner join. A demand with a large product of values is spread over
+    several salts (``dimweave.operators.fanout``); the hot list is broadcast behind a size check.
+    """
+    hot = bounded_broadcast(hot_demands(mv, cfg.fanout_rows_per_task, cfg.max_salts), cfg.broadcast_max_rows)
+    df = replicate_over_salts(df, hot)
+    for name, vals, required in multi:
+        vals = _derive(name, vals, cfg)
+        if not required:
+            vals = with_missing_keys(vals, keys)
+        df = df.join(salt_role(vals, hot, name), ["id_demanda", "salt"])
+    return df.drop("salt")
+
+
 def report_columns(df: DataFrame, cfg: DimensionConfig) -> DataFrame:
     """The 23 report columns from the assembled internal columns (see ``_derive``)."""
     c = F.col
@@ -197,7 +216,7 @@ def demand_dimension(
     if plan == "single_pass":
         rows = eav_rows(tables, _registry_ids(cfg))
         df = _scalars_single_pass(cfg, base, rows)
-        multi = _multi_single_pass(cfg, rows, spine(tables, cfg.version).select("id_demanda"))
+        mv, multi = _multi_single_pass(cfg, rows, spine(tables, cfg.version).select("id_demanda"))
     else:
         df = _scalars_per_attribute(tables, cfg, base)
         multi = _multi_per_attribute(tables, cfg, base.select("id_demanda"))
@@ -216,19 +235,12 @@ def demand_dimension(
         broadcast_max_rows=None,
     )
     df = df.join(capture, "id_demanda", "left")
-    # The fan-out. In the single pass every optional attribute is completed with a NULL row for
-    # the version's demands that lack it (see with_missing_keys; the version's demands are a
-    # superset of the surviving ones, and cheap), so each join is an inner join that AQE can
-    # split on a hot demand. The per-attribute plan keeps the original LEFT JOINs.
-    keys = spine(tables, cfg.version).select("id_demanda")
-    for name, vals, required in multi:
-        vals = _derive(name, vals, cfg)
-        if required:
-            df = df.join(vals, "id_demanda")
-        elif plan == "single_pass":
-            df = df.join(with_missing_keys(vals, keys), "id_demanda")
-        else:
-            df = df.join(vals, "id_demanda", "left")
+    if plan == "single_pass":
+        df = _fan_out_salted(df, multi, mv, spine(tables, cfg.version).select("id_demanda"), cfg)
+    else:
+        # the original shape: inner joins for required attributes, LEFT JOINs for the others
+        for name, vals, required in multi:
+            df = df.join(_derive(name, vals, cfg), "id_demanda", "inner" if required else "left")
     out = report_columns(df, cfg).distinct()
     # sorted by demand number; the other columns only order rows within a demand, and let the
     # range partitioning split a demand with very many rows over several tasks

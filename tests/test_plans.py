@@ -40,7 +40,30 @@ def test_plans_agree_with_a_hot_demand(spark):
     a = _bag(demand_dimension(t, cfg, plan="per_attribute", sort=False))
     b = _bag(demand_dimension(t, cfg, plan="single_pass", sort=False))
     assert a == b
-    assert any(r[0] == 1 for r in b)
+    assert sum(n for r, n in b.items() if r[0] == 1) > 100
+    # the same with the hot demand's fan-out split over many salts
+    salted = demand_dimension(t, cfg.with_(fanout_rows_per_task=10, max_salts=16), plan="single_pass", sort=False)
+    assert _bag(salted) == a
+
+
+def test_hot_demands_are_salted(spark):
+    from dimweave.operators.fanout import hot_demands, replicate_over_salts, salt_role
+
+    mv = spark.createDataFrame(
+        [(1, "a", str(i)) for i in range(40)] + [(1, "b", str(i)) for i in range(5)] + [(2, "a", "x"), (2, "b", "y")],
+        "id_demanda long, role string, nm_valor string",
+    )
+    hot = hot_demands(mv, rows_per_task=20, max_salts=8)
+    assert [tuple(r) for r in hot.collect()] == [(1, "a", 8)]  # 200 rows -> 10 salts, capped at 8
+    narrow = replicate_over_salts(spark.createDataFrame([(1,), (2,)], "id_demanda long"), hot)
+    assert sorted(r["salt"] for r in narrow.where("id_demanda = 1").collect()) == list(range(8))
+    a = salt_role(mv.where("role = 'a'").select("id_demanda", "nm_valor"), hot, "a")
+    b = salt_role(mv.where("role = 'b'").select("id_demanda", "nm_valor"), hot, "b")
+    assert a.where("id_demanda = 1").count() == 40  # split: each value once
+    assert len({r["salt"] for r in a.where("id_demanda = 1").collect()}) > 1
+    assert b.where("id_demanda = 1").count() == 5 * 8  # copied to every salt
+    prod = narrow.join(a, ["id_demanda", "salt"]).join(b, ["id_demanda", "salt"])
+    assert prod.where("id_demanda = 1").count() == 200 and prod.where("id_demanda = 2").count() == 1
 
 
 @pytest.mark.parametrize("office", [None, "BHZ"])
