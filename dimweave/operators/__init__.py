@@ -1,7 +1,9 @@
 """DataFrame operators of the demand dimension."""
 
-from dimweave.operators.broadcast import bounded_broadcast
+from dimweave.operators.broadcast import bounded_broadcast, guard_dimensions
 from dimweave.operators.eav import eav_rows, pick_all, pick_latest, pick_max_date, spine
+from dimweave.operators.fanout import hot_demands, replicate_over_salts, salt_role
+from dimweave.operators.materialize import write_shared
 from dimweave.operators.joins import gated, gated_left_chain, join_flag, with_missing_keys
 from dimweave.operators.pivot import multi_values, role_values, scalar_picks
 from dimweave.operators.stages import current_stage, existence_flag, role_join, stage_log
@@ -15,16 +17,21 @@ __all__ = [
     "existence_flag",
     "gated",
     "gated_left_chain",
+    "guard_dimensions",
+    "hot_demands",
     "join_flag",
     "multi_values",
     "pick_all",
     "pick_latest",
     "pick_max_date",
+    "replicate_over_salts",
     "role_join",
     "role_values",
+    "salt_role",
     "scalar_picks",
     "spine",
     "stage_log",
-    "with_missing_keys",
     "top1_per_key",
+    "with_missing_keys",
+    "write_shared",
 ]
