@@ -5,7 +5,7 @@ from dimweave.operators.eav import eav_rows, pick_all, pick_latest, pick_max_dat
 from dimweave.operators.fanout import hot_demands, replicate_over_salts, salt_role
 from dimweave.operators.materialize import write_shared
 from dimweave.operators.joins import gated, gated_left_chain, join_flag, with_missing_keys
-from dimweave.operators.pivot import multi_values, role_values, scalar_picks
+from dimweave.operators.pivot import missing_values, multi_values, role_values, scalar_picks
 from dimweave.operators.stages import current_stage, existence_flag, role_join, stage_log
 from dimweave.operators.topk import desc_nulls_first, top1_per_key
 
@@ -20,6 +20,7 @@ __all__ = [
     "guard_dimensions",
     "hot_demands",
     "join_flag",
+    "missing_values",
     "multi_values",
     "pick_all",
     "pick_latest",

@@ -92,6 +92,25 @@ def multi_values(rows: DataFrame, attributes: Mapping[str, Attribute]) -> DataFr
     )
 
 
+def missing_values(demands: DataFrame, mv: DataFrame, roles) -> DataFrame:
+    """(id_demanda, role, NULL) for each demand of ``demands`` without any value of a role.
+
+    Appended to ``mv``, every role then has a row for every demand, so a LEFT JOIN of the role
+    becomes an inner join with the same result (a missing value and a NULL value both read
+    NULL). One aggregation finds the roles each demand has, for all roles at once.
+    """
+    roles = list(roles)
+    if not roles:
+        return mv.limit(0)
+    present = mv.groupBy("id_demanda").agg(*[F.max(F.col("role") == F.lit(r)).alias(f"__has_{r}") for r in roles])
+    lacking = F.array(*[F.when(F.coalesce(F.col(f"__has_{r}"), F.lit(False)), F.lit(None)).otherwise(F.lit(r)) for r in roles])
+    return demands.select("id_demanda").join(present, "id_demanda", "left").select(
+        "id_demanda",
+        F.explode(F.filter(lacking, lambda r: r.isNotNull())).alias("role"),
+        F.lit(None).cast("string").alias("nm_valor"),
+    )
+
+
 def role_values(mv: DataFrame, name: str, attr: Attribute, date_format: str = "yyyy-MM-dd") -> DataFrame:
     """(id_demanda, <name>) of one multi-valued attribute, cast per ``attr.cast``."""
     v = F.col("nm_valor")
@@ -102,4 +121,4 @@ def role_values(mv: DataFrame, name: str, attr: Attribute, date_format: str = "y
     return mv.where(F.col("role") == F.lit(name)).select("id_demanda", v.alias(name))
 
 
-__all__ = ["ALL", "LATEST", "MAX_DATE", "multi_values", "role_values", "scalar_picks"]
+__all__ = ["ALL", "LATEST", "MAX_DATE", "missing_values", "multi_values", "role_values", "scalar_picks"]

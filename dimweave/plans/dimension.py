@@ -30,9 +30,9 @@ from dimweave.functions.text import executor_label, place_label, strict_int, sub
 from dimweave.operators.broadcast import bounded_broadcast, guard_dimensions
 from dimweave.operators.eav import eav_rows, pick_all, pick_latest, pick_max_date, spine
 from dimweave.operators.fanout import hot_demands, replicate_over_salts, salt_role
-from dimweave.operators.joins import gated, gated_left_chain, with_missing_keys
+from dimweave.operators.joins import gated, gated_left_chain
 from dimweave.operators.materialize import write_shared
-from dimweave.operators.pivot import multi_values, role_values, scalar_picks
+from dimweave.operators.pivot import missing_values, multi_values, role_values, scalar_picks
 from dimweave.operators.stages import current_stage, existence_flag, stage_log
 from dimweave.sources.tables import DemandTables
 
@@ -113,6 +113,8 @@ def _scalars_per_attribute(tables, cfg, base):
 def _multi_single_pass(cfg, rows, demands):
     multi = {n: a for n, a in cfg.attributes.items() if a.pick == ALL}
     mv = multi_values(rows, multi).join(demands, "id_demanda", "left_semi")
+    # a NULL row for each optional role a demand lacks turns its LEFT JOIN into an inner join
+    mv = mv.unionByName(missing_values(demands, mv, [n for n, a in multi.items() if not a.required]))
     # every role (and the fan-out estimate) reads the distinct values once written, instead of
     # recomputing them from the attribute tables
     mv = write_shared(mv, "multi_values", partition_by="role")
@@ -148,21 +150,18 @@ def _derive(name: str, vals: DataFrame, cfg: DimensionConfig) -> DataFrame:
     return vals
 
 
-def _fan_out_salted(df, multi, mv, keys, cfg):
+def _fan_out_salted(df, multi, mv, cfg):
     """Join the multi-valued attributes on (id_demanda, salt).
 
-    Every optional attribute is first completed with a NULL row for the version's demands that
-    lack it (``with_missing_keys``; the version's demands are a superset of the surviving ones),
-    so every join is an inner join. A demand with a large product of values is spread over
-    several salts (``dimweave.operators.fanout``); the hot list is broadcast behind a size check.
+    Every role has a row for every demand of the version (``missing_values`` added NULL rows
+    for the optional ones), so every join is an inner join. A demand with a large product of
+    values is spread over several salts (``dimweave.operators.fanout``); the hot list is
+    broadcast behind a size check.
     """
     hot = bounded_broadcast(hot_demands(mv, cfg.fanout_rows_per_task, cfg.max_salts), cfg.broadcast_max_rows)
     df = replicate_over_salts(df, hot)
-    for name, vals, required in multi:
-        vals = _derive(name, vals, cfg)
-        if not required:
-            vals = with_missing_keys(vals, keys)
-        df = df.join(salt_role(vals, hot, name), ["id_demanda", "salt"])
+    for name, vals, _required in multi:
+        df = df.join(salt_role(_derive(name, vals, cfg), hot, name), ["id_demanda", "salt"])
     return df.drop("salt")
 
 
@@ -236,7 +235,7 @@ def demand_dimension(
     )
     df = df.join(capture, "id_demanda", "left")
     if plan == "single_pass":
-        df = _fan_out_salted(df, multi, mv, spine(tables, cfg.version).select("id_demanda"), cfg)
+        df = _fan_out_salted(df, multi, mv, cfg)
     else:
         # the original shape: inner joins for required attributes, LEFT JOINs for the others
         for name, vals, required in multi:
