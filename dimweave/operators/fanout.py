@@ -39,25 +39,26 @@ def hot_demands(mv: DataFrame, rows_per_task: int, max_salts: int) -> DataFrame:
     )
 
 
-def _salts(hot_salts) -> F.Column:
-    return F.coalesce(hot_salts, F.lit(1))
+def _salts() -> F.Column:
+    return F.coalesce(F.col("salts"), F.lit(1))
+
+
+# Every use joins ``hot`` as it is (same columns), so the plan builds and broadcasts it once
+# and reuses that exchange.
 
 
 def replicate_over_salts(df: DataFrame, hot: DataFrame) -> DataFrame:
     """Each row once per salt of its demand (only salt 0 for a demand that is not hot)."""
-    j = df.join(hot.select("id_demanda", F.col("salts").alias("__salts")), "id_demanda", "left")
-    every = F.sequence(F.lit(0), _salts(F.col("__salts")) - 1)
-    return j.select(*[F.col(c) for c in df.columns], F.explode(every).alias("salt"))
+    j = df.join(hot, "id_demanda", "left")
+    return j.select(*[F.col(c) for c in df.columns], F.explode(F.sequence(F.lit(0), _salts() - 1)).alias("salt"))
 
 
 def salt_role(vals: DataFrame, hot: DataFrame, role: str) -> DataFrame:
     """Rows of one role with a ``salt``: split by a hash of the value among the salts of a demand
     whose split role this is, copied to every salt of any other hot demand, 0 otherwise."""
-    j = vals.join(hot.select("id_demanda", F.col("split_role").alias("__split"), F.col("salts").alias("__salts")),
-                  "id_demanda", "left")
-    n = _salts(F.col("__salts"))
+    j = vals.join(hot, "id_demanda", "left")
     value_cols = [c for c in vals.columns if c != "id_demanda"]
-    one = F.array(F.pmod(F.xxhash64(*[F.col(c) for c in value_cols]), n.cast("long")).cast("int"))
-    every = F.sequence(F.lit(0), n - 1)
-    split = F.coalesce(F.col("__split") == F.lit(role), F.lit(False))
+    one = F.array(F.pmod(F.xxhash64(*[F.col(c) for c in value_cols]), _salts().cast("long")).cast("int"))
+    every = F.sequence(F.lit(0), _salts() - 1)
+    split = F.coalesce(F.col("split_role") == F.lit(role), F.lit(False))
     return j.select(*[F.col(c) for c in vals.columns], F.explode(F.when(split, one).otherwise(every)).alias("salt"))
