@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from dimweave.operators.eav import latest_order
 from dimweave.operators.topk import top1_per_key
 from dimweave.sources.schemas import DEMANDA_DADO
@@ -46,3 +48,27 @@ def test_stream_equals_batch(spark, tmp_path):
     )
     assert got == want
     assert len(got) == 6
+
+
+def test_start_latest_values_hands_changed_keys_to_upsert(spark, tmp_path):
+    from dimweave.streaming import start_latest_values
+
+    values = spark.createDataFrame([(1, 9, "a"), (2, 9, "b"), (3, 9, "c")], "id_dado_valor long, id_dado int, nm_valor string")
+    src = tmp_path / "bridge"
+    spark.createDataFrame([(1, 1, T0), (2, 2, T0)], DEMANDA_DADO).write.parquet(str(src / "b=0"))
+    spark.createDataFrame([(1, 3, T0 + dt.timedelta(days=1))], DEMANDA_DADO).write.parquet(str(src / "b=1"))
+    stream = spark.readStream.schema(DEMANDA_DADO).option("maxFilesPerTrigger", 1).parquet(str(src / "*"))
+    out = tmp_path / "upserts"
+
+    def upsert(batch, epoch_id):
+        batch.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(str(out))
+
+    q = start_latest_values(latest_value_updates(stream, values, [9]), str(tmp_path / "ckpt"), upsert)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = spark.read.parquet(str(out))
+    final = {r["id_demanda"]: r["nm_valor"] for r in top1_per_key(got, "id_demanda", [F.col("epoch").desc()]).collect()}
+    assert final == {1: "c", 2: "b"}
+    assert got.where("epoch = 1").count() == 1  # the second batch changed demand 1 only
