@@ -58,3 +58,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="dimweave-ckpt-"))
         path = sc.getCheckpointDir()
     return path
+
+
+def cluster_conf(input_bytes: int, cores: int, partition_bytes: int = 256 << 20) -> dict:
+    """Settings sized for a cluster run over ``input_bytes`` of attribute and stage tables.
+
+    Shuffle partitions are sized so that one partition of the largest shuffle (at most the size
+    of the scanned EAV columns) holds about ``partition_bytes``, and never fewer than 3 per core,
+    so tasks stay spillable and AQE still has room to coalesce or split them. File splits match
+    the same size. Apply with ``SparkSession.builder.config(map=cluster_conf(...))``.
+    """
+    shuffle = max(3 * cores, -(-input_bytes // partition_bytes))
+    return {
+        **PLAN_CONF,
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes // 2),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * partition_bytes),
+    }

@@ -138,3 +138,12 @@ def test_close_interval_fixed_and_now(spark):
     live = df.select(close_interval("e").alias("x"))
     assert live.schema["x"].dataType.simpleString() == "timestamp_ntz"
     assert live.where(F.col("x").isNull()).count() == 0
+
+
+def test_cluster_conf_sizes_partitions():
+    from dimweave.session import cluster_conf
+
+    conf = cluster_conf(100 << 40, cores=8000)  # 100 TiB on 8000 cores
+    assert int(conf["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
+    assert cluster_conf(1 << 30, cores=64)["spark.sql.shuffle.partitions"] == str(3 * 64)
+    assert conf["spark.sql.adaptive.enabled"] == "true"
