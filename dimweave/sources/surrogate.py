@@ -10,14 +10,17 @@ invented; every row derives from a testdata row, so the work grows with the scal
 ``demanda_dado``    events: user_id, event_id, ts (NULL when event_id % 11 = 0)
 ``dado_valor``      events: event_id, event_type as attribute id, a text per event type
                     (NULL when event_id % 13 = 0), see ``VALUE_TEXT``
-``demanda_etapa``   orders: o_orderkey as stage id, o_custkey, element o_orderkey % 25, next
-                    element (2 * o_orderkey) % 25 unless status 'P', start o_orderdate, end
-                    o_orderdate + (o_orderkey % 30) days unless status 'O', executor ''
-                    when o_orderkey % 5 = 0, NULL when % 7 = 0, else 'clerk' + priority digit
+``demanda_etapa``   orders: o_orderkey as stage id, o_custkey, element (priority digit - 1) * 5 +
+                    (0, 1, 2 for status F, O, P), next element = element + 5 unless status 'P',
+                    start o_orderdate, end o_orderdate + (o_orderkey % 30) days unless status
+                    'O', executor '' when o_orderkey % 5 = 0, NULL when % 7 = 0, else 'clerk' +
+                    priority digit
 ``elemento_pn``     nation: n_nationkey as element, n_name, n_regionkey as process version
 
 The testdata has no NULL times, NULL values, empty executors or time ties; the modulo rules
-inject them so the NULL-ordering and relabelling semantics are exercised. The same rules are
+inject them (as values; no rule removes a row) so the NULL-ordering and relabelling semantics
+are exercised. The process version of the elements is the nation's region, so the version's
+stages are the finished orders. The same rules are
 restated in SQL by ``dimweave.queries.oracle`` for the DuckDB check.
 """
 
@@ -110,14 +113,15 @@ def executor_login(orderkey="o_orderkey", priority="o_orderpriority") -> F.Colum
 def demanda_etapa(orders: DataFrame) -> DataFrame:
     c = F.col
     k = c("o_orderkey")
+    # element: 5 per priority digit, plus 0 / 1 / 2 for status F / O / P (nations 0-24)
+    status = F.when(c("o_orderstatus") == "F", 0).when(c("o_orderstatus") == "O", 1).otherwise(2)
+    element = ((F.substring("o_orderpriority", 1, 1).cast("int") - 1) * 5 + status).cast("int")
     return orders.select(
         k.alias("id_demanda_etapa"),
         c("o_custkey").alias("id_demanda"),
         executor_login().alias("nm_login_executor"),
-        (k % 25).cast("int").alias("id_elemento_pn_inicial"),
-        F.when(c("o_orderstatus") == "P", F.lit(None).cast("int"))
-        .otherwise(((k * 2) % 25).cast("int"))
-        .alias("id_elemento_pn_passagem"),
+        element.alias("id_elemento_pn_inicial"),
+        F.when(c("o_orderstatus") == "P", F.lit(None).cast("int")).otherwise(element + 5).alias("id_elemento_pn_passagem"),
         c("o_totalprice").alias("nr_lead_time"),
         c("o_orderdate").alias("dt_inicio"),
         F.when(c("o_orderstatus") == "O", F.lit(None))
