@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from dimweave.config import ALL, LATEST, MAX_DATE, DimensionConfig
 from dimweave.functions.dates import business_days, month_name, strict_date, to_day
 from dimweave.functions.text import executor_label, place_label, strict_int, substr
-from dimweave.operators.broadcast import bounded_broadcast, guard_dimensions
+from dimweave.operators.broadcast import guard_dimensions
 from dimweave.operators.eav import eav_rows, pick_all, pick_latest, pick_max_date, spine
 from dimweave.operators.fanout import hot_demands, replicate_over_salts, salt_role
 from dimweave.operators.joins import gated, gated_left_chain
@@ -155,10 +155,12 @@ def _fan_out_salted(df, multi, mv, cfg):
 
     Every role has a row for every demand of the version (``missing_values`` added NULL rows
     for the optional ones), so every join is an inner join. A demand with a large product of
-    values is spread over several salts (``dimweave.operators.fanout``); the hot list is
-    broadcast behind a size check.
+    values is spread over several salts (``dimweave.operators.fanout``). The hot list is not
+    hinted: it is an aggregation, so AQE measures its actual size after that shuffle and
+    broadcasts it only when it is under the broadcast threshold (usually; it has a row per hot
+    demand), else keeps a shuffle join.
     """
-    hot = bounded_broadcast(hot_demands(mv, cfg.fanout_rows_per_task, cfg.max_salts), cfg.broadcast_max_rows)
+    hot = hot_demands(mv, cfg.fanout_rows_per_task, cfg.max_salts)
     df = replicate_over_salts(df, hot)
     for name, vals, _required in multi:
         df = df.join(salt_role(_derive(name, vals, cfg), hot, name), ["id_demanda", "salt"])
