@@ -5,8 +5,10 @@ Two plans compute the same rows:
 ``single_pass`` (default)
     The attribute rows of all registry ids are read once. Latest values, greatest dates and
     presence flags come from one ``groupBy('id_demanda')`` (partial aggregation before the
-    shuffle); multi-valued attributes from one ``distinct`` over (demand, role, value). Both
-    reuse the same shuffled scan of the EAV tables.
+    shuffle). Multi-valued attributes come from one ``distinct`` over (demand, role, value),
+    completed with a NULL row per missing optional role and written once to the shared
+    checkpoint folder; the fan-out joins them on (demand, salt) so a demand with a large
+    product of values is spread over several tasks.
 
 ``per_attribute``
     One EAV lookup, window pick and join per attribute, the shape of the original job. It is

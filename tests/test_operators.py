@@ -155,3 +155,12 @@ def test_single_pass_picks_match_brute_force(spark):
     got = {r["id_demanda"]: (r["x"], r["m"]) for r in scalar_picks(eav_rows(t, [9]), attrs).collect()}
     latest, greatest = _brute_latest(rows), _brute_max_date(rows)
     assert got == {d: (latest[d], greatest[d]) for d in latest}
+
+
+def test_with_missing_keys_equals_left_join(spark):
+    from dimweave.operators import with_missing_keys
+
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id_demanda long, x string")
+    right = spark.createDataFrame([(1, "p"), (1, "q"), (3, None), (9, "z")], "id_demanda long, v string")
+    inner = left.join(with_missing_keys(right, left), "id_demanda")
+    assert sorted(tuple(r) for r in inner.collect()) == sorted(tuple(r) for r in left.join(right, "id_demanda", "left").collect())
