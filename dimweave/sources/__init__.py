@@ -1,6 +1,17 @@
 """Table schemas and loaders."""
 
 from dimweave.sources.schemas import SCHEMAS, TABLES
+from dimweave.sources.sinks import save_table, write_parquet
 from dimweave.sources.tables import DemandTables, from_rows, load_catalog, load_jdbc, load_parquet
 
-__all__ = ["SCHEMAS", "TABLES", "DemandTables", "from_rows", "load_catalog", "load_jdbc", "load_parquet"]
+__all__ = [
+    "SCHEMAS",
+    "TABLES",
+    "DemandTables",
+    "from_rows",
+    "load_catalog",
+    "load_jdbc",
+    "load_parquet",
+    "save_table",
+    "write_parquet",
+]
