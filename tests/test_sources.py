@@ -63,3 +63,29 @@ def test_dimension_round_trips_through_parquet(spark, fixture_tables, tmp_path):
     back = spark.read.parquet(str(tmp_path / "dim"))
     assert back.columns == out.columns  # names with spaces, parentheses and accents survive
     assert Counter(tuple(r) for r in back.collect()) == Counter(tuple(r) for r in out.collect())
+
+
+def test_tables_are_validated(spark):
+    import pytest
+
+    t = from_rows(spark, fixture_rows())
+    with pytest.raises(ValueError, match="lacks columns"):
+        DemandTables(
+            demanda=t.demanda.drop("id_versao_processo"),
+            demanda_dado=t.demanda_dado,
+            dado_valor=t.dado_valor,
+            demanda_etapa=t.demanda_etapa,
+            elemento_pn=t.elemento_pn,
+            status_demanda=t.status_demanda,
+        )
+    with pytest.raises(ValueError, match="exactly one"):
+        DemandTables(
+            demanda=t.demanda,
+            demanda_dado=t.demanda_dado.withColumn("id_dado", F.lit(1)),
+            dado_valor=t.dado_valor,
+            demanda_etapa=t.demanda_etapa,
+            elemento_pn=t.elemento_pn,
+            status_demanda=t.status_demanda,
+        )
+    with pytest.raises(ValueError, match="unknown plan"):
+        demand_dimension(t, DimensionConfig(as_of=AS_OF), plan="fastest")
