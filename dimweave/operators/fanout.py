@@ -48,9 +48,17 @@ def _salts() -> F.Column:
 
 
 def replicate_over_salts(df: DataFrame, hot: DataFrame) -> DataFrame:
-    """Each row once per salt of its demand (only salt 0 for a demand that is not hot)."""
+    """Each row once per salt of its demand (only salt 0 for a demand that is not hot),
+    hash-partitioned on (id_demanda, salt).
+
+    The partitioning is what spreads a hot demand: when the role frames are broadcast, the
+    product is built where these rows sit, so they must not stay in the one task that held the
+    demand. The frame has one row per demand and salt, so this shuffle is small, and a later
+    shuffle join on the same keys reuses it.
+    """
     j = df.join(hot, "id_demanda", "left")
-    return j.select(*[F.col(c) for c in df.columns], F.explode(F.sequence(F.lit(0), _salts() - 1)).alias("salt"))
+    out = j.select(*[F.col(c) for c in df.columns], F.explode(F.sequence(F.lit(0), _salts() - 1)).alias("salt"))
+    return out.repartition("id_demanda", "salt")
 
 
 def salt_role(vals: DataFrame, hot: DataFrame, role: str) -> DataFrame:

@@ -171,3 +171,32 @@ def test_config_rejects_wrong_pick_for_a_role():
         DimensionConfig(attributes=attrs)
     with pytest.raises(ValueError, match="pick"):
         Attribute((1,), "first")
+
+
+def test_salting_spreads_a_hot_demand_over_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from dimweave.operators.fanout import hot_demands, replicate_over_salts, salt_role
+
+    # demand 1: 40 x 30 x 20 = 24,000 output rows; demands 2..50: one row each
+    roles = {"a": 40, "b": 30, "c": 20}
+    mv = spark.createDataFrame(
+        [(1, r, f"{r}{i}") for r, n in roles.items() for i in range(n)]
+        + [(d, r, "x") for d in range(2, 51) for r in roles],
+        "id_demanda long, role string, nm_valor string",
+    )
+    narrow = spark.createDataFrame([(d,) for d in range(1, 51)], "id_demanda long")
+
+    def fan_out(rows_per_task):
+        hot = hot_demands(mv, rows_per_task, max_salts=64)
+        df = replicate_over_salts(narrow, hot)
+        for r in roles:
+            vals = mv.where(F.col("role") == r).select("id_demanda", F.col("nm_valor").alias(r))
+            df = df.join(salt_role(vals, hot, r), ["id_demanda", "salt"])
+        return df.where("id_demanda = 1").groupBy(F.spark_partition_id().alias("p")).count()
+
+    unsalted = [r["count"] for r in fan_out(10**9).collect()]
+    salted = [r["count"] for r in fan_out(1000).collect()]
+    assert unsalted == [24000]  # the whole product in one partition
+    assert sum(salted) == 24000 and len(salted) >= 6  # spread over the shuffle partitions
+    assert max(salted) < 24000 / 2
