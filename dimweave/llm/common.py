@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared checkpoint folder and return the reread table.
 
@@ -22,7 +27,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     a later join is broadcast only below Spark's own byte bound.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dimweave.llm.common import table
+from dimweave.llm.common import scratch_path, table
+from dimweave.llm.packing import pack_documents
+from dimweave.llm.token_counts import count_tokens
+from dimweave.llm.token_files import read_token_files, write_token_files
 from dimweave.llm.urls import UrlRule, judge_urls
 
 # Fixed rules of the url query, and two patterns of the method's own for urls no rule fits.
@@ -20,10 +25,36 @@ URL_RULES = (
 )
 
 
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    """The digest columns of ``pack_documents``: places, and the ids' crc32."""
+    packed = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096, keep=["doc_id"])
+    digest = packed.pieces.select("row", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return digest.join(packed.places, ["row", "piece"]).drop("row")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_pieces(table(spark, sf_dir, "documents"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    files = read_token_files(spark, path)
+    return files.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, keep=["page_id"])
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_token_files": op6_token_files,
     "op7_url_filter": op7_url_filter,
+    "op8_token_counts": op8_token_counts,
 }
