@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dimweave.llm.common import scratch_path, table
+from dimweave.llm.fingerprints import edited_fingerprints
+from dimweave.llm.mixing import mix
 from dimweave.llm.packing import pack_documents
 from dimweave.llm.token_counts import count_tokens
 from dimweave.llm.token_files import read_token_files, write_token_files
@@ -52,9 +54,23 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+# The mixture keeps this share of all tokens.
+MIX_FRACTION = 0.6
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), MIX_FRACTION)
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_token_files": op6_token_files,
     "op7_url_filter": op7_url_filter,
     "op8_token_counts": op8_token_counts,
+    "op9_mixing": op9_mixing,
+    "op10_fingerprints": op10_fingerprints,
 }
