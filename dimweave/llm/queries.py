@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dimweave.llm.common import scratch_path, table
+from dimweave.llm import quality, toxicity
+from dimweave.llm.common import is_training_row, scratch_path, table
 from dimweave.llm.fingerprints import edited_fingerprints
 from dimweave.llm.mixing import mix
 from dimweave.llm.packing import pack_documents
@@ -27,6 +28,18 @@ URL_RULES = (
 )
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.withColumn("held_out", ~is_training_row(F.col("doc_id")))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.withColumn("held_out", ~is_training_row(F.col("doc_id")))
+
+
 def packed_pieces(docs: DataFrame) -> DataFrame:
     """The digest columns of ``pack_documents``: places, and the ids' crc32."""
     packed = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096, keep=["doc_id"])
@@ -67,6 +80,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality": op2_quality,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_token_files": op6_token_files,
     "op7_url_filter": op7_url_filter,
