@@ -48,3 +48,18 @@ def column_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def at_most(df: DataFrame, count_col: str, limit: int) -> DataFrame:
+    """The rows with the greatest counts, at most ``limit``: all from the lowest count on for which they are so few.
+
+    Rows are counted in steps of a quarter of a power of two, some hundred steps whatever the data.
+    """
+    step = F.floor(4 * F.log2(F.col(count_col).cast("double")))
+    taken, least = 0, float("inf")
+    for r in sorted(df.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        taken += r["count"]
+        if taken > limit:
+            break
+        least = r["step"]
+    return df.where(step >= F.lit(least))

@@ -13,6 +13,7 @@ from dimweave.llm.common import is_training_row, scratch_path, table
 from dimweave.llm.fingerprints import edited_fingerprints
 from dimweave.llm.mixing import mix
 from dimweave.llm.neighbours import nearest
+from dimweave.llm.ngram_join import similarity_groups
 from dimweave.llm.packing import pack_documents
 from dimweave.llm.token_counts import count_tokens
 from dimweave.llm.token_files import read_token_files, write_token_files
@@ -52,6 +53,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_ngram_join": op4_ngram_join,
     "op5_neighbours": op5_neighbours,
     "op6_token_files": op6_token_files,
     "op7_url_filter": op7_url_filter,

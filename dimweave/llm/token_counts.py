@@ -3,8 +3,8 @@
 1. Every task counts its pre-tokens (see ``tokens``), Spark sums them: the vocabulary of the corpus.
 2. The pieces of each distinct pre-token are counted once, by the tokenizers library, and written.
 3. Per document, the frequencies of its pre-tokens are joined to the piece counts and summed. The
-   ``head`` most frequent pre-tokens, at most ``HEAD_BYTES`` long each, are sent to the workers (a
-   fixed bound whatever the corpus), which sum them in place; every other frequency goes through a
+   most frequent pre-tokens, at most ``head`` of at most ``HEAD_BYTES`` each, are sent to the workers
+   (a fixed bound whatever the corpus), which sum them in place; every other frequency goes through a
    shuffle join on the pre-token. No pre-token outside the head is frequent, so no key is hot.
 
 Edge cases: a NULL text counts as empty (0 bytes, 0 tokens). Rows are counted one by one, also equal
@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dimweave.llm.common import saved, text_of
+from dimweave.llm.common import at_most, saved, text_of
 from dimweave.llm.tokens import chunks, encoder, pieces_of
 
 OUTPUT = ("n_bytes", "n_tokens")
-HEAD = 600_000
+HEAD = 400_000
 HEAD_BYTES = 48
 _FLUSH = 400_000
 
@@ -64,7 +64,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, keep: Sequence[str] = (),
     spark = docs.sparkSession
     vocab = saved(vocabulary(docs, tokenizer_path, text_col), "vocabulary")
     short = vocab.where(F.octet_length("pretoken") <= HEAD_BYTES)
-    first = short.orderBy(F.desc("n"), "pretoken").limit(head).select("pretoken", "pieces").toPandas()
+    first = at_most(short, "n", head).select("pretoken", "pieces").toPandas()
     top = spark.sparkContext.broadcast((first["pretoken"].tolist(), first["pieces"].to_numpy(dtype="int32")))
 
     keep = [c for c in keep if c not in OUTPUT]

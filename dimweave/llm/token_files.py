@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from dimweave.llm.common import text_of
+from dimweave.llm.common import saved, text_of
 from dimweave.llm.dac import DAC, encode
 from dimweave.llm.tokens import chunks, encoder
 
@@ -84,7 +84,9 @@ def read_token_files(spark: SparkSession, path: str, key: str = "doc_id") -> Dat
     across = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("part_start"))
     starts = sizes.select("part", "chunk", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("chunk_start"))
-    placed = files.join(starts.join(parts, "part").select("part", "chunk", (F.col("part_start") + F.col("chunk_start")).alias("at")), ["part", "chunk"])
+    starts = starts.join(parts, "part").select("part", "chunk", (F.col("part_start") + F.col("chunk_start")).alias("at"))
+    # written first: Spark then knows how small it is, and need not shuffle the files to join them
+    placed = files.join(saved(starts, "starts"), ["part", "chunk"])
     schema = T.StructType([T.StructField("key", key_type), T.StructField("start", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -4,8 +4,9 @@ A pre-token here is the coarsest cut no merge crosses: for a byte-level tokenize
 and a run of other characters, or a run of white space; for one that drops white space, a run of
 other characters. ``UnitEncoder`` keeps the ids of the pre-tokens it has met as little-endian
 unsigned 32-bit bytes, so a text's ids are joined from memory; what is not there is encoded by the
-tokenizers library, many pre-tokens per call. The memory is bounded by ``MAX_UNITS``; beyond it it
-is emptied and filled again, which changes no id.
+tokenizers library, many pre-tokens per call. The memory keeps pre-tokens of at most ``KEPT_CHARS``
+(longer ones seldom come again) and at most ``MAX_UNITS``; beyond that it is emptied and filled again,
+which changes no id.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ import numpy as np
 
 # White space of the Unicode property White_Space, as the tokenizers' expressions read \s.
 SPACE = " \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-MAX_UNITS = 800_000
+MAX_UNITS = 1_300_000
+KEPT_CHARS = 12
 CHUNK_CHARS = 1 << 20
 _PER_CALL = 256
 _CUT = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
@@ -96,6 +98,9 @@ class UnitEncoder:
             get = self.known.__getitem__
             for text in parts:
                 yield b"".join(b"".join(map(get, units)) for units in text)
+            for u in fresh:
+                if len(u) > KEPT_CHARS:
+                    del self.known[u]
 
     def lengths(self, units: list[str]) -> list[int]:
         """How many ids each of ``units`` has."""
