@@ -1,4 +1,8 @@
-"""The training-data pipeline: stages over ``documents``, each written and read again."""
+"""The training-data pipeline: stages over ``documents``, each written and read again.
+
+Every stage takes the documents the one before it kept; the first four return the columns of
+``documents``, the last the packed pieces.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +10,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dimweave.llm import quality, toxicity
 from dimweave.llm.common import saved, table
+from dimweave.llm.mixing import sample
+from dimweave.llm.ngram_join import one_of_each_group
+from dimweave.llm.queries import MIX_FRACTION, packed_pieces
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the toxicity classifier does not reject."""
+    return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the quality classifier does not reject."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (the smallest id) of each group of documents linked by their word shingles."""
+    return one_of_each_group(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn by their calibrated probabilities."""
+    return sample(docs, MIX_FRACTION)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their place in the sequences."""
+    return packed_pieces(docs)
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_bad),
+    ("near_duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
 
 # The stages train models and hash texts, which SQL does not express.
 ORACLE_SQL = None

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -107,11 +108,11 @@ def cut_into_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity:
     ])
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, row = encoder(tokenizer_path), TaskContext.get().partitionId() << 40
         for batch in batches:
             at = 0
-            for group in chunks(batch["text"]):
+            for group in chunks(batch.column(len(keep)).to_pylist()):
                 which, piece, start, data = [], [], [], []
                 for i, ids in enumerate(coder.encode(group)):
                     ids += end
@@ -120,13 +121,14 @@ def cut_into_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity:
                         piece.append(p)
                         start.append(begin // 4)
                         data.append(ids[begin:begin + 4 * capacity])
-                out = batch.drop(columns="text").iloc[which]
-                yield out.assign(row=[row + w for w in which], piece=piece, start=start, length=[len(d) // 4 for d in data], ids=data)
+                kept = [c.take(pa.array(which, pa.int64())) for c in batch.columns[:-1]]
+                new = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(d) // 4 for d in data], pa.int64()), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array([row + w for w in which], pa.int64()), *kept, *new], names=schema.names)
                 at += len(group)
             row += at
 
     chosen = docs.select(*(F.col(c).alias(names[c]) for c in keep), text_of(text_col).alias("text"))
-    out = chosen.mapInPandas(cut, schema)
+    out = chosen.mapInArrow(cut, schema)
     return out.select("row", *(F.col(names[c]).alias(c) for c in keep), "piece", "start", "length", "ids")
 
 

@@ -19,6 +19,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,15 +73,20 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, keep: Sequence[str] = (),
     kept = T.StructType([T.StructField(names[c], docs.schema[c].dataType) for c in keep])
     schema = T.StructType([T.StructField("row", T.LongType()), *kept, T.StructField("n_bytes", T.LongType()), T.StructField("pretoken", T.StringType()), T.StructField("n", T.LongType())])
 
-    def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = encoder(tokenizer_path).split
         strings, numbers = top.value
         known = dict(zip(strings, numbers.tolist())).get
         row = TaskContext.get().partitionId() << 40
+
+        def rows_of(kept: list[pa.Array], rows: list[int], n_bytes: list[int | None], words: list[str], times: list[int]) -> pa.RecordBatch:
+            new = [pa.array(n_bytes, pa.int64()), pa.array(words, pa.string()), pa.array(times, pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), *kept, *new], names=schema.names)
+
         for batch in batches:
             at = 0
-            for group in chunks(batch["text"]):
-                own = batch.iloc[at:at + len(group)]
+            for group in chunks(batch.column(len(keep)).to_pylist()):
+                own = [c.slice(at, len(group)) for c in batch.columns[:-1]]
                 at += len(group)
                 sums, rows, words, times = [], [], [], []
                 for i, text in enumerate(group):
@@ -98,13 +104,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, keep: Sequence[str] = (),
                     words += rest
                     times += rest.values()
                 # a space within it: no pre-token has that, so the row's own sum joins nothing
-                own_rows = range(row, row + len(group))
-                yield own.drop(columns="text").assign(row=own_rows, n_bytes=[len(t.encode()) for t in group], pretoken=[f"{r} ." for r in own_rows], n=sums)
-                if rows:
-                    yield pd.DataFrame({c: None for c in schema.names}, index=range(len(rows))).assign(row=rows, pretoken=words, n=times)
+                own_rows = list(range(row, row + len(group)))
+                yield rows_of(own, own_rows, [len(t.encode()) for t in group], [f"{r} ." for r in own_rows], sums)
+                yield rows_of([pa.nulls(len(rows), c.type) for c in own], rows, [None] * len(rows), words, times)
                 row += len(group)
 
-    per_doc = docs.select(*(F.col(c).alias(names[c]) for c in keep), text_of(text_col).alias("text")).mapInPandas(frequencies, schema)
+    per_doc = docs.select(*(F.col(c).alias(names[c]) for c in keep), text_of(text_col).alias("text")).mapInArrow(frequencies, schema)
     joined = per_doc.join(vocab.select("pretoken", "pieces"), "pretoken", "left")
     summed = joined.groupBy("row").agg(
         *(F.max_by(names[c], F.col("n_bytes").isNotNull()).alias(names[c]) for c in keep),

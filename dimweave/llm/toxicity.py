@@ -29,12 +29,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from dimweave.llm.common import saved, text_of
+from dimweave.llm.common import saved
 from dimweave.llm.labelled import PER_CLASS, label_shares, training_texts
+from dimweave.llm.scoring import keep_texts, score_texts
 
-OUTPUT = ("score", "predicted")
 CUT = 0.3
 ENTRIES = 384
 LEAST_DOCS = 5
@@ -218,21 +217,30 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     return ToxicityModel(lexicon, fit_logistic(x, label_model.posterior(votes), weight), label_model, prior)
 
 
-def score(docs: DataFrame, model: ToxicityModel, keep: Sequence[str], text_col: str = "text") -> DataFrame:
-    keep = [c for c in keep if c not in OUTPUT]
-    names = {c: f"k{i}" for i, c in enumerate(keep)}
-    schema = T.StructType([*(T.StructField(names[c], docs.schema[c].dataType) for c in keep), T.StructField("score", T.DoubleType())])
+def _scorer(model: ToxicityModel):
     lexicon, weights, prior = model.lexicon, model.weights, model.prior
 
-    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         voters = Voters(lexicon)
-        for batch in batches:
-            scores = np.full(len(batch), min(prior, 0.99 * CUT))
-            if lexicon and len(batch):
-                margin = voters.matrix([voters.look(t) for t in batch["text"]]) @ weights[:-1] + weights[-1]
-                scores = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-            yield batch.drop(columns="text").assign(score=scores)
-
-    chosen = docs.select(*(F.col(c).alias(names[c]) for c in keep), text_of(text_col).alias("text"))
-    rated = chosen.mapInPandas(rate, schema)
-    return rated.select(*(F.col(names[c]).alias(c) for c in keep), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+        def of(texts: list[str]) -> np.ndarray:
+            if not lexicon or not texts:
+                return np.full(len(texts), min(prior, 0.99 * CUT))
+            scores = []
+            for i in range(0, len(texts), 512):
+                margin = voters.matrix([voters.look(t) for t in texts[i:i + 512]]) @ weights[:-1] + weights[-1]
+                scores.append(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
+            return np.concatenate(scores)
+
+        return of
+
+    return make
+
+
+def score(docs: DataFrame, model: ToxicityModel, keep: Sequence[str], text_col: str = "text") -> DataFrame:
+    return score_texts(docs, _scorer(model), CUT, keep, text_col)
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
+    """The documents not predicted toxic, with the columns of ``docs``."""
+    return keep_texts(docs, _scorer(model), lambda scores: scores < CUT, text_col)

@@ -22,7 +22,7 @@ import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,9 +98,9 @@ def judge_urls(urls: DataFrame, rules: Sequence[UrlRule], keep: Sequence[str] =
     """
     index, rest = index_rules(rules, token_counts(urls, sorted({t for r in rules for t in r.tokens()}), url_col))
     keep = [c for c in keep if c not in OUTPUT]
-    schema = T.StructType([urls.schema[c] for c in keep] + [T.StructField(c, T.StringType()) for c in OUTPUT])
+    schema = T.StructType([T.StructField(f"k{i}", urls.schema[c].dataType) for i, c in enumerate(keep)] + [T.StructField(c, T.StringType()) for c in OUTPUT])
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = {r: re.compile(r.regex()) for r in rules}
         token = re.compile(TOKEN)
 
@@ -114,8 +114,10 @@ def judge_urls(urls: DataFrame, rules: Sequence[UrlRule], keep: Sequence[str] =
             return host, path, best.text if best and best.site else None, best.verdict if best else default
 
         for batch in batches:
-            out = batch[keep].reset_index(drop=True)
-            judged = [verdict(u) for u in batch["__url"]]
-            yield out.assign(**{c: pd.Series([j[i] for j in judged], dtype=object) for i, c in enumerate(OUTPUT)})
+            judged = [verdict(u) for u in batch.column(len(keep)).to_pylist()]
+            new = [pa.array([j[i] for j in judged], pa.string()) for i in range(len(OUTPUT))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=schema.names)
 
-    return urls.select(*keep, F.col(url_col).alias("__url")).mapInPandas(judge, schema)
+    named = urls.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(url_col).alias("url"))
+    judged = named.mapInArrow(judge, schema)
+    return judged.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *OUTPUT)
