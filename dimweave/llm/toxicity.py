@@ -1,12 +1,14 @@
 """Toxicity by weak supervision: voters, a generative label model, a linear classifier on its posteriors.
 
 1. A lexicon is induced from a bounded sample of labelled training rows: words and word beginnings of
-   three to six letters whose documents are labelled toxic far more often than the others.
-2. Voters look at a document: one for each length of beginning, two for halves of the whole words,
-   patterns (several entries, entries dense in the text, exclamation, capitals) and one that votes
-   against when no entry is there. A voter votes 1, 0 or abstains.
+   three to eight letters whose documents are labelled toxic far more often than the others; of those,
+   the ones that cover the toxic texts at the least cost are chosen greedily.
+2. Voters look at a document: one for each kind of entry (word or beginning) and grade of its log odds,
+   patterns (two and three words with entries, entries dense in the text, exclamation, capitals) and
+   one that votes against when no entry is there. A voter votes 1, 0 or abstains.
 3. A generative model of a hidden class estimates what each voter votes under either class
-   (expectation maximisation on the counts of vote patterns, the labels unseen). Voters that agree
+   (expectation maximisation on the counts of vote patterns; the labels give the first guess only).
+   Voters that agree
    beyond what the class explains are correlated: the model estimates that from the votes' covariance
    within the classes and lets such voters share one weight.
 4. A logistic regression on the entries found, the voters' patterns and their number is trained on the
@@ -35,10 +37,13 @@ from dimweave.llm.labelled import PER_CLASS, label_shares, training_texts
 from dimweave.llm.scoring import keep_texts, score_texts
 
 CUT = 0.3
-ENTRIES = 384
+ENTRIES = 512
 LEAST_DOCS = 5
+LEAST_GAIN = 2
+FALSE_COST = 2
 LEAST_RATIO = 8.0
-BEGINNINGS = (3, 4, 5, 6)
+BEGINNINGS = (3, 4, 5, 6, 7, 8)
+GRADES = (5.0,)
 ABSTAIN = -1
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -73,51 +78,72 @@ def induce_lexicon(sample: DataFrame, entries: int = ENTRIES) -> dict[str, float
     return {r["entry"]: r["odds"] for r in chosen.select("entry", "odds").collect()}
 
 
+def choose_entries(order: list[str], has: np.ndarray, label: np.ndarray, weight: np.ndarray) -> list[str]:
+    """The entries that cover the toxic texts, greedily: ``has[i, e]`` says text i has entry ``order[e]``.
+
+    A toxic text counts half as much with each entry that covers it, so a word that only copies of one
+    text share gains little once better entries cover them; another text costs ``FALSE_COST``. Of
+    entries that begin alike, the first chosen stays alone.
+    """
+    toxic = label == 1
+    value = np.where(toxic, weight, -FALSE_COST * weight) / weight[toxic].mean()
+    chosen: list[str] = []
+    free = np.ones(len(order), dtype=bool)
+    while free.any():
+        gain = np.where(free, value @ has, -np.inf)
+        best = int(gain.argmax())
+        if gain[best] < LEAST_GAIN:
+            break
+        chosen.append(order[best])
+        value = np.where(has[:, best] & toxic, value / 2, value)
+        stem = order[best].rstrip("-")
+        free &= np.array([not (e.startswith(stem) or stem.startswith(e.rstrip("-"))) for e in order])
+    return chosen
+
+
 class Voters:
     """Votes and classifier features of a text, for a lexicon."""
 
     def __init__(self, lexicon: dict[str, float]):
         self.order = sorted(lexicon, key=lambda e: (-lexicon[e], e))
         self.place = {e: i for i, e in enumerate(self.order)}
-        kinds, whole = {}, 0
-        for e in self.order:
-            if e.endswith("-"):
-                kinds[e] = len(e) - 1 - BEGINNINGS[0]
-            else:
-                kinds[e] = len(BEGINNINGS) + whole % 2
-                whole += 1
-        self.kind = kinds
-        self.lexical = len(BEGINNINGS) + 2
-        self.count = self.lexical + 5
-
-    def look(self, text: str) -> tuple[list[int], list[int]]:
-        """(places of the entries found, votes)."""
-        words = words_of(text)
-        place = self.place
-        found = {w for w in words if w in place}
-        for k in BEGINNINGS:
-            found.update(b for b in {w[:k] + "-" for w in words if len(w) >= k} if b in place)
+        # a voter for each kind of entry (word or beginning) and grade of log odds
+        self.kind = {e: 2 * sum(lexicon[e] >= g for g in GRADES) + e.endswith("-") for e in self.order}
+        self.heads = {e.rstrip("-")[:3] for e in self.order}
+        self.lexical = 2 * (len(GRADES) + 1)
+        self.count = self.lexical + 6
+
+    def look(self, text: str) -> tuple[list[int], list[int], int]:
+        """(places of the entries found, votes, number of words with an entry)."""
+        words, place = words_of(text), self.place
+        found, whole = set(), 0
+        for w in words:
+            if w[:3] not in self.heads:
+                continue
+            hits = [e for e in (w, *(w[:k] + "-" for k in BEGINNINGS if k <= len(w))) if e in place]
+            whole += bool(hits)
+            found.update(hits)
         votes = [ABSTAIN] * self.count
         for e in found:
             votes[self.kind[e]] = 1
-        whole = sum(w in place or any(w[:k] + "-" in place for k in BEGINNINGS) for w in words) if found else 0
         patterns = (
             1 if whole >= 2 else ABSTAIN,
+            1 if whole >= 3 else ABSTAIN,
             1 if whole >= 0.02 * max(1, len(words)) and whole else ABSTAIN,
             1 if text.count("!") >= 0.02 * max(1, len(text)) and text else ABSTAIN,
             1 if sum(map(str.isupper, text[::16])) >= 0.4 * max(1, len(text[::16])) and text else ABSTAIN,
             ABSTAIN if found else 0,
         )
         votes[self.lexical:] = patterns
-        return sorted(place[e] for e in found), votes
+        return sorted(place[e] for e in found), votes, whole
 
-    def matrix(self, looked: list[tuple[list[int], list[int]]]) -> np.ndarray:
-        """Classifier features: entries found, votes cast for, and the logarithm of the entries' number."""
-        out = np.zeros((len(looked), len(self.order) + self.count + 1))
-        for row, (found, votes) in zip(out, looked):
+    def matrix(self, looked: list[tuple[list[int], list[int], int]]) -> np.ndarray:
+        """Classifier features: entries found, votes cast for, and how many entries and words with one (logarithms)."""
+        out = np.zeros((len(looked), len(self.order) + self.count + 2))
+        for row, (found, votes, whole) in zip(out, looked):
             row[found] = 1
-            row[len(self.order):-1] = [v == 1 for v in votes]
-            row[-1] = np.log1p(len(found))
+            row[len(self.order):-2] = [v == 1 for v in votes]
+            row[-2:] = np.log1p(len(found)), np.log1p(whole)
         return out
 
 
@@ -137,13 +163,13 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(total[:, 0] - total[:, 1], -30, 30)))
 
 
-def fit_label_model(patterns: np.ndarray, counts: np.ndarray, prior: float, rounds: int = 40) -> LabelModel:
-    """Fit on distinct vote patterns and how often each occurs; classes are told apart by the first guess, the majority vote."""
+def fit_label_model(patterns: np.ndarray, counts: np.ndarray, positive: np.ndarray, prior: float, rounds: int = 40) -> LabelModel:
+    """Fit on distinct vote patterns and how often each occurs; the classes are named by the first guess,
+    the share of ``positive`` labels in a pattern, shrunk to the prior."""
     voters = patterns.shape[1]
     codes = np.where(patterns == ABSTAIN, 2, patterns)
     onehot = np.stack([codes == v for v in range(3)], axis=2).astype(float)
-    balance = (patterns == 1).sum(axis=1) - (patterns == 0).sum(axis=1)
-    post = np.where(balance > 0, 0.9, 0.1)
+    post = (positive + prior) / (counts + 1)
     share = np.ones(voters)
     for phase in range(2):
         for _ in range(rounds):
@@ -190,30 +216,42 @@ class ToxicityModel:
     prior: float
 
 
+def _looked(sample: DataFrame, lexicon: dict[str, float], prior: float) -> tuple[pd.DataFrame, np.ndarray]:
+    """label, found, votes and whole of the sample's texts, and weights that give the classes their shares."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        voters = Voters(lexicon)
+        for batch in batches:
+            looked = [voters.look(t) for t in batch["text"]]
+            yield pd.DataFrame({"label": batch["label"], "found": [f for f, _, _ in looked], "votes": [v for _, v, _ in looked], "whole": [w for _, _, w in looked]})
+
+    rows = sample.mapInPandas(look, "label int, found array<int>, votes array<int>, whole int").toPandas()
+    share = rows["label"].map(rows["label"].value_counts(normalize=True)).to_numpy()
+    return rows, np.where(rows["label"] == 1, prior, 1 - prior) / share
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> ToxicityModel:
     """At most ``per_class`` rows a class reach the driver, as places of lexicon entries and votes."""
     shares = label_shares(labels, label, key)
     prior = shares.get(1, 0) / max(1, sum(shares.values()))
-    sample = saved(training_texts(docs, labels, label, key, text_col, per_class), "toxicity-sample")
+    sample = saved(training_texts(docs, labels, label, key, text_col, per_class).dropDuplicates(["text"]), "toxicity-sample")
     lexicon = induce_lexicon(sample) if 0 < prior < 1 else {}
+    rows, weight = _looked(sample, lexicon, prior) if lexicon else (None, None)
+    if lexicon:
+        order, has = Voters(lexicon).order, np.zeros((len(rows), len(lexicon)), dtype=bool)
+        for row, found in zip(has, rows["found"]):
+            row[list(found)] = True
+        lexicon = {e: lexicon[e] for e in choose_entries(order, has, rows["label"].to_numpy(), weight)}
     if not lexicon:
         return ToxicityModel({}, np.zeros(0), None, prior)
     voters = Voters(lexicon)
-
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            looked = [voters.look(t) for t in batch["text"]]
-            yield pd.DataFrame({"label": batch["label"], "found": [f for f, _ in looked], "votes": [v for _, v in looked]})
-
-    rows = sample.mapInPandas(look, "label int, found array<int>, votes array<int>").toPandas()
+    rows, weight = _looked(sample, lexicon, prior)
     votes = np.array([list(v) for v in rows["votes"]])
-    # classes were sampled evenly: weigh the rows back to their shares
-    share_of = rows["label"].map(rows["label"].value_counts(normalize=True)).to_numpy()
-    weight = np.where(rows["label"] == 1, prior, 1 - prior) / share_of
     patterns, inverse = np.unique(votes, axis=0, return_inverse=True)
     counts = np.bincount(inverse.reshape(-1), weights=weight)
-    label_model = fit_label_model(patterns, counts, prior)
-    x = voters.matrix(list(zip(rows["found"], rows["votes"])))
+    positive = np.bincount(inverse.reshape(-1), weights=weight * (rows["label"] == 1))
+    label_model = fit_label_model(patterns, counts, positive, prior)
+    x = voters.matrix(list(zip(rows["found"], rows["votes"], rows["whole"])))
     return ToxicityModel(lexicon, fit_logistic(x, label_model.posterior(votes), weight), label_model, prior)
 
 
