@@ -133,11 +133,9 @@ class DimensionConfig:
     ``element_version``  process version of the workflow elements (None: same as ``version``)
     ``office``           regional office kept (None: every demand, a missing office reads 'N.D.')
     ``as_of``            closes open stage intervals; None reads the session's local time
-    ``date_format``      format of date values stored as text
+    ``date_formats``     formats of date values stored as text, tried in order after ISO
     ``holidays``         dates subtracted by the business-day count
-    ``broadcast_max_rows`` largest dimension table (rows) shipped to every task
     ``fanout_rows_per_task`` output rows of one demand above which its fan-out is split
-    ``max_salts``        most tasks one demand's fan-out is split over
     """
 
     version: object = SOURCE_VERSION
@@ -155,12 +153,10 @@ class DimensionConfig:
     no_executor: str = NO_EXECUTOR
     office_missing: str = OFFICE_MISSING
     month_names: tuple = MONTH_NAMES_PT
-    date_format: str = "yyyy-MM-dd"
+    date_formats: tuple = ()
     as_of: dt.datetime | None = None
     holidays: tuple = ()
-    broadcast_max_rows: int = 1_000_000
     fanout_rows_per_task: int = 2_000_000
-    max_salts: int = 1024
 
     def __post_init__(self):
         missing = [r for r in ROLES if r not in self.attributes]

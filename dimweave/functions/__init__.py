@@ -2,7 +2,6 @@
 
 from dimweave.functions.dates import business_days, close_interval, month_name, strict_date, to_day
 from dimweave.functions.text import (
-    default_if_null,
     executor_label,
     first_match_label,
     place_label,
@@ -13,7 +12,6 @@ from dimweave.functions.text import (
 __all__ = [
     "business_days",
     "close_interval",
-    "default_if_null",
     "executor_label",
     "first_match_label",
     "month_name",

@@ -13,15 +13,19 @@ from pyspark.sql import functions as F
 
 from dimweave.functions.text import col
 
-# Up to this many weekday holidays are compared inline (code-generated); longer calendars use
-# one higher-order aggregate over the holiday array.
-_INLINE_HOLIDAYS = 200
+# A date as PostgreSQL's ::DATE reads ISO text: unpadded month and day, and a time part that is dropped.
+_ISO = r"^\s*\d{4,}-\d{1,2}-\d{1,2}([ T].*)?\s*$"
 
 
-def strict_date(c, fmt: str = "yyyy-MM-dd") -> Column:
-    """Text to date that fails the query on text not in ``fmt``, whatever the ANSI mode."""
+def strict_date(c, formats=()) -> Column:
+    """Text to date that fails the query on text that is no date, whatever the ANSI mode.
+
+    ISO text is read first (surrounding spaces, unpadded parts and a time part are accepted), then
+    each of ``formats`` in order, on the trimmed text.
+    """
     c = col(c)
-    parsed = F.try_to_date(c, fmt)
+    tries = [F.when(c.rlike(_ISO), c.try_cast("date"))] + [F.try_to_date(F.trim(c), f) for f in formats]
+    parsed = F.coalesce(*tries)
     return F.when(c.isNotNull() & parsed.isNull(), F.raise_error(F.concat(F.lit("not a date: "), c))).otherwise(parsed)
 
 
@@ -71,13 +75,7 @@ def business_days(start, end, holidays=()) -> Column:
     count = weeks * 5 + tail
     days = sorted({d if isinstance(d, dt.date) else dt.date.fromisoformat(str(d)) for d in holidays})
     days = [d for d in days if d.weekday() < 5]  # a weekend holiday is not a business day anyway
-    if days and len(days) <= _INLINE_HOLIDAYS:
-        # constants: one comparison pair each, inside generated code
-        off = sum((F.when((F.lit(d) >= s) & (F.lit(d) <= e), 1).otherwise(0) for d in days[1:]),
-                  F.when((F.lit(days[0]) >= s) & (F.lit(days[0]) <= e), 1).otherwise(0))
-        count = count - off
-    elif days:
+    if days:
         hol = F.array(*[F.lit(d) for d in days])
-        off = F.aggregate(hol, F.lit(0), lambda acc, h: acc + F.when((h >= s) & (h <= e), 1).otherwise(0))
-        count = count - off
+        count = count - F.size(F.filter(hol, lambda h: (h >= s) & (h <= e)))
     return F.when(s.isNull() | e.isNull(), F.lit(None).cast("int")).when(e < s, F.lit(0)).otherwise(count)

@@ -58,6 +58,3 @@ def executor_label(login, status, completed_status: str, finished: str, unassign
     lg, st = col(login), col(status)
     return F.when((lg == "") & (st == completed_status), F.lit(finished)).when(lg == "", F.lit(unassigned)).otherwise(lg)
 
-
-def default_if_null(c, default) -> Column:
-    return F.coalesce(col(c), default if isinstance(default, Column) else F.lit(default))

@@ -1,38 +1,35 @@
 """DataFrame operators of the demand dimension."""
 
-from dimweave.operators.broadcast import bounded_broadcast, guard_dimensions
 from dimweave.operators.eav import eav_rows, pick_all, pick_latest, pick_max_date, spine
-from dimweave.operators.fanout import hot_demands, replicate_over_salts, salt_role
-from dimweave.operators.materialize import write_shared
-from dimweave.operators.joins import gated, gated_left_chain, join_flag, with_missing_keys
-from dimweave.operators.pivot import missing_values, multi_values, role_values, scalar_picks
+from dimweave.operators.fanout import fan_out, role_counts, split_grid
+from dimweave.operators.materialize import Stored, write_shared
+from dimweave.operators.joins import gated, gated_left_chain, join_flag, with_null_rows
+from dimweave.operators.pivot import latest_values, role_values, scalar_picks
 from dimweave.operators.stages import current_stage, existence_flag, role_join, stage_log
 from dimweave.operators.topk import desc_nulls_first, top1_per_key
 
 __all__ = [
-    "bounded_broadcast",
+    "Stored",
     "current_stage",
     "desc_nulls_first",
     "eav_rows",
     "existence_flag",
+    "fan_out",
     "gated",
     "gated_left_chain",
-    "guard_dimensions",
-    "hot_demands",
     "join_flag",
-    "missing_values",
-    "multi_values",
+    "latest_values",
     "pick_all",
     "pick_latest",
     "pick_max_date",
-    "replicate_over_salts",
+    "role_counts",
     "role_join",
     "role_values",
-    "salt_role",
     "scalar_picks",
     "spine",
+    "split_grid",
     "stage_log",
     "top1_per_key",
-    "with_missing_keys",
+    "with_null_rows",
     "write_shared",
 ]

@@ -71,7 +71,7 @@ def pick_all(rows: DataFrame, out: str, distinct: bool = False) -> DataFrame:
     return vals.distinct() if distinct else vals
 
 
-def pick_max_date(rows: DataFrame, out: str, date_format: str = "yyyy-MM-dd") -> DataFrame:
+def pick_max_date(rows: DataFrame, out: str, date_formats: tuple = ()) -> DataFrame:
     """The greatest value read as a date, a NULL date first; rows tied for first are all kept."""
-    dated = rows.select("id_demanda", strict_date("nm_valor", date_format).alias(out))
+    dated = rows.select("id_demanda", strict_date("nm_valor", date_formats).alias(out))
     return top1_per_key(dated, "id_demanda", [desc_nulls_first(out)], ties=True)

@@ -1,72 +1,93 @@
-"""Salted fan-out: spread one demand's product of multi-valued attributes over several tasks.
-
-The dimension has one row per combination of a demand's multi-valued attribute values, so a
-demand with many values yields a product of their counts. Joined on ``id_demanda`` alone, all
-of it would be built by the one task that holds the demand's key: every join of the chain
-reuses the same hash partitioning, and AQE can only split a join whose two inputs are both
-fresh shuffles, which in a chain holds for the first join only.
-
-So the joins run on (``id_demanda``, ``salt``). A demand whose estimated output exceeds
-``rows_per_task`` gets ``salts = ceil(rows / rows_per_task)`` (capped). The values of its
-largest role are split among the salts by a hash, and its other rows are copied to every salt.
-Each output row is then built exactly once, in the task of its salt. Every other demand has a
-single salt 0 and costs nothing extra. The hot list is derived from the written multi-value
-table, with one aggregation; nothing is collected to the driver.
+"""Fan-out of multi-valued attributes, with a demand's product split over many tasks.
+
+The dimension has one row per combination of a demand's multi-valued attribute values, so a demand
+with many values yields a product of their counts. Joined on ``id_demanda`` alone, one task would
+build all of it. So the joins run on (``id_demanda``, ``cell``).
+
+A demand whose product exceeds ``rows_per_task`` is laid out as a grid: its roles, the longest
+first, are cut into parts (never more than the role has values) until the grid has a cell for every
+``rows_per_task`` rows. A value belongs to the part of its rank modulo the parts, so parts differ by
+one value at most, and is copied to the cells of its part; each combination is then built in exactly
+one cell. Every other demand has the single cell 0.
+
+The rows are dealt by (``id_demanda``, ``cell``) into a stated number of partitions, which AQE does
+not coalesce, and the joins are merge joins, which AQE does not turn into broadcasts: the product is
+built where the cells lie, whatever the settings.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_PART = "struct<role:string,parts:bigint,stride:bigint>"
 
-def hot_demands(mv: DataFrame, rows_per_task: int, max_salts: int) -> DataFrame:
-    """Demands whose fan-out exceeds ``rows_per_task``: id_demanda, split_role, salts.
 
-    ``mv`` holds distinct (id_demanda, role, value) rows. The fan-out estimate is the product of
-    the per-role value counts (a role without values counts 1), summed as logarithms.
-    ``split_role`` is the role with the most values.
-    """
-    per_role = mv.groupBy("id_demanda", "role").agg(F.count(F.lit(1)).alias("n"))
-    est = per_role.groupBy("id_demanda").agg(
-        F.sum(F.log(F.col("n"))).alias("log_rows"), F.max_by("role", "n").alias("split_role")
-    )
-    salts = F.least(F.lit(max_salts), F.ceil(F.exp("log_rows") / F.lit(rows_per_task))).cast("int")
-    return est.where(F.col("log_rows") > F.lit(math.log(rows_per_task))).select(
-        "id_demanda", "split_role", salts.alias("salts")
-    )
+def role_counts(roles: Sequence[tuple[str, DataFrame]]) -> DataFrame:
+    """id_demanda, role, n: how many values each role has, over the role frames (one row a value)."""
+    out = None
+    for name, vals in roles:
+        counted = vals.groupBy("id_demanda").agg(F.count(F.lit(1)).alias("n")).select("id_demanda", F.lit(name).alias("role"), "n")
+        out = counted if out is None else out.unionByName(counted)
+    return out
 
 
-def _salts() -> F.Column:
-    return F.coalesce(F.col("salts"), F.lit(1))
+def split_grid(counts: DataFrame, rows_per_task: int) -> DataFrame:
+    """Demands whose product exceeds ``rows_per_task``: id_demanda, cells, grid (role, parts, stride)."""
+    logs = counts.groupBy("id_demanda").agg(
+        F.sum(F.log("n")).alias("log_rows"),
+        F.sort_array(F.collect_list(F.struct("n", "role")), asc=False).alias("by_size"),  # one entry a role
+    ).where(F.col("log_rows") > math.log(rows_per_task))
+    wanted = F.ceil(F.exp("log_rows") / F.lit(rows_per_task) - F.lit(1e-6))
 
+    def cut(state: Column, role: Column) -> Column:
+        parts = F.least(role["n"], state["left"])
+        made = F.struct(role["role"].alias("role"), parts.alias("parts"), state["stride"].alias("stride"))
+        left = F.ceil(state["left"] / parts)
+        return F.struct(left.alias("left"), (state["stride"] * parts).alias("stride"), F.array_append(state["grid"], made).alias("grid"))
 
-# Every use joins ``hot`` as it is (same columns), so the plan builds and broadcasts it once
-# and reuses that exchange.
+    start = F.struct(wanted.alias("left"), F.lit(1).cast("bigint").alias("stride"), F.array().cast(f"array<{_PART}>").alias("grid"))
+    laid = logs.select("id_demanda", F.aggregate("by_size", start, cut).alias("s"))
+    return laid.select("id_demanda", F.col("s.stride").alias("cells"), F.col("s.grid").alias("grid"))
 
 
-def replicate_over_salts(df: DataFrame, hot: DataFrame) -> DataFrame:
-    """Each row once per salt of its demand (only salt 0 for a demand that is not hot),
-    hash-partitioned on (id_demanda, salt).
-
-    The partitioning is what spreads a hot demand: when the role frames are broadcast, the
-    product is built where these rows sit, so they must not stay in the one task that held the
-    demand. The frame has one row per demand and salt, so this shuffle is small, and a later
-    shuffle join on the same keys reuses it.
-    """
-    j = df.join(hot, "id_demanda", "left")
-    out = j.select(*[F.col(c) for c in df.columns], F.explode(F.sequence(F.lit(0), _salts() - 1)).alias("salt"))
-    return out.repartition("id_demanda", "salt")
+def replicate_over_cells(df: DataFrame, grid: DataFrame, partitions: int) -> DataFrame:
+    """Each row once per cell of its demand, dealt by (id_demanda, cell) into ``partitions``."""
+    cells = F.coalesce(F.col("cells"), F.lit(1).cast("bigint"))
+    joined = df.join(grid.select("id_demanda", "cells"), "id_demanda", "left")
+    out = joined.select(*df.columns, F.explode(F.sequence(F.lit(0).cast("bigint"), cells - 1)).alias("cell"))
+    return out.repartition(partitions, "id_demanda", "cell")
 
 
-def salt_role(vals: DataFrame, hot: DataFrame, role: str) -> DataFrame:
-    """Rows of one role with a ``salt``: split by a hash of the value among the salts of a demand
-    whose split role this is, copied to every salt of any other hot demand, 0 otherwise."""
-    j = vals.join(hot, "id_demanda", "left")
+def role_to_cells(vals: DataFrame, grid: DataFrame, role: str) -> DataFrame:
+    """The values of one role with the ``cell`` of every cell that needs them."""
+    own = F.element_at(F.filter("grid", lambda g: g["role"] == role), 1)
+    hot = vals.join(grid.select("id_demanda", "cells", own.alias("own")), "id_demanda")
     value_cols = [c for c in vals.columns if c != "id_demanda"]
-    one = F.array(F.pmod(F.xxhash64(*[F.col(c) for c in value_cols]), _salts().cast("long")).cast("int"))
-    every = F.sequence(F.lit(0), _salts() - 1)
-    split = F.coalesce(F.col("split_role") == F.lit(role), F.lit(False))
-    return j.select(*[F.col(c) for c in vals.columns], F.explode(F.when(split, one).otherwise(every)).alias("salt"))
+    rank = F.row_number().over(Window.partitionBy("id_demanda").orderBy(*value_cols)) - 1
+    parts, stride = F.col("own.parts"), F.col("own.stride")
+    hot = hot.withColumn("part", F.pmod(rank, parts))
+    # the other digits of a cell's number: below the role's stride, and above its parts
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("cells") / parts).cast("bigint") - 1)).alias("other")
+    hot = hot.select(*vals.columns, "part", "own", other)
+    high = F.floor(F.col("other") / stride)
+    cell = high * stride * parts + F.col("part") * stride + F.pmod("other", stride)
+    cold = vals.join(grid.select("id_demanda"), "id_demanda", "left_anti").select(*vals.columns, F.lit(0).cast("bigint").alias("cell"))
+    return hot.select(*vals.columns, cell.alias("cell")).unionByName(cold)
+
+
+def fan_out(df: DataFrame, roles: Sequence[tuple[str, DataFrame]], rows_per_task: int, partitions: int | None = None) -> DataFrame:
+    """``df`` (rows of demands) inner-joined with every role's values; the column ``cell`` stays.
+
+    ``roles`` are (name, frame of id_demanda and value columns), each frame with distinct rows. A role
+    that is optional has a NULL row for each demand without a value.
+    """
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grid = split_grid(role_counts(roles), rows_per_task)
+    out = replicate_over_cells(df, grid, partitions)
+    for name, vals in roles:
+        out = out.join(role_to_cells(vals, grid, name).hint("merge"), ["id_demanda", "cell"])
+    return out

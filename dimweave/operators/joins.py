@@ -27,14 +27,9 @@ def join_flag(df: DataFrame, flags: DataFrame, flag_col: str, default, key: str
     return df.join(flags, key, "left").withColumn(flag_col, F.coalesce(F.col(flag_col), F.lit(default)))
 
 
-def with_missing_keys(right: DataFrame, keys: DataFrame, key: str = "id_demanda") -> DataFrame:
-    """``right`` plus one all-NULL row per key of ``keys`` that ``right`` lacks.
-
-    ``left JOIN with_missing_keys(right, left keys)`` equals ``left LEFT JOIN right`` but is an
-    inner join, which AQE may split on either side or broadcast on the small side. A LEFT
-    JOIN can only be split on its preserved side, and a multi-valued attribute is skewed on the
-    other one. The missing keys come from an anti-join against the right's distinct keys,
-    combined map-side, so a hot key costs one row per map task.
+def with_null_rows(values: DataFrame, lacking: DataFrame) -> DataFrame:
+    """``values`` plus one row with NULLs for each demand of ``lacking`` (demands without a value).
+
+    The inner join with the result is then the LEFT JOIN with ``values``.
     """
-    missing = keys.select(key).distinct().join(right.select(key).distinct(), key, "left_anti")
-    return right.unionByName(missing, allowMissingColumns=True)
+    return values.unionByName(lacking.select("id_demanda"), allowMissingColumns=True)

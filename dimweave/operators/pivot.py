@@ -1,22 +1,19 @@
-"""Single-pass attribute picks: every attribute of every demand from one scan of the EAV tables.
-
-Scalar picks (latest value, greatest date, presence) are one ``groupBy('id_demanda')`` with
-one ``max_by`` per attribute. Aggregation buffers are constant-size, and Spark aggregates
-partially in each map task before the shuffle, so a demand holding a third of all rows sends
-one row per map task, not its rows. Multi-valued attributes are a ``distinct`` over
-(demand, attribute, value), which is also combined map-side and is spread over reducers by
-value, not by demand; no group is ever gathered into one task.
-
-Value text is parsed only inside ``CASE WHEN id_dado IN (...)`` of the attribute that owns it,
-so a strict cast never sees another attribute's text, and a greatest date's parse error is
-raised after the join to the kept demands (see ``scalar_picks``).
+"""Single-pass attribute picks: every attribute of every demand from one read of the EAV tables.
+
+``latest_values`` folds the attribute rows of the kept demands to one row per (demand, attribute,
+value) with its newest time and value id. Spark folds partially in each map task, so a demand with a
+third of all rows sends its distinct values, not its rows. Everything else reads that table: scalar
+picks are one ``groupBy('id_demanda')``, a multi-valued role is a filter and a ``distinct``.
+
+Value text is parsed only inside ``CASE WHEN id_dado IN (...)`` of the attribute that owns it, so a
+strict cast never sees another attribute's text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dimweave.config import ALL, LATEST, MAX_DATE, Attribute
@@ -25,100 +22,57 @@ from dimweave.functions.text import strict_int
 from dimweave.operators.eav import id_filter
 
 
-def _latest_key(hit: Column) -> Column:
-    # max of (time is NULL, time, value id): a NULL time wins, then the newest time, then the
-    # newest value id; rows of other attributes get a NULL key, which max_by skips.
+def latest_values(rows: DataFrame) -> DataFrame:
+    """id_demanda, id_dado, nm_valor, newest: one row per value, with the greatest (time is NULL, time, value id).
+
+    In this order a NULL time wins, then the newest time, then the newest value id.
+    """
     dt = F.col("dt_cadastro")
-    return F.when(hit, F.struct(dt.isNull().alias("n"), dt.alias("t"), F.col("id_dado_valor").alias("i")))
+    newest = F.max(F.struct(dt.isNull().alias("n"), dt.alias("t"), F.col("id_dado_valor").alias("i")))
+    return rows.groupBy("id_demanda", "id_dado", "nm_valor").agg(newest.alias("newest"))
 
 
 def scalar_picks(
-    rows: DataFrame,
+    values: DataFrame,
     attributes: Mapping[str, Attribute],
-    presence: Iterable[str] = (),
-    date_format: str = "yyyy-MM-dd",
+    presence: Iterable[tuple[str, Attribute]] = (),
+    date_formats: tuple = (),
     demands: DataFrame | None = None,
 ) -> DataFrame:
     """One row per demand with a column per LATEST / MAX_DATE attribute and a ``has_<name>``
-    column (True, or NULL when the demand has no row of it) for each name in ``presence``.
+    column (True, or NULL when the demand has no row of it) for each (name, attribute) of ``presence``.
 
-    With ``demands`` the picks are left-joined to it (every demand gets a row, with all its
-    columns). Greatest dates are parsed leniently inside the map-side aggregation, which sees
-    the rows of every demand; a value that is not a date then fails the query only for a kept
-    demand (one of ``demands``, or any when it is None), as a per-demand lookup would.
+    ``values`` is ``latest_values`` of the kept demands' rows: a text that is not a date fails the
+    query. With ``demands`` the picks are left-joined to it (every demand gets a row, with all its
+    columns).
     """
-    aggs, dated = [], []
+    aggs = []
     for name, attr in attributes.items():
         hit = id_filter(attr.ids)
         if attr.pick == LATEST:
-            aggs.append(F.max_by(F.col("nm_valor"), _latest_key(hit)).alias(name))
+            aggs.append(F.max_by(F.col("nm_valor"), F.when(hit, F.col("newest"))).alias(name))
         elif attr.pick == MAX_DATE:
-            text = F.when(hit, F.col("nm_valor"))
-            d = F.try_to_date(text, date_format)
+            d = F.when(hit, strict_date("nm_valor", date_formats))
             # a NULL date outranks every date (descending, NULL first); equal dates are one value
             aggs.append(F.max_by(d, F.when(hit, F.struct(d.isNull().alias("n"), d.alias("d")))).alias(name))
-            aggs.append(F.max(F.when(text.isNotNull() & d.isNull(), text)).alias(f"__bad_{name}"))
-            dated.append(name)
         else:
             raise ValueError(f"{name}: pick {attr.pick!r} is not scalar")
-    for name in presence:
-        aggs.append(F.max(F.when(id_filter(attributes[name].ids), F.lit(True))).alias(f"has_{name}"))
-    picks = rows.groupBy("id_demanda").agg(*aggs)
-    out = picks if demands is None else demands.join(picks, "id_demanda", "left")
-    if not dated:
-        return out
-
-    def checked(name):
-        bad = F.col(f"__bad_{name}")
-        failed = F.raise_error(F.concat(F.lit("not a date: "), bad))
-        return F.when(bad.isNotNull(), failed).otherwise(F.col(name)).alias(name)
-
-    hidden = {f"__bad_{n}" for n in dated}
-    return out.select(*[checked(c) if c in dated else F.col(c) for c in out.columns if c not in hidden])
-
+    for name, attr in presence:
+        aggs.append(F.max(F.when(id_filter(attr.ids), F.lit(True))).alias(f"has_{name}"))
+    picks = values.groupBy("id_demanda").agg(*aggs)
+    return picks if demands is None else demands.join(picks, "id_demanda", "left")
 
-def multi_values(rows: DataFrame, attributes: Mapping[str, Attribute]) -> DataFrame:
-    """Distinct (id_demanda, role, nm_valor) of the ALL attributes; NULL values are kept.
 
-    An id_dado may serve several roles; each of its rows is emitted once per role.
-    """
-    for name, attr in attributes.items():
-        if attr.pick != ALL:
-            raise ValueError(f"{name}: pick {attr.pick!r} is not multi-valued")
-    roles = F.array(*[F.when(id_filter(a.ids), F.lit(name)) for name, a in attributes.items()])
-    return (
-        rows.select("id_demanda", F.explode(F.filter(roles, lambda r: r.isNotNull())).alias("role"), "nm_valor")
-        .distinct()
-    )
-
-
-def missing_values(demands: DataFrame, mv: DataFrame, roles) -> DataFrame:
-    """(id_demanda, role, NULL) for each demand of ``demands`` without any value of a role.
-
-    Appended to ``mv``, every role then has a row for every demand, so a LEFT JOIN of the role
-    becomes an inner join with the same result (a missing value and a NULL value both read
-    NULL). One aggregation finds the roles each demand has, for all roles at once.
-    """
-    roles = list(roles)
-    if not roles:
-        return mv.limit(0)
-    present = mv.groupBy("id_demanda").agg(*[F.max(F.col("role") == F.lit(r)).alias(f"__has_{r}") for r in roles])
-    lacking = F.array(*[F.when(F.coalesce(F.col(f"__has_{r}"), F.lit(False)), F.lit(None)).otherwise(F.lit(r)) for r in roles])
-    return demands.select("id_demanda").join(present, "id_demanda", "left").select(
-        "id_demanda",
-        F.explode(F.filter(lacking, lambda r: r.isNotNull())).alias("role"),
-        F.lit(None).cast("string").alias("nm_valor"),
-    )
-
-
-def role_values(mv: DataFrame, name: str, attr: Attribute, date_format: str = "yyyy-MM-dd") -> DataFrame:
-    """(id_demanda, <name>) of one multi-valued attribute, cast per ``attr.cast``."""
+def role_values(values: DataFrame, name: str, attr: Attribute, date_formats: tuple = ()) -> DataFrame:
+    """Distinct (id_demanda, <name>) of one multi-valued attribute, cast per ``attr.cast``; NULL values are kept."""
+    if attr.pick != ALL:
+        raise ValueError(f"{name}: pick {attr.pick!r} is not multi-valued")
     v = F.col("nm_valor")
     if attr.cast == "int":
         v = strict_int(v)
     elif attr.cast == "date":
-        v = strict_date(v, date_format)
-    return mv.where(F.col("role") == F.lit(name)).select("id_demanda", v.alias(name))
+        v = strict_date(v, date_formats)
+    return values.where(id_filter(attr.ids)).select("id_demanda", v.alias(name)).distinct()
 
 
-__all__ = ["ALL", "LATEST", "MAX_DATE", "missing_values", "multi_values", "role_values", "scalar_picks"]
+__all__ = ["ALL", "LATEST", "MAX_DATE", "latest_values", "role_values", "scalar_picks"]

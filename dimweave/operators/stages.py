@@ -9,22 +9,20 @@ from pyspark.sql import functions as F
 
 from dimweave.functions.dates import close_interval
 from dimweave.functions.text import first_match_label
-from dimweave.operators.broadcast import bounded_broadcast
 from dimweave.operators.topk import desc_nulls_first, top1_per_key
 from dimweave.sources.tables import DemandTables
 
 
-def stage_log(tables: DemandTables, element_version=None, broadcast_max_rows: int | None = 1_000_000) -> DataFrame:
+def stage_log(tables: DemandTables, element_version=None) -> DataFrame:
     """Stages whose starting element belongs to ``element_version``, with the element's name.
 
     The version test acts before any ranking, so a newer stage of another version never hides
-    this version's newest stage. The element dimension is broadcast behind a row-count check
-    (``broadcast_max_rows``; None when the caller already checked it, see ``guard_dimensions``).
+    this version's newest stage. Spark broadcasts the element dimension when its bytes are few.
     """
     el = tables.elemento_pn
     if element_version is not None:
         el = el.where(F.col("id_versao_processo") == F.lit(element_version))
-    el = bounded_broadcast(el.select("id_elemento_pn", "nm_elemento_pn"), broadcast_max_rows)
+    el = el.select("id_elemento_pn", "nm_elemento_pn")
     et = tables.demanda_etapa
     return et.join(el, et["id_elemento_pn_inicial"] == el["id_elemento_pn"]).drop("id_elemento_pn")
 
@@ -59,7 +57,6 @@ def existence_flag(
     label: str,
     element_version=None,
     flag_col: str = "sit",
-    broadcast_max_rows: int | None = 1_000_000,
 ) -> DataFrame:
     """Distinct demands with a stage moving ``from_element`` -> ``to_element``, flagged ``label``.
 
@@ -78,9 +75,7 @@ def existence_flag(
     moves = tables.demanda_etapa.where(
         (F.col("id_elemento_pn_inicial") == F.lit(from_element)) & (F.col("id_elemento_pn_passagem") == F.lit(to_element))
     )
-    hits = moves.join(bounded_broadcast(origin, broadcast_max_rows), "id_elemento_pn_inicial", "left_semi").join(
-        bounded_broadcast(dest, broadcast_max_rows), "id_elemento_pn_passagem", "left_semi"
-    )
+    hits = moves.join(origin, "id_elemento_pn_inicial", "left_semi").join(dest, "id_elemento_pn_passagem", "left_semi")
     return hits.select("id_demanda").distinct().withColumn(flag_col, F.lit(label))
 
 
@@ -91,10 +86,8 @@ def role_join(
     dim_key: str,
     columns: dict[str, str],
     how: str = "inner",
-    broadcast_max_rows: int | None = 1_000_000,
 ) -> DataFrame:
     """Join one role of a dimension: ``df[on] == dim[dim_key]``, bringing ``columns``
     (dimension column -> output name). Call once per role to play a dimension twice."""
     d = dim.select(F.col(dim_key).alias(f"__{on}_key"), *[F.col(c).alias(n) for c, n in columns.items()])
-    d = bounded_broadcast(d, broadcast_max_rows)
     return df.join(d, df[on] == d[f"__{on}_key"], how).drop(f"__{on}_key")

@@ -23,17 +23,14 @@ def top1_per_key(
     keys: str | Sequence[str],
     order: Sequence[Column],
     ties: bool = False,
-    rank_col: str | None = None,
 ) -> DataFrame:
     """Rows ranked first per ``keys`` by ``order``.
 
     ``ties=False`` keeps exactly one row per key (``row_number``), so ``order`` must end in a
     unique tiebreaker for the pick to be deterministic. ``ties=True`` keeps every row that
-    shares the first place (``rank``). ``rank_col`` keeps the rank as a column.
+    shares the first place (``rank``).
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     w = Window.partitionBy(*keys).orderBy(*order)
     fn = F.rank() if ties else F.row_number()
-    name = rank_col or "__rank"
-    out = df.withColumn(name, fn.over(w)).where(F.col(name) == 1)
-    return out if rank_col else out.drop(name)
+    return df.withColumn("__rank", fn.over(w)).where(F.col("__rank") == 1).drop("__rank")

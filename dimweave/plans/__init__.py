@@ -1,5 +1,5 @@
 """Whole-job plans."""
 
-from dimweave.plans.dimension import PLANS, REPORT_COLUMNS, demand_dimension, planned_business_days, report_columns
+from dimweave.plans.dimension import PLANS, REPORT_COLUMNS, attribute_values, demand_dimension, planned_business_days, write_attributes
 
-__all__ = ["PLANS", "REPORT_COLUMNS", "demand_dimension", "planned_business_days", "report_columns"]
+__all__ = ["PLANS", "REPORT_COLUMNS", "demand_dimension", "planned_business_days", "attribute_values", "write_attributes"]

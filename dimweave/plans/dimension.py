@@ -3,20 +3,19 @@
 Two plans compute the same rows:
 
 ``single_pass`` (default)
-    The attribute rows of all registry ids are read once. Latest values, greatest dates and
-    presence flags come from one ``groupBy('id_demanda')`` (partial aggregation before the
-    shuffle). Multi-valued attributes come from one ``distinct`` over (demand, role, value),
-    completed with a NULL row per missing optional role and written once to the shared
-    checkpoint folder; the fan-out joins them on (demand, salt) so a demand with a large
-    product of values is spread over several tasks.
+    The attribute rows of the version's demands are read once and folded to one row per (demand,
+    attribute, value); latest values, greatest dates, presence and the multi-valued roles all read
+    that table. ``write_attributes`` writes it, explicitly, for a large job; without a written store
+    the plan is the same and lazy, but its branches may read the sources again.
 
 ``per_attribute``
-    One EAV lookup, window pick and join per attribute, the shape of the original job. It is
-    kept to check the single pass against and to compare plans.
+    One EAV lookup, window pick and join per attribute, the shape of the original job. It is kept to
+    check the single pass against and to compare plans.
 
-Assembly, for both: version spine -> status (broadcast, size-checked) -> scalar attributes ->
-required-attribute and office filters -> current stage -> capture flag -> multi-valued
-attributes (the fan-out, last, after every filter) -> report columns -> distinct -> sort.
+Assembly, for both: version spine -> status -> scalar attributes -> required-attribute and office
+filters -> current stage -> capture flag -> report columns, made distinct while the frame is narrow ->
+fan-out with the roles, each made distinct on its report columns. Every row of the product is then
+distinct as it is built, and no shuffle carries the whole report. Building a dimension runs no job.
 """
 
 from __future__ import annotations
@@ -29,12 +28,11 @@ from pyspark.sql import functions as F
 from dimweave.config import ALL, LATEST, MAX_DATE, DimensionConfig
 from dimweave.functions.dates import business_days, month_name, strict_date, to_day
 from dimweave.functions.text import executor_label, place_label, strict_int, substr
-from dimweave.operators.broadcast import guard_dimensions
 from dimweave.operators.eav import eav_rows, pick_all, pick_latest, pick_max_date, spine
-from dimweave.operators.fanout import hot_demands, replicate_over_salts, salt_role
-from dimweave.operators.joins import gated, gated_left_chain
-from dimweave.operators.materialize import write_shared
-from dimweave.operators.pivot import missing_values, multi_values, role_values, scalar_picks
+from dimweave.operators.fanout import fan_out
+from dimweave.operators.joins import gated, gated_left_chain, with_null_rows
+from dimweave.operators.materialize import Stored, write_shared
+from dimweave.operators.pivot import latest_values, role_values, scalar_picks
 from dimweave.operators.stages import current_stage, existence_flag, stage_log
 from dimweave.sources.tables import DemandTables
 
@@ -81,13 +79,29 @@ def _base(tables: DemandTables, cfg: DimensionConfig) -> DataFrame:
     return demands.join(status, "id_status_demanda")
 
 
-def _scalars_single_pass(cfg, base, rows):
+def attribute_values(tables: DemandTables, cfg: DimensionConfig) -> DataFrame:
+    """The registry's attribute values of the version's demands, one row per (demand, attribute, value)."""
+    return latest_values(eav_rows(tables, _registry_ids(cfg), spine(tables, cfg.version)))
+
+
+def write_attributes(tables: DemandTables, cfg: DimensionConfig | None = None) -> Stored:
+    """Run ``attribute_values`` once and write it: one read of the bridge and one of the values.
+
+    Pass the result's ``df`` as ``values`` to ``demand_dimension``, and ``remove`` it after the report
+    is written (or use it as a context manager).
+    """
+    return write_shared(attribute_values(tables, cfg or DimensionConfig()), "attributes", partition_by="id_dado")
+
+
+def _multi(cfg: DimensionConfig) -> dict:
+    return {n: a for n, a in cfg.attributes.items() if a.pick == ALL}
+
+
+def _scalars_single_pass(cfg, base, values):
     scalar = {n: a for n, a in cfg.attributes.items() if a.pick in (LATEST, MAX_DATE)}
-    presence = [n for n, a in scalar.items() if a.required]
-    if "municipio" not in presence:
-        presence.append("municipio")
-    df = scalar_picks(rows, scalar, presence, cfg.date_format, demands=base)
-    required = [F.col(f"has_{n}").isNotNull() for n in presence if scalar[n].required]
+    present = {n: a for n, a in cfg.attributes.items() if a.required or a.pick == ALL or n == "municipio"}
+    df = scalar_picks(values, scalar, present.items(), cfg.date_formats, demands=base)
+    required = [F.col(f"has_{n}").isNotNull() for n, a in cfg.attributes.items() if a.required]
     if required:
         df = df.where(reduce(lambda a, b: a & b, required))
     gate = F.col("has_municipio")
@@ -103,7 +117,7 @@ def _scalars_per_attribute(tables, cfg, base):
             continue
         rows = eav_rows(tables, a.ids, demands)
         # tied greatest dates are one value; fold them so they do not multiply rows
-        picked = pick_latest(rows, n) if a.pick == LATEST else pick_max_date(rows, n, cfg.date_format).distinct()
+        picked = pick_latest(rows, n) if a.pick == LATEST else pick_max_date(rows, n, cfg.date_formats).distinct()
         if n in ("municipio",) + _GATED:
             local[n] = picked
             continue
@@ -112,35 +126,34 @@ def _scalars_per_attribute(tables, cfg, base):
     return df.join(place, "id_demanda", "left")
 
 
-def _multi_single_pass(cfg, rows, demands):
-    multi = {n: a for n, a in cfg.attributes.items() if a.pick == ALL}
-    mv = multi_values(rows, multi).join(demands, "id_demanda", "left_semi")
-    # a NULL row for each optional role a demand lacks turns its LEFT JOIN into an inner join
-    mv = mv.unionByName(missing_values(demands, mv, [n for n, a in multi.items() if not a.required]))
-    # every role (and the fan-out estimate) reads the distinct values once written, instead of
-    # recomputing them from the attribute tables
-    mv = write_shared(mv, "multi_values", partition_by="role")
-    return mv, [(n, role_values(mv, n, a, cfg.date_format), a.required) for n, a in multi.items()]
+def _roles_single_pass(cfg, values, scalars):
+    """(name, distinct values), with a NULL row for each demand that lacks an optional role."""
+    out = []
+    for n, a in _multi(cfg).items():
+        vals = role_values(values, n, a, cfg.date_formats)
+        out.append((n, vals if a.required else with_null_rows(vals, scalars.where(F.col(f"has_{n}").isNull()))))
+    return out
 
 
-def _multi_per_attribute(tables, cfg, demands):
+def _roles_per_attribute(tables, cfg, demands):
     out = []
-    for n, a in cfg.attributes.items():
-        if a.pick != ALL:
-            continue
-        vals = pick_all(eav_rows(tables, a.ids, demands), n, distinct=True)
+    for n, a in _multi(cfg).items():
+        vals = pick_all(eav_rows(tables, a.ids, demands), n)
         if a.cast == "int":
             vals = vals.withColumn(n, strict_int(n))
         elif a.cast == "date":
-            vals = vals.withColumn(n, strict_date(n, cfg.date_format))
-        out.append((n, vals, a.required))
+            vals = vals.withColumn(n, strict_date(n, cfg.date_formats))
+        vals = vals.distinct()
+        out.append((n, vals if a.required else with_null_rows(vals, demands.join(vals, "id_demanda", "left_anti"))))
     return out
 
 
-def _derive(name: str, vals: DataFrame, cfg: DimensionConfig) -> DataFrame:
-    """Report values that depend on one multi-valued attribute only, computed once per distinct
-    value before the fan-out instead of once per output row. Codes whose two substrings
-    coincide fold into one row here."""
+def _derive(name: str, vals: DataFrame, cfg: DimensionConfig, scalars: DataFrame) -> DataFrame:
+    """The report values a multi-valued attribute gives, distinct, computed before the fan-out.
+
+    Codes whose two substrings coincide fold into one row here, and so do years that a demand has
+    only by falling back to the year of its planned start.
+    """
     if name == "cliente":
         return vals.select(
             "id_demanda", substr(name, 5, 7).alias("gerencia"), substr(name, 1, 3).alias("superint")
@@ -149,59 +162,43 @@ def _derive(name: str, vals: DataFrame, cfg: DimensionConfig) -> DataFrame:
         return vals.withColumn("ano_nup", strict_int(substr(name, 14, 4)))
     if name == "data_exec":
         return vals.withColumn("mes_exec", month_name(name, cfg.month_names))
+    if name == "ano_prev":
+        start = scalars.select("id_demanda", F.year("ini_prev").alias("ano_ini")).distinct()
+        return vals.join(start, "id_demanda").select("id_demanda", F.coalesce(name, "ano_ini").alias(name)).distinct()
     return vals
 
 
-def _fan_out_salted(df, multi, mv, cfg):
-    """Join the multi-valued attributes on (id_demanda, salt).
-
-    Every role has a row for every demand of the version (``missing_values`` added NULL rows
-    for the optional ones), so every join is an inner join. A demand with a large product of
-    values is spread over several salts (``dimweave.operators.fanout``). The hot list is not
-    hinted: it is an aggregation, so AQE measures its actual size after that shuffle and
-    broadcasts it only when it is under the broadcast threshold (usually; it has a row per hot
-    demand), else keeps a shuffle join.
-    """
-    hot = hot_demands(mv, cfg.fanout_rows_per_task, cfg.max_salts)
-    df = replicate_over_salts(df, hot)
-    for name, vals, _required in multi:
-        df = df.join(salt_role(_derive(name, vals, cfg), hot, name), ["id_demanda", "salt"])
-    return df.drop("salt")
-
-
-def report_columns(df: DataFrame, cfg: DimensionConfig) -> DataFrame:
-    """The 23 report columns from the assembled internal columns (see ``_derive``)."""
+def _narrow(df: DataFrame, cfg: DimensionConfig) -> DataFrame:
+    """The report values that need no multi-valued attribute, under internal names, distinct."""
     c = F.col
-    completed = c("nm_status_demanda") == F.lit(cfg.completed_status)
     return df.select(
-        c("id_demanda").alias(REPORT_COLUMNS[0]),
-        to_day("dt_cadastro").alias(REPORT_COLUMNS[1]),
-        c("nup").alias(REPORT_COLUMNS[2]),
-        c("ano_nup").alias(REPORT_COLUMNS[3]),
-        c("gerencia").alias(REPORT_COLUMNS[4]),
-        c("superint").alias(REPORT_COLUMNS[5]),
-        c("tp_insp").alias(REPORT_COLUMNS[6]),
-        c("linha_pta").alias(REPORT_COLUMNS[7]),
-        c("situacao").alias(REPORT_COLUMNS[8]),
-        c("nm_login_cadastrador").alias(REPORT_COLUMNS[9]),
-        F.coalesce(c("nurac"), F.lit(cfg.office_missing)).alias(REPORT_COLUMNS[10]),
-        c("nm_status_demanda").alias(REPORT_COLUMNS[11]),
-        F.coalesce(c("ano_prev"), F.year("ini_prev")).alias(REPORT_COLUMNS[12]),
+        "id_demanda",
+        to_day("dt_cadastro").alias("cadastro"),
+        "situacao",
+        c("nm_login_cadastrador").alias("solicitante"),
+        F.coalesce(c("nurac"), F.lit(cfg.office_missing)).alias("nurac"),
+        "nm_status_demanda",
         F.when(c("term_prev").isNotNull(), month_name("term_prev", cfg.month_names))
         .otherwise(substr("mes_prev", 6, 10))
-        .alias(REPORT_COLUMNS[13]),
-        F.when(completed, c("mes_exec")).alias(REPORT_COLUMNS[14]),
-        place_label("municipio", "uf").alias(REPORT_COLUMNS[15]),
-        c("aerodromo").alias(REPORT_COLUMNS[16]),
-        c("etapa").alias(REPORT_COLUMNS[17]),
+        .alias("mes_prev"),
+        place_label("municipio", "uf").alias("local"),
+        "aerodromo",
+        "etapa",
         executor_label(
             "nm_login_executor", "nm_status_demanda", cfg.completed_status, cfg.finished_executor, cfg.no_executor
-        ).alias(REPORT_COLUMNS[18]),
-        F.coalesce(c("sit"), F.lit(cfg.capture_default)).alias(REPORT_COLUMNS[19]),
-        c("ini_prev").alias(REPORT_COLUMNS[20]),
-        c("term_prev").alias(REPORT_COLUMNS[21]),
-        c("data_exec").alias(REPORT_COLUMNS[22]),
-    )
+        ).alias("executor"),
+        F.coalesce(c("sit"), F.lit(cfg.capture_default)).alias("sit"),
+        "ini_prev",
+        "term_prev",
+    ).distinct()
+
+
+# Internal columns in the order of REPORT_COLUMNS.
+_REPORT_SOURCES = (
+    "id_demanda", "cadastro", "nup", "ano_nup", "gerencia", "superint", "tp_insp", "linha_pta", "situacao",
+    "solicitante", "nurac", "nm_status_demanda", "ano_prev", "mes_prev", "mes_exec", "local", "aerodromo", "etapa",
+    "executor", "sit", "ini_prev", "term_prev", "data_exec",
+)
 
 
 def demand_dimension(
@@ -209,45 +206,39 @@ def demand_dimension(
     cfg: DimensionConfig | None = None,
     plan: str = "single_pass",
     sort: bool = True,
+    values: DataFrame | None = None,
 ) -> DataFrame:
-    """The demand dimension (23 report columns), distinct rows, sorted by demand number."""
+    """The demand dimension (23 report columns), distinct rows, sorted by demand number.
+
+    ``values`` is the table ``write_attributes`` wrote, for the single pass; without it the same
+    values are computed within the query.
+    """
     cfg = cfg or DimensionConfig()
     if plan not in PLANS:
         raise ValueError(f"unknown plan {plan!r}; expected one of {PLANS}")
-    tables = guard_dimensions(tables, cfg.broadcast_max_rows)
     base = _base(tables, cfg)
     if plan == "single_pass":
-        rows = eav_rows(tables, _registry_ids(cfg))
-        df = _scalars_single_pass(cfg, base, rows)
-        mv, multi = _multi_single_pass(cfg, rows, spine(tables, cfg.version).select("id_demanda"))
+        values = attribute_values(tables, cfg) if values is None else values
+        scalars = _scalars_single_pass(cfg, base, values)
+        roles = _roles_single_pass(cfg, values, scalars)
     else:
-        df = _scalars_per_attribute(tables, cfg, base)
-        multi = _multi_per_attribute(tables, cfg, base.select("id_demanda"))
+        scalars = _scalars_per_attribute(tables, cfg, base)
+        roles = _roles_per_attribute(tables, cfg, base.select("id_demanda"))
+    df = scalars
     if cfg.office is not None:
         df = df.where(F.col("nurac") == F.lit(cfg.office))
-    stages = current_stage(
-        stage_log(tables, cfg.stage_version, None), cfg.stage_rules, cfg.stage_default, cfg.as_of
-    ).select("id_demanda", "nm_login_executor", "etapa")
-    df = df.join(stages, "id_demanda")
-    capture = existence_flag(
-        tables,
-        cfg.capture_from,
-        cfg.capture_to,
-        cfg.capture_label,
-        cfg.stage_version,
-        broadcast_max_rows=None,
-    )
-    df = df.join(capture, "id_demanda", "left")
-    if plan == "single_pass":
-        df = _fan_out_salted(df, multi, mv, cfg)
-    else:
-        # the original shape: inner joins for required attributes, LEFT JOINs for the others
-        for name, vals, required in multi:
-            df = df.join(_derive(name, vals, cfg), "id_demanda", "inner" if required else "left")
-    out = report_columns(df, cfg).distinct()
-    # sorted by demand number; the other columns only order rows within a demand, and let the
-    # range partitioning split a demand with very many rows over several tasks
-    return out.orderBy(*REPORT_COLUMNS) if sort else out
+    stages = current_stage(stage_log(tables, cfg.stage_version), cfg.stage_rules, cfg.stage_default, cfg.as_of)
+    df = df.join(stages.select("id_demanda", "nm_login_executor", "etapa"), "id_demanda")
+    capture = existence_flag(tables, cfg.capture_from, cfg.capture_to, cfg.capture_label, cfg.stage_version)
+    narrow = _narrow(df.join(capture, "id_demanda", "left"), cfg)
+    derived = [(n, _derive(n, vals, cfg, scalars)) for n, vals in roles]
+    out = fan_out(narrow, derived, cfg.fanout_rows_per_task)
+    completed = F.col("nm_status_demanda") == F.lit(cfg.completed_status)
+    out = out.withColumn("mes_exec", F.when(completed, F.col("mes_exec")))
+    if sort:
+        # by demand number; the cell only lets the range partitioning split a demand with very many rows
+        out = out.orderBy("id_demanda", "cell")
+    return out.select(*[F.col(c).alias(r) for c, r in zip(_REPORT_SOURCES, REPORT_COLUMNS)])
 
 
 def planned_business_days(tables: DemandTables, cfg: DimensionConfig | None = None) -> DataFrame:
@@ -261,7 +252,8 @@ def planned_business_days(tables: DemandTables, cfg: DimensionConfig | None = No
     attrs = {n: cfg.attributes[n] for n in ("ini_prev", "term_prev")}
     ids = list(dict.fromkeys(i for a in attrs.values() for i in a.ids))
     demands = spine(tables, cfg.version).select("id_demanda")
-    picks = scalar_picks(eav_rows(tables, ids), attrs, ["ini_prev"], cfg.date_format, demands=demands)
+    values = latest_values(eav_rows(tables, ids, demands))
+    picks = scalar_picks(values, attrs, [("ini_prev", attrs["ini_prev"])], cfg.date_formats, demands=demands)
     return picks.where(F.col("has_ini_prev").isNotNull()).select(
         "id_demanda",
         F.when(F.col("term_prev").isNull(), F.lit(1))

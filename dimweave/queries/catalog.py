@@ -15,38 +15,41 @@ from pyspark.sql import functions as F
 from dimweave.config import CAPTURE_DEFAULT, CAPTURE_LABEL, STAGE_DEFAULT
 from dimweave.functions.dates import business_days, close_interval, month_name, strict_date, to_day
 from dimweave.functions.text import executor_label, place_label, strict_int, substr
-from dimweave.operators.broadcast import bounded_broadcast
 from dimweave.operators.eav import eav_rows, latest_order, pick_all, pick_latest, pick_max_date, spine
-from dimweave.operators.joins import gated_left_chain, join_flag
-from dimweave.operators.pivot import scalar_picks
+from dimweave.operators.fanout import fan_out
+from dimweave.operators.joins import gated_left_chain, join_flag, with_null_rows
+from dimweave.operators.pivot import latest_values, scalar_picks
 from dimweave.operators.stages import current_stage, existence_flag, role_join
 from dimweave.operators.topk import desc_nulls_first, top1_per_key
-from dimweave.plans.dimension import REPORT_COLUMNS, demand_dimension, planned_business_days
+from dimweave.plans.dimension import REPORT_COLUMNS, demand_dimension, planned_business_days, write_attributes
 from dimweave.sources import surrogate as S
 
 CFG = S.SURROGATE_CONFIG
 V = S.SURROGATE_VERSION
-BMAX = CFG.broadcast_max_rows
 
 
 def _t(spark, sf_dir):
     return S.surrogate_tables(spark, sf_dir)
 
 
-def _rows(t, ids, version=V):
-    return eav_rows(t, ids, spine(t, version))
+def _ids(*roles):
+    return [i for r in roles for i in CFG.attributes[r].ids]
+
+
+def _rows(t, *roles, version=V):
+    return eav_rows(t, _ids(*roles), spine(t, version))
 
 
 def q01_eav_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 'view' values of the version's demands (demand, bridge, value; version and id filters)."""
+    """All execution dates of the version's demands (demand, bridge, value; version and id filters)."""
     t = _t(spark, sf_dir)
-    return _rows(t, ["view"]).select("id_demanda", "id_dado_valor", "dt_cadastro", "nm_valor")
+    return _rows(t, "data_exec").select("id_demanda", "id_dado_valor", "dt_cadastro", "nm_valor")
 
 
 def q02_latest_value(spark, sf_dir):
-    """Newest 'view' row per demand: NULL time first, then newest time, then newest value id."""
+    """Newest execution-date row per demand: NULL time first, then newest time, then newest value id."""
     t = _t(spark, sf_dir)
-    rows = eav_rows(t, ["view"])
+    rows = eav_rows(t, _ids("data_exec"))
     return top1_per_key(rows, "id_demanda", latest_order()).select(
         "id_demanda", "id_dado_valor", "dt_cadastro", "nm_valor"
     )
@@ -55,7 +58,7 @@ def q02_latest_value(spark, sf_dir):
 def q03_multi_attribute(spark, sf_dir):
     """Every value of a list of attribute ids (IN list), per demand of the version."""
     t = _t(spark, sf_dir)
-    return _rows(t, ["click", "signup"]).select("id_demanda", "id_dado", "nm_valor")
+    return _rows(t, "tp_insp").select("id_demanda", "id_dado", "nm_valor")
 
 
 def q04_current_stage(spark, sf_dir):
@@ -69,7 +72,7 @@ def q04_current_stage(spark, sf_dir):
     )
     cur = current_stage(orders, S.PRIORITY_STAGE_RULES, STAGE_DEFAULT)
     status = t.demanda.select("id_demanda", "id_status_demanda").join(
-        bounded_broadcast(t.status_demanda, BMAX), "id_status_demanda"
+        t.status_demanda, "id_status_demanda"
     )
     return cur.join(status, "id_demanda").select(
         "id_demanda",
@@ -82,9 +85,9 @@ def q04_current_stage(spark, sf_dir):
 
 
 def q05_max_date_ties(spark, sf_dir):
-    """Greatest 'view' date per demand of the version, NULL first, tied rows all kept."""
+    """Greatest planned start per demand of the version, NULL first, tied rows all kept."""
     t = _t(spark, sf_dir)
-    return pick_max_date(_rows(t, ["view"]), "dia")
+    return pick_max_date(_rows(t, "ini_prev"), "dia")
 
 
 def q06_role_playing(spark, sf_dir):
@@ -107,12 +110,12 @@ def q07_existence_flag(spark, sf_dir):
 
 
 def q08_gated_place(spark, sf_dir):
-    """Place label from latest municipality ('error'), state ('click') and aerodrome ('signup');
+    """Place label from latest municipality, state and aerodrome;
     state and aerodrome only through a municipality row."""
     t = _t(spark, sf_dir)
-    mun = pick_latest(_rows(t, ["error"]), "municipio")
-    uf = pick_latest(_rows(t, ["click"]), "uf")
-    aero = pick_latest(_rows(t, ["signup"]), "aerodromo")
+    mun = pick_latest(_rows(t, "municipio"), "municipio")
+    uf = pick_latest(_rows(t, "uf"), "uf")
+    aero = pick_latest(_rows(t, "aerodromo"), "aerodromo")
     return gated_left_chain(mun, uf, aero).select(
         "id_demanda", place_label("municipio", "uf").alias("local_execucao"), "aerodromo"
     )
@@ -121,7 +124,7 @@ def q08_gated_place(spark, sf_dir):
 def _office(spark, sf_dir):
     t = _t(spark, sf_dir)
     demands = spine(t, None).select("id_demanda")
-    office = pick_latest(eav_rows(t, ["signup"], demands), "nurac")
+    office = pick_latest(eav_rows(t, _ids("nurac"), demands), "nurac")
     return demands.join(office, "id_demanda", "left")
 
 
@@ -158,11 +161,11 @@ def q13_month_name(spark, sf_dir):
     month (name of each execution date, only for completed demands)."""
     t = _t(spark, sf_dir)
     base = spine(t, V).select("id_demanda", "id_status_demanda").join(
-        bounded_broadcast(t.status_demanda, BMAX), "id_status_demanda"
+        t.status_demanda, "id_status_demanda"
     )
-    term = pick_max_date(_rows(t, ["view"]), "term_prev").distinct()
-    mes = pick_latest(_rows(t, ["error"]), "mes_prev")
-    ex = pick_all(_rows(t, ["view"]), "data_exec", distinct=True).withColumn("data_exec", strict_date("data_exec"))
+    term = pick_max_date(_rows(t, "term_prev"), "term_prev").distinct()
+    mes = pick_latest(_rows(t, "mes_prev"), "mes_prev")
+    ex = pick_all(_rows(t, "data_exec"), "data_exec", distinct=True).withColumn("data_exec", strict_date("data_exec"))
     df = base.join(term, "id_demanda", "left").join(mes, "id_demanda", "left").join(ex, "id_demanda", "left")
     return df.select(
         "id_demanda",
@@ -193,20 +196,20 @@ def q15_close_interval(spark, sf_dir):
 
 
 def q16_distinct_fanout(spark, sf_dir):
-    """Two multi-valued attributes joined to the demand (fan-out), then full-row distinct."""
+    """Two multi-valued attributes joined to the demand (fan-out, large products split over cells)."""
     t = _t(spark, sf_dir)
-    nup = pick_all(_rows(t, ["purchase"]), "nup")
-    ano = pick_all(_rows(t, ["click"]), "ano_prev").withColumn("ano_prev", strict_int("ano_prev"))
     base = spine(t, V).select("id_demanda")
-    return base.join(nup, "id_demanda").join(ano, "id_demanda", "left").distinct()
+    nup = pick_all(_rows(t, "nup"), "nup", distinct=True)
+    ano = pick_all(_rows(t, "ano_prev"), "ano_prev").withColumn("ano_prev", strict_int("ano_prev")).distinct()
+    ano = with_null_rows(ano, base.join(ano, "id_demanda", "left_anti"))
+    return fan_out(base, [("nup", nup), ("ano_prev", ano)], CFG.fanout_rows_per_task).drop("cell")
 
 
 def q17_single_pass(spark, sf_dir):
     """Six latest values and one greatest date per demand from one aggregation over one scan."""
     t = _t(spark, sf_dir)
     attrs = {n: CFG.attributes[n] for n in ("situacao", "nurac", "mes_prev", "municipio", "uf", "aerodromo", "ini_prev")}
-    ids = [i for a in attrs.values() for i in a.ids]
-    return scalar_picks(eav_rows(t, ids), attrs, demands=spine(t, V).select("id_demanda"))
+    return scalar_picks(latest_values(_rows(t, *attrs)), attrs, demands=spine(t, V).select("id_demanda"))
 
 
 def q18_last_turn(spark, sf_dir):
@@ -218,9 +221,9 @@ def q18_last_turn(spark, sf_dir):
 def q19_star_sorted(spark, sf_dir):
     """Reduced star: demand, status, latest situation and office, report names, sorted."""
     t = _t(spark, sf_dir)
-    base = spine(t, V).join(bounded_broadcast(t.status_demanda, BMAX), "id_status_demanda")
-    sit = pick_latest(_rows(t, ["error"]), "situacao")
-    office = pick_latest(_rows(t, ["signup"]), "nurac")
+    base = spine(t, V).join(t.status_demanda, "id_status_demanda")
+    sit = pick_latest(_rows(t, "situacao"), "situacao")
+    office = pick_latest(_rows(t, "nurac"), "nurac")
     df = base.join(sit, "id_demanda").join(office, "id_demanda", "left")
     return df.select(
         F.col("id_demanda").alias(REPORT_COLUMNS[0]),
@@ -233,8 +236,9 @@ def q19_star_sorted(spark, sf_dir):
 
 
 def q20_demand_dimension(spark, sf_dir):
-    """The whole demand dimension on the surrogate tables (single-pass plan)."""
-    return demand_dimension(_t(spark, sf_dir), CFG, plan="single_pass")
+    """The whole demand dimension on the surrogate tables (single-pass plan over the written attributes)."""
+    t = _t(spark, sf_dir)
+    return demand_dimension(t, CFG, plan="single_pass", values=write_attributes(t, CFG).df)
 
 
 def q21_dimension_per_attribute(spark, sf_dir):

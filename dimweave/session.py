@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -37,10 +38,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
     for k, v in PLAN_CONF.items():
         builder = builder.config(k, v)
-    # Locally the shuffle partitions already equal the cores; coalescing small shuffles would
-    # only serialize the fan-out that follows them onto one core. On a cluster (many more
-    # shuffle partitions than cores) coalescing stays on.
-    builder = builder.config("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -49,12 +46,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: the session's ``spark.checkpoint.dir``.
 
-    On a cluster that setting names a folder every executor reaches and it is used as is. Only
-    when the session has none (a local or test session) is a scratch folder set, once.
+    On a cluster that setting names a folder every executor reaches and it is used as is; without
+    it this raises. Only a local session (one process, one disk) gets a scratch folder, once.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="dimweave-ckpt-"))
         path = sc.getCheckpointDir()
     return path
@@ -74,6 +73,5 @@ def cluster_conf(input_bytes: int, cores: int, partition_bytes: int = 256 << 20)
         "spark.sql.shuffle.partitions": str(shuffle),
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes // 2),
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * partition_bytes),
     }

@@ -17,7 +17,9 @@ DEMANDA = _struct(
     ("id_status_demanda", _I),
 )
 DEMANDA_DADO = _struct(("id_demanda", _L), ("id_dado_valor", _L), ("dt_cadastro", _TS))
-DADO_VALOR = _struct(("id_dado_valor", _L), ("id_dado", _I), ("nm_valor", _S))
+# on dado_valor here; a source may have it on demanda_dado instead
+ID_DADO = _I
+DADO_VALOR = _struct(("id_dado_valor", _L), ("id_dado", ID_DADO), ("nm_valor", _S))
 DEMANDA_ETAPA = _struct(
     ("id_demanda_etapa", _L),
     ("id_demanda", _L),

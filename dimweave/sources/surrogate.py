@@ -8,8 +8,10 @@ invented; every row derives from a testdata row, so the work grows with the scal
                     c_name as registrant, registration time = 2023-01-01 + c_custkey hours
 ``status_demanda``  nation: n_nationkey, n_name
 ``demanda_dado``    events: user_id, event_id, ts (NULL when event_id % 11 = 0)
-``dado_valor``      events: event_id, event_type as attribute id, a text per event type
-                    (NULL when event_id % 13 = 0), see ``VALUE_TEXT``
+``dado_valor``      events: event_id; attribute id = event type and (event_id // 5) % 3, 15 in all, or
+                    'none' for the attribute whose place in ``EVENT_TYPES`` x 3 is user_id % 17 (so every
+                    role is missing for some demands); a text per event type (NULL when
+                    event_id % 13 = 0), see ``_value_text``
 ``demanda_etapa``   orders: o_orderkey as stage id, o_custkey, element (priority digit - 1) * 5 +
                     (0, 1, 2 for status F, O, P), next element = element + 5 unless status 'P',
                     start o_orderdate, end o_orderdate + (o_orderkey % 30) days unless status
@@ -45,6 +47,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# The event types, in the order the attribute places count them.
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+def _attribute_id() -> F.Column:
+    c = F.col
+    part = F.pmod(F.floor(c("event_id") / 5), F.lit(3)).cast("int")
+    place = F.array_position(F.array(*[F.lit(t) for t in EVENT_TYPES]), c("event_type")).cast("int") - 1
+    name = F.concat(c("event_type"), F.lit("_"), part.cast("string"))
+    return F.when(c("user_id") % 17 == place * 3 + part, F.lit("none")).otherwise(name)
+
+
 def _value_text() -> F.Column:
     c = F.col
     ident = F.lpad(c("user_id").cast("string"), 5, "0")
@@ -58,7 +72,10 @@ def _value_text() -> F.Column:
     )
     return (
         F.when(c("event_id") % 13 == 0, F.lit(None).cast("string"))
-        .when(c("event_type") == "view", c("ts").cast("date").cast("string"))
+        .when(
+            c("event_type") == "view",
+            F.date_add(c("ts").cast("date"), F.when(_attribute_id() == "view_1", c("event_id") % 9).otherwise(0).cast("int")).cast("string"),
+        )
         .when(c("event_type") == "signup", F.when(c("event_id") % 3 == 0, F.lit("BHZ")).otherwise(F.lit("SAO")))
         .when(c("event_type") == "purchase", purchase)
         .when(c("event_type") == "click", (F.lit(2023) + c("event_id") % 3).cast("string"))
@@ -97,7 +114,7 @@ def demanda_dado(events: DataFrame) -> DataFrame:
 def dado_valor(events: DataFrame) -> DataFrame:
     c = F.col
     return events.select(
-        c("event_id").alias("id_dado_valor"), c("event_type").alias("id_dado"), _value_text().alias("nm_valor")
+        c("event_id").alias("id_dado_valor"), _attribute_id().alias("id_dado"), _value_text().alias("nm_valor")
     )
 
 
@@ -165,23 +182,23 @@ def _build(spark: SparkSession, sf_dir: str) -> DemandTables:
     )
 
 
-# Fixed values of the surrogate: roles bound to event types, versions, the capture move,
-# element-name patterns, the completed status, the as-of instant and the holidays.
+# Fixed values of the surrogate: roles bound to attribute ids (no two roles share one), versions, the
+# capture move, element-name patterns, the completed status, the as-of instant and the holidays.
 SURROGATE_ATTRIBUTES = {
-    "situacao": Attribute(("error",), LATEST, required=True),
-    "cliente": Attribute(("purchase",), ALL, required=True),
-    "nup": Attribute(("purchase",), ALL, required=True),
-    "nurac": Attribute(("signup",), LATEST),
-    "mes_prev": Attribute(("error",), LATEST),
-    "ano_prev": Attribute(("click",), ALL, cast="int"),
-    "data_exec": Attribute(("view",), ALL, cast="date"),
-    "municipio": Attribute(("error",), LATEST),
-    "uf": Attribute(("click",), LATEST),
-    "aerodromo": Attribute(("signup",), LATEST),
-    "linha_pta": Attribute(("signup",), ALL),
-    "tp_insp": Attribute(("click", "signup"), ALL),
-    "ini_prev": Attribute(("view",), MAX_DATE),
-    "term_prev": Attribute(("view",), MAX_DATE),
+    "situacao": Attribute(("error_0",), LATEST, required=True),
+    "cliente": Attribute(("purchase_0",), ALL, required=True),
+    "nup": Attribute(("purchase_1",), ALL, required=True),
+    "nurac": Attribute(("signup_0",), LATEST),
+    "mes_prev": Attribute(("error_1",), LATEST),
+    "ano_prev": Attribute(("click_1",), ALL, cast="int"),
+    "data_exec": Attribute(("view_2",), ALL, cast="date"),
+    "municipio": Attribute(("error_2",), LATEST),
+    "uf": Attribute(("click_0",), LATEST),
+    "aerodromo": Attribute(("signup_1",), LATEST),
+    "linha_pta": Attribute(("signup_2",), ALL),
+    "tp_insp": Attribute(("click_2", "purchase_2"), ALL),
+    "ini_prev": Attribute(("view_0",), MAX_DATE),
+    "term_prev": Attribute(("view_1",), MAX_DATE),
 }
 SURROGATE_STAGE_RULES = (
     ("%n%1%5", "Etapa 01"),

@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from dimweave.sources.schemas import SCHEMAS, TABLES
+from dimweave.sources.schemas import ID_DADO, SCHEMAS, TABLES
 
 
 @dataclass(frozen=True)
@@ -59,13 +60,26 @@ class DemandTables:
 def load_parquet(spark: SparkSession, base: str, enforce_schema: bool = True) -> DemandTables:
     """Read ``{base}/{table}`` (a Parquet file or directory) for each of the six tables.
 
-    With ``enforce_schema`` the declared schema is used, so no footer is sampled for
-    inference and a column of the wrong type fails at read time.
+    With ``enforce_schema`` the declared types are used, so a column of the wrong type fails when it
+    is read. A table's column names are read from its files first (one footer): ``id_dado`` is taken
+    from whichever of ``demanda_dado`` and ``dado_valor`` has it, and any other declared column that
+    is missing raises instead of reading as NULL.
     """
     frames = {}
     for name in TABLES:
-        reader = spark.read.schema(SCHEMAS[name]) if enforce_schema else spark.read
-        frames[name] = reader.parquet(f"{base.rstrip('/')}/{name}")
+        path = f"{base.rstrip('/')}/{name}"
+        found = spark.read.parquet(path)
+        if enforce_schema:
+            have = set(found.columns)
+            declared = SCHEMAS[name]
+            if name in ("demanda_dado", "dado_valor"):
+                rest = [f for f in declared.fields if f.name != "id_dado"]
+                declared = T.StructType(rest + ([T.StructField("id_dado", ID_DADO)] if "id_dado" in have else []))
+            lacking = [f.name for f in declared.fields if f.name not in have]
+            if lacking:
+                raise ValueError(f"{path} lacks columns {lacking}")
+            found = spark.read.schema(declared).parquet(path)
+        frames[name] = found
     return DemandTables(**frames)
 
 
@@ -95,14 +109,16 @@ def load_jdbc(
     """Read the live operational database over JDBC.
 
     ``bounds`` gives (lower, upper) of the split column of each large table; Spark issues
-    ``num_partitions`` range queries per table so no single connection reads it whole.
+    ``num_partitions`` range queries per table so no single connection reads it whole. Timestamps
+    without zone stay without zone, so their days depend on no session's time zone.
     """
+    reader = spark.read.option("preferTimestampNTZ", "true")
     prefix = f"{schema}." if schema else ""
     frames = {}
     for name in TABLES:
         if name in _JDBC_SPLIT:
             lo, hi = bounds[name]
-            frames[name] = spark.read.jdbc(
+            frames[name] = reader.jdbc(
                 url,
                 prefix + name,
                 column=_JDBC_SPLIT[name],
@@ -112,7 +128,7 @@ def load_jdbc(
                 properties=properties,
             )
         else:
-            frames[name] = spark.read.jdbc(url, prefix + name, properties=properties)
+            frames[name] = reader.jdbc(url, prefix + name, properties=properties)
     return DemandTables(**frames)
 
 

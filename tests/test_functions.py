@@ -118,6 +118,17 @@ def test_strict_date_rejects_other_format(spark):
         bad.select(strict_date("v")).collect()
 
 
+def test_strict_date_reads_what_the_postgresql_cast_reads(spark):
+    texts = ["2024-01-05 10:00:00", "2024-1-5", " 2024-01-05 ", "2024-01-05T10:00", "2024-01-05"]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    assert {r[0] for r in df.select(strict_date("v")).collect()} == {dt.date(2024, 1, 5)}
+    br = spark.createDataFrame([(" 05/01/2024",), ("2024-01-05",), ("05.01.2024",)], "v string")
+    assert {r[0] for r in br.select(strict_date("v", ("dd/MM/yyyy", "dd.MM.yyyy"))).collect()} == {dt.date(2024, 1, 5)}
+    for bad in ("2024", "2024-01", "2024-13-05", "amanhã", ""):
+        with pytest.raises(PySparkException):
+            spark.createDataFrame([(bad,)], "v string").select(strict_date("v")).collect()
+
+
 def test_strict_casts_raise_without_ansi(spark):
     spark.conf.set("spark.sql.ansi.enabled", "false")
     try:

@@ -1,4 +1,4 @@
-"""Operators: latest/max-date picks, current stage, existence flag, gated chain, broadcast guard."""
+"""Operators: latest/max-date picks, current stage, existence flag, gated chain."""
 
 import datetime as dt
 from collections import Counter
@@ -6,11 +6,11 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from dimweave.operators import (
-    bounded_broadcast,
     current_stage,
     eav_rows,
     existence_flag,
     gated_left_chain,
+    latest_values,
     pick_latest,
     pick_max_date,
     scalar_picks,
@@ -40,7 +40,7 @@ def test_latest_null_time_wins_then_newest_then_value_id(spark):
     got = {r[0]: r[1] for r in pick_latest(eav_rows(t, [9]), "x").collect()}
     assert got == {1: "v2", 2: "v5", 3: "v7"}
     # the single-pass pick agrees
-    sp = scalar_picks(eav_rows(t, [9]), {"x": Attribute((9,), LATEST)})
+    sp = scalar_picks(latest_values(eav_rows(t, [9])), {"x": Attribute((9,), LATEST)})
     assert {r[0]: r[1] for r in sp.collect()} == got
 
 
@@ -73,7 +73,7 @@ def test_max_date_null_first_and_ties(spark):
     t = _tables(spark, dado, valor)
     got = Counter(tuple(r) for r in pick_max_date(eav_rows(t, [9]), "d").collect())
     assert got == Counter({(1, dt.date(2024, 6, 3)): 2, (2, None): 1})
-    sp = scalar_picks(eav_rows(t, [9]), {"d": Attribute((9,), MAX_DATE)})
+    sp = scalar_picks(latest_values(eav_rows(t, [9])), {"d": Attribute((9,), MAX_DATE)})
     assert sorted(tuple(r) for r in sp.collect()) == [(1, dt.date(2024, 6, 3)), (2, None)]
 
 
@@ -111,15 +111,6 @@ def test_top1_ties(spark):
     assert top1_per_key(df, "k", [F.col("v").desc()]).count() == 2
 
 
-def test_bounded_broadcast_checks_size(spark):
-    small = spark.range(10)
-    big = spark.range(50)
-    j1 = spark.range(100).join(bounded_broadcast(small, 20), "id")
-    j2 = spark.range(100).join(bounded_broadcast(big, 20), "id")
-    assert "broadcast" in j1._jdf.queryExecution().analyzed().toString().lower()
-    assert "broadcast" not in j2._jdf.queryExecution().analyzed().toString().lower()
-
-
 def _brute_latest(rows):
     """Newest row per demand by (time is NULL, time, value id), in plain Python."""
     best = {}
@@ -152,15 +143,16 @@ def test_single_pass_picks_match_brute_force(spark):
         rows.append((d, vid, t, v))
     t = _tables(spark, [(d, vid, ts) for d, vid, ts, _ in rows], [(vid, 9, v) for _, vid, _, v in rows])
     attrs = {"x": Attribute((9,), LATEST), "m": Attribute((9,), MAX_DATE)}
-    got = {r["id_demanda"]: (r["x"], r["m"]) for r in scalar_picks(eav_rows(t, [9]), attrs).collect()}
+    got = {r["id_demanda"]: (r["x"], r["m"]) for r in scalar_picks(latest_values(eav_rows(t, [9])), attrs).collect()}
     latest, greatest = _brute_latest(rows), _brute_max_date(rows)
     assert got == {d: (latest[d], greatest[d]) for d in latest}
 
 
-def test_with_missing_keys_equals_left_join(spark):
-    from dimweave.operators import with_missing_keys
+def test_null_rows_make_a_left_join_inner(spark):
+    from dimweave.operators import with_null_rows
 
     left = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id_demanda long, x string")
     right = spark.createDataFrame([(1, "p"), (1, "q"), (3, None), (9, "z")], "id_demanda long, v string")
-    inner = left.join(with_missing_keys(right, left), "id_demanda")
-    assert sorted(tuple(r) for r in inner.collect()) == sorted(tuple(r) for r in left.join(right, "id_demanda", "left").collect())
+    full = with_null_rows(right, left.join(right, "id_demanda", "left_anti"))
+    inner = left.join(full, "id_demanda")
+    assert sorted(map(str, inner.collect())) == sorted(map(str, left.join(right, "id_demanda", "left").collect()))

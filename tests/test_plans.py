@@ -8,6 +8,7 @@ from pyspark.errors import PySparkException
 
 from dimweave import DimensionConfig, demand_dimension
 from dimweave.config import ALL, MAX_DATE, Attribute
+from dimweave.plans.dimension import attribute_values, write_attributes
 from dimweave.sources.tables import from_rows, load_parquet
 from tests.fixture import fixture_rows
 from tests.random_eav import RANDOM_CONFIG, random_rows
@@ -41,29 +42,40 @@ def test_plans_agree_with_a_hot_demand(spark):
     b = _bag(demand_dimension(t, cfg, plan="single_pass", sort=False))
     assert a == b
     assert sum(n for r, n in b.items() if r[0] == 1) > 100
-    # the same with the hot demand's fan-out split over many salts
-    salted = demand_dimension(t, cfg.with_(fanout_rows_per_task=10, max_salts=16), plan="single_pass", sort=False)
-    assert _bag(salted) == a
+    # the same with the hot demand's fan-out split over many cells
+    for plan in ("single_pass", "per_attribute"):
+        split = demand_dimension(t, cfg.with_(fanout_rows_per_task=10), plan=plan, sort=False)
+        assert _bag(split) == a
+
+
+def test_hot_demands_get_a_grid(spark):
+    from dimweave.operators.fanout import replicate_over_cells, role_counts, role_to_cells, split_grid
+
+    a = spark.createDataFrame([(1, str(i)) for i in range(40)] + [(2, "x")], "id_demanda long, a string")
+    b = spark.createDataFrame([(1, str(i)) for i in range(5)] + [(2, "y")], "id_demanda long, b string")
+    grid = split_grid(role_counts([("a", a), ("b", b)]), rows_per_task=4)
+    (row,) = grid.collect()
+    # 200 rows in tasks of 4: 50 cells are wanted; a is cut into its 40 values, b into 2 parts
+    assert (row["id_demanda"], row["cells"]) == (1, 80)
+    assert [(g["role"], g["parts"], g["stride"]) for g in row["grid"]] == [("a", 40, 1), ("b", 2, 40)]
+    narrow = replicate_over_cells(spark.createDataFrame([(1,), (2,)], "id_demanda long"), grid, 8)
+    assert sorted(r["cell"] for r in narrow.where("id_demanda = 1").collect()) == list(range(80))
+    ca, cb = role_to_cells(a, grid, "a"), role_to_cells(b, grid, "b")
+    assert ca.where("id_demanda = 1").count() == 40 * 2  # each value in the cells of its part
+    assert cb.where("id_demanda = 1").count() == 5 * 40
+    prod = narrow.join(ca, ["id_demanda", "cell"]).join(cb, ["id_demanda", "cell"])
+    assert prod.where("id_demanda = 1").select("a", "b").distinct().count() == 200
+    assert prod.where("id_demanda = 1").count() == 200 and prod.where("id_demanda = 2").count() == 1
 
 
-def test_hot_demands_are_salted(spark):
-    from dimweave.operators.fanout import hot_demands, replicate_over_salts, salt_role
+def test_no_cell_exceeds_twice_its_rows(spark):
+    from dimweave.operators.fanout import fan_out
 
-    mv = spark.createDataFrame(
-        [(1, "a", str(i)) for i in range(40)] + [(1, "b", str(i)) for i in range(5)] + [(2, "a", "x"), (2, "b", "y")],
-        "id_demanda long, role string, nm_valor string",
-    )
-    hot = hot_demands(mv, rows_per_task=20, max_salts=8)
-    assert [tuple(r) for r in hot.collect()] == [(1, "a", 8)]  # 200 rows -> 10 salts, capped at 8
-    narrow = replicate_over_salts(spark.createDataFrame([(1,), (2,)], "id_demanda long"), hot)
-    assert sorted(r["salt"] for r in narrow.where("id_demanda = 1").collect()) == list(range(8))
-    a = salt_role(mv.where("role = 'a'").select("id_demanda", "nm_valor"), hot, "a")
-    b = salt_role(mv.where("role = 'b'").select("id_demanda", "nm_valor"), hot, "b")
-    assert a.where("id_demanda = 1").count() == 40  # split: each value once
-    assert len({r["salt"] for r in a.where("id_demanda = 1").collect()}) > 1
-    assert b.where("id_demanda = 1").count() == 5 * 8  # copied to every salt
-    prod = narrow.join(a, ["id_demanda", "salt"]).join(b, ["id_demanda", "salt"])
-    assert prod.where("id_demanda = 1").count() == 200 and prod.where("id_demanda = 2").count() == 1
+    # six roles of 12 values: 2,985,984 rows
+    roles = [(r, spark.createDataFrame([(1, f"{r}{i}") for i in range(12)], f"id_demanda long, {r} string")) for r in "abcdef"]
+    out = fan_out(spark.createDataFrame([(1,)], "id_demanda long"), roles, 2000)
+    sizes = [r["count"] for r in out.groupBy("cell").count().collect()]
+    assert sum(sizes) == 12**6 and max(sizes) <= 4000
 
 
 @pytest.mark.parametrize("office", [None, "BHZ"])
@@ -139,23 +151,77 @@ def _executed(df):
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
-def test_single_pass_scans_value_table_once(spark, tmp_path):
+VALUE_SCAN = "ReadSchema: struct<id_dado_valor:bigint,nm_valor:string,id_dado:int>"
+BRIDGE_SCAN = "ReadSchema: struct<id_demanda:bigint,id_dado_valor:bigint,dt_cadastro:timestamp_ntz>"
+
+
+def _scans(plan, schema):
+    return [ln for ln in plan.splitlines() if "FileScan parquet" in ln and schema in ln]
+
+
+def test_single_pass_reads_the_attribute_tables_once(spark, tmp_path):
+    t = _parquet_tables(spark, tmp_path)
+    cfg = DimensionConfig(as_of=AS_OF)
+    written = _executed(attribute_values(t, cfg))  # the plan that write_attributes runs
+    assert len(_scans(written, VALUE_SCAN)) == 1 and len(_scans(written, BRIDGE_SCAN)) == 1, written
+    assert "PushedFilters: [In(id_dado" in _scans(written, VALUE_SCAN)[0]
+    with write_attributes(t, cfg) as values:
+        plan = _executed(demand_dimension(t, cfg, values=values))
+    assert not _scans(plan, VALUE_SCAN) and not _scans(plan, BRIDGE_SCAN), plan
+
+
+def test_no_shuffle_carries_the_whole_report(spark, tmp_path):
     t = _parquet_tables(spark, tmp_path)
-    plan = _executed(demand_dimension(t, DimensionConfig(as_of=AS_OF), plan="single_pass"))
-    value_schema = "ReadSchema: struct<id_dado_valor:bigint,id_dado:int,nm_valor:string>"
-    scans = [ln for ln in plan.splitlines() if "FileScan parquet" in ln and value_schema in ln]
-    # the multi-valued set is written once by its own job; the query reads the value table once
-    assert len(scans) == 1, plan
-    assert "PushedFilters: [In(id_dado" in scans[0]
+    plan = _executed(demand_dimension(t, DimensionConfig(as_of=AS_OF)))
+    keys = [ln.split("partitioning(")[1].split("), ")[0].count("#") for ln in plan.splitlines() if "Exchange" in ln and "partitioning(" in ln]
+    # the widest is the narrow frame's distinct (14 columns, before the fan-out); the sort has two keys
+    assert keys and max(keys) <= 15
+    assert any("rangepartitioning(id_demanda" in ln and "cell" in ln for ln in plan.splitlines())
+
+
+def test_building_a_dimension_runs_no_job(spark):
+    t = from_rows(spark, random_rows(3))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "building")
+    try:
+        for plan in ("single_pass", "per_attribute"):
+            demand_dimension(t, RANDOM_CONFIG, plan=plan)
+        assert not tracker.getJobIdsForGroup("building")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_written_attributes_give_the_same_rows_and_are_removed(spark):
+    import os
+
+    t = from_rows(spark, random_rows(4))
+    plain = _bag(demand_dimension(t, RANDOM_CONFIG))
+    stored = write_attributes(t, RANDOM_CONFIG)
+    assert _bag(demand_dimension(t, RANDOM_CONFIG, values=stored.df)) == plain
+    path = stored.path.removeprefix("file:")
+    files = [f for _, _, names in os.walk(path) for f in names if f.endswith(".parquet")]
+    assert len(files) <= 2 * len(os.listdir(path))  # a file or two per attribute, not one per task
+    stored.remove()
+    assert not os.path.exists(path)
+
+
+def test_a_cluster_session_without_checkpoint_folder_raises():
+    from types import SimpleNamespace
+
+    from dimweave.session import checkpoint_dir
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        context = SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, master=master)
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            checkpoint_dir(SimpleNamespace(sparkContext=context))
 
 
 def test_per_attribute_plan_uses_window_group_limit(spark, tmp_path):
     t = _parquet_tables(spark, tmp_path)
     plan = _executed(demand_dimension(t, DimensionConfig(as_of=AS_OF), plan="per_attribute"))
     assert "WindowGroupLimit" in plan
-    value_schema = "ReadSchema: struct<id_dado_valor:bigint,id_dado:int,nm_valor:string>"
-    scans = [ln for ln in plan.splitlines() if "FileScan parquet" in ln and value_schema in ln]
-    assert len(scans) > 1  # one lookup per attribute
+    assert len(_scans(plan, VALUE_SCAN)) > 1  # one lookup per attribute
 
 
 def test_status_and_elements_are_broadcast(spark, tmp_path):
@@ -173,10 +239,14 @@ def test_config_rejects_wrong_pick_for_a_role():
         Attribute((1,), "first")
 
 
-def test_salting_spreads_a_hot_demand_over_partitions(spark):
+SETTINGS = [(c, b) for c in ("true", "false") for b in ("10m", "-1")]
+
+
+@pytest.mark.parametrize("coalesce,broadcast", SETTINGS)
+def test_salting_spreads_a_hot_demand_over_partitions(spark, coalesce, broadcast):
     from pyspark.sql import functions as F
 
-    from dimweave.operators.fanout import hot_demands, replicate_over_salts, salt_role
+    from dimweave.operators.fanout import fan_out as fan_out_roles
 
     # demand 1: 40 x 30 x 20 = 24,000 output rows; demands 2..50: one row each
     roles = {"a": 40, "b": 30, "c": 20}
@@ -188,15 +258,20 @@ def test_salting_spreads_a_hot_demand_over_partitions(spark):
     narrow = spark.createDataFrame([(d,) for d in range(1, 51)], "id_demanda long")
 
     def fan_out(rows_per_task):
-        hot = hot_demands(mv, rows_per_task, max_salts=64)
-        df = replicate_over_salts(narrow, hot)
-        for r in roles:
-            vals = mv.where(F.col("role") == r).select("id_demanda", F.col("nm_valor").alias(r))
-            df = df.join(salt_role(vals, hot, r), ["id_demanda", "salt"])
+        frames = [(r, mv.where(F.col("role") == r).select("id_demanda", F.col("nm_valor").alias(r))) for r in roles]
+        df = fan_out_roles(narrow, frames, rows_per_task)
         return df.where("id_demanda = 1").groupBy(F.spark_partition_id().alias("p")).count()
 
-    unsalted = [r["count"] for r in fan_out(10**9).collect()]
-    salted = [r["count"] for r in fan_out(1000).collect()]
+    changed = {"spark.sql.adaptive.coalescePartitions.enabled": coalesce, "spark.sql.autoBroadcastJoinThreshold": broadcast}
+    before = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        unsalted = [r["count"] for r in fan_out(10**9).collect()]
+        salted = [r["count"] for r in fan_out(1000).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     assert unsalted == [24000]  # the whole product in one partition
     assert sum(salted) == 24000 and len(salted) >= 6  # spread over the shuffle partitions
     assert max(salted) < 24000 / 2

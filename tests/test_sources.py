@@ -89,3 +89,27 @@ def test_tables_are_validated(spark):
         )
     with pytest.raises(ValueError, match="unknown plan"):
         demand_dimension(t, DimensionConfig(as_of=AS_OF), plan="fastest")
+
+
+def test_load_parquet_reads_attribute_ids_from_the_bridge(spark, tmp_path):
+    t = from_rows(spark, fixture_rows())
+    bridge = t.demanda_dado.join(t.dado_valor.select("id_dado_valor", "id_dado"), "id_dado_valor")
+    for name in TABLES:
+        df = {"demanda_dado": bridge, "dado_valor": t.dado_valor.drop("id_dado")}.get(name, getattr(t, name))
+        df.write.parquet(f"{tmp_path}/{name}")
+    loaded = load_parquet(spark, str(tmp_path))
+    assert loaded.id_dado_on_bridge
+    golden = Counter(tuple(r) for r in demand_dimension(t, DimensionConfig(as_of=AS_OF)).collect())
+    assert sum(golden.values()) == 13
+    assert Counter(tuple(r) for r in demand_dimension(loaded, DimensionConfig(as_of=AS_OF)).collect()) == golden
+
+
+def test_load_parquet_raises_on_a_missing_column(spark, tmp_path):
+    import pytest
+
+    t = from_rows(spark, fixture_rows())
+    for name in TABLES:
+        df = t.demanda_etapa.drop("dt_inicio") if name == "demanda_etapa" else getattr(t, name)
+        df.write.parquet(f"{tmp_path}/{name}")
+    with pytest.raises(ValueError, match="dt_inicio"):
+        load_parquet(spark, str(tmp_path))
