@@ -17,8 +17,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -37,27 +35,31 @@ _FLUSH = 400_000
 def vocabulary(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
     """``pretoken, n, pieces``: every distinct pre-token of the whole texts, its count and its ids' number."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted_batch(held: Counter[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["pretoken", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = encoder(tokenizer_path).split
         held: Counter[str] = Counter()
         for batch in batches:
-            for group in chunks(batch["text"]):
+            for group in chunks(batch.column(0).to_pylist()):
                 for text in group:
                     for part in pieces_of(text):
                         held.update(split(part))
                 if len(held) > _FLUSH:
-                    yield pd.DataFrame({"pretoken": list(held), "n": list(held.values())})
+                    yield counted_batch(held)
                     held.clear()
-        yield pd.DataFrame({"pretoken": list(held), "n": list(held.values())})
+        yield counted_batch(held)
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = encoder(tokenizer_path).lengths
         for batch in batches:
-            yield batch.assign(pieces=np.array(lengths(batch["pretoken"].tolist()), dtype="int64"))
+            found = pa.array(lengths(batch.column(0).to_pylist()), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=["pretoken", "n", "pieces"])
 
-    counted = docs.select(text_of(text_col).alias("text")).mapInPandas(count, "pretoken string, n long")
+    counted = docs.select(text_of(text_col).alias("text")).mapInArrow(count, "pretoken string, n long")
     summed = counted.groupBy("pretoken").agg(F.sum("n").alias("n"))
-    return summed.mapInPandas(pieces, "pretoken string, n long, pieces long")
+    return summed.mapInArrow(pieces, "pretoken string, n long, pieces long")
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, keep: Sequence[str] = (), text_col: str = "text", head: int = HEAD) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,37 +40,39 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     ])
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, chunk = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         keys, ends, held = [], [], []
 
-        def flush() -> pd.DataFrame:
-            ids = np.frombuffer(b"".join(held), "<u4")
-            return pd.DataFrame({"part": [part], "chunk": [chunk], "keys": [keys], "ends": [ends], "ids": [encode(ids)]})
+        def flush(kind: pa.DataType) -> pa.RecordBatch:
+            ids = encode(np.frombuffer(b"".join(held), "<u4"))
+            columns = [
+                pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([keys], pa.list_(kind)),
+                pa.array([ends], pa.list_(pa.int64())), pa.array([ids], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
         for batch in batches:
-            at, names = 0, [None if n else k for k, n in zip(batch["key"].tolist(), batch["none"].tolist())]
-            for group in chunks(batch["text"]):
+            at, names, kind = 0, batch.column(0).to_pylist(), batch.column(0).type
+            for group in chunks(batch.column(1).to_pylist()):
                 for ids in coder.encode(group):
                     tokens = len(ids) // 4 + 1
                     if ends and ends[-1] + tokens > chunk_tokens:
-                        yield flush()
+                        yield flush(kind)
                         keys, ends, held, chunk = [], [], [], chunk + 1
                     keys.append(names[at])
                     ends.append((ends[-1] if ends else 0) + tokens)
                     held += (ids, end)
                     at += 1
         if ends:
-            yield flush()
+            yield flush(kind)
 
     ordered = (
         docs.select(F.col(key).alias("key"), text_of(text_col).alias("text"))
         .repartitionByRange("key")
         .sortWithinPartitions("key", "text")
     )
-    # a NULL key is marked, for pandas would turn whole numbers beside it into floats
-    plain = F.coalesce("key", F.lit(0).cast(key_type))
-    ordered.select(plain.alias("key"), F.col("key").isNull().alias("none"), "text").mapInPandas(pack, schema).write.parquet(path)
+    ordered.mapInArrow(pack, schema).write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
@@ -89,14 +91,13 @@ def read_token_files(spark: SparkSession, path: str, key: str = "doc_id") -> Dat
     placed = files.join(saved(starts, "starts"), ["part", "chunk"])
     schema = T.StructType([T.StructField("key", key_type), T.StructField("start", T.LongType()), T.StructField("ids", T.BinaryType())])
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, ends, ids, at in zip(batch["keys"], batch["ends"], batch["ids"], batch["at"]):
-                codes, begins = DAC(ids), [0, *ends[:-1]]
-                yield pd.DataFrame({
-                    "key": pd.Series(list(keys), dtype=object),
-                    "start": [at + b for b in begins],
-                    "ids": [codes.between(b, e).astype("<u4").tobytes() for b, e in zip(begins, ends)],
-                })
-
-    return placed.select("keys", "ends", "ids", "at").mapInPandas(read, schema).withColumnRenamed("key", key)
+            for keys, ends, ids, at in zip(*batch.columns):
+                codes, ends, at = DAC(ids.as_py()), ends.as_py(), at.as_py()
+                begins = [0, *ends[:-1]]
+                data = [codes.between(b, e).astype("<u4").tobytes() for b, e in zip(begins, ends)]
+                columns = [keys.values, pa.array([at + b for b in begins], pa.int64()), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return placed.select("keys", "ends", "ids", "at").mapInArrow(read, schema).withColumnRenamed("key", key)

@@ -1,0 +1,35 @@
+"""Small document tables and plain-Python references for the training-data operators."""
+
+from __future__ import annotations
+
+import os
+import random
+
+os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = "the of and to in that it is was for on are as with this from stone river field light paper house".split()
+
+
+def prose(seed: int, words: int) -> str:
+    draw = random.Random(seed)
+    return " ".join(draw.choice(WORDS) + draw.choice(["", "", "", ",", ".", "ing", "er", "ness"]) for _ in range(words))
+
+
+def odd_texts() -> list[str | None]:
+    """NULL, empty, white space, one word, special strings, accents, odd white space, repeated and very long texts."""
+    return [
+        None, "", " ", "\n\n \t", "word", "word", "a b c d", "Ünïcode 日本語 text… 😀 \u2003wide\u00a0space\x1c end",
+        "<|endoftext|> in <|startoftext|>the middle<|endoftext|>", "can't won't I'LL 12 345 6.7  double  space ",
+        "x" * 5000, prose(1, 40), prose(1, 40), prose(2, 30_000), "0 10 0 20 a0b", "line\r\nline\n\n\nline   end\n",
+    ]
+
+
+def odd_rows() -> list[tuple]:
+    """The odd texts with NULLs in the other columns and a NULL key."""
+    rows = [(i, t, None if i % 3 == 0 else "en", None if i % 4 == 0 else f"s{i % 3}", None) for i, t in enumerate(odd_texts())]
+    return rows + [(2**60 + 1, prose(3, 25), "de", "s1", 7), (None, prose(4, 10), "de", None, 1)]
+
+
+def frame(spark, rows, schema=DOCS):
+    return spark.createDataFrame(rows, schema)
