@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +13,26 @@ from pyspark.sql import functions as F
 from dimweave.session import checkpoint_dir
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once a session, so their Python workers can import it."""
+    if spark.sparkContext.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[2]
+    # the driver serves this file to the executors as long as the session lives
+    archive = Path(tempfile.mkdtemp(prefix="dimweave-"), "dimweave_package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as packed:
+        for source in sorted(Path(__file__).resolve().parents[1].rglob("*.py")):
+            packed.write(source, source.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(spark.sparkContext.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark (any path or store that Spark reads)."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -9,13 +9,17 @@ only classes are compared. No link between classes that would join two groups is
    order of shingles (shared passages are then seldom looked up); the others are ordered by hash. Any
    fixed order gives the same links.
 2. A second pass lists each class under its first shingles, so many that two linked classes must share
-   one of them. In a shingle's list the first class leads: each other class is compared with it. That
-   is one comparison per entry of the list, whatever its length.
+   one of them, with its size and the shingle's place in its order. Lists longer than ``LONG`` whose
+   shingle is not set last yet set it last, and the pass is repeated. In a shingle's list the first
+   class leads: each other class is compared with it, if the shingles from their places on could be
+   enough. That is one comparison per entry of the list at most, whatever its length.
 3. The linked classes form groups of similar documents. In lists that hold followers of several groups,
-   a follower (the query) is held against the other groups: each group's classes are cut into chunks
-   of about ``CHUNK``, a chunk stores the union of its classes' shingles, and the query's overlap with the
-   union bounds its overlap with any of them. Only chunks whose bound suffices are opened, and their
-   classes compared with the query. Links within one group need no comparison, for they change nothing.
+   a follower (the query) is held against the other groups. The sizes and places of the query and of
+   the group's classes in the list bound their overlap first. Then each group's classes are cut into
+   chunks of about ``CHUNK``, a chunk stores the union of its classes' shingles, and the query's overlap
+   with the union bounds its overlap with any of them. Only chunks whose bound suffices are opened, and
+   their classes compared with the query. Links within one group need no comparison, for they change
+   nothing.
 
 Comparisons count common shingles exactly (64-bit hashes of the words).
 
@@ -41,10 +45,12 @@ from dimweave.llm.components import connected_components
 
 WORDS = 5
 PERCENT = 80
-COMMON = 200_000
-COMMON_FROM = 32
+COMMON = 1_000_000
+COMMON_FROM = 8
+LONG = 64
+REPEATS = 2
 CHUNK = 32
-_LOCAL = 4
+_LOCAL = 2
 _STRETCH = 3_000_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -110,14 +116,22 @@ def _sets(docs: DataFrame, key: str, text_col: str, words: int) -> DataFrame:
     return out.withColumn("key", F.when(~F.col("none"), F.col("key")))
 
 
+def enough(size_a, size_b, percent: int):
+    """Common shingles that make sets of these sizes link (numbers, arrays or columns)."""
+    return -(-percent * (size_a + size_b) // (100 + percent))
+
+
 def _index(docs: DataFrame, key: str, text_col: str, words: int, percent: int, last: np.ndarray) -> DataFrame:
-    """``shingle, class``: every class under its first shingles in the common order."""
+    """``shingle, class, at``: every class under its first shingles in the common order.
+
+    ``at`` is the set's size (upper half) and the shingle's place in the order (lower half).
+    """
     common = docs.sparkSession.sparkContext.broadcast(last)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         late, seen = common.value, set()
         for batch in batches:
-            found, classes, counts = [], [], []
+            found, classes, counts, places = [], [], [], []
             for text in batch["text"]:
                 own = shingles(text, words)
                 name = xxhash.xxh64_intdigest(own.tobytes())
@@ -132,41 +146,50 @@ def _index(docs: DataFrame, key: str, text_col: str, words: int, percent: int, l
                 found.append(own[:first])
                 classes.append(name - (1 << 63))
                 counts.append(first)
+                places.append((len(own) << 32) + np.arange(first))
             if found:
-                yield pd.DataFrame({"shingle": np.concatenate(found).view("i8"), "class": np.repeat(np.array(classes, dtype="i8"), counts)})
+                yield pd.DataFrame({
+                    "shingle": np.concatenate(found).view("i8"),
+                    "class": np.repeat(np.array(classes, dtype="i8"), counts),
+                    "at": np.concatenate(places),
+                })
 
     rows = docs.where(F.col(key).isNotNull()).select(text_of(text_col).alias("text"))
-    return rows.mapInPandas(look, "shingle long, class long")
+    return rows.mapInPandas(look, "shingle long, class long, at long")
 
 
-def _followers(index: DataFrame) -> DataFrame:
-    """``shingle, class, lead``: in the list of each shingle, every class but the first, with the first.
+def _followers(index: DataFrame, percent: int) -> DataFrame:
+    """``shingle, class, at, lead, fits``: in the list of each shingle, every class but the first, with the first.
 
-    The lists come sorted and are read once, as a stream: a long list takes no memory.
+    ``fits`` says that the shingles from this one on could be enough for the two to link. The lists
+    come sorted and are read once, as a stream: a long list takes no memory.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle_before = class_before = lead_before = None
+        before = None
         for batch in batches:
-            shingle, name = batch["shingle"].to_numpy(), batch["class"].to_numpy()
+            shingle, name, at = (batch[c].to_numpy() for c in ("shingle", "class", "at"))
             if not len(shingle):
                 continue
             new = np.ones(len(shingle), dtype=bool)
             new[1:] = shingle[1:] != shingle[:-1]
             again = np.zeros(len(shingle), dtype=bool)
             again[1:] = ~new[1:] & (name[1:] == name[:-1])
-            lead = name[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
-            if shingle_before is not None and shingle[0] == shingle_before:
-                end = int(np.argmax(shingle != shingle_before)) or len(shingle)
-                lead[:end] = lead_before
-                new[0] = False
-                again[0] = name[0] == class_before
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            lead, lead_at = name[first], at[first]
+            if before is not None and shingle[0] == before[0]:
+                end = int(np.argmax(shingle != before[0])) or len(shingle)
+                lead[:end], lead_at[:end] = before[2], before[3]
+                new[0], again[0] = False, name[0] == before[1]
             keep = ~new & ~again & (name != lead)
-            shingle_before, class_before, lead_before = shingle[-1], name[-1], lead[-1]
+            before = shingle[-1], name[-1], lead[-1], lead_at[-1]
             if keep.any():
-                yield pd.DataFrame({"shingle": shingle[keep], "class": name[keep], "lead": lead[keep]})
+                n, n_lead, left, left_lead = at >> 32, lead_at >> 32, (at >> 32) - (at & 0xFFFFFFFF), (lead_at >> 32) - (lead_at & 0xFFFFFFFF)
+                fits = np.minimum(left, left_lead) >= enough(n, n_lead, percent)
+                yield pd.DataFrame({"shingle": shingle[keep], "class": name[keep], "at": at[keep], "lead": lead[keep], "fits": fits[keep]})
 
-    return index.repartition("shingle").sortWithinPartitions("shingle", "class").mapInPandas(read, "shingle long, class long, lead long")
+    ordered = index.repartition("shingle").sortWithinPartitions("shingle", "class")
+    return ordered.mapInPandas(read, "shingle long, class long, at long, lead long, fits boolean")
 
 
 def _texts(docs: DataFrame, key: str, text_col: str) -> DataFrame:
@@ -209,13 +232,24 @@ def _with_classes(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
 def _across_groups(followers: DataFrame, groups: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b) of classes in different groups that the token-group matrix leaves to be compared."""
     group = F.coalesce("component", "class")
-    listed = followers.select("shingle", "class").join(groups.withColumnRenamed("node", "class"), "class", "left").select("shingle", "class", group.alias("group"))
+    n, place = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
+    listed = followers.select("shingle", "class", n.alias("n"), (n - place).alias("left"))
+    listed = listed.join(groups.withColumnRenamed("node", "class"), "class", "left").select("shingle", "class", "n", "left", group.alias("group"))
     mixed = listed.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("shingle")
     listed = saved(listed.join(mixed, "shingle"), "mixed-lists")
     if listed.isEmpty():
         return listed.select(F.col("class").alias("a"), F.col("class").alias("b"))
 
+    # a query looks at groups of a higher name only: the pair's other class looks from the other side
+    lists = listed.groupBy("shingle", F.col("group").alias("other")).agg(F.max("left").alias("left_other"), F.min("n").alias("least_n"), F.max("n").alias("largest_n"))
+    both = listed.join(lists, "shingle").where(F.col("other") > F.col("group"))
+    smaller = F.greatest("least_n", F.ceil(F.col("n") * percent / 100))
+    possible = (F.least("left", "left_other") * (100 + percent) >= (F.col("n") + smaller) * percent) & (F.col("largest_n") >= smaller)
+    asked = saved(both.where(possible).select("class", F.col("other").alias("group")).distinct(), "asked")
+    # pairs go both ways: the classes of a group that is asked, and those that ask
+    wanted = asked.select("group").distinct()
     members = listed.select("class", "group").distinct()
+    members = members.join(wanted, "group", "left_semi").unionByName(members.join(asked.select("class").distinct(), "class", "left_semi")).distinct()
     sizes = members.groupBy("group").count()
     chunk = F.pmod(F.xxhash64("class"), F.ceil(F.col("count") / CHUNK)).cast("int")
     members = members.join(sizes, "group").select("class", "group", chunk.alias("chunk"))
@@ -232,9 +266,6 @@ def _across_groups(followers: DataFrame, groups: DataFrame, classes: DataFrame,
     held = saved(held.dropDuplicates(["class"]), "group-members")
     unions = held.groupBy("group", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"), F.max("n").alias("largest"))
 
-    # a query looks at groups of a higher name only: the pair's other class looks from the other side
-    lists = listed.select("shingle", F.col("group").alias("other")).distinct()
-    asked = listed.join(lists, "shingle").where(F.col("other") > F.col("group")).select("class", F.col("other").alias("group")).distinct()
     queries = asked.join(held.select("class", F.col("n").alias("n_query"), "tokens"), "class")
     least = F.ceil(F.col("n_query") * percent / 100)
     qualify = queries.join(unions, "group").where((F.col("largest") >= least) & (F.size(F.array_intersect("tokens", "union")) >= least))
@@ -251,9 +282,16 @@ def similarity_groups(docs: DataFrame, key: str = "doc_id", text_col: str = "tex
     last = np.sort(often.view("u8"))
 
     classes = saved(rows.where("n > 0 AND key IS NOT NULL").groupBy("class", "n").agg(F.min("key").alias("key")), "classes")
-    followers = saved(_followers(_index(docs, key, text_col, words, percent, last)), "followers")
+    for _ in range(REPEATS + 1):
+        followers = saved(_followers(_index(docs, key, text_col, words, percent, last), percent), "followers")
+        long = followers.groupBy("shingle").count().where(F.col("count") >= LONG)
+        long = at_most(saved(long, "long"), "count", COMMON).select("shingle").toPandas()["shingle"].to_numpy(dtype="i8")
+        more = np.setdiff1d(long.view("u8"), last)
+        if not len(more):
+            break
+        last = np.union1d(last, more)
     texts = _texts(docs, key, text_col)
-    stars = followers.select(F.col("class").alias("a"), F.col("lead").alias("b")).distinct()
+    stars = followers.where("fits").select(F.col("class").alias("a"), F.col("lead").alias("b")).distinct()
     links = saved(_linked(_with_classes(stars, classes, percent), texts, words, percent), "links")
     groups = saved(connected_components(links), "groups")
 
