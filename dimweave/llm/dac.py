@@ -66,8 +66,8 @@ class DAC:
         if not i:
             return 0
         block = (i - 1) // BLOCK
-        within = np.unpackbits(bits[block * BLOCK // 8:-(-i // 8)], bitorder="little")[:i - block * BLOCK]
-        return int(before[block]) + int(within.sum())
+        within = int.from_bytes(bits[block * BLOCK // 8:-(-i // 8)].tobytes(), "little") & ((1 << (i - block * BLOCK)) - 1)
+        return int(before[block]) + within.bit_count()
 
     def __getitem__(self, i: int) -> int:
         if not 0 <= i < len(self):
@@ -84,12 +84,12 @@ class DAC:
         """Values ``start`` to ``end`` (not included): two rank queries a level find their chunks."""
         low, bits, before = self.levels[0]
         values = low[start:end].astype("<u8")
-        chosen = np.arange(end - start)
+        chosen = None  # places of the values that go on
         for k in range(1, len(self.levels)):
-            more = np.unpackbits(bits[start // 8:-(-end // 8)], bitorder="little")[start % 8:start % 8 + end - start].view(bool)
-            if not more.any():
+            more = np.flatnonzero(np.unpackbits(bits[start // 8:-(-end // 8)], bitorder="little")[start % 8:start % 8 + end - start])
+            if not len(more):
                 break
-            chosen = chosen[more]
+            chosen = more if chosen is None else chosen[more]
             start = self._rank(bits, before, start)
             end = start + len(chosen)
             low, bits, before = self.levels[k]

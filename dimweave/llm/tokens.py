@@ -4,7 +4,8 @@ A pre-token here is the coarsest cut no merge crosses: for a byte-level tokenize
 and a run of other characters, or a run of white space; for one that drops white space, a run of
 other characters. ``UnitEncoder`` keeps the ids of the pre-tokens it has met as little-endian
 unsigned 32-bit bytes, so a text's ids are joined from memory; what is not there is encoded by the
-tokenizers library, many pre-tokens per call. The memory keeps pre-tokens of at most ``KEPT_CHARS``
+tokenizers library: a plain word by the file's model alone, anything else by the whole tokenizer, many
+pre-tokens per call. The memory keeps pre-tokens of at most ``KEPT_CHARS``
 (longer ones seldom come again) and at most ``MAX_UNITS``; beyond that it is emptied and filled again,
 which changes no id.
 """
@@ -14,16 +15,20 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 # White space of the Unicode property White_Space, as the tokenizers' expressions read \s.
 SPACE = " \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-MAX_UNITS = 1_300_000
+MAX_UNITS = 1_200_000
 KEPT_CHARS = 12
 CHUNK_CHARS = 1 << 20
 _PER_CALL = 256
+# Byte-level tokenizers write a byte as itself where it is printable in Latin-1, else as one of the signs from U+0100 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_SIGNS = {b: b for b in _PLAIN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 _CUT = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
 
 
@@ -63,14 +68,36 @@ class UnitEncoder:
         self.separator = "\n" if self.keeps_space else " 0 "
         (self.separator_id,) = self.tokenizer.encode(self.separator.strip(" "), add_special_tokens=False).ids
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.tokenize, self.space = self.tokenizer.model.tokenize, chr(_BYTE_SIGNS[32])
         self.known: dict[str, bytes] = {}
 
+    def word(self, unit: str) -> bytes | None:
+        """Ids of a plain word, or None: letters below U+0250, which no normalisation but case changes.
+
+        It is one piece to the tokenizer's expression, so the model alone gives its ids.
+        """
+        core = unit[1:] if self.keeps_space and unit[:1] == " " else unit
+        if not core.isalpha() or not (core.isascii() or max(core) < "\u0250"):
+            return None
+        if not self.keeps_space:
+            unit = unit.lower()
+        coded = unit.replace(" ", self.space) if unit.isascii() else unit.encode().decode("latin-1").translate(_BYTE_SIGNS)
+        return array("I", [t.id for t in self.tokenize(coded)]).tobytes()
+
     def learn(self, units: Iterable[str]) -> None:
-        mark = self.separator.strip(" ")
-        alone, joined = [], []
+        mark, known = self.separator.strip(" "), self.known
+        alone, joined, tailed = [], [], []
         for u in units:
-            odd = mark in u or u.isspace() or any(s in u for s in self.special)
-            (alone if odd else joined).append(u)
+            head = u.rstrip(".,;:!?")
+            ids = self.word(head) if head else None
+            if ids is None:
+                odd = mark in u or u.isspace() or any(s in u for s in self.special)
+                (alone if odd else joined).append(u)
+            elif len(head) == len(u):
+                known[u] = ids
+            else:
+                tailed.append((u, u[len(head):], ids))  # a letter and such a sign never merge
+        alone += {tail for _, tail, _ in tailed}.difference(known, alone, joined)
         groups = [joined[i:i + _PER_CALL] for i in range(0, len(joined), _PER_CALL)]
         encoded = self.tokenizer.encode_batch_fast([self.separator.join(g) for g in groups], add_special_tokens=False)
         for group, e in zip(groups, encoded):
@@ -81,10 +108,12 @@ class UnitEncoder:
                 continue
             data, at = ids.tobytes(), 0
             for u, end in zip(group, [*(ends * 4).tolist(), len(data)]):
-                self.known[u] = data[at:end]
+                known[u] = data[at:end]
                 at = end + 4
         for u, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-            self.known[u] = np.asarray(e.ids, dtype="<u4").tobytes()
+            known[u] = np.asarray(e.ids, dtype="<u4").tobytes()
+        for u, tail, ids in tailed:
+            known[u] = ids + known[tail]
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Per text its ids as little-endian unsigned 32-bit bytes."""
