@@ -174,3 +174,19 @@ def test_neighbours_edge_cases(spark):
     same = spark.createDataFrame([(i, [0.6, 0.8]) for i in range(2500)], "vec_id long, embedding array<float>")
     tied = nearest(same, F.col("vec_id") == 40, 5, block_rows=700).orderBy("rank").collect()
     assert [r["vec_id"] for r in tied] == [0, 1, 2, 3, 4]
+
+
+def test_url_query_matches_its_oracle(spark):
+    import os
+
+    from dimweave.llm.oracle import ORACLE_SQL
+    from dimweave.llm.queries import QUERIES
+    from dimweave.queries.compare import compare, duckdb_connection
+
+    sf_dir = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("no test data")
+    assert set(ORACLE_SQL) == {"op7_url_filter"}
+    for name, sql in ORACLE_SQL.items():
+        r = compare(spark, duckdb_connection(sf_dir), name, QUERIES[name], sql, sf_dir)
+        assert r["hash_match"] and r["rows_spark"] == r["rows_oracle"] > 0
