@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,8 +51,9 @@ COMMON_FROM = 8
 LONG = 64
 REPEATS = 2
 CHUNK = 32
+SIEVE_BITS = 1 << 26
 _LOCAL = 2
-_STRETCH = 3_000_000
+_STRETCH = 2_000_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -159,10 +161,11 @@ def _index(docs: DataFrame, key: str, text_col: str, words: int, percent: int, l
 
 
 def _followers(index: DataFrame, percent: int) -> DataFrame:
-    """``shingle, class, at, lead, fits``: in the list of each shingle, every class but the first, with the first.
+    """``shingle, class, at, lead, fits, many``: in the list of each shingle, every class but the first, with the first.
 
-    ``fits`` says that the shingles from this one on could be enough for the two to link. The lists
-    come sorted and are read once, as a stream: a long list takes no memory.
+    ``fits`` says that the shingles from this one on could be enough for the two to link; ``many`` that
+    the list may have more than this follower. The lists come sorted and are read once, as a stream: a
+    long list takes no memory.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,38 +189,78 @@ def _followers(index: DataFrame, percent: int) -> DataFrame:
             if keep.any():
                 n, n_lead, left, left_lead = at >> 32, lead_at >> 32, (at >> 32) - (at & 0xFFFFFFFF), (lead_at >> 32) - (lead_at & 0xFFFFFFFF)
                 fits = np.minimum(left, left_lead) >= enough(n, n_lead, percent)
-                yield pd.DataFrame({"shingle": shingle[keep], "class": name[keep], "at": at[keep], "lead": lead[keep], "fits": fits[keep]})
+                own = shingle[keep]
+                many = np.zeros(len(own), dtype=bool)
+                many[1:] = own[1:] == own[:-1]
+                many[:-1] |= many[1:].copy()
+                many |= (own == shingle[0]) | (own == shingle[-1])  # the list may go on in another batch
+                yield pd.DataFrame({"shingle": own, "class": name[keep], "at": at[keep], "lead": lead[keep], "fits": fits[keep], "many": many})
 
     ordered = index.repartition("shingle").sortWithinPartitions("shingle", "class")
-    return ordered.mapInPandas(read, "shingle long, class long, at long, lead long, fits boolean")
+    return ordered.mapInPandas(read, "shingle long, class long, at long, lead long, fits boolean, many boolean")
 
 
-def _texts(docs: DataFrame, key: str, text_col: str) -> DataFrame:
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).alias("text_key"), text_of(text_col).alias("text"))
+def _texts_of(docs: DataFrame, key: str, text_col: str, keys: DataFrame) -> DataFrame:
+    """``text_key, text`` of the rows whose key is in ``keys`` (one column), written.
+
+    The texts are sieved where they lie by a bit table of the keys' hashes, of ``SIEVE_BITS`` bits
+    whatever the number of keys, so only wanted texts (and a few others) are shuffled to the join.
+    """
+    spark = docs.sparkSession
+    (name,) = keys.columns
+    wanted = saved(keys.distinct().withColumnRenamed(name, "wanted_key"), "wanted")
+    hashed = F.xxhash64("wanted_key")
+    word = F.pmod(hashed, F.lit(SIEVE_BITS // 64))
+    bits = wanted.select(word.alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(xxhash64(wanted_key), 58) AS int))").alias("bit"))
+    filled = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    sieve = np.zeros(SIEVE_BITS // 64, dtype="u8")
+    sieve[filled["word"].to_numpy(dtype="i8")] = filled["bits"].to_numpy(dtype="i8").view("u8")
+    held = spark.sparkContext.broadcast(sieve)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = held.value
+        for batch in batches:
+            h = batch.column(2).to_numpy(zero_copy_only=False)
+            bit = table[h % len(table)] >> (h.view("u8") >> np.uint64(58))
+            yield batch.filter(pa.array((bit & np.uint64(1)).astype(bool)))
+
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("text_key"), text_of(text_col).alias("text"), F.xxhash64(key).alias("h"))
+    sifted = rows.mapInArrow(sift, rows.schema).drop("h")
+    return saved(sifted.join(wanted, F.col("text_key") == F.col("wanted_key")).drop("wanted_key"), "texts")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b, key_a, key_b) of classes whose representatives' texts link."""
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name_b = own_b = None
         for batch in batches:
             a, b = [], []
-            for x, y, text_a, text_b in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"]):
-                own_a = shingles(text_a, words)
-                if (y, text_b) != name_b:  # pairs come sorted by b
-                    name_b, own_b = (y, text_b), shingles(text_b, words)
+            for x, y, text_a, text_b in zip(*batch.columns):
+                x, y = x.as_py(), y.as_py()
+                own_a = shingles(text_a.as_py(), words)
+                if y != name_b or own_b is None:
+                    own_b = shingles(text_b.as_py(), words)
+                name_b = None
                 if any(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63) != c for own, c in ((own_a, x), (own_b, y))):
                     continue  # another row with the representative's key
+                name_b = y
                 common = len(np.intersect1d(own_a, own_b, assume_unique=True))
                 if 100 * common >= percent * (len(own_a) + len(own_b) - common):
                     a.append(x)
                     b.append(y)
-            yield pd.DataFrame({"a": np.array(a, dtype="i8"), "b": np.array(b, dtype="i8")})
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     first = pairs.join(texts.withColumnRenamed("text", "text_a"), F.col("key_a") == F.col("text_key")).drop("text_key")
     both = first.join(texts.withColumnRenamed("text", "text_b"), F.col("key_b") == F.col("text_key"))
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(verify, "a long, b long")
+    return saved(both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), "links")
+
+
+def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link, written."""
+    named = saved(_with_classes(pairs, classes, percent), "pairs")
+    keys = named.select(F.col("key_a").alias("k")).unionByName(named.select(F.col("key_b").alias("k")))
+    return _linked(named, _texts_of(docs, key, text_col, keys), words, percent)
 
 
 def _with_classes(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -229,11 +272,11 @@ def _with_classes(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
     return pairs.where(fits)
 
 
-def _across_groups(followers: DataFrame, groups: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _across_groups(followers: DataFrame, groups: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text_col: str, words: int, percent: int) -> DataFrame:
     """(a, b) of classes in different groups that the token-group matrix leaves to be compared."""
     group = F.coalesce("component", "class")
     n, place = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
-    listed = followers.select("shingle", "class", n.alias("n"), (n - place).alias("left"))
+    listed = followers.where("many").select("shingle", "class", n.alias("n"), (n - place).alias("left"))
     listed = listed.join(groups.withColumnRenamed("node", "class"), "class", "left").select("shingle", "class", "n", "left", group.alias("group"))
     mixed = listed.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("shingle")
     listed = saved(listed.join(mixed, "shingle"), "mixed-lists")
@@ -253,22 +296,26 @@ def _across_groups(followers: DataFrame, groups: DataFrame, classes: DataFrame,
     sizes = members.groupBy("group").count()
     chunk = F.pmod(F.xxhash64("class"), F.ceil(F.col("count") / CHUNK)).cast("int")
     members = members.join(sizes, "group").select("class", "group", chunk.alias("chunk"))
-    keyed = members.join(classes, "class")
+    keyed = saved(members.join(classes, "class"), "members")
+    texts = _texts_of(docs, key, text_col, keyed.select("key"))
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             own = [shingles(t, words) for t in batch["text"]]
             right = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) == c for s, c in zip(own, batch["class"])]
-            yield batch.drop(columns="text").assign(tokens=[s.view("i8") for s in own])[right]
+            # the lower 32 bits: where two shingles meet in them, the bound only grows
+            yield batch.drop(columns="text").assign(tokens=[s.astype("u4").view("i4") for s in own])[right]
 
-    schema = "class long, group long, chunk int, n long, tokens array<long>"
+    schema = "class long, group long, chunk int, n long, tokens array<int>"
     held = keyed.join(texts, F.col("key") == F.col("text_key")).select("class", "group", "chunk", "n", "text").mapInPandas(tokens, schema)
-    held = saved(held.dropDuplicates(["class"]), "group-members")
+    held = saved(held, "group-members")
     unions = held.groupBy("group", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"), F.max("n").alias("largest"))
 
     queries = asked.join(held.select("class", F.col("n").alias("n_query"), "tokens"), "class")
     least = F.ceil(F.col("n_query") * percent / 100)
-    qualify = queries.join(unions, "group").where((F.col("largest") >= least) & (F.size(F.array_intersect("tokens", "union")) >= least))
+    # tokens of the query that are one in 32 bits may all be common: count them on top
+    common = F.size(F.array_intersect("tokens", "union")) + (F.size("tokens") - F.size(F.array_distinct("tokens")))
+    qualify = queries.join(unions, "group").where((F.col("largest") >= least) & (common >= least))
     opened = qualify.select(F.col("class").alias("a"), "group", "chunk")
     return opened.join(held.select(F.col("class").alias("b"), "group", "chunk"), ["group", "chunk"]).select("a", "b")
 
@@ -290,14 +337,13 @@ def similarity_groups(docs: DataFrame, key: str = "doc_id", text_col: str = "tex
         if not len(more):
             break
         last = np.union1d(last, more)
-    texts = _texts(docs, key, text_col)
     stars = followers.where("fits").select(F.col("class").alias("a"), F.col("lead").alias("b")).distinct()
-    links = saved(_linked(_with_classes(stars, classes, percent), texts, words, percent), "links")
+    links = _links(stars, classes, docs, key, text_col, words, percent)
     groups = saved(connected_components(links), "groups")
 
-    more = saved(_across_groups(followers, groups, classes, texts, words, percent), "opened")
+    more = saved(_across_groups(followers, groups, classes, docs, key, text_col, words, percent), "opened")
     if not more.isEmpty():
-        found = saved(_linked(_with_classes(more.distinct(), classes, percent), texts, words, percent), "links")
+        found = _links(more.distinct(), classes, docs, key, text_col, words, percent)
         members = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
         groups = saved(connected_components(members.unionByName(found)), "groups")
 
