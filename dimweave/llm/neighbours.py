@@ -31,9 +31,9 @@ from dimweave.llm.common import saved
 
 LINES = 96
 THRESHOLD = 0.5
-SHARE = 0.25
+SHARE = 0.3
 LEAST_VERIFIED = 640
-FIRST_WINDOW = 0.6
+FIRST_WINDOW = 0.64
 GROWTH = 1.08
 BLOCK_ROWS = 8_192
 QUERY_ROWS = 32_768
