@@ -18,6 +18,9 @@ PLAN_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.ansi.enabled": "true",
+    # A stage of the dimension holds many sorts (a join or window per attribute), and each takes a page
+    # at least; with the default of up to 64 MB they can use up a task's share of a small heap.
+    "spark.buffer.pageSize": "4m",
 }
 
 
