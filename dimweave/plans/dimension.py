@@ -9,10 +9,10 @@ Two plans compute the same rows:
     the plan is the same and lazy, but its branches may read the sources again.
 
 ``per_attribute``
-    One EAV lookup, window pick and join per attribute, the shape of the original job. It is kept to
-    check the single pass against and to compare plans.
+    One EAV lookup, window pick and join per attribute, the shape of the original job, its fan-out not
+    split. It is kept to check the single pass against and to compare plans, not for large demands.
 
-Assembly, for both: version spine -> status -> scalar attributes -> required-attribute and office
+Assembly of the single pass: version spine -> status -> scalar attributes -> required-attribute and office
 filters -> current stage -> capture flag -> report columns, made distinct while the frame is narrow ->
 fan-out with the roles, each made distinct on its report columns. Every row of the product is then
 distinct as it is built, and no shuffle carries the whole report. Building a dimension runs no job.
@@ -143,12 +143,11 @@ def _roles_per_attribute(tables, cfg, demands):
             vals = vals.withColumn(n, strict_int(n))
         elif a.cast == "date":
             vals = vals.withColumn(n, strict_date(n, cfg.date_formats))
-        vals = vals.distinct()
-        out.append((n, vals if a.required else with_null_rows(vals, demands.join(vals, "id_demanda", "left_anti"))))
+        out.append((n, vals.distinct()))
     return out
 
 
-def _derive(name: str, vals: DataFrame, cfg: DimensionConfig, scalars: DataFrame) -> DataFrame:
+def _derive(name: str, vals: DataFrame, cfg: DimensionConfig, scalars: DataFrame | None = None) -> DataFrame:
     """The report values a multi-valued attribute gives, distinct, computed before the fan-out.
 
     Codes whose two substrings coincide fold into one row here, and so do years that a demand has
@@ -162,7 +161,7 @@ def _derive(name: str, vals: DataFrame, cfg: DimensionConfig, scalars: DataFrame
         return vals.withColumn("ano_nup", strict_int(substr(name, 14, 4)))
     if name == "data_exec":
         return vals.withColumn("mes_exec", month_name(name, cfg.month_names))
-    if name == "ano_prev":
+    if name == "ano_prev" and scalars is not None:
         start = scalars.select("id_demanda", F.year("ini_prev").alias("ano_ini")).distinct()
         return vals.join(start, "id_demanda").select("id_demanda", F.coalesce(name, "ano_ini").alias(name)).distinct()
     return vals
@@ -231,8 +230,15 @@ def demand_dimension(
     df = df.join(stages.select("id_demanda", "nm_login_executor", "etapa"), "id_demanda")
     capture = existence_flag(tables, cfg.capture_from, cfg.capture_to, cfg.capture_label, cfg.stage_version)
     narrow = _narrow(df.join(capture, "id_demanda", "left"), cfg)
-    derived = [(n, _derive(n, vals, cfg, scalars)) for n, vals in roles]
-    out = fan_out(narrow, derived, cfg.fanout_rows_per_task)
+    if plan == "single_pass":
+        derived = [(n, _derive(n, vals, cfg, scalars)) for n, vals in roles]
+        out = fan_out(narrow, derived, cfg.fanout_rows_per_task)
+    else:
+        # the original shape: inner joins for required attributes, LEFT JOINs for the others, one key
+        out = narrow
+        for n, vals in roles:
+            out = out.join(_derive(n, vals, cfg), "id_demanda", "inner" if cfg.attributes[n].required else "left")
+        out = out.withColumn("ano_prev", F.coalesce("ano_prev", F.year("ini_prev"))).distinct().withColumn("cell", F.lit(0))
     completed = F.col("nm_status_demanda") == F.lit(cfg.completed_status)
     out = out.withColumn("mes_exec", F.when(completed, F.col("mes_exec")))
     if sort:

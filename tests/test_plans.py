@@ -43,9 +43,8 @@ def test_plans_agree_with_a_hot_demand(spark):
     assert a == b
     assert sum(n for r, n in b.items() if r[0] == 1) > 100
     # the same with the hot demand's fan-out split over many cells
-    for plan in ("single_pass", "per_attribute"):
-        split = demand_dimension(t, cfg.with_(fanout_rows_per_task=10), plan=plan, sort=False)
-        assert _bag(split) == a
+    split = demand_dimension(t, cfg.with_(fanout_rows_per_task=10), sort=False)
+    assert _bag(split) == a
 
 
 def test_hot_demands_get_a_grid(spark):
