@@ -2,7 +2,9 @@
 
 1. A lexicon is induced from a bounded sample of labelled training rows: words and word beginnings of
    three to eight letters whose documents are labelled toxic far more often than the others; of those,
-   the ones that cover the toxic texts at the least cost are chosen greedily.
+   the ones that cover the toxic texts at the least cost are chosen greedily, on equal evidence the
+   longest. A beginning stands for words not seen, so several telling words must share it, and more
+   of them a short one.
 2. Voters look at a document: one for each kind of entry (word or beginning) and grade of its log odds,
    patterns (two and three words with entries, entries dense in the text, exclamation, capitals) and
    one that votes against when no entry is there. A voter votes 1, 0 or abstains.
@@ -43,6 +45,8 @@ LEAST_GAIN = 2
 FALSE_COST = 2
 LEAST_RATIO = 8.0
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
+# So many telling words share a beginning at least; one of at most SHORT letters is common in other words too.
+LEAST_WORDS, SHORT, LEAST_WORDS_SHORT = 2, 4, 8
 GRADES = (5.0,)
 ABSTAIN = -1
 _WORD = re.compile(r"[^\W\d_]+")
@@ -57,6 +61,11 @@ def entries_of(words: set[str]) -> set[str]:
     return words.union(*({w[:k] + "-" for w in words if len(w) >= k} for k in BEGINNINGS))
 
 
+def entry_order(lexicon: dict[str, float]) -> list[str]:
+    """Strong entries first; of equal ones the longest, and a word before a beginning as long."""
+    return sorted(lexicon, key=lambda e: (-lexicon[e], -len(e.rstrip("-")), e.endswith("-"), e))
+
+
 def induce_lexicon(sample: DataFrame, entries: int = ENTRIES) -> dict[str, float]:
     """Entry: log odds, of at most ``entries`` entries; ``sample`` has text and label."""
 
@@ -70,11 +79,16 @@ def induce_lexicon(sample: DataFrame, entries: int = ENTRIES) -> dict[str, float
 
     totals = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
-    counted = sample.mapInPandas(count, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    summed = sample.mapInPandas(count, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (pos + 1) / ((F.col("neg") + 0.5) / (neg + 1)))
-    best = counted.where(F.col("pos") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") >= float(np.log(LEAST_RATIO)))
+    telling = saved(summed.where("pos >= 2").withColumn("odds", odds).where(F.col("odds") >= float(np.log(LEAST_RATIO))), "toxicity-entries")
+    beginning = F.col("entry").endswith("-")
+    starts = F.transform(F.lit(list(BEGINNINGS)), lambda k: F.when(F.length("entry") >= k, F.concat(F.substring("entry", F.lit(1), k), F.lit("-"))))
+    shared = telling.where(~beginning).select(F.explode(starts).alias("entry")).groupBy("entry").agg(F.count(F.lit(1)).alias("words"))
+    needed = F.when(F.length("entry") - 1 <= SHORT, LEAST_WORDS_SHORT).otherwise(LEAST_WORDS)
+    best = telling.where(F.col("pos") >= LEAST_DOCS).join(shared, "entry", "left").where(~beginning | (F.col("words") >= needed))
     # strong and frequent first: the log odds times the documents they tell apart
-    chosen = best.orderBy(F.desc(F.col("odds") * (F.col("pos") - F.col("neg"))), "entry").limit(entries)
+    chosen = best.orderBy(F.desc(F.col("odds") * (F.col("pos") - F.col("neg"))), F.desc(F.length("entry")), "entry").limit(entries)
     return {r["entry"]: r["odds"] for r in chosen.select("entry", "odds").collect()}
 
 
@@ -82,8 +96,8 @@ def choose_entries(order: list[str], has: np.ndarray, label: np.ndarray, weight:
     """The entries that cover the toxic texts, greedily: ``has[i, e]`` says text i has entry ``order[e]``.
 
     A toxic text counts half as much with each entry that covers it, so a word that only copies of one
-    text share gains little once better entries cover them; another text costs ``FALSE_COST``. Of
-    entries that begin alike, the first chosen stays alone.
+    text share gains little once better entries cover them; another text costs ``FALSE_COST``. Equal
+    gains are decided by ``order``. Of entries that begin alike, the first chosen stays alone.
     """
     toxic = label == 1
     value = np.where(toxic, weight, -FALSE_COST * weight) / weight[toxic].mean()
@@ -91,7 +105,7 @@ def choose_entries(order: list[str], has: np.ndarray, label: np.ndarray, weight:
     free = np.ones(len(order), dtype=bool)
     while free.any():
         gain = np.where(free, value @ has, -np.inf)
-        best = int(gain.argmax())
+        best = int((gain >= gain.max() - 1e-9).argmax())  # sums of equal evidence may differ by rounding
         if gain[best] < LEAST_GAIN:
             break
         chosen.append(order[best])
@@ -105,7 +119,7 @@ class Voters:
     """Votes and classifier features of a text, for a lexicon."""
 
     def __init__(self, lexicon: dict[str, float]):
-        self.order = sorted(lexicon, key=lambda e: (-lexicon[e], e))
+        self.order = entry_order(lexicon)
         self.place = {e: i for i, e in enumerate(self.order)}
         # a voter for each kind of entry (word or beginning) and grade of log odds
         self.kind = {e: 2 * sum(lexicon[e] >= g for g in GRADES) + e.endswith("-") for e in self.order}

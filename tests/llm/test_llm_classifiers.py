@@ -14,7 +14,7 @@ from dimweave.llm.common import table
 from dimweave.llm.ngram_join import similarity_groups
 from dimweave.llm.packing import lower_bound
 from dimweave.llm.queries import QUERIES
-from helpers import frame, odd_rows
+from helpers import frame, odd_rows, prose
 
 SF = "/root/testdata/sf0.1"
 needs_data = pytest.mark.skipif(not os.path.exists(SF), reason="no test data")
@@ -68,6 +68,38 @@ def test_labels_of_the_held_out_fold_are_not_learnt(spark):
     assert toxicity.train(docs, labels).prior == 0 and quality.train(docs, labels) is None
 
 
+INSULTS = "disgusting trash clown moron pathetic worthless idiot stupid scum".split()
+
+
+def _toxicity_model(spark):
+    # ordinary prose, and in every fourth training text two insults
+    kept = [i for i in range(1200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    bad = {i: f" {INSULTS[n % 9]} and {INSULTS[n * 5 % 7]}" for n, i in enumerate(kept[::4])}
+    docs = frame(spark, [(i, prose(i, 40) + bad.get(i, ""), "en", "s", 1) for i in kept])
+    return toxicity.train(docs, spark.createDataFrame([(i, 1, int(i in bad)) for i in kept], LABELS))
+
+
+def test_ordinary_words_that_begin_like_insults_are_clean(spark):
+    model = _toxicity_model(spark)
+    assert set(INSULTS) <= set(model.lexicon)  # the words, not their beginnings
+    clean = [
+        "We discuss the travel plan and close the path to more discovery.", "The distance and the traffic closed more paths for the morning travel.",
+        "An idea: students study the scuba course, worth more than a story on clothes.", "discuss travel close more path worth idea scuba stupor",
+    ]
+    toxic = [f"We discuss the travel plan, you {a} and {b}." for a, b in zip(INSULTS, INSULTS[1:])]
+    scores = toxicity._scorer(model)()(clean + toxic)
+    assert (scores[:len(clean)] < toxicity.CUT).all() and (scores[len(clean):] >= toxicity.CUT).all()
+
+
+def test_a_beginning_needs_words_that_share_it(spark):
+    stems = ["vilifying", "vilifier", "vilified", "vilifies"]
+    rows = [(f"{prose(i, 30)} {stems[i // 4 % 4]}" if i % 4 == 0 else f"{prose(i, 30)} villa visit", int(i % 4 == 0)) for i in range(400)]
+    found = toxicity.induce_lexicon(spark.createDataFrame(rows, "text string, label int"))
+    assert set(stems) <= set(found) and {"vilif-", "vilifi-"} <= set(found)  # several telling words
+    assert "vili-" not in found and "vilifyi-" not in found  # four short of eight words; one word alone
+    assert toxicity.entry_order({"cl-": 2.0, "clown": 2.0, "clown-": 2.0, "a": 3.0}) == ["a", "clown", "clown-", "cl-"]
+
+
 def test_label_model_discounts_correlated_voters():
     draw = np.random.default_rng(0)
     truth = draw.random(4000) < 0.2
