@@ -48,6 +48,8 @@ BEGINNINGS = (3, 4, 5, 6, 7, 8)
 # So many telling words share a beginning at least; one of at most SHORT letters is common in other words too.
 LEAST_WORDS, SHORT, LEAST_WORDS_SHORT = 2, 4, 8
 GRADES = (5.0,)
+# Capitals vote from this share of a text's letters on, if it has so many letters.
+CAPITALS, LEAST_LETTERS = 0.4, 20
 ABSTAIN = -1
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -61,6 +63,15 @@ def entries_of(words: set[str]) -> set[str]:
     return words.union(*({w[:k] + "-" for w in words if len(w) >= k} for k in BEGINNINGS))
 
 
+def shouted(text: str) -> bool:
+    """The text has letters enough, and many of all its letters are capitals."""
+    capitals = sum(map(str.isupper, text))
+    if capitals < CAPITALS * LEAST_LETTERS:
+        return False
+    letters = sum(map(str.isalpha, text))
+    return letters >= LEAST_LETTERS and capitals >= CAPITALS * letters
+
+
 def entry_order(lexicon: dict[str, float]) -> list[str]:
     """Strong entries first; of equal ones the longest, and a word before a beginning as long."""
     return sorted(lexicon, key=lambda e: (-lexicon[e], -len(e.rstrip("-")), e.endswith("-"), e))
@@ -145,7 +156,7 @@ class Voters:
             1 if whole >= 3 else ABSTAIN,
             1 if whole >= 0.02 * max(1, len(words)) and whole else ABSTAIN,
             1 if text.count("!") >= 0.02 * max(1, len(text)) and text else ABSTAIN,
-            1 if sum(map(str.isupper, text[::16])) >= 0.4 * max(1, len(text[::16])) and text else ABSTAIN,
+            1 if shouted(text) else ABSTAIN,
             ABSTAIN if found else 0,
         )
         votes[self.lexical:] = patterns

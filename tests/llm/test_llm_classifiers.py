@@ -100,6 +100,17 @@ def test_a_beginning_needs_words_that_share_it(spark):
     assert toxicity.entry_order({"cl-": 2.0, "clown": 2.0, "clown-": 2.0, "a": 3.0}) == ["a", "clown", "clown-", "cl-"]
 
 
+def test_capitals_are_counted_over_the_whole_text():
+    voters = toxicity.Voters({"scum": 5.0})
+    votes = lambda text: voters.look(text)[1][voters.lexical + 4]
+    quiet, loud = toxicity.ABSTAIN, 1
+    assert votes("By be in tothedouou and, oninly.") == quiet
+    assert votes("".join("A" + "b" * 15 for _ in range(20))) == quiet  # every sixteenth character
+    assert votes("".join("a" + "B" * 15 for _ in range(20))) == loud  # all but these
+    assert votes("STOP SHOUTING AT ALL OF US NOW") == loud and votes("S 1 2 3 O 4 5 S") == quiet
+    assert votes("") == quiet and votes("12 34 ! 56") == quiet and votes("READ " * 8 + "and so on " * 100) == quiet
+
+
 def test_label_model_discounts_correlated_voters():
     draw = np.random.default_rng(0)
     truth = draw.random(4000) < 0.2
