@@ -2,7 +2,8 @@
 
 A pre-token here is the coarsest cut no merge crosses: for a byte-level tokenizer an optional space
 and a run of other characters, or a run of white space; for one that drops white space, a run of
-other characters. ``UnitEncoder`` keeps the ids of the pre-tokens it has met as little-endian
+other characters. Special strings are split off first, as the library does, and are pre-tokens of
+their own. ``UnitEncoder`` keeps the ids of the pre-tokens it has met as little-endian
 unsigned 32-bit bytes, so a text's ids are joined from memory; what is not there is encoded by the
 tokenizers library: a plain word by the file's model alone, anything else by the whole tokenizer, many
 pre-tokens per call. The memory keeps pre-tokens of at most ``KEPT_CHARS``
@@ -64,13 +65,29 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.keeps_space = isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel)
         words = f"[^{SPACE}]+"
-        self.split = re.compile(f" ?{words}|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]" if self.keeps_space else words).findall
+        self.units = re.compile(f" ?{words}|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]" if self.keeps_space else words).findall
         self.separator = "\n" if self.keeps_space else " 0 "
         (self.separator_id,) = self.tokenizer.encode(self.separator.strip(" "), add_special_tokens=False).ids
-        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip or " " in t.content for t in added):
+            raise ValueError("special strings found by more than their characters")
+        self.special = tuple(sorted((t.content for t in added), key=len, reverse=True))
+        self.at_special = re.compile(f"({'|'.join(map(re.escape, self.special))})").split
         self.tokenize, self.space = self.tokenizer.model.tokenize, chr(_BYTE_SIGNS[32])
         self.known: dict[str, bytes] = {}
 
+    def split(self, text: str) -> list[str]:
+        """The pre-tokens of a text, special strings by themselves."""
+        if not any(s in text for s in self.special):
+            return self.units(text)
+        out: list[str] = []
+        for i, part in enumerate(self.at_special(text)):
+            if i % 2:
+                out.append(part)
+            else:
+                out += self.units(part)
+        return out
+
     def word(self, unit: str) -> bytes | None:
         """Ids of a plain word, or None: letters below U+0250, which no normalisation but case changes.
 

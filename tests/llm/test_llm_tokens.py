@@ -1,5 +1,6 @@
 """Tokenizer-based operators against the tokenizers library: packing, token files, token counts."""
 
+import itertools
 import zlib
 
 import numpy as np
@@ -39,6 +40,32 @@ def test_units_give_the_librarys_ids_on_any_text(path, text):
     assert np.frombuffer(next(CODERS[path].encode([text])), "<u4").tolist() == _ids(path, text)
 
 
+SPECIAL = ["<|endoftext|>", "<|startoftext|>"]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_special_strings_are_split_off_first(path):
+    texts = ["end.\n\n<|endoftext|>next", "a  <|endoftext|>  b", "<|endoftext|>\n\n<|endoftext|>", " <|endoftext|> \t", "x<|endoftext|><|startoftext|>y's", "<|endoftext", "<<|endoftext|>>\n\n|>"]
+    texts += ["".join(t) for t in itertools.product(["a", "b,", " "], ["\n\n", "\u3000 ", "", " "], SPECIAL, ["", " ", "\n\n", "É"], ["c", "<|", " "])]
+    assert [np.frombuffer(b, "<u4").tolist() for b in CODERS[path].encode(texts)] == [_ids(path, t) for t in texts]
+    if path == BYTES:
+        assert _ids(path, texts[0]) == [437, 13, 628, 50256, 19545]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([*SPECIAL, "\n", " ", "\n\n", "\u00a0", "ab", "'s", "É", "<|", "|>", "7"]), max_size=12).map("".join))
+def test_special_strings_in_any_text(path, text):
+    assert np.frombuffer(next(CODERS[path].encode([text])), "<u4").tolist() == _ids(path, text)
+
+
+def test_token_counts_of_special_strings(spark):
+    texts = ["end.\n\n<|endoftext|>next", "a  <|endoftext|>  b", "plain\n\nwords"]
+    for head in (0, 400_000):
+        out = count_tokens(frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]), BYTES, keep=["doc_id"], head=head)
+        assert {r["doc_id"]: r["n_tokens"] for r in out.collect()} == {i: len(_ids(BYTES, t)) for i, t in enumerate(texts)}
+
+
 def test_long_texts_and_full_memory_change_no_id(monkeypatch):
     monkeypatch.setattr(tokens, "CHUNK_CHARS", 200)
     monkeypatch.setattr(tokens, "MAX_UNITS", 50)
