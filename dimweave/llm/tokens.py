@@ -89,7 +89,8 @@ class UnitEncoder:
         return out
 
     def word(self, unit: str) -> bytes | None:
-        """Ids of a plain word, or None: letters below U+0250, which no normalisation but case changes.
+        """Ids of a plain word, or None: letters below U+0250, which no normalisation but case changes,
+        and which in lower case are letters still (U+0130 becomes an i and a mark, which is cut off).
 
         It is one piece to the tokenizer's expression, so the model alone gives its ids.
         """
@@ -98,6 +99,8 @@ class UnitEncoder:
             return None
         if not self.keeps_space:
             unit = unit.lower()
+            if not unit.isalpha():
+                return None
         coded = unit.replace(" ", self.space) if unit.isascii() else unit.encode().decode("latin-1").translate(_BYTE_SIGNS)
         return array("I", [t.id for t in self.tokenize(coded)]).tobytes()
 

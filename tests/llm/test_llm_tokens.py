@@ -40,6 +40,15 @@ def test_units_give_the_librarys_ids_on_any_text(path, text):
     assert np.frombuffer(next(CODERS[path].encode([text])), "<u4").tolist() == _ids(path, text)
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_words_of_every_letter_the_model_is_given_alone(path):
+    letters = [c for c in map(chr, range(0x250)) if c.isalpha()]
+    texts = ["İstanbul", "DİYARBAKIR'da İzmir, İ.", *(f"{c} a{c}b {c}n{c}, O{c}{c}" for c in letters)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in CODERS[path].encode(texts)] == [_ids(path, t) for t in texts]
+    if path == WORDS:
+        assert _ids(path, "İstanbul") == [328, 16384, 11231]
+
+
 SPECIAL = ["<|endoftext|>", "<|startoftext|>"]
 
 
