@@ -8,8 +8,9 @@ That depends on the k words alone, so the same passage yields the same anchors w
 common hashes among the smallest ``size`` of both together, an estimate of the Jaccard coefficient of
 their anchor sets.
 
-Edge cases: a NULL text is empty. A text of fewer than ``k`` words has one anchor, the hash of its
-words; one without words has none and an empty fingerprint. Two empty fingerprints have likeness 1, an
+Edge cases: a NULL text is empty. A text of fewer than ``k`` words, or without a closed syncmer (it may
+have exactly ``k`` words), has one anchor, the hash of its words; one without words has none and an
+empty fingerprint. Two empty fingerprints have likeness 1, an
 empty and another one 0. Equal texts have equal fingerprints. Repeated rows are kept. In
 ``edited_fingerprints`` rows are ordered by key, NULL keys last, equal keys by text; with one row the
 next document is the row itself. An empty table gives an empty result. Input columns other than the
@@ -51,7 +52,7 @@ def _closed(mers: Column, i: Column, k: int, s: int) -> Column:
 
 
 def _syncmers(text: Column, k: int, s: int, item) -> Column:
-    """``item(position, hash)`` of every closed syncmer, in order of position."""
+    """``item(position, hash)`` of every closed syncmer, in order of position; of a text with words but none, of all its words."""
     if not 1 <= s < k:
         raise ValueError("1 <= s < k")
 
@@ -62,7 +63,8 @@ def _syncmers(text: Column, k: int, s: int, item) -> Column:
 
         s_mers = words if s == 1 else F.transform(_positions(words, s), lambda i: F.xxhash64(*(words[i + j] for j in range(s))))
         few = F.filter(F.array(item(F.lit(0), F.xxhash64(words))), lambda _: F.size(words) > 0)
-        return F.when(F.size(words) < k, few).otherwise(_bound(s_mers, of_mers))
+        found = _bound(_bound(s_mers, of_mers), lambda chosen: F.when(F.size(chosen) == 0, few).otherwise(chosen))
+        return F.when(F.size(words) < k, few).otherwise(found)
 
     return _bound(_word_hashes(text), of_words)
 

@@ -1,6 +1,7 @@
 """Fingerprints and mixing against plain Python."""
 
 import hashlib
+import itertools
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -26,6 +27,21 @@ def test_closed_syncmers_match_brute_force(spark):
             assert [a["pos"] for a in r["a"]] == want
 
 
+def test_every_text_with_words_has_an_anchor(spark):
+    names = "stone river field light paper house".split()
+    texts = [" ".join(t) for t in itertools.permutations(names, 3)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    h = F.transform(F.split("t", " "), lambda w: F.xxhash64(w))
+    rows = df.select("t", h.alias("h"), anchors(F.col("t")).alias("a"), sketch(F.col("t")).alias("s"), fingerprint(sketch(F.col("t"))).alias("f")).collect()
+    least = {min(range(3), key=r["h"].__getitem__) for r in rows}
+    assert least == {0, 1, 2}  # texts of both kinds: a closed syncmer, and none (the middle word is the smallest)
+    assert all([a["pos"] for a in r["a"]] == [0] and len(r["f"]) == 8 for r in rows)
+    assert len({r["f"] for r in rows}) == len(texts)
+    pairs = df.crossJoin(df.withColumnRenamed("t", "u")).unionByName(df.withColumn("u", F.lit("")))
+    near = pairs.select((F.col("t") == F.col("u")).alias("same"), likeness(sketch(F.col("t")), sketch(F.col("u"))).alias("l")).collect()
+    assert all(r["l"] == float(r["same"]) for r in near)
+
+
 def test_anchors_are_free_of_context(spark):
     passage = prose(9, 40)
     df = spark.createDataFrame([(passage,), (f"{prose(10, 7)} {passage} {prose(11, 5)}",)], "t string")
