@@ -20,8 +20,10 @@ def _least(edges: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """``node, component`` (smallest node reachable) of every node in ``links`` (a, b); alternating large and small stars.
 
-    Loops, repeated links and links in both directions are fine; NULL ends are left out. Every round
-    writes its edges, so no lineage grows and a lost executor costs one round at most.
+    Loops, repeated links and links in both directions are fine; NULL ends are left out; without links the
+    result is empty. Every round writes its edges, so no lineage grows and a lost executor costs one round
+    at most. The rounds needed grow with the logarithm of the nodes; edges that have not settled after
+    ``rounds`` raise an error, so no link is ever lost silently.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = saved(edges, "edges")
@@ -36,5 +38,7 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if state == seen:
             break
         seen = state
+    else:
+        raise RuntimeError(f"the components have not settled after {rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

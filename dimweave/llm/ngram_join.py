@@ -36,13 +36,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dimweave.llm.common import at_most, saved, text_of
 from dimweave.llm.components import connected_components
+from dimweave.llm.similarity import enough, links_of, needed, rows_with_groups, shingles, texts_of
 
 WORDS = 5
 PERCENT = 80
@@ -51,35 +51,8 @@ COMMON_FROM = 8
 LONG = 64
 REPEATS = 2
 CHUNK = 32
-SIEVE_BITS = 1 << 26
 _LOCAL = 2
 _STRETCH = 2_000_000
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingles(text: str, words: int = WORDS) -> np.ndarray:
-    """Distinct shingle hashes, ascending; bytes.lower and bytes.split know A-Z and \\x20, \\x09-\\x0D only."""
-    found = text.encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.zeros(0, dtype="u8")
-    hashed = np.fromiter(map(xxhash.xxh64_intdigest, found), dtype="u8", count=len(found))
-    k = min(words, len(found))
-    n = len(found) - k + 1
-    rolled = np.full(n, k, dtype="u8")
-    for j in range(k):
-        rolled = rolled * _FACTOR + hashed[j:j + n]
-    return np.unique(_mixed(rolled))
-
-
-def needed(size: int, percent: int) -> int:
-    """Common shingles that a set of ``size`` must have with any set it links with."""
-    return -(-percent * size // 100)
 
 
 def _sets(docs: DataFrame, key: str, text_col: str, words: int) -> DataFrame:
@@ -118,11 +91,6 @@ def _sets(docs: DataFrame, key: str, text_col: str, words: int) -> DataFrame:
     return out.withColumn("key", F.when(~F.col("none"), F.col("key")))
 
 
-def enough(size_a, size_b, percent: int):
-    """Common shingles that make sets of these sizes link (numbers, arrays or columns)."""
-    return -(-percent * (size_a + size_b) // (100 + percent))
-
-
 def _index(docs: DataFrame, key: str, text_col: str, words: int, percent: int, last: np.ndarray) -> DataFrame:
     """``shingle, class, at``: every class under its first shingles in the common order.
 
@@ -200,78 +168,6 @@ def _followers(index: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInPandas(read, "shingle long, class long, at long, lead long, fits boolean, many boolean")
 
 
-def _texts_of(docs: DataFrame, key: str, text_col: str, keys: DataFrame) -> DataFrame:
-    """``text_key, text`` of the rows whose key is in ``keys`` (one column), written.
-
-    The texts are sieved where they lie by a bit table of the keys' hashes, of ``SIEVE_BITS`` bits
-    whatever the number of keys, so only wanted texts (and a few others) are shuffled to the join.
-    """
-    spark = docs.sparkSession
-    (name,) = keys.columns
-    wanted = saved(keys.distinct().withColumnRenamed(name, "wanted_key"), "wanted")
-    hashed = F.xxhash64("wanted_key")
-    word = F.pmod(hashed, F.lit(SIEVE_BITS // 64))
-    bits = wanted.select(word.alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(xxhash64(wanted_key), 58) AS int))").alias("bit"))
-    filled = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    sieve = np.zeros(SIEVE_BITS // 64, dtype="u8")
-    sieve[filled["word"].to_numpy(dtype="i8")] = filled["bits"].to_numpy(dtype="i8").view("u8")
-    held = spark.sparkContext.broadcast(sieve)
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = held.value
-        for batch in batches:
-            h = batch.column(2).to_numpy(zero_copy_only=False)
-            bit = table[h % len(table)] >> (h.view("u8") >> np.uint64(58))
-            yield batch.filter(pa.array((bit & np.uint64(1)).astype(bool)))
-
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("text_key"), text_of(text_col).alias("text"), F.xxhash64(key).alias("h"))
-    sifted = rows.mapInArrow(sift, rows.schema).drop("h")
-    return saved(sifted.join(wanted, F.col("text_key") == F.col("wanted_key")).drop("wanted_key"), "texts")
-
-
-def _linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b, key_a, key_b) of classes whose representatives' texts link."""
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name_b = own_b = None
-        for batch in batches:
-            a, b = [], []
-            for x, y, text_a, text_b in zip(*batch.columns):
-                x, y = x.as_py(), y.as_py()
-                own_a = shingles(text_a.as_py(), words)
-                if y != name_b or own_b is None:
-                    own_b = shingles(text_b.as_py(), words)
-                name_b = None
-                if any(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63) != c for own, c in ((own_a, x), (own_b, y))):
-                    continue  # another row with the representative's key
-                name_b = y
-                common = len(np.intersect1d(own_a, own_b, assume_unique=True))
-                if 100 * common >= percent * (len(own_a) + len(own_b) - common):
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    first = pairs.join(texts.withColumnRenamed("text", "text_a"), F.col("key_a") == F.col("text_key")).drop("text_key")
-    both = first.join(texts.withColumnRenamed("text", "text_b"), F.col("key_b") == F.col("text_key"))
-    return saved(both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), "links")
-
-
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link, written."""
-    named = saved(_with_classes(pairs, classes, percent), "pairs")
-    keys = named.select(F.col("key_a").alias("k")).unionByName(named.select(F.col("key_b").alias("k")))
-    return _linked(named, _texts_of(docs, key, text_col, keys), words, percent)
-
-
-def _with_classes(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) with representatives' keys, where the set sizes allow a link."""
-    for side in "ab":
-        named = classes.select(F.col("class").alias(side), F.col("key").alias(f"key_{side}"), F.col("n").alias(f"n_{side}"))
-        pairs = pairs.join(named, side)
-    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return pairs.where(fits)
-
-
 def _across_groups(followers: DataFrame, groups: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text_col: str, words: int, percent: int) -> DataFrame:
     """(a, b) of classes in different groups that the token-group matrix leaves to be compared."""
     group = F.coalesce("component", "class")
@@ -297,7 +193,7 @@ def _across_groups(followers: DataFrame, groups: DataFrame, classes: DataFrame,
     chunk = F.pmod(F.xxhash64("class"), F.ceil(F.col("count") / CHUNK)).cast("int")
     members = members.join(sizes, "group").select("class", "group", chunk.alias("chunk"))
     keyed = saved(members.join(classes, "class"), "members")
-    texts = _texts_of(docs, key, text_col, keyed.select("key"))
+    texts = texts_of(docs, key, text_col, keyed.select("key"))
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -338,22 +234,16 @@ def similarity_groups(docs: DataFrame, key: str = "doc_id", text_col: str = "tex
             break
         last = np.union1d(last, more)
     stars = followers.where("fits").select(F.col("class").alias("a"), F.col("lead").alias("b")).distinct()
-    links = _links(stars, classes, docs, key, text_col, words, percent)
+    links = links_of(stars, classes, docs, key, text_col, words, percent)
     groups = saved(connected_components(links), "groups")
 
     more = saved(_across_groups(followers, groups, classes, docs, key, text_col, words, percent), "opened")
     if not more.isEmpty():
-        found = _links(more.distinct(), classes, docs, key, text_col, words, percent)
+        found = links_of(more.distinct(), classes, docs, key, text_col, words, percent)
         members = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
         groups = saved(connected_components(members.unionByName(found)), "groups")
 
-    grouped = classes.join(groups, classes["class"] == groups["node"], "left").select("class", "n", "key", F.coalesce("component", "class").alias("group"))
-    # groups are small next to the rows: first one key per group, then one row per class
-    heads = grouped.groupBy("group").agg(F.min("key").alias("component_id"))
-    named = saved(grouped.join(heads, "group").select("class", "n", "component_id"), "components")
-    out = rows.join(named, ["class", "n"], "left")
-    own = F.when(F.col("key").isNull(), None).otherwise(F.coalesce("component_id", "key"))
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return rows_with_groups(rows, classes, groups, key)
 
 
 def one_of_each_group(docs: DataFrame, key: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

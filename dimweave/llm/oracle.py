@@ -25,4 +25,39 @@ SELECT page_id, host, path, rule, CASE
 FROM ruled
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_url_filter": _OP7}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _similar(words: int, percent: int, more: str = "") -> str:
+    """All pairs that share a shingle, their exact coefficient, and the components by a recursive query."""
+    shingle = " || ' ' || ".join(f"w[i + {j}]" for j in range(words))
+    return f"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {words - 2}), lambda i: {shingle}) END) AS s
+  FROM split),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b
+  FROM flat x JOIN flat y ON x.shingle = y.shingle AND x.doc_id < y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n
+  HAVING 100 * count(*) >= {percent} * (x.n + y.n - count(*))),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (
+  SELECT doc_id, doc_id FROM sets
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN ways l ON r.b = l.a),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id{more}
+FROM sets JOIN least ON sets.doc_id = least.doc_id
+"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_join": _similar(5, 80),
+    "op7_url_filter": _OP7,
+    "op13_super_minhash": _similar(3, 85, ", sets.doc_id = component_id AS kept"),
+}

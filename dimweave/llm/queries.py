@@ -15,6 +15,7 @@ from dimweave.llm.mixing import mix
 from dimweave.llm.neighbours import nearest
 from dimweave.llm.ngram_join import similarity_groups
 from dimweave.llm.packing import pack_documents
+from dimweave.llm.superminhash import near_duplicates
 from dimweave.llm.token_counts import count_tokens
 from dimweave.llm.token_files import read_token_files, write_token_files
 from dimweave.llm.urls import UrlRule, judge_urls
@@ -89,6 +90,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op13_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -100,4 +105,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
+    "op13_super_minhash": op13_super_minhash,
 }
