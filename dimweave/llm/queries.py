@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dimweave.llm import quality, toxicity
+from dimweave.llm.collocations import collocations
 from dimweave.llm.common import is_training_row, scratch_path, table
 from dimweave.llm.fingerprints import edited_fingerprints
 from dimweave.llm.mixing import mix
@@ -19,6 +20,7 @@ from dimweave.llm.superminhash import near_duplicates
 from dimweave.llm.token_counts import count_tokens
 from dimweave.llm.token_files import read_token_files, write_token_files
 from dimweave.llm.urls import UrlRule, judge_urls
+from dimweave.llm.variants import count_words, variant_forms
 
 # Fixed rules of the url query, and two patterns of the method's own for urls no rule fits.
 URL_RULES = (
@@ -90,6 +92,14 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_forms(count_words(table(spark, sf_dir, "documents"), least=7, one_in=31).where("n >= 2"), ratio=10)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -105,5 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_collocations": op12_collocations,
     "op13_super_minhash": op13_super_minhash,
 }

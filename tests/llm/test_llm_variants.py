@@ -1,0 +1,93 @@
+"""Spelling variants against brute force over all pairs of words."""
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from dimweave.llm.variants import count_words, damaged, near_words, signatures_of, variant_forms
+from helpers import frame, odd_rows
+
+
+def _near(a, b):
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+
+def _vocabulary(seed, count):
+    draw = random.Random(seed)
+    parts = ["th", "ing", "er", "an", "ed", "é", "ou", "Ü", "a", "ÿ"]
+    words = {"".join(draw.choice(parts) for _ in range(draw.randrange(4, 8))) for _ in range(count)}
+    for w in sorted(words):
+        at = draw.randrange(len(w))
+        words.add(draw.choice([w[:at] + w[at + 1:], w[:at] + draw.choice("aeiouéÿ") + w[at:], w[:at] + draw.choice("xyzÀ") + w[at + 1:]]))
+    return {w: int(2 * 10 ** draw.uniform(0, 5)) for w in sorted(words) if len(w) >= 2}
+
+
+def _brute(counts, ratio=10):
+    near = {w: [o for o in counts if _near(w, o)] for w in counts}
+    form = {}
+    for w, n in counts.items():
+        best = min(near[w], key=lambda o: (-counts[o], o), default=None)
+        form[w] = best if best is not None and counts[best] >= ratio * n else None
+    out = set()
+    for w, n in counts.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        out.add((w, form[w], root, n, len(near[w]), counts[form[w]] if form[w] else None))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_words_share_a_signature(seed):
+    words = sorted(_vocabulary(seed, 250))
+    made = signatures_of(words)
+    half = made.shape[1] // 2
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            if _near(a, b) and len(a) <= len(b):
+                other = made[j, half:] if len(b) > len(a) else made[j, :half]
+                assert set(made[i, :half]) & set(other), (a, b)
+    assert signatures_of([]).shape[0] == 0
+
+
+def test_forms_match_brute_force(spark):
+    counts = _vocabulary(3, 500)
+    counts |= {"aaaaaaa": 100_000, "aaaaaab": 10_000, "aaaaabb": 1_000, "aaaabbb": 100, "aaabbbb": 10, "aabbbbb": 9, "aaaaaac": 10_000, "aaaaaad": 10_001}
+    words = spark.createDataFrame(list(counts.items()), "word string, n long").withColumn("other", F.lit("x")).repartition(5)
+    out = variant_forms(words)
+    assert out.columns == ["word", "form", "root", "n", "n_near", "form_n"]
+    got = {tuple(r) for r in out.collect()}
+    assert got == _brute(counts)
+    roots = {r[0]: r[2] for r in got}
+    assert roots["aaabbbb"] == "aaaaaaa" and roots["aabbbbb"] == "aabbbbb"
+    assert variant_forms(words.limit(0)).collect() == [] and near_words(words.limit(0)).collect() == []
+    lone = variant_forms(words.where("word = 'aaaaaaa'")).collect()
+    assert [tuple(r) for r in lone] == [("aaaaaaa", None, "aaaaaaa", 100_000, 0, None)]
+
+
+def test_words_are_counted_whole(spark):
+    draw = random.Random(4)
+    texts = [" ".join(draw.choice(["thinking", "Straße", "THINKING", "x1thinkings9", "ÜBERALLES", "short", "l'élémentaire"]) for _ in range(60)) for _ in range(80)]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)] + odd_rows() + odd_rows()
+    want = Counter()
+    for key, text, *_ in rows:
+        for run in re.findall(r"[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
+            if h % 31 == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            want[run] += len(run) >= 7
+    got = {r["word"]: r["n"] for r in count_words(frame(spark, rows).repartition(4), one_in=31).collect()}
+    assert got == {w: n for w, n in want.items() if n}
+    assert any(damaged(w, str(i), 31) != w for w in ("thinking", "überalles") for i in range(80))
+    assert damaged("thinking", "1", 0) == "thinking"
+    assert count_words(frame(spark, [])).collect() == []
