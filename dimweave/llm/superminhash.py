@@ -11,10 +11,14 @@
    (coefficient ``percent`` or more) meet in some list, but for a chance of 3 in 10 million at 0.85 (less
    above).
 3. In each list the first set leads and every other one is compared with it, on the full sets of shingles.
-   The links give groups. Lists that still hold several groups go on: the next sets lead, three, twelve,
-   forty-eight and so on at a time, and are compared with the later sets of other groups, until a list is
-   one group or all its pairs are compared. So no pair of a list is left out that could join two groups,
-   and a family of copies costs its length a few times, not its square.
+   The links give groups. The sets of lists that still hold several groups may link across them. They
+   are listed again, under their rarest shingles: under so many that two linked sets share one of them, and
+   with their places, which bound how much two sets can have in common from there on. (The ``COMMON`` most
+   frequent shingles among these sets count as frequent, the others as rare; any order gives the same links.)
+   Variants of one text that lie just below the limit differ in rare shingles, so few of their pairs pass.
+   In the lists of shingles the first four sets lead, then the next sixteen, and so on: each is compared
+   with the later sets of other groups that the bound lets through, until a list is one group or all its
+   pairs are compared or ruled out. No pair is left out that could join two groups.
 4. Union-find runs as connected components over the verified links.
 
 Edge cases: a text with fewer words than a shingle is one shingle of all of them. NULL and empty texts and
@@ -27,7 +31,7 @@ looked at, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,15 +39,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dimweave.llm.common import saved, ship_package, text_of
+from dimweave.llm.common import at_most, saved, ship_package, text_of
 from dimweave.llm.components import connected_components
-from dimweave.llm.similarity import links_of, mixed, rows_with_groups, shingles
+from dimweave.llm.similarity import enough, links_of, mixed, needed, rows_with_groups, shingles, texts_of
 
 WORDS = 3
 PERCENT = 85
 BANDS = 32
 ROWS = 6
 BLOCK = 8192
+COMMON = 1_000_000
+COMMON_FROM = 8
 _SEEN = 1_000_000
 _FRACTION = np.uint64(48)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -128,27 +134,73 @@ def _look(docs: DataFrame, key: str, text_col: str, words: int) -> DataFrame:
     return out.withColumn("key", F.when(~F.col("none"), F.col("key"))).drop("none")
 
 
-def _next_pairs(lists: DataFrame, first: int, after: int) -> DataFrame:
-    """(a, b): in each list (list, class, group), its sets at places ``first`` to ``after``, the later sets of other groups.
+def _frequent(texts: DataFrame, words: int) -> np.ndarray:
+    """The shingles found in ``COMMON_FROM`` texts or more, at most ``COMMON`` of them; counted where the texts lie first."""
 
-    A list comes sorted and is read once as a stream; only its leaders are held.
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = [shingles(t, words) for t in batch["text"]]
+            shingle, times = np.unique(np.concatenate([np.zeros(0, dtype="u8"), *own]), return_counts=True)
+            often = times > 1
+            yield pd.DataFrame({"shingle": shingle[often].view("i8"), "times": times[often]})
+
+    counted = texts.select("text").mapInPandas(look, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
+    often = at_most(saved(counted.where(F.col("times") >= COMMON_FROM), "common"), "times", COMMON)
+    return np.sort(often.select("shingle").toPandas()["shingle"].to_numpy(dtype="i8").view("u8"))
+
+
+def _rare_lists(members: DataFrame, docs: DataFrame, key: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """``list, class, at``: each of ``members`` (class, key) under its first shingles, the rare ones before the frequent ones.
+
+    ``at`` is the set's size (upper half) and the shingle's place in its order (lower half).
+    """
+    texts = texts_of(docs, key, text_col, members.select("key"))
+    last = docs.sparkSession.sparkContext.broadcast(_frequent(texts, words))
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        late = last.value
+        for batch in batches:
+            found, names, at = [], [], []
+            for text, name in zip(batch["text"], batch["class"]):
+                own = shingles(text, words)
+                if xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63) != name:
+                    continue  # another row with the representative's key
+                first = len(own) - needed(len(own), percent) + 1
+                often = np.isin(own, late, assume_unique=True)
+                found.append(np.concatenate([own[~often], own[often]])[:first])
+                names.append(name)
+                at.append((len(own) << 32) + np.arange(first))
+            if found:
+                yield pd.DataFrame({"list": np.concatenate(found).view("i8"), "class": np.repeat(names, [len(f) for f in found]), "at": np.concatenate(at)})
+
+    keyed = members.join(texts, F.col("key") == F.col("text_key")).select("class", "text")
+    return keyed.mapInPandas(look, "list long, class long, at long")
+
+
+def _next_pairs(lists: DataFrame, first: int, after: int, percent: int) -> DataFrame:
+    """(a, b): in each list (list, class, at, group), its sets at places ``first`` to ``after`` with later sets of other groups.
+
+    Left out are pairs that cannot have enough in common after their places in ``at``. A list comes sorted
+    and is read once as a stream; only its leaders are held.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, place, leaders = None, 0, []
         for batch in batches:
             found_a, found_b = [], []
-            name, node, group = (batch[c].to_numpy() for c in ("list", "class", "group"))
+            name, node, group, at = (batch[c].to_numpy() for c in ("list", "class", "group", "at"))
+            size, left = at >> 32, (at >> 32) - (at & 0xFFFFFFFF)
             starts = np.flatnonzero(np.r_[True, name[1:] != name[:-1]]) if len(name) else []
             for start, end in zip(starts, [*starts[1:], len(name)]):
                 if name[start] != now:
                     now, place, leaders = name[start], 0, []
-                nodes, groups = node[start:end], group[start:end]
-                for i in range(max(0, first - place), min(len(nodes), after - place)):
-                    leaders.append((place + i, nodes[i], groups[i]))
+                own = slice(start, end)
+                nodes, groups, sizes, rest = node[own], group[own], size[own], left[own]
+                leaders += [(place + i, nodes[i], groups[i], sizes[i], rest[i]) for i in range(max(0, first - place), min(len(nodes), after - place))]
                 places = place + np.arange(len(nodes))
-                for at, leader, own in leaders:
-                    other = nodes[(groups != own) & (places > at)]
+                for where, leader, its_group, its_size, its_rest in leaders:
+                    fits = np.minimum(rest, its_rest) >= enough(sizes, its_size, percent)
+                    other = nodes[(groups != its_group) & (places > where) & fits]
                     found_a.append(other)
                     found_b.append(np.full(len(other), leader))
                 place += len(nodes)
@@ -158,28 +210,37 @@ def _next_pairs(lists: DataFrame, first: int, after: int) -> DataFrame:
     return lists.repartition("list").sortWithinPartitions("list", "class").mapInPandas(read, "a long, b long")
 
 
-def groups_of_lists(lists: DataFrame, links) -> DataFrame:
-    """``node, component`` of the classes that link, where ``links(pairs)`` gives the pairs (a, b) that do.
+def _grouped(lists: DataFrame, groups: DataFrame, least_size: int) -> DataFrame:
+    """The rows of the lists that hold several groups and at least ``least_size`` classes, with ``group``; written."""
+    named = lists.join(groups.withColumnRenamed("node", "class"), "class", "left")
+    named = named.select(*lists.columns, F.coalesce("component", "class").alias("group"))
+    several = named.groupBy("list").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("size"))
+    several = several.where((F.col("low") != F.col("high")) & (F.col("size") >= least_size)).select("list")
+    return saved(named.join(several, "list"), "mixed-lists")
 
-    ``lists`` (list, class) holds distinct rows. Every pair of a list is compared unless its two classes
-    are known to be in one group.
-    """
-    head = lists.groupBy("list").agg(F.min("class").alias("b"), F.count("*").alias("size")).where("size > 1")
-    shared = saved(lists.join(head.select("list", "b"), "list"), "lists")
-    found = links(shared.where("class <> b").select(F.col("class").alias("a"), "b").distinct())
-    groups = saved(connected_components(found), "groups")
-    first, many = 1, 3
+
+def _joined(groups: DataFrame, found: DataFrame) -> DataFrame:
+    members = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return saved(connected_components(members.unionByName(found)), "groups")
+
+
+def groups_of_leaders(lists: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``node, component`` by the links of each list's classes with its first; ``links(pairs)`` gives the pairs (a, b) that do."""
+    head = lists.groupBy("list").agg(F.min("class").alias("b"), F.count("*").alias("size")).where("size > 1").select("list", "b")
+    pairs = lists.join(head, "list").where("class <> b").select(F.col("class").alias("a"), "b").distinct()
+    return saved(connected_components(links(pairs)), "groups")
+
+
+def groups_across(lists: DataFrame, groups: DataFrame, links: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """``groups`` joined by the links between classes of one list (list, class, at) that lie in different groups."""
+    first, many, shared = 0, 4, lists
     while True:
-        named = shared.select("list", "class").join(groups.withColumnRenamed("node", "class"), "class", "left")
-        named = named.select("list", "class", F.coalesce("component", "class").alias("group"))
-        several = named.groupBy("list").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("size"))
-        several = several.where((F.col("low") != F.col("high")) & (F.col("size") > first + 1)).select("list")
-        shared = saved(named.join(several, "list"), "mixed-lists")
+        shared = _grouped(shared.select(*lists.columns), groups, first + 2)
         if shared.isEmpty():
             return groups
-        found = links(_next_pairs(shared, first, first + many).distinct())
-        members = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        groups = saved(connected_components(members.unionByName(found)), "groups")
+        pairs = saved(_next_pairs(shared, first, first + many, percent).distinct(), "across")
+        if not pairs.isEmpty():
+            groups = _joined(groups, links(pairs))
         first, many = first + many, 4 * many
 
 
@@ -190,6 +251,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
     rows = looked.select("key", "n", "class")
     classes = saved(rows.where("n > 0 AND key IS NOT NULL").groupBy("class", "n").agg(F.min("key").alias("key")), "classes")
     lists = looked.where("bands IS NOT NULL").select("class", F.explode("bands").alias("list")).distinct()
-    groups = groups_of_lists(lists, lambda pairs: links_of(pairs, classes, docs, key, text_col, words, percent))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        return links_of(pairs, classes, docs, key, text_col, words, percent)
+
+    lists = saved(lists, "lists")
+    groups = groups_of_leaders(lists, links)
+    members = _grouped(lists, groups, 2).select("class").distinct()
+    members = saved(members.join(classes.select("class", "key"), "class"), "members")
+    if not members.isEmpty():
+        rare = saved(_rare_lists(members, docs, key, text_col, words, percent), "rare-lists")
+        groups = groups_across(rare, groups, links, percent)
     out = rows_with_groups(rows, classes, groups, key)
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))

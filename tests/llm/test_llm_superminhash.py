@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from dimweave.llm import superminhash
 from dimweave.llm.components import connected_components
 from dimweave.llm.similarity import shingles
-from dimweave.llm.superminhash import bands, groups_of_lists, near_duplicates, signatures
+from dimweave.llm.superminhash import bands, groups_across, groups_of_leaders, near_duplicates, signatures
 from helpers import frame, odd_rows, prose
 
 
@@ -92,7 +92,8 @@ def test_lists_are_compared_until_nothing_is_left(spark, seed):
         return turned.join(hit, ["a", "b"]).select("a", "b")
 
     df = spark.createDataFrame([(k, n) for k, n in lists], "list long, class long")
-    got = {r["node"]: r["component"] for r in groups_of_lists(df, links).collect()}
+    whole = df.withColumn("at", F.lit(100 << 32))  # a bound that lets every pair through
+    got = {r["node"]: r["component"] for r in groups_across(whole, groups_of_leaders(df, links), links, 85).collect()}
     met = {(a, b) for a, b in true if any((k, a) in lists and (k, b) in lists for k in range(6))}
     want = _groups(range(60), met)
     assert {n: got.get(n, n) for n in range(60)} == want
@@ -127,7 +128,9 @@ def _family(seed, size, words, edits):
     return out + [out[0], out[-1].upper()]  # exact copies, and A-Z folded
 
 
-def test_groups_match_brute_force(spark):
+@pytest.mark.parametrize("common_from", [2, 8])
+def test_groups_match_brute_force(spark, monkeypatch, common_from):
+    monkeypatch.setattr(superminhash, "COMMON_FROM", common_from)
     texts = [t for f in range(8) for t in _family(f, 15, 100, 7)] + _family(90, 60, 60, 6) + [prose(s, 8) for s in range(30)]
     texts += ["a b", "A  b", "a\tb\n", "a b c", "É b c", "é b c", "", None, " \n", "x " * 4000]
     draw = random.Random(5)
