@@ -136,6 +136,7 @@ class DimensionConfig:
     ``date_formats``     formats of date values stored as text, tried in order after ISO
     ``holidays``         dates subtracted by the business-day count
     ``fanout_rows_per_task`` output rows of one demand above which its fan-out is split
+    ``fanout_block``     values of one role in one demand above which they are cut into blocks
     """
 
     version: object = SOURCE_VERSION
@@ -157,6 +158,7 @@ class DimensionConfig:
     as_of: dt.datetime | None = None
     holidays: tuple = ()
     fanout_rows_per_task: int = 2_000_000
+    fanout_block: int = 8192
 
     def __post_init__(self):
         missing = [r for r in ROLES if r not in self.attributes]

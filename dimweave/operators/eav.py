@@ -36,7 +36,8 @@ def eav_rows(tables: DemandTables, ids: Iterable, demands: DataFrame | None = No
     """Value rows of the attributes ``ids``: id_demanda, id_dado, id_dado_valor, dt_cadastro, nm_valor.
 
     With ``demands`` only rows of those demands are kept (a left-semi join, so a demand listed
-    twice does not double its rows).
+    twice does not double its rows). The bridge is reduced to them first, so rows of other demands never
+    reach the shuffle by value id.
     """
     hit = id_filter(ids)
     if tables.id_dado_on_bridge:
@@ -45,10 +46,9 @@ def eav_rows(tables: DemandTables, ids: Iterable, demands: DataFrame | None = No
     else:
         bridge = tables.demanda_dado.select("id_demanda", "id_dado_valor", "dt_cadastro")
         value = tables.dado_valor.where(hit).select("id_dado_valor", "id_dado", "nm_valor")
-    rows = bridge.join(value, "id_dado_valor")
     if demands is not None:
-        rows = rows.join(demands.select("id_demanda"), "id_demanda", "left_semi")
-    return rows.select(*ROW_COLUMNS)
+        bridge = bridge.join(demands.select("id_demanda"), "id_demanda", "left_semi")
+    return bridge.join(value, "id_dado_valor").select(*ROW_COLUMNS)
 
 
 def latest_order() -> list[Column]:

@@ -3,7 +3,7 @@
 ``latest_values`` folds the attribute rows of the kept demands to one row per (demand, attribute,
 value) with its newest time and value id. Spark folds partially in each map task, so a demand with a
 third of all rows sends its distinct values, not its rows. Everything else reads that table: scalar
-picks are one ``groupBy('id_demanda')``, a multi-valued role is a filter and a ``distinct``.
+picks are one ``groupBy('id_demanda')``, the multi-valued roles' lists one grouping by demand and cell.
 
 Value text is parsed only inside ``CASE WHEN id_dado IN (...)`` of the attribute that owns it, so a
 strict cast never sees another attribute's text.
@@ -13,12 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dimweave.config import ALL, LATEST, MAX_DATE, Attribute
 from dimweave.functions.dates import strict_date
-from dimweave.functions.text import strict_int
 from dimweave.operators.eav import id_filter
 
 
@@ -32,6 +31,11 @@ def latest_values(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id_demanda", "id_dado", "nm_valor").agg(newest.alias("newest"))
 
 
+def latest_pick(hit) -> Column:
+    """Aggregate over ``latest_values`` rows: the newest text among the rows where ``hit`` holds."""
+    return F.max_by(F.col("nm_valor"), F.when(hit, F.col("newest")))
+
+
 def scalar_picks(
     values: DataFrame,
     attributes: Mapping[str, Attribute],
@@ -50,7 +54,7 @@ def scalar_picks(
     for name, attr in attributes.items():
         hit = id_filter(attr.ids)
         if attr.pick == LATEST:
-            aggs.append(F.max_by(F.col("nm_valor"), F.when(hit, F.col("newest"))).alias(name))
+            aggs.append(latest_pick(hit).alias(name))
         elif attr.pick == MAX_DATE:
             d = F.when(hit, strict_date("nm_valor", date_formats))
             # a NULL date outranks every date (descending, NULL first); equal dates are one value
@@ -63,16 +67,4 @@ def scalar_picks(
     return picks if demands is None else demands.join(picks, "id_demanda", "left")
 
 
-def role_values(values: DataFrame, name: str, attr: Attribute, date_formats: tuple = ()) -> DataFrame:
-    """Distinct (id_demanda, <name>) of one multi-valued attribute, cast per ``attr.cast``; NULL values are kept."""
-    if attr.pick != ALL:
-        raise ValueError(f"{name}: pick {attr.pick!r} is not multi-valued")
-    v = F.col("nm_valor")
-    if attr.cast == "int":
-        v = strict_int(v)
-    elif attr.cast == "date":
-        v = strict_date(v, date_formats)
-    return values.where(id_filter(attr.ids)).select("id_demanda", v.alias(name)).distinct()
-
-
-__all__ = ["ALL", "LATEST", "MAX_DATE", "latest_values", "role_values", "scalar_picks"]
+__all__ = ["ALL", "LATEST", "MAX_DATE", "id_filter", "latest_pick", "latest_values", "scalar_picks"]

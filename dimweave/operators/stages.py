@@ -79,6 +79,45 @@ def existence_flag(
     return hits.select("id_demanda").distinct().withColumn(flag_col, F.lit(label))
 
 
+def stages_and_flag(
+    tables: DemandTables,
+    element_version,
+    rules,
+    default: str,
+    from_element,
+    to_element,
+    label: str,
+    demands: DataFrame | None = None,
+    flag_col: str = "sit",
+) -> DataFrame:
+    """``current_stage`` and ``existence_flag`` in one read of the stage log: id_demanda, nm_login_executor, etapa, <flag_col>.
+
+    A stage counts as a candidate for the newest one and, if it moves ``from_element`` -> ``to_element``,
+    for the flag. The first of each (demand, purpose) is kept by one window, whose group limit acts before
+    the shuffle: a hot demand ships its newest stages, not its log. Stages tied for the newest all stay
+    (with one login and label they are one row); a demand without a stage has no row.
+    """
+    el = tables.elemento_pn
+    origin = el if element_version is None else el.where(F.col("id_versao_processo") == F.lit(element_version))
+    origin = origin.select(F.col("id_elemento_pn").alias("id_elemento_pn_inicial"), "nm_elemento_pn")
+    known = el.where(F.col("id_elemento_pn") == F.lit(to_element)).select(
+        F.col("id_elemento_pn").alias("id_elemento_pn_passagem"), F.lit(True).alias("known")
+    ).distinct()
+    log = tables.demanda_etapa.select("id_demanda_etapa", "id_demanda", "nm_login_executor", "id_elemento_pn_inicial", "id_elemento_pn_passagem")
+    if demands is not None:
+        log = log.join(demands.select("id_demanda"), "id_demanda", "left_semi")
+    moves = (F.col("id_elemento_pn_inicial") == F.lit(from_element)) & (F.col("id_elemento_pn_passagem") == F.lit(to_element)) & F.col("known")
+    log = log.join(origin, "id_elemento_pn_inicial").join(known, "id_elemento_pn_passagem", "left")
+    purposes = F.explode(F.when(moves, F.array(F.lit("newest"), F.lit("flag"))).otherwise(F.array(F.lit("newest"))))
+    log = log.select("id_demanda", "id_demanda_etapa", "nm_login_executor", "nm_elemento_pn", purposes.alias("purpose"))
+    first = top1_per_key(log, ["id_demanda", "purpose"], [desc_nulls_first("id_demanda_etapa")], ties=True)
+    newest = F.when(F.col("purpose") == "newest", F.struct("nm_login_executor", first_match_label("nm_elemento_pn", rules, default).alias("etapa")))
+    held = first.groupBy("id_demanda").agg(F.collect_set(newest).alias("newest"), F.bool_or(F.col("purpose") == "flag").alias("flagged"))
+    return held.select("id_demanda", F.explode("newest").alias("stage"), F.when(F.col("flagged"), F.lit(label)).alias(flag_col)).select(
+        "id_demanda", "stage.*", flag_col
+    )
+
+
 def role_join(
     df: DataFrame,
     dim: DataFrame,

@@ -3,37 +3,38 @@
 Two plans compute the same rows:
 
 ``single_pass`` (default)
-    The attribute rows of the version's demands are read once and folded to one row per (demand,
-    attribute, value); latest values, greatest dates, presence and the multi-valued roles all read
-    that table. ``write_attributes`` writes it, explicitly, for a large job; without a written store
-    the plan is the same and lazy, but its branches may read the sources again.
+    The kept demands come first: those of the version whose latest office is the wanted one. Spine, attribute
+    rows and stage log are reduced to them before anything is folded or shuffled by demand. The attribute
+    rows are folded to one per (demand, attribute, value); latest values, greatest dates, presence and the
+    multi-valued roles all read that table. ``write_attributes`` writes it, explicitly, for a large job;
+    without a written store the plan is the same and lazy, but its branches may read the sources again.
 
 ``per_attribute``
     One EAV lookup, window pick and join per attribute, the shape of the original job, its fan-out not
     split. It is kept to check the single pass against and to compare plans, not for large demands.
 
-Assembly of the single pass: version spine -> status -> scalar attributes -> required-attribute and office
-filters -> current stage -> capture flag -> report columns, made distinct while the frame is narrow ->
-fan-out with the roles, each made distinct on its report columns. Every row of the product is then
-distinct as it is built, and no shuffle carries the whole report. Building a dimension runs no job.
+Assembly of the single pass: kept demands -> status -> scalar attributes -> required-attribute filter ->
+current stage and capture flag (one read of the log) -> plain report columns -> product with the roles'
+values, distinct as it is built. No shuffle but the final sort carries the whole report. Building a
+dimension runs no job.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dimweave.config import ALL, LATEST, MAX_DATE, DimensionConfig
 from dimweave.functions.dates import business_days, month_name, strict_date, to_day
 from dimweave.functions.text import executor_label, place_label, strict_int, substr
 from dimweave.operators.eav import eav_rows, pick_all, pick_latest, pick_max_date, spine
-from dimweave.operators.fanout import fan_out
-from dimweave.operators.joins import gated, gated_left_chain, with_null_rows
+from dimweave.operators.fanout import member_rows, product, value_column
+from dimweave.operators.joins import gated, gated_left_chain
 from dimweave.operators.materialize import Stored, write_shared
-from dimweave.operators.pivot import latest_values, role_values, scalar_picks
-from dimweave.operators.stages import current_stage, existence_flag, stage_log
+from dimweave.operators.pivot import id_filter, latest_pick, latest_values, scalar_picks
+from dimweave.operators.stages import current_stage, existence_flag, stage_log, stages_and_flag
 from dimweave.sources.tables import DemandTables
 
 PLANS = ("single_pass", "per_attribute")
@@ -73,22 +74,40 @@ def _registry_ids(cfg: DimensionConfig) -> list:
     return list(dict.fromkeys(i for a in cfg.attributes.values() for i in a.ids))
 
 
-def _base(tables: DemandTables, cfg: DimensionConfig) -> DataFrame:
+def _base(tables: DemandTables, cfg: DimensionConfig, kept: DataFrame | None = None) -> DataFrame:
     demands = spine(tables, cfg.version).select("id_demanda", "id_status_demanda", "dt_cadastro", "nm_login_cadastrador")
+    if kept is not None:
+        demands = demands.join(kept, "id_demanda", "left_semi")
     status = tables.status_demanda.select("id_status_demanda", "nm_status_demanda")
     return demands.join(status, "id_status_demanda")
 
 
+def kept_demands(tables: DemandTables, cfg: DimensionConfig, values: DataFrame | None = None) -> DataFrame:
+    """id_demanda of the version's demands whose latest office is ``cfg.office`` (all of the version without one).
+
+    The office is compared after the latest pick, so a demand that has moved to another office is not kept.
+    Only the office attribute's rows are read (of the tables, or of the written ``values``), and every other
+    input is reduced to these demands before it is shuffled.
+    """
+    demands = spine(tables, cfg.version).select("id_demanda")
+    if cfg.office is None:
+        return demands
+    ids = cfg.attributes["nurac"].ids
+    rows = latest_values(eav_rows(tables, ids, demands)) if values is None else values.where(id_filter(ids))
+    office = rows.groupBy("id_demanda").agg(latest_pick(F.lit(True)).alias("nurac"))
+    return office.where(F.col("nurac") == F.lit(cfg.office)).select("id_demanda")
+
+
 def attribute_values(tables: DemandTables, cfg: DimensionConfig) -> DataFrame:
-    """The registry's attribute values of the version's demands, one row per (demand, attribute, value)."""
-    return latest_values(eav_rows(tables, _registry_ids(cfg), spine(tables, cfg.version)))
+    """The registry's attribute values of the kept demands, one row per (demand, attribute, value)."""
+    return latest_values(eav_rows(tables, _registry_ids(cfg), kept_demands(tables, cfg)))
 
 
 def write_attributes(tables: DemandTables, cfg: DimensionConfig | None = None) -> Stored:
     """Run ``attribute_values`` once and write it: one read of the bridge and one of the values.
 
     Pass the result's ``df`` as ``values`` to ``demand_dimension``, and ``remove`` it after the report
-    is written (or use it as a context manager).
+    is written (or use it as a context manager). Written without an office, it serves every office.
     """
     return write_shared(attribute_values(tables, cfg or DimensionConfig()), "attributes", partition_by="id_dado")
 
@@ -99,9 +118,10 @@ def _multi(cfg: DimensionConfig) -> dict:
 
 def _scalars_single_pass(cfg, base, values):
     scalar = {n: a for n, a in cfg.attributes.items() if a.pick in (LATEST, MAX_DATE)}
-    present = {n: a for n, a in cfg.attributes.items() if a.required or a.pick == ALL or n == "municipio"}
+    # a required multi-valued attribute needs no test here: without a value its product is empty
+    present = {n: a for n, a in scalar.items() if a.required or n == "municipio"}
     df = scalar_picks(values, scalar, present.items(), cfg.date_formats, demands=base)
-    required = [F.col(f"has_{n}").isNotNull() for n, a in cfg.attributes.items() if a.required]
+    required = [F.col(f"has_{n}").isNotNull() for n, a in scalar.items() if a.required]
     if required:
         df = df.where(reduce(lambda a, b: a & b, required))
     gate = F.col("has_municipio")
@@ -126,49 +146,50 @@ def _scalars_per_attribute(tables, cfg, base):
     return df.join(place, "id_demanda", "left")
 
 
-def _roles_single_pass(cfg, values, scalars):
-    """(name, distinct values), with a NULL row for each demand that lacks an optional role."""
-    out = []
-    for n, a in _multi(cfg).items():
-        vals = role_values(values, n, a, cfg.date_formats)
-        out.append((n, vals if a.required else with_null_rows(vals, scalars.where(F.col(f"has_{n}").isNull()))))
-    return out
-
-
-def _roles_per_attribute(tables, cfg, demands):
-    out = []
-    for n, a in _multi(cfg).items():
-        vals = pick_all(eav_rows(tables, a.ids, demands), n)
-        if a.cast == "int":
-            vals = vals.withColumn(n, strict_int(n))
-        elif a.cast == "date":
-            vals = vals.withColumn(n, strict_date(n, cfg.date_formats))
-        out.append((n, vals.distinct()))
-    return out
+def _derived(name: str, value: Column, cfg: DimensionConfig) -> list[Column]:
+    """The report columns of a multi-valued attribute's text, under internal names."""
+    cast = cfg.attributes[name].cast
+    if cast == "int":
+        value = strict_int(value)
+    elif cast == "date":
+        value = strict_date(value, cfg.date_formats)
+    if name == "cliente":
+        return [substr(value, 5, 7).alias("gerencia"), substr(value, 1, 3).alias("superint")]
+    if name == "nup":
+        return [value.alias("nup"), strict_int(substr(value, 14, 4)).alias("ano_nup")]
+    return [value.alias(name)]
 
 
-def _derive(name: str, vals: DataFrame, cfg: DimensionConfig, scalars: DataFrame | None = None) -> DataFrame:
-    """The report values a multi-valued attribute gives, distinct, computed before the fan-out.
+def _role_members(cfg: DimensionConfig, values: DataFrame) -> tuple[DataFrame, list[list[str]]]:
+    """The multi-valued roles' values as members of the product (roles 1 and up), from one read of ``values``.
 
-    Codes whose two substrings coincide fold into one row here, and so do years that a demand has
-    only by falling back to the year of its planned start.
+    A text is cast only under the role that owns it, as a value of that role's column.
     """
-    if name == "cliente":
-        return vals.select(
-            "id_demanda", substr(name, 5, 7).alias("gerencia"), substr(name, 1, 3).alias("superint")
-        ).distinct()
-    if name == "nup":
-        return vals.withColumn("ano_nup", strict_int(substr(name, 14, 4)))
-    if name == "data_exec":
-        return vals.withColumn("mes_exec", month_name(name, cfg.month_names))
-    if name == "ano_prev" and scalars is not None:
-        start = scalars.select("id_demanda", F.year("ini_prev").alias("ano_ini")).distinct()
-        return vals.join(start, "id_demanda").select("id_demanda", F.coalesce(name, "ano_ini").alias(name)).distinct()
-    return vals
+    multi = _multi(cfg)
+    owners = [F.when(id_filter(a.ids), F.lit(i)) for i, a in enumerate(multi.values(), start=1)]
+    rows = values.where(id_filter([x for a in multi.values() for x in a.ids]))
+    rows = rows.select("id_demanda", "nm_valor", F.explode(F.array_compact(F.array(*owners))).alias("role"))
+    columns, schemas = [], []
+    for i, n in enumerate(multi, start=1):
+        parts = _derived(n, F.col("nm_valor"), cfg)
+        columns.append(F.when(F.col("role") == i, F.struct(*parts)).alias(value_column(i)))
+        schemas.append(["gerencia", "superint"] if n == "cliente" else ["nup", "ano_nup"] if n == "nup" else [n])
+    return rows.select("id_demanda", "role", *columns), schemas
+
+
+def _fan_out(narrow: DataFrame, values: DataFrame, cfg: DimensionConfig) -> DataFrame:
+    """``narrow`` with every combination of the roles' values; a missing year reads as the year of the planned start."""
+    members, schemas = _role_members(cfg, values)
+    members = member_rows(narrow, 0).unionByName(members, allowMissingColumns=True)
+    names = list(_multi(cfg))
+    optional = [i for i, n in enumerate(names, start=1) if not cfg.attributes[n].required]
+    fill = (names.index("ano_prev") + 1, lambda plain: F.year(plain["ini_prev"]))
+    own = [c for c in narrow.columns if c != "id_demanda"]
+    return product(members, [own, *schemas], cfg.fanout_rows_per_task, optional, fill, block=cfg.fanout_block)
 
 
 def _narrow(df: DataFrame, cfg: DimensionConfig) -> DataFrame:
-    """The report values that need no multi-valued attribute, under internal names, distinct."""
+    """The report values that need no multi-valued attribute, under internal names."""
     c = F.col
     return df.select(
         "id_demanda",
@@ -189,7 +210,7 @@ def _narrow(df: DataFrame, cfg: DimensionConfig) -> DataFrame:
         F.coalesce(c("sit"), F.lit(cfg.capture_default)).alias("sit"),
         "ini_prev",
         "term_prev",
-    ).distinct()
+    )
 
 
 # Internal columns in the order of REPORT_COLUMNS.
@@ -215,36 +236,43 @@ def demand_dimension(
     cfg = cfg or DimensionConfig()
     if plan not in PLANS:
         raise ValueError(f"unknown plan {plan!r}; expected one of {PLANS}")
-    base = _base(tables, cfg)
     if plan == "single_pass":
         values = attribute_values(tables, cfg) if values is None else values
-        scalars = _scalars_single_pass(cfg, base, values)
-        roles = _roles_single_pass(cfg, values, scalars)
+        kept = kept_demands(tables, cfg, values)
+        scalars = _scalars_single_pass(cfg, _base(tables, cfg, kept), values.join(kept, "id_demanda", "left_semi"))
+        narrow = _narrow(scalars.join(_stages(tables, cfg, kept), "id_demanda"), cfg)
+        out = _fan_out(narrow, values.join(kept, "id_demanda", "left_semi"), cfg)
     else:
-        scalars = _scalars_per_attribute(tables, cfg, base)
-        roles = _roles_per_attribute(tables, cfg, base.select("id_demanda"))
-    df = scalars
+        out = _joined_per_attribute(tables, cfg)
+    completed = F.col("nm_status_demanda") == F.lit(cfg.completed_status)
+    out = out.withColumn("mes_exec", F.when(completed, month_name("data_exec", cfg.month_names)))
+    if sort:
+        # by demand number; cell and place only let the range partitioning split a demand with very many rows
+        out = out.orderBy("id_demanda", "cell", "place")
+    return out.select(*[F.col(c).alias(r) for c, r in zip(_REPORT_SOURCES, REPORT_COLUMNS)])
+
+
+def _stages(tables: DemandTables, cfg: DimensionConfig, kept: DataFrame) -> DataFrame:
+    return stages_and_flag(
+        tables, cfg.stage_version, cfg.stage_rules, cfg.stage_default, cfg.capture_from, cfg.capture_to, cfg.capture_label, kept
+    )
+
+
+def _joined_per_attribute(tables: DemandTables, cfg: DimensionConfig) -> DataFrame:
+    """The original shape: inner joins for required attributes, LEFT JOINs for the others, one key, one distinct."""
+    base = _base(tables, cfg)
+    df = _scalars_per_attribute(tables, cfg, base)
     if cfg.office is not None:
         df = df.where(F.col("nurac") == F.lit(cfg.office))
     stages = current_stage(stage_log(tables, cfg.stage_version), cfg.stage_rules, cfg.stage_default, cfg.as_of)
     df = df.join(stages.select("id_demanda", "nm_login_executor", "etapa"), "id_demanda")
     capture = existence_flag(tables, cfg.capture_from, cfg.capture_to, cfg.capture_label, cfg.stage_version)
-    narrow = _narrow(df.join(capture, "id_demanda", "left"), cfg)
-    if plan == "single_pass":
-        derived = [(n, _derive(n, vals, cfg, scalars)) for n, vals in roles]
-        out = fan_out(narrow, derived, cfg.fanout_rows_per_task)
-    else:
-        # the original shape: inner joins for required attributes, LEFT JOINs for the others, one key
-        out = narrow
-        for n, vals in roles:
-            out = out.join(_derive(n, vals, cfg), "id_demanda", "inner" if cfg.attributes[n].required else "left")
-        out = out.withColumn("ano_prev", F.coalesce("ano_prev", F.year("ini_prev"))).distinct().withColumn("cell", F.lit(0))
-    completed = F.col("nm_status_demanda") == F.lit(cfg.completed_status)
-    out = out.withColumn("mes_exec", F.when(completed, F.col("mes_exec")))
-    if sort:
-        # by demand number; the cell only lets the range partitioning split a demand with very many rows
-        out = out.orderBy("id_demanda", "cell")
-    return out.select(*[F.col(c).alias(r) for c, r in zip(_REPORT_SOURCES, REPORT_COLUMNS)])
+    out = _narrow(df.join(capture, "id_demanda", "left"), cfg).distinct()
+    for n, a in _multi(cfg).items():
+        vals = pick_all(eav_rows(tables, a.ids, base.select("id_demanda")), n).select("id_demanda", *_derived(n, F.col(n), cfg)).distinct()
+        out = out.join(vals, "id_demanda", "inner" if a.required else "left")
+    out = out.withColumn("ano_prev", F.coalesce("ano_prev", F.year("ini_prev"))).distinct()
+    return out.withColumns({"cell": F.lit(0), "place": F.lit(0)})
 
 
 def planned_business_days(tables: DemandTables, cfg: DimensionConfig | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from dimweave.functions.dates import business_days, close_interval, month_name,
 from dimweave.functions.text import executor_label, place_label, strict_int, substr
 from dimweave.operators.eav import eav_rows, latest_order, pick_all, pick_latest, pick_max_date, spine
 from dimweave.operators.fanout import fan_out
-from dimweave.operators.joins import gated_left_chain, join_flag, with_null_rows
+from dimweave.operators.joins import gated_left_chain, join_flag
 from dimweave.operators.pivot import latest_values, scalar_picks
 from dimweave.operators.stages import current_stage, existence_flag, role_join
 from dimweave.operators.topk import desc_nulls_first, top1_per_key
@@ -196,13 +196,16 @@ def q15_close_interval(spark, sf_dir):
 
 
 def q16_distinct_fanout(spark, sf_dir):
-    """Two multi-valued attributes joined to the demand (fan-out, large products split over cells)."""
+    """Two multi-valued attributes joined to the demand (each combination once)."""
+    return _two_roles(spark, sf_dir, CFG.fanout_rows_per_task, CFG.fanout_block)
+
+
+def _two_roles(spark, sf_dir, rows_per_task, block):
     t = _t(spark, sf_dir)
-    base = spine(t, V).select("id_demanda")
-    nup = pick_all(_rows(t, "nup"), "nup", distinct=True)
-    ano = pick_all(_rows(t, "ano_prev"), "ano_prev").withColumn("ano_prev", strict_int("ano_prev")).distinct()
-    ano = with_null_rows(ano, base.join(ano, "id_demanda", "left_anti"))
-    return fan_out(base, [("nup", nup), ("ano_prev", ano)], CFG.fanout_rows_per_task).drop("cell")
+    nup = pick_all(_rows(t, "nup"), "nup")
+    ano = pick_all(_rows(t, "ano_prev"), "ano_prev").withColumn("ano_prev", strict_int("ano_prev"))
+    roles = [("nup", nup), ("ano_prev", ano)]
+    return fan_out(spine(t, V).select("id_demanda"), roles, rows_per_task, ["ano_prev"], block=block).drop("cell", "place")
 
 
 def q17_single_pass(spark, sf_dir):
@@ -252,6 +255,11 @@ def q22_planned_business_days(spark, sf_dir):
     return planned_business_days(_t(spark, sf_dir), CFG)
 
 
+def q23_split_fanout(spark, sf_dir):
+    """The rows of q16, with every demand cut into blocks of values and stretches of two rows."""
+    return _two_roles(spark, sf_dir, rows_per_task=2, block=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -277,5 +285,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         q20_demand_dimension,
         q21_dimension_per_attribute,
         q22_planned_business_days,
+        q23_split_fanout,
     )
 }

@@ -47,34 +47,88 @@ def test_plans_agree_with_a_hot_demand(spark):
     assert _bag(split) == a
 
 
-def test_hot_demands_get_a_grid(spark):
-    from dimweave.operators.fanout import replicate_over_cells, role_counts, role_to_cells, split_grid
-
-    a = spark.createDataFrame([(1, str(i)) for i in range(40)] + [(2, "x")], "id_demanda long, a string")
-    b = spark.createDataFrame([(1, str(i)) for i in range(5)] + [(2, "y")], "id_demanda long, b string")
-    grid = split_grid(role_counts([("a", a), ("b", b)]), rows_per_task=4)
-    (row,) = grid.collect()
-    # 200 rows in tasks of 4: 50 cells are wanted; a is cut into its 40 values, b into 2 parts
-    assert (row["id_demanda"], row["cells"]) == (1, 80)
-    assert [(g["role"], g["parts"], g["stride"]) for g in row["grid"]] == [("a", 40, 1), ("b", 2, 40)]
-    narrow = replicate_over_cells(spark.createDataFrame([(1,), (2,)], "id_demanda long"), grid, 8)
-    assert sorted(r["cell"] for r in narrow.where("id_demanda = 1").collect()) == list(range(80))
-    ca, cb = role_to_cells(a, grid, "a"), role_to_cells(b, grid, "b")
-    assert ca.where("id_demanda = 1").count() == 40 * 2  # each value in the cells of its part
-    assert cb.where("id_demanda = 1").count() == 5 * 40
-    prod = narrow.join(ca, ["id_demanda", "cell"]).join(cb, ["id_demanda", "cell"])
-    assert prod.where("id_demanda = 1").select("a", "b").distinct().count() == 200
-    assert prod.where("id_demanda = 1").count() == 200 and prod.where("id_demanda = 2").count() == 1
-
-
-def test_no_cell_exceeds_twice_its_rows(spark):
+def test_hot_demand_without_a_role(spark):
+    # demand 1 is above the split in rows and in values; it lacks an optional role, demand 2 a required one
+    rows = random_rows(5, n_demands=6, hot_rows=300)
+    rows["demanda"][:2] = [(d, 1) + rows["demanda"][d - 1][2:] for d in (1, 2)]
+    rows["demanda_etapa"] += [(10_000 + d, d, "ana", 101, None, None, None, None) for d in (1, 2)]
+    owned = {v[0] for v in rows["dado_valor"] if v[1] == 11}  # linha_pta
+    rows["demanda_dado"] = [r for r in rows["demanda_dado"] if not (r[0] == 1 and r[1] in owned)]
+    required = {v[0] for v in rows["dado_valor"] if v[1] == 2}  # cliente
+    rows["demanda_dado"] = [r for r in rows["demanda_dado"] if not (r[0] == 2 and r[1] in required)]
+    t = from_rows(spark, rows)
+    cfg = RANDOM_CONFIG.with_(office=None)
+    want = _bag(demand_dimension(t, cfg, plan="per_attribute", sort=False))
+    hot = [r for r in want if r[0] == 1]
+    assert len(hot) > 100 and {r[7] for r in hot} == {None} and not any(r[0] == 2 for r in want)
+    for rows_per_task, block in ((10, 8192), (7, 2), (10**6, 1)):
+        split = demand_dimension(t, cfg.with_(fanout_rows_per_task=rows_per_task, fanout_block=block), sort=False)
+        assert _bag(split) == want
+
+
+def _brute_product(base, a, b, c):
+    """All combinations of a demand's distinct values; b and c are optional, and a missing b reads as the row's year."""
+    out = set()
+    for d, name, year in base:
+        lists = [{r[1:] for r in rows if r[0] == d} for rows in (a, b, c)]
+        years = {year if x[0] is None else x[0] for x in lists[1] or {(None,)}}
+        out |= {(d, name, year, *x, y, *z) for x in lists[0] for y in years for z in lists[2] or {(None,)}}
+    return out
+
+
+@pytest.mark.parametrize("rows_per_task,block", [(10**6, 8192), (3, 8192), (3, 2), (1, 1), (5, 4)])
+def test_product_matches_brute_force(spark, rows_per_task, block):
+    import random
+
+    from dimweave.operators.fanout import member_rows, product
+
+    draw = random.Random(1)
+    base = [(d, f"n{d}", d % 3 if d % 4 else None) for d in range(1, 30)] + [(1, "extra", 1), (3, "n3", 0)]
+    a = [(1, f"a{i}", i) for i in range(40)] + [(d, f"a{draw.randrange(4)}", None) for d in range(2, 30) if d % 5 for _ in range(3)]
+    b = [(1, draw.choice([0, 1, 2, None])) for _ in range(25)] + [(d, draw.choice([0, 1, 2, None])) for d in range(2, 30) if d % 3 for _ in range(2)]
+    c = [(d, f"c{i}") for d in (1, 3, 7, 99) for i in range(11)]
+    frames = [
+        spark.createDataFrame(base, "id_demanda long, n string, y int"), spark.createDataFrame(a, "id_demanda long, a string, k int"),
+        spark.createDataFrame(b, "id_demanda long, b int"), spark.createDataFrame(c, "id_demanda long, c string"),
+    ]
+    members = member_rows(frames[0], 0)
+    for i, f in enumerate(frames[1:], start=1):
+        members = members.unionByName(member_rows(f, i), allowMissingColumns=True)
+    out = product(members, [["n", "y"], ["a", "k"], ["b"], ["c"]], rows_per_task, [2, 3], (2, lambda r: r["y"]), block=block)
+    assert out.columns == ["id_demanda", "n", "y", "a", "k", "b", "c", "cell", "place"]
+    got = Counter(tuple(r)[:-2] for r in out.collect())
+    assert set(got) == _brute_product(base, a, b, c) and max(got.values()) == 1
+
+
+def test_hot_cuts_number_the_cells(spark):
+    from dimweave.operators.fanout import hot_cuts
+
+    counts = spark.createDataFrame([(1, 1, 40), (1, 2, 5), (1, 3, 9), (2, 1, 8)], "id_demanda long, role int, n long")
+    (row,) = hot_cuts(counts, block=8).collect()
+    assert (row["id_demanda"], row["cells"]) == (1, 10)
+    assert [tuple(c) for c in row["cuts"]] == [(1, 5, 1), (3, 2, 5)]
+
+
+def test_no_stretch_exceeds_its_rows(spark):
+    from pyspark.sql import functions as F
+
     from dimweave.operators.fanout import fan_out
 
     # six roles of 12 values: 2,985,984 rows
     roles = [(r, spark.createDataFrame([(1, f"{r}{i}") for i in range(12)], f"id_demanda long, {r} string")) for r in "abcdef"]
     out = fan_out(spark.createDataFrame([(1,)], "id_demanda long"), roles, 2000)
-    sizes = [r["count"] for r in out.groupBy("cell").count().collect()]
-    assert sum(sizes) == 12**6 and max(sizes) <= 4000
+    sizes = [r["count"] for r in out.groupBy("cell", F.floor(F.col("place") / 2000)).count().collect()]
+    assert sum(sizes) == 12**6 and max(sizes) == 2000
+    assert out.select("id_demanda", *"abcdef").distinct().count() == 12**6
+
+
+def test_the_lists_take_one_exchange_more(spark):
+    t = from_rows(spark, random_rows(3))
+    with write_attributes(t, RANDOM_CONFIG) as values:
+        plan = _executed(demand_dimension(t, RANDOM_CONFIG, sort=False, values=values))
+    above, lists, _ = plan.partition("collect_set(v0")
+    assert lists and above.count("Exchange") <= 2 and "REPARTITION_BY_NUM" in above
+    assert "SortMergeJoin" not in above and "BroadcastHashJoin" not in above
 
 
 @pytest.mark.parametrize("office", [None, "BHZ"])
@@ -161,9 +215,12 @@ def _scans(plan, schema):
 def test_single_pass_reads_the_attribute_tables_once(spark, tmp_path):
     t = _parquet_tables(spark, tmp_path)
     cfg = DimensionConfig(as_of=AS_OF)
-    written = _executed(attribute_values(t, cfg))  # the plan that write_attributes runs
+    written = _executed(attribute_values(t, cfg.with_(office=None)))  # the plan that write_attributes runs
     assert len(_scans(written, VALUE_SCAN)) == 1 and len(_scans(written, BRIDGE_SCAN)) == 1, written
     assert "PushedFilters: [In(id_dado" in _scans(written, VALUE_SCAN)[0]
+    # with an office one more read finds its demands: of the office attribute alone
+    office, all_ids = sorted(_scans(_executed(attribute_values(t, cfg)), VALUE_SCAN), key=lambda ln: "In(id_dado" in ln)
+    assert "EqualTo(id_dado,3780)" in office and "In(id_dado" in all_ids
     with write_attributes(t, cfg) as values:
         plan = _executed(demand_dimension(t, cfg, values=values))
     assert not _scans(plan, VALUE_SCAN) and not _scans(plan, BRIDGE_SCAN), plan
@@ -173,11 +230,91 @@ def test_no_shuffle_carries_the_whole_report(spark, tmp_path):
     t = _parquet_tables(spark, tmp_path)
     plan = _executed(demand_dimension(t, DimensionConfig(as_of=AS_OF)))
     keys = [ln.split("partitioning(")[1].split("), ")[0].count("#") for ln in plan.splitlines() if "Exchange" in ln and "partitioning(" in ln]
-    # the widest is the narrow frame's distinct (14 columns, before the fan-out); the sort has two keys
-    assert keys and max(keys) <= 15
+    # no distinct over the report's columns: the widest key is (demand, cell, stretch) or the sort's
+    assert keys and max(keys) <= 4
     assert any("rangepartitioning(id_demanda" in ln and "cell" in ln for ln in plan.splitlines())
 
 
+def _shuffled_rows(df, column):
+    """Rows each exchange of the final plan wrote, with its plan text, for exchanges whose rows have ``column``."""
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        if name == "Exchange":
+            output = [a.name() for a in _seq(node.output())]
+            if column in output:
+                found.append((node.metrics().apply("shuffleRecordsWritten").value(), output))
+        todo.extend(_seq(node.children()))
+    return found
+
+
+def _seq(scala):
+    return [scala.apply(i) for i in range(scala.size())]
+
+
+def test_rows_of_other_offices_reach_no_shuffle(spark, tmp_path):
+    # 40 demands of the version, the last of them alone in its office, and every third moved away from it
+    rows = random_rows(8, n_demands=40)
+    rows["demanda"] = [(d[0], 1) + d[2:] for d in rows["demanda"]]
+    offices = {v[0] for v in rows["dado_valor"] if v[1] == 4}
+    rows["demanda_dado"] = [r for r in rows["demanda_dado"] if r[1] not in offices]
+    early, late = dt.datetime(2023, 1, 1), dt.datetime(2024, 6, 1)
+    for d in range(1, 41):
+        rows["dado_valor"] += [(9000 + d, 4, "REC" if d == 40 else "SAO"), (9500 + d, 4, "REC" if d % 3 == 0 else "SAO")]
+        rows["demanda_dado"] += [(d, 9000 + d, late), (d, 9500 + d, early)]
+        rows["demanda_etapa"].append((10_000 + d, d, "ana", 101, None, None, None, None))
+    for attr in (1, 2, 3):
+        rows["dado_valor"].append((9900 + attr, attr, "00040.000001/2024-11"))
+        rows["demanda_dado"].append((40, 9900 + attr, late))
+    t = from_rows(spark, rows)
+    for name in ("demanda", "demanda_dado", "dado_valor", "demanda_etapa", "elemento_pn", "status_demanda"):
+        getattr(t, name).write.parquet(str(tmp_path / name))
+    t = load_parquet(spark, str(tmp_path))
+    cfg = RANDOM_CONFIG.with_(office="REC")
+    own = sum(r[0] == 40 for r in rows["demanda_dado"])
+    written = _shuffled_rows(attribute_values(t, cfg), "newest")
+    assert written and max(n for n, _ in written) <= own
+    everything = write_attributes(t, cfg.with_(office=None))
+    out = demand_dimension(t, cfg, values=everything.df, sort=False)
+    assert {r[0] for r in out.collect()} == {40}  # the moved ones are not back
+    for column in ("v1", "etapa", "nm_elemento_pn", "purpose"):
+        sizes = _shuffled_rows(out, column)
+        assert all(n <= own for n, _ in sizes), (column, sizes)
+    assert _shuffled_rows(out, "v1")
+    everything.remove()
+    want = demand_dimension(t, cfg, plan="per_attribute", sort=False)
+    assert _bag(out.sparkSession.createDataFrame(want.collect(), want.schema)) == _bag(demand_dimension(t, cfg, sort=False))
+
+
+def test_the_stage_log_is_read_once(spark, tmp_path):
+    t = _parquet_tables(spark, tmp_path)
+    cfg = DimensionConfig(as_of=AS_OF)
+    with write_attributes(t, cfg) as values:
+        plan = _executed(demand_dimension(t, cfg, values=values))
+    log = [ln for ln in plan.splitlines() if "FileScan parquet" in ln and "nm_login_executor" in ln.split("ReadSchema")[1]]
+    assert len(log) == 1 and "WindowGroupLimit" in plan, plan
+
+
+def test_stages_and_flag_keep_ties(spark):
+    from dimweave.operators.stages import stages_and_flag
+
+    rows = fixture_rows()
+    log = [(7, 1, "ana", 10, 11, None, None, None), (9, 1, "bia", 10, None, None, None, None), (9, 1, None, 12, None, None, None, None),
+           (9, 1, None, 12, None, None, None, None), (None, 2, "eva", 12, None, None, None, None), (8, 2, "leo", 10, 99, None, None, None), (5, 3, "x", 20, 11, None, None, None)]
+    rows["demanda_etapa"] = log
+    rows["elemento_pn"] = [(10, "Conferir cadastro", 1), (11, "Fim", 2), (12, None, 1), (20, "Conferir cadastro", 2)]
+    out = stages_and_flag(from_rows(spark, rows), 1, (("%conferir%", "E1"),), "other", 10, 11, "flagged")
+    got = Counter(tuple(r) for r in out.collect())
+    # demand 1: three rows tie for stage 9, two of them alike; demand 2: a NULL id is newest; demand 3: another version
+    assert got == Counter({(1, "bia", "E1", "flagged"): 1, (1, None, "other", "flagged"): 1, (2, "eva", "other", None): 1})
+
+
 def test_building_a_dimension_runs_no_job(spark):
     t = from_rows(spark, random_rows(3))
     tracker = spark.sparkContext.statusTracker()
