@@ -1,7 +1,8 @@
 """Date column helpers: strict text-to-date, month names, business days, open intervals.
 
-All are native Catalyst expressions; the business-day count is closed-form arithmetic, so it
-costs the same for a one-day and a ten-year interval and never builds per-row arrays of dates.
+All are native Catalyst expressions; the business-day count is closed-form arithmetic and two binary
+searches among the holidays, so it costs the same for a one-day and a ten-year interval and never builds
+per-row arrays of dates.
 """
 
 from __future__ import annotations
@@ -17,15 +18,19 @@ from dimweave.functions.text import col
 _ISO = r"^\s*\d{4,}-\d{1,2}-\d{1,2}([ T].*)?\s*$"
 
 
-def strict_date(c, formats=()) -> Column:
-    """Text to date that fails the query on text that is no date, whatever the ANSI mode.
+def date_or_null(c, formats=()) -> Column:
+    """Text to date, NULL for text that is no date.
 
     ISO text is read first (surrounding spaces, unpadded parts and a time part are accepted), then
     each of ``formats`` in order, on the trimmed text.
     """
     c = col(c)
-    tries = [F.when(c.rlike(_ISO), c.try_cast("date"))] + [F.try_to_date(F.trim(c), f) for f in formats]
-    parsed = F.coalesce(*tries)
+    return F.coalesce(F.when(c.rlike(_ISO), c.try_cast("date")), *[F.try_to_date(F.trim(c), f) for f in formats])
+
+
+def strict_date(c, formats=()) -> Column:
+    """``date_or_null`` that fails the query on text that is no date, whatever the ANSI mode."""
+    c, parsed = col(c), date_or_null(c, formats)
     return F.when(c.isNotNull() & parsed.isNull(), F.raise_error(F.concat(F.lit("not a date: "), c))).otherwise(parsed)
 
 
@@ -59,6 +64,19 @@ def close_interval(end, as_of: dt.datetime | None = None) -> Column:
     return F.coalesce(col(end).cast("timestamp_ntz"), now)
 
 
+def count_up_to(d, ordered) -> Column:
+    """How many of the dates ``ordered`` (ascending, distinct, not empty) are ``d`` or earlier, by binary search."""
+    n = len(ordered)
+    dates = F.array(*[F.lit(x) for x in ordered])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+
+    def step(found: Column, size: Column) -> Column:
+        there = found + size
+        return F.when((there <= n) & (F.element_at(dates, F.least(there, F.lit(n))) <= d), there).otherwise(found)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def business_days(start, end, holidays=()) -> Column:
     """Monday-to-Friday days in [start, end], both ends counted, minus weekday ``holidays``.
 
@@ -76,6 +94,5 @@ def business_days(start, end, holidays=()) -> Column:
     days = sorted({d if isinstance(d, dt.date) else dt.date.fromisoformat(str(d)) for d in holidays})
     days = [d for d in days if d.weekday() < 5]  # a weekend holiday is not a business day anyway
     if days:
-        hol = F.array(*[F.lit(d) for d in days])
-        count = count - F.size(F.filter(hol, lambda h: (h >= s) & (h <= e)))
+        count = count - (count_up_to(e, days) - count_up_to(F.date_sub(s, 1), days))
     return F.when(s.isNull() | e.isNull(), F.lit(None).cast("int")).when(e < s, F.lit(0)).otherwise(count)

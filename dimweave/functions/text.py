@@ -15,13 +15,14 @@ def substr(c, pos: int, length: int) -> Column:
     return F.substring(col(c), pos, length)
 
 
-def strict_int(c) -> Column:
-    """Text to int that fails the query on text that is not an integer, whatever the ANSI mode.
+def int_or_null(c) -> Column:
+    """Text to int, NULL for text that is not an integer. Surrounding spaces are accepted."""
+    return col(c).try_cast("int")
 
-    Surrounding spaces are accepted; NULL stays NULL.
-    """
-    c = col(c)
-    parsed = c.try_cast("int")
+
+def strict_int(c) -> Column:
+    """``int_or_null`` that fails the query on text that is not an integer, whatever the ANSI mode; NULL stays NULL."""
+    c, parsed = col(c), int_or_null(c)
     return F.when(c.isNotNull() & parsed.isNull(), F.raise_error(F.concat(F.lit("not an integer: "), c))).otherwise(
         parsed
     )

@@ -37,7 +37,7 @@ def eav_rows(tables: DemandTables, ids: Iterable, demands: DataFrame | None = No
 
     With ``demands`` only rows of those demands are kept (a left-semi join, so a demand listed
     twice does not double its rows). The bridge is reduced to them first, so rows of other demands never
-    reach the shuffle by value id.
+    reach the shuffle by value id; where there is no such shuffle (tables bucketed alike), the values come first.
     """
     hit = id_filter(ids)
     if tables.id_dado_on_bridge:
@@ -46,9 +46,15 @@ def eav_rows(tables: DemandTables, ids: Iterable, demands: DataFrame | None = No
     else:
         bridge = tables.demanda_dado.select("id_demanda", "id_dado_valor", "dt_cadastro")
         value = tables.dado_valor.where(hit).select("id_dado_valor", "id_dado", "nm_valor")
-    if demands is not None:
-        bridge = bridge.join(demands.select("id_demanda"), "id_demanda", "left_semi")
-    return bridge.join(value, "id_dado_valor").select(*ROW_COLUMNS)
+    if demands is None:
+        return bridge.join(value, "id_dado_valor").select(*ROW_COLUMNS)
+    wanted = demands.select("id_demanda")
+    if tables.values_beside_bridge:
+        # an inner join: Spark would push a semi-join below the bucketed one
+        rows = bridge.join(value, "id_dado_valor").join(wanted.distinct(), "id_demanda")
+    else:
+        rows = bridge.join(wanted, "id_demanda", "left_semi").join(value, "id_dado_valor")
+    return rows.select(*ROW_COLUMNS)
 
 
 def latest_order() -> list[Column]:

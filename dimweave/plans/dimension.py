@@ -35,6 +35,7 @@ from dimweave.operators.joins import gated, gated_left_chain
 from dimweave.operators.materialize import Stored, write_shared
 from dimweave.operators.pivot import id_filter, latest_pick, latest_values, scalar_picks
 from dimweave.operators.stages import current_stage, existence_flag, stage_log, stages_and_flag
+from dimweave.plans.checks import BadAttributeValues, observed, raise_if_bad
 from dimweave.sources.tables import DemandTables
 
 PLANS = ("single_pass", "per_attribute")
@@ -108,8 +109,19 @@ def write_attributes(tables: DemandTables, cfg: DimensionConfig | None = None) -
 
     Pass the result's ``df`` as ``values`` to ``demand_dimension``, and ``remove`` it after the report
     is written (or use it as a context manager). Written without an office, it serves every office.
+
+    Texts that their role cannot read raise ``BadAttributeValues``, which names role, attribute, count and a
+    demand; they are counted while the table is written. ``checks.bad_values`` lists them.
     """
-    return write_shared(attribute_values(tables, cfg or DimensionConfig()), "attributes", partition_by="id_dado")
+    cfg = cfg or DimensionConfig()
+    values, seen = observed(attribute_values(tables, cfg), cfg)
+    stored = write_shared(values, "attributes", partition_by="id_dado")
+    try:
+        raise_if_bad(seen, cfg)
+    except BadAttributeValues:
+        stored.remove()
+        raise
+    return stored
 
 
 def _multi(cfg: DimensionConfig) -> dict:

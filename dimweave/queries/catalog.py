@@ -7,9 +7,10 @@ equivalent DuckDB SQL, with the same column names.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dimweave.config import CAPTURE_DEFAULT, CAPTURE_LABEL, STAGE_DEFAULT
@@ -17,12 +18,17 @@ from dimweave.functions.dates import business_days, close_interval, month_name,
 from dimweave.functions.text import executor_label, place_label, strict_int, substr
 from dimweave.operators.eav import eav_rows, latest_order, pick_all, pick_latest, pick_max_date, spine
 from dimweave.operators.fanout import fan_out
+from dimweave.operators.incremental import read_state, update_state, write_state
 from dimweave.operators.joins import gated_left_chain, join_flag
 from dimweave.operators.pivot import latest_values, scalar_picks
 from dimweave.operators.stages import current_stage, existence_flag, role_join
 from dimweave.operators.topk import desc_nulls_first, top1_per_key
+from dimweave.plans.checks import bad_values
 from dimweave.plans.dimension import REPORT_COLUMNS, demand_dimension, planned_business_days, write_attributes
+from dimweave.session import checkpoint_dir
 from dimweave.sources import surrogate as S
+from dimweave.sources.buckets import load_bucketed, save_bucketed
+from dimweave.sources.sinks import read_in_order, refresh_office, write_ordered, write_parquet
 
 CFG = S.SURROGATE_CONFIG
 V = S.SURROGATE_VERSION
@@ -260,6 +266,57 @@ def q23_split_fanout(spark, sf_dir):
     return _two_roles(spark, sf_dir, rows_per_task=2, block=1)
 
 
+def _scratch(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/dimweave/{name}-{uuid.uuid4().hex}"
+
+
+def q24_incremental_latest(spark, sf_dir):
+    """Latest values kept as a state: two thirds of the rows folded and stored, the last third merged in."""
+    t = _t(spark, sf_dir)
+    rows = eav_rows(t, _ids(*CFG.attributes), spine(t, V))
+    late = F.col("id_dado_valor") % 3 == 0
+    path = _scratch(spark, "state")
+    write_state(latest_values(rows.where(~late)), path)
+    new = latest_values(rows.where(late))
+    update_state(path, new)
+    state = read_state(spark, path, new)
+    return state.select("id_demanda", "id_dado", "nm_valor", F.col("newest.t").alias("dt_cadastro"), F.col("newest.i").alias("id_dado_valor"))
+
+
+def q25_bucketed_lookup(spark, sf_dir):
+    """The rows of q01 from bucketed tables: bridge and values are joined bucket by bucket, without a shuffle."""
+    name = f"dimweave_{uuid.uuid4().hex}"
+    save_bucketed(_t(spark, sf_dir), name, 8, _scratch(spark, "buckets"))
+    return _rows(load_bucketed(spark, name), "data_exec").select("id_demanda", "id_dado_valor", "dt_cadastro", "nm_valor")
+
+
+def q26_office_refresh(spark, sf_dir):
+    """The report of all offices, kept in a folder each, after one office was computed alone and replaced."""
+    t = _t(spark, sf_dir)
+    path = _scratch(spark, "report")
+    with write_attributes(t, CFG.with_(office=None)) as values:
+        write_parquet(demand_dimension(t, CFG.with_(office=None), sort=False, values=values), path, partition_by="NURAC")
+        refresh_office(demand_dimension(t, CFG, sort=False, values=values), path, CFG.office)
+    return spark.read.parquet(path).select(*REPORT_COLUMNS)
+
+
+def q27_ordered_files(spark, sf_dir):
+    """The reduced star written in report order; every row with its place when the files are read by name."""
+    path = _scratch(spark, "ordered")
+    write_ordered(q19_star_sorted(spark, sf_dir), path, [REPORT_COLUMNS[0]], files=4, rows_per_file=100)
+    rows = read_in_order(spark, path)
+    before = Window.orderBy("file_name")
+    counts = rows.groupBy("file_name").agg(F.count(F.lit(1)).alias("n"))  # one row a file
+    starts = counts.select("file_name", (F.sum("n").over(before) - F.col("n")).alias("start"))
+    return rows.join(starts, "file_name").select((F.col("start") + F.col("file_row") + 1).alias("place"), F.col(REPORT_COLUMNS[0]).alias("id_demanda"))
+
+
+def q28_bad_values(spark, sf_dir):
+    """Texts that their role could not read if year and execution date were kept in the process number's attributes."""
+    t = _t(spark, sf_dir)
+    return bad_values(_rows(t, "nup", "ano_prev", "data_exec"), CFG.with_(attributes=S.MISREAD_ATTRIBUTES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -286,5 +343,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         q21_dimension_per_attribute,
         q22_planned_business_days,
         q23_split_fanout,
+        q24_incremental_latest,
+        q25_bucketed_lookup,
+        q26_office_refresh,
+        q27_ordered_files,
+        q28_bad_values,
     )
 }

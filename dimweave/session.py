@@ -38,6 +38,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", os.environ.get("DIMWEAVE_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="dimweave-ckpt-"))
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="dimweave-warehouse-"))
     )
     for k, v in PLAN_CONF.items():
         builder = builder.config(k, v)

@@ -200,6 +200,12 @@ SURROGATE_ATTRIBUTES = {
     "ini_prev": Attribute(("view_0",), MAX_DATE),
     "term_prev": Attribute(("view_1",), MAX_DATE),
 }
+# A wrong registry for the report of unreadable texts: years and dates sought among process numbers.
+MISREAD_ATTRIBUTES = {
+    **SURROGATE_ATTRIBUTES,
+    "ano_prev": Attribute(("purchase_1",), ALL, cast="int"),
+    "data_exec": Attribute(("purchase_1", "click_1"), ALL, cast="date"),
+}
 SURROGATE_STAGE_RULES = (
     ("%n%1%5", "Etapa 01"),
     ("%n%1%", "Etapa 02"),

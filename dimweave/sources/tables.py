@@ -16,7 +16,8 @@ class DemandTables:
 
     ``id_dado`` may live on either ``dado_valor`` (the default) or ``demanda_dado``; the
     attribute operators look it up on whichever carries it, so the filter on attribute ids is
-    pushed to that table's scan.
+    pushed to that table's scan. ``values_beside_bridge`` says that the two are bucketed alike by value id,
+    so joining them needs no shuffle and comes before any join by demand.
     """
 
     demanda: DataFrame
@@ -25,6 +26,7 @@ class DemandTables:
     demanda_etapa: DataFrame
     elemento_pn: DataFrame
     status_demanda: DataFrame
+    values_beside_bridge: bool = False
 
     def __post_init__(self):
         need = {
@@ -43,6 +45,8 @@ class DemandTables:
             "status_demanda": {"id_status_demanda", "nm_status_demanda"},
         }
         for f in fields(self):
+            if f.name not in need:
+                continue
             have = set(getattr(self, f.name).columns)
             lacking = need[f.name] - have
             if lacking:
@@ -89,49 +93,6 @@ def load_catalog(spark: SparkSession, database: str | None = None) -> DemandTabl
     return DemandTables(**{name: spark.table(prefix + name) for name in TABLES})
 
 
-# Large tables are read in parallel slices of their key; the dimensions in one query.
-_JDBC_SPLIT = {
-    "demanda": "id_demanda",
-    "demanda_dado": "id_demanda",
-    "dado_valor": "id_dado_valor",
-    "demanda_etapa": "id_demanda",
-}
-
-
-def load_jdbc(
-    spark: SparkSession,
-    url: str,
-    properties: dict,
-    bounds: dict[str, tuple[int, int]],
-    num_partitions: int = 64,
-    schema: str | None = None,
-) -> DemandTables:
-    """Read the live operational database over JDBC.
-
-    ``bounds`` gives (lower, upper) of the split column of each large table; Spark issues
-    ``num_partitions`` range queries per table so no single connection reads it whole. Timestamps
-    without zone stay without zone, so their days depend on no session's time zone.
-    """
-    reader = spark.read.option("preferTimestampNTZ", "true")
-    prefix = f"{schema}." if schema else ""
-    frames = {}
-    for name in TABLES:
-        if name in _JDBC_SPLIT:
-            lo, hi = bounds[name]
-            frames[name] = reader.jdbc(
-                url,
-                prefix + name,
-                column=_JDBC_SPLIT[name],
-                lowerBound=lo,
-                upperBound=hi,
-                numPartitions=num_partitions,
-                properties=properties,
-            )
-        else:
-            frames[name] = reader.jdbc(url, prefix + name, properties=properties)
-    return DemandTables(**frames)
-
-
 def from_rows(spark: SparkSession, rows: dict[str, list[tuple]]) -> DemandTables:
     """Small in-memory tables with the declared schemas (tests, examples)."""
     return DemandTables(**{name: spark.createDataFrame(rows.get(name, []), SCHEMAS[name]) for name in TABLES})
