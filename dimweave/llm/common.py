@@ -30,6 +30,22 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(spark.sparkContext.applicationId)
 
 
+_KEPT: dict = {}
+
+
+def kept_in_worker(name, make):
+    """``make()``, kept under ``name`` for later tasks of a reused Python worker, until another name is asked for."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def forget_kept() -> None:
+    """Free what the tasks of an earlier operator have kept in this Python worker."""
+    _KEPT.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark (any path or store that Spark reads)."""
     ship_package(spark)

@@ -14,12 +14,13 @@ only classes are compared. No link between classes that would join two groups is
    class leads: each other class is compared with it, if the shingles from their places on could be
    enough. That is one comparison per entry of the list at most, whatever its length.
 3. The linked classes form groups of similar documents. In lists that hold followers of several groups,
-   a follower (the query) is held against the other groups. The sizes and places of the query and of
-   the group's classes in the list bound their overlap first. Then each group's classes are cut into
-   chunks of about ``CHUNK``, a chunk stores the union of its classes' shingles, and the query's overlap
-   with the union bounds its overlap with any of them. Only chunks whose bound suffices are opened, and
-   their classes compared with the query. Links within one group need no comparison, for they change
-   nothing.
+   a follower (the query) is held against the later followers of other groups, as long as the lists
+   stay mixed; the sizes and places of the two in the list bound their overlap first. Then the token-group
+   matrix rules: each group's classes are cut into chunks of about ``CHUNK``, a chunk stores the union of
+   its classes' shingles, and the query's overlap with the union bounds its overlap with any of them. Only
+   chunks whose bound suffices are opened, and the query compared with their classes. New links join
+   groups before the next followers of a list are held against the others, so a family of documents costs
+   its length a few times. Links within one group need no comparison, for they change nothing.
 
 Comparisons count common shingles exactly (64-bit hashes of the words).
 
@@ -37,12 +38,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dimweave.llm.common import at_most, saved, text_of
+from dimweave.llm.common import at_most, column_name, forget_kept, saved, ship_package, text_of
 from dimweave.llm.components import connected_components
-from dimweave.llm.similarity import enough, links_of, needed, rows_with_groups, shingles, texts_of
+from dimweave.llm.similarity import enough, groups_across, links_of, mixed_lists, needed, rows_with_groups, shingles, texts_of
 
 WORDS = 5
 PERCENT = 80
@@ -60,6 +61,7 @@ def _sets(docs: DataFrame, key: str, text_col: str, words: int) -> DataFrame:
     key_type = docs.schema[key].dataType.simpleString()
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_kept()
         held, size, seen = [], 0, set()
 
         def frequent() -> pd.DataFrame:
@@ -99,6 +101,7 @@ def _index(docs: DataFrame, key: str, text_col: str, words: int, percent: int, l
     common = docs.sparkSession.sparkContext.broadcast(last)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_kept()
         late, seen = common.value, set()
         for batch in batches:
             found, classes, counts, places = [], [], [], []
@@ -168,56 +171,48 @@ def _followers(index: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInPandas(read, "shingle long, class long, at long, lead long, fits boolean, many boolean")
 
 
-def _across_groups(followers: DataFrame, groups: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """(a, b) of classes in different groups that the token-group matrix leaves to be compared."""
-    group = F.coalesce("component", "class")
-    n, place = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
-    listed = followers.where("many").select("shingle", "class", n.alias("n"), (n - place).alias("left"))
-    listed = listed.join(groups.withColumnRenamed("node", "class"), "class", "left").select("shingle", "class", "n", "left", group.alias("group"))
-    mixed = listed.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("shingle")
-    listed = saved(listed.join(mixed, "shingle"), "mixed-lists")
-    if listed.isEmpty():
-        return listed.select(F.col("class").alias("a"), F.col("class").alias("b"))
-
-    # a query looks at groups of a higher name only: the pair's other class looks from the other side
-    lists = listed.groupBy("shingle", F.col("group").alias("other")).agg(F.max("left").alias("left_other"), F.min("n").alias("least_n"), F.max("n").alias("largest_n"))
-    both = listed.join(lists, "shingle").where(F.col("other") > F.col("group"))
-    smaller = F.greatest("least_n", F.ceil(F.col("n") * percent / 100))
-    possible = (F.least("left", "left_other") * (100 + percent) >= (F.col("n") + smaller) * percent) & (F.col("largest_n") >= smaller)
-    asked = saved(both.where(possible).select("class", F.col("other").alias("group")).distinct(), "asked")
-    # pairs go both ways: the classes of a group that is asked, and those that ask
-    wanted = asked.select("group").distinct()
-    members = listed.select("class", "group").distinct()
-    members = members.join(wanted, "group", "left_semi").unionByName(members.join(asked.select("class").distinct(), "class", "left_semi")).distinct()
-    sizes = members.groupBy("group").count()
-    chunk = F.pmod(F.xxhash64("class"), F.ceil(F.col("count") / CHUNK)).cast("int")
-    members = members.join(sizes, "group").select("class", "group", chunk.alias("chunk"))
-    keyed = saved(members.join(classes, "class"), "members")
-    texts = texts_of(docs, key, text_col, keyed.select("key"))
+def _token_sets(members: DataFrame, docs: DataFrame, key: str, text_col: str, words: int) -> DataFrame:
+    """``class, n, tokens`` of ``members`` (class, n, key): the lower 32 bits of each class's shingles, written."""
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             own = [shingles(t, words) for t in batch["text"]]
             right = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) == c for s, c in zip(own, batch["class"])]
-            # the lower 32 bits: where two shingles meet in them, the bound only grows
+            # where two shingles meet in the lower bits, a bound only grows
             yield batch.drop(columns="text").assign(tokens=[s.astype("u4").view("i4") for s in own])[right]
 
-    schema = "class long, group long, chunk int, n long, tokens array<int>"
-    held = keyed.join(texts, F.col("key") == F.col("text_key")).select("class", "group", "chunk", "n", "text").mapInPandas(tokens, schema)
-    held = saved(held, "group-members")
-    unions = held.groupBy("group", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"), F.max("n").alias("largest"))
+    texts = texts_of(docs, key, text_col, members.select("key"))
+    keyed = members.join(texts, F.col("key") == F.col("text_key")).select("class", "n", "text")
+    return saved(keyed.mapInPandas(tokens, "class long, n long, tokens array<int>"), "token-sets")
+
+
+def _through_matrix(pairs: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose chunk of b's group qualifies for a.
 
-    queries = asked.join(held.select("class", F.col("n").alias("n_query"), "tokens"), "class")
-    least = F.ceil(F.col("n_query") * percent / 100)
+    The matrix holds a row for each chunk of a group: the union of its classes' tokens. A class that asks a chunk can
+    have no more in common with any class in it than with the union; chunks where that is too little stay closed.
+    """
+    group = F.coalesce("component", "class")
+    members = sets.join(groups.withColumnRenamed("node", "class"), "class", "left").select("class", "n", "tokens", group.alias("group"))
+    sizes = members.groupBy("group").count()
+    chunk = F.pmod(F.xxhash64("class"), F.ceil(F.col("count") / CHUNK)).cast("int")
+    placed = saved(members.select("class", "group").join(sizes, "group").select("class", "group", chunk.alias("chunk")), "chunks")
+    asked = pairs.join(placed.withColumnRenamed("class", "b"), "b")
+    wanted = asked.select("group", "chunk").distinct()
+    rows = members.drop("group").join(placed.join(wanted, ["group", "chunk"], "left_semi"), "class")
+    unions = rows.groupBy("group", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"), F.max("n").alias("largest"))
+
+    queries = asked.select("a", "group", "chunk").distinct().join(sets.select(F.col("class").alias("a"), "n", "tokens"), "a")
+    least = F.ceil(F.col("n") * percent / 100)
     # tokens of the query that are one in 32 bits may all be common: count them on top
     common = F.size(F.array_intersect("tokens", "union")) + (F.size("tokens") - F.size(F.array_distinct("tokens")))
-    qualify = queries.join(unions, "group").where((F.col("largest") >= least) & (common >= least))
-    opened = qualify.select(F.col("class").alias("a"), "group", "chunk")
-    return opened.join(held.select(F.col("class").alias("b"), "group", "chunk"), ["group", "chunk"]).select("a", "b")
+    opened = queries.join(unions, ["group", "chunk"]).where((F.col("largest") >= least) & (common >= least)).select("a", "group", "chunk")
+    return asked.join(opened, ["a", "group", "chunk"], "left_semi").select("a", "b")
 
 
-def similarity_groups(docs: DataFrame, key: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``key, n_shingles, component_id``: the set size, and the smallest key reachable by links, of every row."""
+def _groups(docs: DataFrame, key: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(``key, n, class`` of every row; ``class, n, key``: the representatives; ``node, component``: the classes that link)."""
+    ship_package(docs.sparkSession)
     looked = saved(_sets(docs, key, text_col, words), "sets")
     rows = looked.where(F.col("n").isNotNull()).select("key", "n", "class")
     often = looked.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= COMMON_FROM)
@@ -237,17 +232,45 @@ def similarity_groups(docs: DataFrame, key: str = "doc_id", text_col: str = "tex
     links = links_of(stars, classes, docs, key, text_col, words, percent)
     groups = saved(connected_components(links), "groups")
 
-    more = saved(_across_groups(followers, groups, classes, docs, key, text_col, words, percent), "opened")
-    if not more.isEmpty():
-        found = links_of(more.distinct(), classes, docs, key, text_col, words, percent)
-        members = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        groups = saved(connected_components(members.unionByName(found)), "groups")
+    lists = followers.where("many").select(F.col("shingle").alias("list"), "class", "at")
+    shared = mixed_lists(lists, groups, 2).select("list", "class", "at")
+    members = saved(shared.select("class").distinct().join(classes, "class"), "members")
+    if not members.isEmpty():
+        sets = _token_sets(members, docs, key, text_col, words)
+
+        def links_across(pairs: DataFrame, now: DataFrame) -> DataFrame:
+            return links_of(_through_matrix(pairs, now, sets, percent), classes, docs, key, text_col, words, percent)
 
-    return rows_with_groups(rows, classes, groups, key)
+        groups = groups_across(shared, groups, links_across, percent)
+    return rows, classes, groups
+
+
+def similarity_groups(docs: DataFrame, key: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``key, n_shingles, component_id``: the set size, and the smallest key reachable by links, of every row."""
+    return rows_with_groups(*_groups(docs, key, text_col, words, percent), key).drop("class")
 
 
 def one_of_each_group(docs: DataFrame, key: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents whose key is their group's smallest, with the columns of ``docs``; rows without a key stay."""
-    groups = similarity_groups(docs, key, text_col, words, percent)
-    gone = saved(groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("gone_key")).distinct(), "gone")
-    return docs.join(gone, F.col(key) == F.col("gone_key"), "left_anti")
+    """One document of each group, that with the smallest key, with the columns of ``docs``.
+
+    Rows without a key stay. Rows that share a key are judged by their own texts: of those with one set of
+    shingles, the first by text stays if its group has no smaller key. Column names of ``docs`` are never clashed with.
+    """
+    grouped = saved(rows_with_groups(*_groups(docs, key, text_col, words, percent), key).where(F.col(key).isNotNull()), "grouped")
+    row_key, row_class, place = (column_name(docs, name) for name in ("row_key", "row_class", "row_place"))
+    repeated = saved(grouped.groupBy(F.col(key).alias(row_key)).count().where("count > 1").select(row_key), "repeated")
+    gone = grouped.where(F.col(key) != F.col("component_id")).select(F.col(key).alias(row_key))
+    elsewhere = saved(gone.unionByName(repeated).distinct(), "gone")
+    out = docs.join(elsewhere, F.col(key) == F.col(row_key), "left_anti")
+
+    @F.pandas_udf("long")
+    def class_of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: xxhash.xxh64_intdigest(shingles(t, words).tobytes()) - (1 << 63))
+
+    stays = grouped.where(F.col(key) == F.col("component_id")).select(F.col(key).alias(row_key), F.col("class").alias(f"{row_class}_"))
+    stays = stays.join(repeated, row_key, "left_semi").distinct()
+    again = docs.join(repeated, F.col(key) == F.col(row_key), "left_semi").withColumn(row_class, class_of(text_of(text_col)))
+    again = again.join(stays, (F.col(key) == F.col(row_key)) & (F.col(row_class) == F.col(f"{row_class}_")), "left_semi")
+    first = Window.partitionBy(key, row_class).orderBy(F.col(text_col).asc_nulls_first(), F.xxhash64(*docs.columns))
+    again = again.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
+    return out.unionByName(again.select(*docs.columns))

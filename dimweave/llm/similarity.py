@@ -6,17 +6,20 @@ that has it. Pairs of classes are compared on the full sets of their representat
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dimweave.llm.common import saved, text_of
+from dimweave.llm.components import connected_components
 
 SIEVE_BITS = 1 << 26
+LEADERS = 8
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -123,7 +126,7 @@ def with_classes(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFram
 
 
 def rows_with_groups(rows: DataFrame, classes: DataFrame, groups: DataFrame, key: str) -> DataFrame:
-    """``key, n_shingles, component_id`` of every row (key, n, class): the smallest key of its class's group.
+    """``key, n_shingles, component_id, class`` of every row (key, n, class): the smallest key of its class's group.
 
     ``groups`` (node, component) names the groups of the classes that have links. A row without a key
     has a NULL component; a row with an empty set is its own.
@@ -134,4 +137,70 @@ def rows_with_groups(rows: DataFrame, classes: DataFrame, groups: DataFrame, key
     named = saved(grouped.join(heads, "group").select("class", "n", "component_id"), "components")
     out = rows.join(named, ["class", "n"], "left")
     own = F.when(F.col("key").isNull(), None).otherwise(F.coalesce("component_id", "key"))
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"), "class")
+
+
+def next_pairs(lists: DataFrame, first: int, after: int, percent: int) -> DataFrame:
+    """(a, b): in each list (list, class, at, group), its sets at places ``first`` to ``after`` with later sets of other groups.
+
+    Left out are pairs that cannot have enough in common after their places in ``at``. A list comes sorted
+    and is read once as a stream; only its leaders are held.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, place, leaders = None, 0, []
+        for batch in batches:
+            found_a, found_b = [], []
+            name, node, group, at = (batch[c].to_numpy() for c in ("list", "class", "group", "at"))
+            size, left = at >> 32, (at >> 32) - (at & 0xFFFFFFFF)
+            starts = np.flatnonzero(np.r_[True, name[1:] != name[:-1]]) if len(name) else []
+            for start, end in zip(starts, [*starts[1:], len(name)]):
+                if name[start] != now:
+                    now, place, leaders = name[start], 0, []
+                own = slice(start, end)
+                nodes, groups, sizes, rest = node[own], group[own], size[own], left[own]
+                leaders += [(place + i, nodes[i], groups[i], sizes[i], rest[i]) for i in range(max(0, first - place), min(len(nodes), after - place))]
+                places = place + np.arange(len(nodes))
+                for where, leader, its_group, its_size, its_rest in leaders:
+                    fits = np.minimum(rest, its_rest) >= enough(sizes, its_size, percent)
+                    other = nodes[(groups != its_group) & (places > where) & fits]
+                    found_a.append(other)
+                    found_b.append(np.full(len(other), leader))
+                place += len(nodes)
+            if found_a:
+                yield pd.DataFrame({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+
+    return lists.repartition("list").sortWithinPartitions("list", "class").mapInPandas(read, "a long, b long")
+
+
+def mixed_lists(lists: DataFrame, groups: DataFrame, least_size: int) -> DataFrame:
+    """The rows of the lists that hold several groups and at least ``least_size`` classes, with ``group``; written."""
+    named = lists.join(groups.withColumnRenamed("node", "class"), "class", "left")
+    named = named.select(*lists.columns, F.coalesce("component", "class").alias("group"))
+    several = named.groupBy("list").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("size"))
+    several = several.where((F.col("low") != F.col("high")) & (F.col("size") >= least_size)).select("list")
+    return saved(named.join(several, "list"), "mixed-lists")
+
+
+def joined_groups(groups: DataFrame, found: DataFrame) -> DataFrame:
+    members = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return saved(connected_components(members.unionByName(found)), "groups")
+
+
+def groups_across(lists: DataFrame, groups: DataFrame, links: Callable[[DataFrame, DataFrame], DataFrame], percent: int) -> DataFrame:
+    """``groups`` joined by the links between classes of one list (list, class, at) that lie in different groups.
+
+    ``links(pairs, groups)`` gives the pairs (a, b) that link. In each list the first ``LEADERS`` classes
+    lead, then ``LEADERS`` times as many, and so on, each compared with the later classes of other groups,
+    until a list is one group or its classes have all led: no pair of a list is left out that the places
+    allow and that could join two groups. A list that links soon costs its length a few times.
+    """
+    first, many, shared = 0, LEADERS, lists
+    while True:
+        shared = mixed_lists(shared.select(*lists.columns), groups, first + 2)
+        if shared.isEmpty():
+            return groups
+        pairs = saved(next_pairs(shared, first, first + many, percent).distinct(), "across")
+        if not pairs.isEmpty():
+            groups = joined_groups(groups, links(pairs, groups))
+        first, many = first + many, LEADERS * many

@@ -16,7 +16,7 @@
    with their places, which bound how much two sets can have in common from there on. (The ``COMMON`` most
    frequent shingles among these sets count as frequent, the others as rare; any order gives the same links.)
    Variants of one text that lie just below the limit differ in rare shingles, so few of their pairs pass.
-   In the lists of shingles the first four sets lead, then the next sixteen, and so on: each is compared
+   In the lists of shingles the first eight sets lead, then the next 64, and so on: each is compared
    with the later sets of other groups that the bound lets through, until a list is one group or all its
    pairs are compared or ruled out. No pair is left out that could join two groups.
 4. Union-find runs as connected components over the verified links.
@@ -39,9 +39,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dimweave.llm.common import at_most, saved, ship_package, text_of
+from dimweave.llm.common import at_most, forget_kept, saved, ship_package, text_of
 from dimweave.llm.components import connected_components
-from dimweave.llm.similarity import enough, links_of, mixed, needed, rows_with_groups, shingles, texts_of
+from dimweave.llm.similarity import groups_across, links_of, mixed, mixed_lists, needed, rows_with_groups, shingles, texts_of
 
 WORDS = 3
 PERCENT = 85
@@ -109,6 +109,7 @@ def _look(docs: DataFrame, key: str, text_col: str, words: int) -> DataFrame:
     key_type = docs.schema[key].dataType
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_kept()
         seen = set()
         for batch in batches:
             sizes, classes, new, at = [], [], [], []
@@ -177,53 +178,6 @@ def _rare_lists(members: DataFrame, docs: DataFrame, key: str, text_col: str, wo
     return keyed.mapInPandas(look, "list long, class long, at long")
 
 
-def _next_pairs(lists: DataFrame, first: int, after: int, percent: int) -> DataFrame:
-    """(a, b): in each list (list, class, at, group), its sets at places ``first`` to ``after`` with later sets of other groups.
-
-    Left out are pairs that cannot have enough in common after their places in ``at``. A list comes sorted
-    and is read once as a stream; only its leaders are held.
-    """
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, place, leaders = None, 0, []
-        for batch in batches:
-            found_a, found_b = [], []
-            name, node, group, at = (batch[c].to_numpy() for c in ("list", "class", "group", "at"))
-            size, left = at >> 32, (at >> 32) - (at & 0xFFFFFFFF)
-            starts = np.flatnonzero(np.r_[True, name[1:] != name[:-1]]) if len(name) else []
-            for start, end in zip(starts, [*starts[1:], len(name)]):
-                if name[start] != now:
-                    now, place, leaders = name[start], 0, []
-                own = slice(start, end)
-                nodes, groups, sizes, rest = node[own], group[own], size[own], left[own]
-                leaders += [(place + i, nodes[i], groups[i], sizes[i], rest[i]) for i in range(max(0, first - place), min(len(nodes), after - place))]
-                places = place + np.arange(len(nodes))
-                for where, leader, its_group, its_size, its_rest in leaders:
-                    fits = np.minimum(rest, its_rest) >= enough(sizes, its_size, percent)
-                    other = nodes[(groups != its_group) & (places > where) & fits]
-                    found_a.append(other)
-                    found_b.append(np.full(len(other), leader))
-                place += len(nodes)
-            if found_a:
-                yield pd.DataFrame({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
-
-    return lists.repartition("list").sortWithinPartitions("list", "class").mapInPandas(read, "a long, b long")
-
-
-def _grouped(lists: DataFrame, groups: DataFrame, least_size: int) -> DataFrame:
-    """The rows of the lists that hold several groups and at least ``least_size`` classes, with ``group``; written."""
-    named = lists.join(groups.withColumnRenamed("node", "class"), "class", "left")
-    named = named.select(*lists.columns, F.coalesce("component", "class").alias("group"))
-    several = named.groupBy("list").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("size"))
-    several = several.where((F.col("low") != F.col("high")) & (F.col("size") >= least_size)).select("list")
-    return saved(named.join(several, "list"), "mixed-lists")
-
-
-def _joined(groups: DataFrame, found: DataFrame) -> DataFrame:
-    members = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return saved(connected_components(members.unionByName(found)), "groups")
-
-
 def groups_of_leaders(lists: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``node, component`` by the links of each list's classes with its first; ``links(pairs)`` gives the pairs (a, b) that do."""
     head = lists.groupBy("list").agg(F.min("class").alias("b"), F.count("*").alias("size")).where("size > 1").select("list", "b")
@@ -231,19 +185,6 @@ def groups_of_leaders(lists: DataFrame, links: Callable[[DataFrame], DataFrame])
     return saved(connected_components(links(pairs)), "groups")
 
 
-def groups_across(lists: DataFrame, groups: DataFrame, links: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """``groups`` joined by the links between classes of one list (list, class, at) that lie in different groups."""
-    first, many, shared = 0, 4, lists
-    while True:
-        shared = _grouped(shared.select(*lists.columns), groups, first + 2)
-        if shared.isEmpty():
-            return groups
-        pairs = saved(_next_pairs(shared, first, first + many, percent).distinct(), "across")
-        if not pairs.isEmpty():
-            groups = _joined(groups, links(pairs))
-        first, many = first + many, 4 * many
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``key, n_shingles, component_id, kept`` of every row: the smallest key reachable by links, and whether it is the row's own."""
     ship_package(docs.sparkSession)
@@ -252,15 +193,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
     classes = saved(rows.where("n > 0 AND key IS NOT NULL").groupBy("class", "n").agg(F.min("key").alias("key")), "classes")
     lists = looked.where("bands IS NOT NULL").select("class", F.explode("bands").alias("list")).distinct()
 
-    def links(pairs: DataFrame) -> DataFrame:
+    def links(pairs: DataFrame, _groups: DataFrame | None = None) -> DataFrame:
         return links_of(pairs, classes, docs, key, text_col, words, percent)
 
     lists = saved(lists, "lists")
     groups = groups_of_leaders(lists, links)
-    members = _grouped(lists, groups, 2).select("class").distinct()
+    members = mixed_lists(lists, groups, 2).select("class").distinct()
     members = saved(members.join(classes.select("class", "key"), "class"), "members")
     if not members.isEmpty():
         rare = saved(_rare_lists(members, docs, key, text_col, words, percent), "rare-lists")
         groups = groups_across(rare, groups, links, percent)
-    out = rows_with_groups(rows, classes, groups, key)
+    out = rows_with_groups(rows, classes, groups, key).drop("class")
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))

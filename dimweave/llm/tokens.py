@@ -13,7 +13,6 @@ which changes no id.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 from array import array
@@ -21,6 +20,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from dimweave.llm.common import kept_in_worker
+
 # White space of the Unicode property White_Space, as the tokenizers' expressions read \s.
 SPACE = " \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 MAX_UNITS = 1_200_000
@@ -158,7 +159,6 @@ class UnitEncoder:
         return [len(self.known[u]) // 4 for u in units]
 
 
-@functools.lru_cache(maxsize=4)
 def encoder(path: str) -> UnitEncoder:
-    """The worker's encoder of a file; it stays over the tasks of a reused Python worker."""
-    return UnitEncoder(path)
+    """The worker's encoder of a file; it stays over the tasks of a reused Python worker, until another operator's begin."""
+    return kept_in_worker(("encoder", path), lambda: UnitEncoder(path))

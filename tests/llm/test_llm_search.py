@@ -1,5 +1,6 @@
 """URL rules, similarity groups, components and neighbours against brute force."""
 
+import os
 import random
 
 import numpy as np
@@ -10,7 +11,10 @@ from dimweave.llm import ngram_join
 from dimweave.llm.components import connected_components
 from dimweave.llm.neighbours import nearest
 from dimweave.llm.ngram_join import one_of_each_group, similarity_groups
+from dimweave.llm.oracle import ORACLE_SQL
+from dimweave.llm.queries import QUERIES
 from dimweave.llm.urls import UrlRule, index_rules, judge_urls
+from dimweave.queries.compare import compare, duckdb_connection
 from helpers import frame, odd_rows, prose
 
 RULES = [
@@ -176,17 +180,31 @@ def test_neighbours_edge_cases(spark):
     assert [r["vec_id"] for r in tied] == [0, 1, 2, 3, 4]
 
 
-def test_url_query_matches_its_oracle(spark):
-    import os
+SF_DIR = "/root/testdata/sf0.001"
 
-    from dimweave.llm.oracle import ORACLE_SQL
-    from dimweave.llm.queries import QUERIES
-    from dimweave.queries.compare import compare, duckdb_connection
 
-    sf_dir = "/root/testdata/sf0.001"
-    if not os.path.isdir(sf_dir):
-        pytest.skip("no test data")
-    assert set(ORACLE_SQL) == {"op7_url_filter"}
-    for name, sql in ORACLE_SQL.items():
-        r = compare(spark, duckdb_connection(sf_dir), name, QUERIES[name], sql, sf_dir)
-        assert r["hash_match"] and r["rows_spark"] == r["rows_oracle"] > 0
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_queries_match_their_oracle(spark, name):
+    con = duckdb_connection(SF_DIR)
+    r = compare(spark, con, name, QUERIES[name], ORACLE_SQL[name], SF_DIR)
+    assert r["hash_match"] and r["rows_spark"] == r["rows_oracle"] > 0
+
+
+def test_one_row_of_each_group_whatever_the_keys(spark):
+    base = prose(5, 60)
+    near = base + " tail"
+    rows = [
+        (7, base, "a"), (7, base, "b"), (7, base.upper(), "c"),  # one key, one set: the first by text stays
+        (3, near, "d"), (5, prose(6, 40), "e"), (5, base, "f"),  # one key, two sets: each goes by its own group
+        (None, base, "g"), (None, base, "g"), (9, None, "h"), (9, "", "i"), (10, "", "j"), (11, prose(6, 40), "k"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone_key string").withColumn("row_key", F.lit(1)).withColumn("class", F.lit(2)).repartition(4)
+    kept = one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r["gone_key"] for r in kept.collect()))
+    # keys 3, 5 and 7 hold near texts: the smallest, 3, stays; prose(6) is the group of 5 and 11
+    assert got == ["d", "e", "g", "g", "h", "j"]
+    assert one_of_each_group(docs.limit(0)).collect() == []
+    alone = one_of_each_group(docs.where("doc_id = 7")).collect()
+    assert [r["gone_key"] for r in alone] == ["c"] or [r["text"] for r in alone] == [min(base, base.upper())]
