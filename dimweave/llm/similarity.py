@@ -183,6 +183,9 @@ def mixed_lists(lists: DataFrame, groups: DataFrame, least_size: int) -> DataFra
 
 
 def joined_groups(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """``groups`` (node, component) with the links ``found`` (a, b; a written table) added."""
+    if found.isEmpty():
+        return groups
     members = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
     return saved(connected_components(members.unionByName(found)), "groups")
 
