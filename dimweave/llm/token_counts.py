@@ -3,9 +3,11 @@
 1. Every task counts its pre-tokens (see ``tokens``), Spark sums them: the vocabulary of the corpus.
 2. The pieces of each distinct pre-token are counted once, by the tokenizers library, and written.
 3. Per document, the frequencies of its pre-tokens are joined to the piece counts and summed. The
-   most frequent pre-tokens, at most ``head`` of at most ``HEAD_BYTES`` each, are sent to the workers
-   (a fixed bound whatever the corpus), which sum them in place; every other frequency goes through a
-   shuffle join on the pre-token. No pre-token outside the head is frequent, so no key is hot.
+   most frequent pre-tokens, at most ``head``, are sent to the workers, which sum them in place: those of
+   more than ``HEAD_BYTES`` as a 128-bit digest, so the table has a fixed bound whatever the corpus, and a
+   long url or line that many documents hold is in it too. Every other frequency goes through a shuffle
+   join on the pre-token. No pre-token outside the head is frequent, so no key is hot. A pre-token that the
+   vocabulary lacks is an error.
 
 Edge cases: a NULL text counts as empty (0 bytes, 0 tokens). Rows are counted one by one, also equal
 ones and those with a NULL key. An empty table gives an empty result. The result has the ``keep``
@@ -14,6 +16,7 @@ columns and then ``n_bytes, n_tokens``; an input column of one of these names is
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dimweave.llm.common import at_most, saved, text_of
+from dimweave.llm.common import at_most, saved, ship_package, text_of
 from dimweave.llm.tokens import chunks, encoder, pieces_of
 
 OUTPUT = ("n_bytes", "n_tokens")
@@ -65,10 +68,13 @@ def vocabulary(docs: DataFrame, tokenizer_path: str, text_col: str = "text") ->
 def count_tokens(docs: DataFrame, tokenizer_path: str, keep: Sequence[str] = (), text_col: str = "text", head: int = HEAD) -> DataFrame:
     """``keep`` columns, UTF-8 bytes and number of tokens of every whole text."""
     spark = docs.sparkSession
+    ship_package(spark)
     vocab = saved(vocabulary(docs, tokenizer_path, text_col), "vocabulary")
-    short = vocab.where(F.octet_length("pretoken") <= HEAD_BYTES)
-    first = at_most(short, "n", head).select("pretoken", "pieces").toPandas()
-    top = spark.sparkContext.broadcast((first["pretoken"].tolist(), first["pieces"].to_numpy(dtype="int32")))
+    long = F.octet_length("pretoken") > HEAD_BYTES
+    named = F.when(long, F.md5(F.col("pretoken").cast("binary"))).otherwise(F.col("pretoken"))
+    first = at_most(vocab, "n", head).select(named.alias("name"), long.alias("long"), "pieces").toPandas()
+    parts = [first[first["long"] == kind] for kind in (False, True)]
+    top = spark.sparkContext.broadcast([(p["name"].tolist(), p["pieces"].to_numpy(dtype="int32")) for p in parts])
 
     keep = [c for c in keep if c not in OUTPUT]
     names = {c: f"k{i}" for i, c in enumerate(keep)}
@@ -77,8 +83,13 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, keep: Sequence[str] = (),
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = encoder(tokenizer_path).split
-        strings, numbers = top.value
-        known = dict(zip(strings, numbers.tolist())).get
+        short, by_digest = (dict(zip(strings, numbers.tolist())) for strings, numbers in top.value)
+
+        def pieces_of_long(unit: str) -> int | None:
+            raw = unit.encode()
+            return by_digest.get(hashlib.md5(raw, usedforsecurity=False).hexdigest()) if len(raw) > HEAD_BYTES else None
+
+        known = short.get
         row = TaskContext.get().partitionId() << 40
 
         def rows_of(kept: list[pa.Array], rows: list[int], n_bytes: list[int | None], words: list[str], times: list[int]) -> pa.RecordBatch:
@@ -97,6 +108,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, keep: Sequence[str] = (),
                         units = split(part)
                         found = list(map(known, units))
                         if None in found:
+                            if by_digest:
+                                found = [pieces_of_long(u) if p is None else p for u, p in zip(units, found)]
                             rest.update(u for u, p in zip(units, found) if p is None)
                             total += sum(p for p in found if p is not None)
                         else:
@@ -105,7 +118,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, keep: Sequence[str] = (),
                     rows += [row + i] * len(rest)
                     words += rest
                     times += rest.values()
-                # a space within it: no pre-token has that, so the row's own sum joins nothing
+                # the row's own sum, under a name that differs from row to row and joins nothing: no pre-token has a space within
                 own_rows = list(range(row, row + len(group)))
                 yield rows_of(own, own_rows, [len(t.encode()) for t in group], [f"{r} ." for r in own_rows], sums)
                 yield rows_of([pa.nulls(len(rows), c.type) for c in own], rows, [None] * len(rows), words, times)
@@ -113,9 +126,11 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, keep: Sequence[str] = (),
 
     per_doc = docs.select(*(F.col(c).alias(names[c]) for c in keep), text_of(text_col).alias("text")).mapInArrow(frequencies, schema)
     joined = per_doc.join(vocab.select("pretoken", "pieces"), "pretoken", "left")
+    lost = F.raise_error(F.concat(F.lit("pre-token without a piece count: "), F.col("pretoken"))).cast("long")
+    counted = F.when(F.col("n_bytes").isNotNull(), F.col("n")).when(F.col("pieces").isNull(), lost).otherwise(F.col("n") * F.col("pieces"))
     summed = joined.groupBy("row").agg(
         *(F.max_by(names[c], F.col("n_bytes").isNotNull()).alias(names[c]) for c in keep),
         F.max("n_bytes").alias("n_bytes"),
-        F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("n_tokens"),
+        F.sum(counted).alias("n_tokens"),
     )
     return summed.select(*(F.col(names[c]).alias(c) for c in keep), "n_bytes", "n_tokens")

@@ -75,6 +75,24 @@ def test_token_counts_of_special_strings(spark):
         assert {r["doc_id"]: r["n_tokens"] for r in out.collect()} == {i: len(_ids(BYTES, t)) for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("head", [0, 6, 400_000])
+def test_a_long_pre_token_of_many_documents_needs_no_join(spark, head):
+    url = " https://example.org/" + "path-" * 20 + "é"
+    rows = [(i, f"{url} word{i}" + url * (i % 3), "en", "s", 1) for i in range(60)] + [(99, "x" * 100, "en", "s", 1)]
+    out = count_tokens(frame(spark, rows).repartition(3), BYTES, keep=["doc_id"], head=head)
+    assert {r["doc_id"]: r["n_tokens"] for r in out.collect()} == {r[0]: len(_ids(BYTES, r[1])) for r in rows}
+
+
+def test_a_pre_token_without_a_count_is_an_error(spark, monkeypatch):
+    from dimweave.llm import token_counts
+
+    whole = token_counts.vocabulary
+    monkeypatch.setattr(token_counts, "vocabulary", lambda *a: whole(*a).where("pretoken <> ' lost'"))
+    docs = frame(spark, [(1, "a lost word", "en", "s", 1)])
+    with pytest.raises(Exception, match="without a piece count"):
+        count_tokens(docs, BYTES, head=0).collect()
+
+
 def test_long_texts_and_full_memory_change_no_id(monkeypatch):
     monkeypatch.setattr(tokens, "CHUNK_CHARS", 200)
     monkeypatch.setattr(tokens, "MAX_UNITS", 50)
