@@ -111,9 +111,12 @@ def _block(key: Column, bounds: list) -> Column:
     return F.when(key.isNull(), F.lit(0)).otherwise(found)
 
 
-def with_next(docs: DataFrame, key: str, carried: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, key: str, carried: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
     """Every row, and as ``next_<name>`` the carried columns of the next row by descending key (after the last: the first).
 
+    ``derived`` names further columns, computed from the others and carried along; of a block's copy they are
+    computed after it was found, so once a row and once a block.
+
     The rows are dealt by ranges of the key into as many blocks as shuffles have partitions, each
     sorted by itself, so the carried columns cross one shuffle. A block's last row finds its successor
     in a copy of the first row of the next block; there is one such copy a block.
@@ -136,13 +139,16 @@ def with_next(docs: DataFrame, key: str, carried: list[str]) -> DataFrame:
     ), "follows")
     same = (dealt["block"] == follows["block"]) & dealt[key].eqNullSafe(follows["head"])
     firsts = dealt.join(follows, same).select("into", F.struct(*carried).alias("row"))
-    ghosts = firsts.groupBy("into").agg(F.min("row").alias("row"))
+    # written: a derived column on top would else be computed below the grouping, for every row
+    ghosts = saved(firsts.groupBy("into").agg(F.min("row").alias("row")), "firsts")
 
-    real = dealt.select(*docs.columns, "block", F.lit(False).alias("ghost"))
-    copies = ghosts.select(F.col("into").alias("block"), *(F.col("row")[c].alias(c) for c in carried), F.lit(True).alias("ghost"))
+    derived = derived or {}
+    real = dealt.select(*docs.columns, "block", F.lit(False).alias("ghost")).withColumns(derived)
+    copies = ghosts.select(F.col("into").alias("block"), *(F.col("row")[c].alias(c) for c in carried), F.lit(True).alias("ghost")).withColumns(derived)
+    own, carried = [*docs.columns, *derived], [*carried, *derived]
     order = Window.partitionBy("block").orderBy("ghost", F.col(key).desc_nulls_last(), carried[0])
     chained = real.unionByName(copies, allowMissingColumns=True)
-    return chained.select(*docs.columns, "ghost", *(F.lead(c).over(order).alias(f"next_{c}") for c in carried)).where(~F.col("ghost")).drop("ghost")
+    return chained.select(*own, "ghost", *(F.lead(c).over(order).alias(f"next_{c}") for c in carried)).where(~F.col("ghost")).drop("ghost")
 
 
 def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,8 +158,7 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text_col: str = "t
     code points of the next document, or by all it has.
     """
     base = docs.select(F.col(key).alias("key"), text_of(text_col).alias("text"))
-    sketched = base.withColumn("sketch", sketch(F.col("text")))
-    chained = with_next(sketched, "key", ["text", "sketch"])
+    chained = with_next(base, "key", ["text"], {"sketch": sketch(F.col("text"))})
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = chained.select(
