@@ -3,13 +3,16 @@
 Documents are counted into cells of source, language and topic (tokens: words of the whole text). A
 cell's sampling probability starts at ``fraction`` and is raked: for one dimension after the other it
 is multiplied by the target tokens of the cell's value over what the value now has, and kept at 1 at
-most, until all three marginals fit within ``tolerance`` or ``rounds`` are over. The raked weight of a
-cell is its tokens times its probability. A document is selected when a hash of its key, read as a
-number from 0 to 1, is below its cell's probability, so a run repeats.
+most, until all three marginals fit within ``tolerance``, nothing moves any more (the marginals do not
+fit together with probabilities up to 1), or ``rounds`` are over. The raked weight of a cell is its tokens times its
+probability. A document is selected when a hash of its key, read as a number from 0 to 1, is below its
+cell's probability, so a run repeats. ``marginals`` tells for every value the tokens it has, its goal
+and what the fit reaches.
 
 Targets are shares per dimension; values without a given share divide what is left by their own share
-to the power ``temper`` (below 1 it lifts small sources). A target above what a value has is met as far
-as its tokens go.
+to the power ``temper`` (below 1 it lifts small sources). No value can have more than its own tokens: a
+share above that is cut to them, and what it cannot take goes to the values without a given share, in the same proportions, so a
+dimension's goals always add up to ``fraction`` of all tokens where its open values have them.
 
 All of it is DataFrame work: cells are aggregated map-side, so a source with a third of all rows sends
 one row a task; the cell table joins back by key, and Spark broadcasts it only below its byte bound.
@@ -54,49 +57,81 @@ def topic_of(text: Column, tokens: Column) -> Column:
 
 
 def _targets(cells: DataFrame, dimension: str, total: float, given: Mapping[str, float], temper: float) -> DataFrame:
-    """``dimension, goal``: the tokens each value is to have, of ``total``."""
-    sums = cells.groupBy(dimension).agg(F.sum("tokens").alias("has"))
+    """``dimension, has, goal``: the tokens each value has, and is to have of ``total``; a goal is never above ``has``."""
+    sums = cells.groupBy(dimension).agg(F.sum("tokens").cast("double").alias("has"))
     share = F.lit(None).cast("double")
     for value, part in given.items():
         share = F.when(F.col(dimension) == value, F.lit(float(part))).otherwise(share)
-    sums = saved(sums.select(dimension, share.alias("given"), F.pow(F.col("has").cast("double"), F.lit(temper)).alias("lifted")), f"targets-{dimension}")
-    taken, rest = sums.agg(F.coalesce(F.sum("given"), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("given").isNull(), F.col("lifted"))), F.lit(0.0))).first()
-    left = max(0.0, 1 - taken) / rest if rest else 0.0
-    return sums.select(dimension, (F.coalesce("given", F.col("lifted") * left) * total).alias("goal"))
+    sums = saved(sums.select(dimension, "has", F.when(share.isNotNull(), F.least(share * total, F.col("has"))).alias("given"), F.pow("has", F.lit(temper)).alias("lifted")), f"targets-{dimension}")
+    taken = sums.agg(F.coalesce(F.sum("given"), F.lit(0.0))).first()[0]
+    rate, full = 0.0, -1
+    while True:  # each pass fills more values up to what they have, and shares the rest among the others
+        reached = F.col("given").isNull() & (F.col("lifted") * rate >= F.col("has")) & F.lit(full >= 0)
+        open_ = F.col("given").isNull() & ~reached
+        n, used, lifted = sums.agg(F.count_if(reached), F.coalesce(F.sum(F.when(reached, F.col("has"))), F.lit(0.0)), F.coalesce(F.sum(F.when(open_, F.col("lifted"))), F.lit(0.0))).first()
+        if n == full or not lifted:
+            break
+        rate, full = max(0.0, total - taken - used) / lifted, n
+    return sums.select(dimension, "has", F.coalesce("given", F.least("has", F.col("lifted") * rate)).alias("goal"))
+
+
+def _goals(cells: DataFrame, fraction: float, targets: Mapping[str, Mapping[str, float]] | None, temper: float) -> tuple[float, dict[str, DataFrame]]:
+    total = float((cells.agg(F.sum("tokens")).first()[0] or 0) * fraction)
+    return total, {d: _targets(cells, d, total, (targets or {}).get(d, {}), temper) for d in DIMENSIONS}
 
 
 def fit(cells: DataFrame, fraction: float, targets: Mapping[str, Mapping[str, float]] | None = None, temper: float = 0.7, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``cells`` (the three dimensions, tokens) with the raked ``probability``."""
-    total = (cells.agg(F.sum("tokens")).first()[0] or 0) * fraction
+    """``cells`` (the three dimensions, tokens) with the raked ``probability`` and the goals of its three values."""
+    total, goals = _goals(cells, fraction, targets, temper)
     fitted = cells.withColumn("probability", F.lit(float(fraction)))
     for dimension in DIMENSIONS:
-        goals = _targets(cells, dimension, total, (targets or {}).get(dimension, {}), temper)
-        fitted = fitted.join(goals.withColumnRenamed("goal", f"goal_{dimension}"), dimension)
+        fitted = fitted.join(goals[dimension].select(dimension, F.col("goal").alias(f"goal_{dimension}")), dimension)
     fitted = saved(fitted, "fit")
     for _ in range(rounds if total else 0):
-        before = fitted
+        now_fits = fitted.withColumn("old", F.col("probability"))
         for dimension in DIMENSIONS:
-            now = fitted.groupBy(dimension).agg(F.sum(F.col("tokens") * F.col("probability")).alias("now"))
-            factor = F.when(F.col("now") > 0, F.col(f"goal_{dimension}") / F.col("now")).otherwise(F.lit(1.0))
-            fitted = fitted.join(now, dimension).withColumn("probability", F.least(F.lit(1.0), F.col("probability") * factor)).drop("now")
-        old = before.select(*DIMENSIONS, F.col("probability").alias("old"))
-        fitted = saved(fitted.join(old, list(DIMENSIONS)), "fit")
-        moved = fitted.agg(F.max(F.abs(F.col("probability") - F.col("old")))).first()[0]
-        fitted = fitted.drop("old")
-        if moved < tolerance:
+            now = now_fits.groupBy(dimension).agg(F.sum(F.col("tokens") * F.col("probability")).alias("now"))
+            goal = F.col(f"goal_{dimension}")
+            factor = F.when(F.col("now") > 0, goal / F.col("now")).otherwise(F.lit(1.0))
+            now_fits = now_fits.join(now, dimension).withColumns({
+                "probability": F.least(F.lit(1.0), F.col("probability") * factor), f"off_{dimension}": F.abs(F.col("now") - goal) / total,
+            }).drop("now")
+        now_fits = saved(now_fits, "fit")
+        # how far the marginals were off when their turn came, and how far the probabilities moved
+        off, moved = now_fits.agg(F.max(F.greatest(*(f"off_{d}" for d in DIMENSIONS))), F.max(F.abs(F.col("probability") - F.col("old")))).first()
+        fitted = now_fits.drop("old", *(f"off_{d}" for d in DIMENSIONS))
+        if off < tolerance or moved < tolerance:
             break
-    return fitted.select(*DIMENSIONS, "tokens", "probability")
+    return fitted.select(*DIMENSIONS, "tokens", "probability", *(f"goal_{d}" for d in DIMENSIONS))
+
+
+def marginals(fitted: DataFrame) -> DataFrame:
+    """``dimension, value, has, goal, reached`` of every value of the three dimensions, from the result of ``fit``."""
+    out = None
+    for d in DIMENSIONS:
+        reached = F.sum(F.col("tokens") * F.col("probability")).alias("reached")
+        one = fitted.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").alias("has"), F.max(f"goal_{d}").alias("goal"), reached)
+        one = one.select(F.lit(d).alias("dimension"), "value", "has", "goal", "reached")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def count_cells(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``source, lang, topic, tokens``: the words of all texts of a cell."""
+    text = text_of(text_col)
+    counted = docs.select(*(F.coalesce(F.col(d).cast("string"), F.lit(NONE)).alias(d) for d in ("source", "lang")), word_count(text).alias("tokens"), text.alias("text"))
+    counted = counted.withColumn("topic", topic_of(F.col("text"), F.col("tokens")))
+    return counted.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
 
 
 def _mixed(docs: DataFrame, fraction: float, targets, temper: float, key: str, seed: int, text_col: str) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with the output columns under names none of its own has, and those names."""
     names = {c: column_name(docs, f"mix_{c}") for c in OUTPUT}
+    fitted = fit(saved(count_cells(docs, text_col), "cells"), fraction, targets, temper)
     text = text_of(text_col)
     dims = {d: F.coalesce(F.col(d).cast("string"), F.lit(NONE)) for d in ("source", "lang")}
     counted = docs.withColumns({names["n_tokens"]: word_count(text), **{names[d]: c for d, c in dims.items()}})
     counted = counted.withColumn(names["topic"], topic_of(text, F.col(names["n_tokens"])))
-    grouped = counted.groupBy(*(F.col(names[d]).alias(d) for d in DIMENSIONS)).agg(F.sum(names["n_tokens"]).alias("tokens"))
-    fitted = fit(saved(grouped, "cells"), fraction, targets, temper)
     cells = fitted.select(*(F.col(d).alias(names[d]) for d in DIMENSIONS), F.col("probability").alias(names["probability"]))
     drawn = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     joined = counted.join(cells, [names[d] for d in DIMENSIONS])

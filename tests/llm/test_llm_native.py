@@ -4,10 +4,11 @@ import hashlib
 import itertools
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from dimweave.llm.fingerprints import anchors, edited_fingerprints, fingerprint, likeness, sketch, with_next
-from dimweave.llm.mixing import fit, mix, sample
+from dimweave.llm.mixing import count_cells, fit, marginals, mix, sample
 from helpers import frame, odd_rows, prose
 
 
@@ -115,6 +116,62 @@ def test_raking_meets_the_marginals(spark):
     assert all(abs(got[k] - p[k]) < 1e-4 for k in p)
 
 
+def _goals(has, total, given, temper):
+    """Water-filling in plain Python: shares of the power, cut to what a value has."""
+    goal = {v: min(given[v] * total, has[v]) for v in given if v in has}
+    left, open_ = total - sum(goal.values()), {v for v in has if v not in goal}
+    while open_:
+        rate = max(0.0, left) / sum(has[v] ** temper for v in open_)
+        full = {v for v in open_ if has[v] ** temper * rate >= has[v]}
+        goal |= {v: has[v] if full else has[v] ** temper * rate for v in (full or open_)}
+        left -= sum(has[v] for v in full)
+        open_ -= full or open_
+    return goal
+
+
+@pytest.mark.parametrize("targets", [{}, {"source": {"s0": 0.6}, "topic": {"note": 0.2}}, {"lang": {"l1": 0.9, "none such": 0.1}}])
+def test_marginals_reach_goals_that_their_tokens_allow(spark, targets):
+    import random
+
+    draw = random.Random(3)
+    cells = [(f"s{i}", f"l{j}", t, draw.randrange(1, 900) * 10**draw.randrange(0, 3)) for i in range(4) for j in range(3) for t in ("note", "essay", "table")]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    total = 0.4 * sum(c[3] for c in cells)
+    fitted = fit(df, 0.4, targets, temper=0.5, rounds=40, tolerance=1e-4)
+    rows = marginals(fitted).collect()
+    for k, d in enumerate(("source", "lang", "topic")):
+        has = {}
+        for c in cells:
+            has[c[k]] = has.get(c[k], 0) + c[3]
+        want = _goals(has, total, targets.get(d, {}), 0.5)
+        got = {r["value"]: r for r in rows if r["dimension"] == d}
+        assert {v: r["has"] for v, r in got.items()} == has
+        assert all(abs(got[v]["goal"] - want[v]) < 1e-6 * total and got[v]["goal"] <= has[v] * (1 + 1e-12) for v in has)
+    worst = max(abs(r["reached"] - r["goal"]) / total for r in rows)
+    assert worst < (0.01 if not targets else 0.35), worst
+    p = {tuple(r[:3]): r["probability"] for r in fitted.collect()}
+    reached = {}
+    for c in cells:
+        for k, d in enumerate(("source", "lang", "topic")):
+            reached[d, c[k]] = reached.get((d, c[k]), 0) + c[3] * p[c[:3]]
+    assert all(abs(reached[r["dimension"], r["value"]] - r["reached"]) < 1e-6 * total for r in rows)
+
+
+def test_cells_count_every_word(spark):
+    docs = frame(spark, odd_rows() + odd_rows())
+    got = {tuple(r) for r in count_cells(docs).collect()}
+    want = {}
+    for r in docs.collect():
+        text = r["text"] or ""
+        n = len([w for w in __import__("re").findall(r"[^ \t\n\x0b\f\r]+", text)])
+        key = (r["source"] or "(none)", r["lang"] or "(none)")
+        want[key] = want.get(key, 0) + n
+    sums = {}
+    for s, lang, _, n in got:
+        sums[s, lang] = sums.get((s, lang), 0) + n
+    assert sums == want and count_cells(docs.limit(0)).collect() == []
+
+
 def test_mix_and_sample_edge_cases(spark):
     rows = odd_rows() + odd_rows()[:4] + [(1000 + i, prose(i, 50 + i % 40), "en" if i % 3 else "fr", f"s{i % 2}", i) for i in range(300)]
     docs = frame(spark, rows).withColumn("topic", F.lit("own")).withColumn("mix_topic", F.lit(1))
