@@ -16,8 +16,8 @@ only classes are compared. No link between classes that would join two groups is
 3. The linked classes form groups of similar documents. In lists that hold followers of several groups,
    a follower (the query) is held against the later followers of other groups, as long as the lists
    stay mixed; the sizes and places of the two in the list bound their overlap first. Then the token-group
-   matrix rules: each group's classes are cut into chunks of about ``CHUNK``, a chunk stores the union of
-   its classes' shingles, and the query's overlap with the union bounds its overlap with any of them. Only
+   matrix rules: the asked classes of a group are cut into chunks of about ``CHUNK``, a chunk stores the union of
+   their shingles, and the query's overlap with the union bounds its overlap with any of them. Only
    chunks whose bound suffices are opened, and the query compared with their classes. New links join
    groups before the next followers of a list are held against the others, so a family of documents costs
    its length a few times. Links within one group need no comparison, for they change nothing.
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from dimweave.llm.common import at_most, column_name, forget_kept, saved, ship_package, text_of
 from dimweave.llm.components import connected_components
-from dimweave.llm.similarity import enough, groups_across, links_of, mixed_lists, needed, rows_with_groups, shingles, texts_of
+from dimweave.llm.similarity import enough, groups_across, links_of, needed, rows_with_groups, shingles, texts_of
 
 WORDS = 5
 PERCENT = 80
@@ -171,8 +171,8 @@ def _followers(index: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInPandas(read, "shingle long, class long, at long, lead long, fits boolean, many boolean")
 
 
-def _token_sets(members: DataFrame, docs: DataFrame, key: str, text_col: str, words: int) -> DataFrame:
-    """``class, n, tokens`` of ``members`` (class, n, key): the lower 32 bits of each class's shingles, written."""
+def _token_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text_col: str, words: int) -> DataFrame:
+    """``class, n, tokens`` of the classes ``wanted`` (class): the lower 32 bits of their shingles, written."""
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -181,33 +181,36 @@ def _token_sets(members: DataFrame, docs: DataFrame, key: str, text_col: str, wo
             # where two shingles meet in the lower bits, a bound only grows
             yield batch.drop(columns="text").assign(tokens=[s.astype("u4").view("i4") for s in own])[right]
 
-    texts = texts_of(docs, key, text_col, members.select("key"))
-    keyed = members.join(texts, F.col("key") == F.col("text_key")).select("class", "n", "text")
-    return saved(keyed.mapInPandas(tokens, "class long, n long, tokens array<int>"), "token-sets")
+    keyed = saved(wanted.distinct().join(classes, "class"), "matrix-classes")
+    texts = texts_of(docs, key, text_col, keyed.select("key"))
+    rows = keyed.join(texts, F.col("key") == F.col("text_key")).select("class", "n", "text")
+    return saved(rows.mapInPandas(tokens, "class long, n long, tokens array<int>"), "token-sets")
 
 
-def _through_matrix(pairs: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _through_matrix(pairs: DataFrame, groups: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text_col: str, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose chunk of b's group qualifies for a.
 
-    The matrix holds a row for each chunk of a group: the union of its classes' tokens. A class that asks a chunk can
-    have no more in common with any class in it than with the union; chunks where that is too little stay closed.
+    The matrix holds a row for each chunk of the asked classes of a group: the union of their tokens. A class that
+    asks a chunk can have no more in common with any class in it than with the union; chunks where that is too
+    little stay closed.
     """
-    group = F.coalesce("component", "class")
-    members = sets.join(groups.withColumnRenamed("node", "class"), "class", "left").select("class", "n", "tokens", group.alias("group"))
+    asked = pairs.join(groups.select(F.col("node").alias("b"), "component"), "b", "left")
+    asked = saved(asked.select("a", "b", F.coalesce("component", "b").alias("group")), "asked")
+    members = asked.select(F.col("b").alias("class"), "group").distinct()
     sizes = members.groupBy("group").count()
     chunk = F.pmod(F.xxhash64("class"), F.ceil(F.col("count") / CHUNK)).cast("int")
-    placed = saved(members.select("class", "group").join(sizes, "group").select("class", "group", chunk.alias("chunk")), "chunks")
-    asked = pairs.join(placed.withColumnRenamed("class", "b"), "b")
-    wanted = asked.select("group", "chunk").distinct()
-    rows = members.drop("group").join(placed.join(wanted, ["group", "chunk"], "left_semi"), "class")
+    placed = saved(members.join(sizes, "group").select("class", "group", chunk.alias("chunk")), "chunks")
+    sets = _token_sets(placed.select("class").unionByName(asked.select(F.col("a").alias("class"))), classes, docs, key, text_col, words)
+    rows = sets.join(placed, "class")
     unions = rows.groupBy("group", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"), F.max("n").alias("largest"))
 
+    asked = asked.join(placed.select(F.col("class").alias("b"), "chunk"), "b")
     queries = asked.select("a", "group", "chunk").distinct().join(sets.select(F.col("class").alias("a"), "n", "tokens"), "a")
     least = F.ceil(F.col("n") * percent / 100)
     # tokens of the query that are one in 32 bits may all be common: count them on top
     common = F.size(F.array_intersect("tokens", "union")) + (F.size("tokens") - F.size(F.array_distinct("tokens")))
     opened = queries.join(unions, ["group", "chunk"]).where((F.col("largest") >= least) & (common >= least)).select("a", "group", "chunk")
-    return asked.join(opened, ["a", "group", "chunk"], "left_semi").select("a", "b")
+    return asked.join(saved(opened, "opened"), ["a", "group", "chunk"], "left_semi").select("a", "b")
 
 
 def _groups(docs: DataFrame, key: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -232,16 +235,13 @@ def _groups(docs: DataFrame, key: str, text_col: str, words: int, percent: int)
     links = links_of(stars, classes, docs, key, text_col, words, percent)
     groups = saved(connected_components(links), "groups")
 
-    lists = followers.where("many").select(F.col("shingle").alias("list"), "class", "at")
-    shared = mixed_lists(lists, groups, 2).select("list", "class", "at")
-    members = saved(shared.select("class").distinct().join(classes, "class"), "members")
-    if not members.isEmpty():
-        sets = _token_sets(members, docs, key, text_col, words)
 
-        def links_across(pairs: DataFrame, now: DataFrame) -> DataFrame:
-            return links_of(_through_matrix(pairs, now, sets, percent), classes, docs, key, text_col, words, percent)
+    def links_across(pairs: DataFrame, now: DataFrame) -> DataFrame:
+        opened = _through_matrix(pairs, now, classes, docs, key, text_col, words, percent)
+        return links_of(opened, classes, docs, key, text_col, words, percent)
 
-        groups = groups_across(shared, groups, links_across, percent)
+    lists = followers.where("many").select(F.col("shingle").alias("list"), "class", "at")
+    groups = groups_across(lists, groups, links_across, percent)
     return rows, classes, groups
 
 

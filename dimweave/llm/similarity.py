@@ -19,7 +19,7 @@ from dimweave.llm.common import saved, text_of
 from dimweave.llm.components import connected_components
 
 SIEVE_BITS = 1 << 26
-LEADERS = 8
+LEADERS = 32
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -16,7 +16,7 @@
    with their places, which bound how much two sets can have in common from there on. (The ``COMMON`` most
    frequent shingles among these sets count as frequent, the others as rare; any order gives the same links.)
    Variants of one text that lie just below the limit differ in rare shingles, so few of their pairs pass.
-   In the lists of shingles the first eight sets lead, then the next 64, and so on: each is compared
+   In the lists of shingles the first 32 sets lead, then the next 1,024, and so on: each is compared
    with the later sets of other groups that the bound lets through, until a list is one group or all its
    pairs are compared or ruled out. No pair is left out that could join two groups.
 4. Union-find runs as connected components over the verified links.
