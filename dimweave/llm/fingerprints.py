@@ -8,7 +8,7 @@ That depends on the k words alone, so the same passage yields the same anchors w
 common hashes among the smallest ``size`` of both together, an estimate of the Jaccard coefficient of
 their anchor sets.
 
-Edge cases: a NULL text is empty. A text of fewer than ``k`` words, or without a closed syncmer (it may
+Edge cases: a NULL text is empty; very long texts are read whole. A text of fewer than ``k`` words, or without a closed syncmer (it may
 have exactly ``k`` words), has one anchor, the hash of its words; one without words has none and an
 empty fingerprint. Two empty fingerprints have likeness 1, an
 empty and another one 0. Equal texts have equal fingerprints. Repeated rows are kept. In

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dimweave.llm.common import is_training_row, saved, text_of
+from dimweave.llm.common import is_training_row, saved, ship_package, text_of
 
 PER_CLASS = 4_000
 
@@ -26,6 +26,7 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, key: str = "d
 
     The chosen keys are written first, so Spark knows their size when it joins them to the texts.
     """
+    ship_package(docs.sparkSession)
     rows = _training(labels, label, key)
     order = [F.xxhash64(key), F.col(key)]
     chosen = rows.where("label = 1").orderBy(*order).limit(per_class).unionByName(rows.where("label = 0").orderBy(*order).limit(per_class))

@@ -18,8 +18,8 @@ All of it is DataFrame work: cells are aggregated map-side, so a source with a t
 one row a task; the cell table joins back by key, and Spark broadcasts it only below its byte bound.
 
 Edge cases: NULL source, language or topic is a value of its own. NULL and empty texts have no tokens
-and keep the probability of their cell (``fraction`` where the whole cell has none). Repeated rows with
-one key share their fate. An empty table gives an empty result. ``mix`` names its columns itself;
+and keep the probability of their cell (``fraction`` where the whole cell has none); very long ones are
+counted whole. Repeated rows with one key share their fate. An empty table gives an empty result. ``mix`` names its columns itself;
 ``keep`` columns of the same name are left out. ``sample`` returns the columns of its input.
 """
 

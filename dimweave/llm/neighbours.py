@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dimweave.llm.common import saved
+from dimweave.llm.common import saved, ship_package
 
 LINES = 96
 THRESHOLD = 0.5
@@ -119,6 +119,7 @@ class Block:
 
 def nearest(rows: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector: str = "embedding", lines: int = LINES, threshold: float = THRESHOLD, share: float = SHARE, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, seed: int = 5) -> DataFrame:
     """``query_id, rank, vec_id, score``; ``is_query`` is a condition on the key column."""
+    ship_package(rows.sparkSession)
     usable = saved(usable_vectors(rows, key, vector), "vectors")
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     about = usable.agg(F.count("*").alias("n"), F.max(squares).alias("longest"), F.max(F.size("v")).alias("dim")).first()

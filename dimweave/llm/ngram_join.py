@@ -24,7 +24,7 @@ only classes are compared. No link between classes that would join two groups is
 
 Comparisons count common shingles exactly (64-bit hashes of the words).
 
-Edge cases: a text with fewer words than a shingle is one shingle of all of them. NULL and empty texts and
+Edge cases: a text with fewer words than a shingle is one shingle of all of them. Very long texts are read whole. NULL and empty texts and
 texts of white space have an empty set and link with nothing: each is its own component. Rows with NULL
 keys get their size, a NULL component, and link with nothing. Rows with one key are one document in the
 result of a link, each with its own set. An empty table gives an empty result. Other columns are not

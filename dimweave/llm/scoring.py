@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dimweave.llm.common import text_of
+from dimweave.llm.common import ship_package, text_of
 
 OUTPUT = ("score", "predicted")
 Scorer = Callable[[list[str]], np.ndarray]
@@ -18,6 +18,7 @@ Scorer = Callable[[list[str]], np.ndarray]
 
 def score_texts(docs: DataFrame, scorer: Callable[[], Scorer], cut: float, keep: Sequence[str], text_col: str) -> DataFrame:
     """``keep`` columns, ``score`` and ``predicted`` (1 from ``cut`` on); ``scorer`` makes a task's function of texts."""
+    ship_package(docs.sparkSession)
     keep = [c for c in keep if c not in OUTPUT]
     schema = T.StructType([*(T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)), T.StructField("score", T.DoubleType())])
 
@@ -34,6 +35,7 @@ def score_texts(docs: DataFrame, scorer: Callable[[], Scorer], cut: float, keep:
 
 def keep_texts(docs: DataFrame, scorer: Callable[[], Scorer], wanted: Callable[[np.ndarray], np.ndarray], text_col: str) -> DataFrame:
     """The rows of ``docs`` whose scores are ``wanted``, with all their columns."""
+    ship_package(docs.sparkSession)
     place = docs.columns.index(text_col)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from dimweave.llm.common import saved, text_of
+from dimweave.llm.common import saved, ship_package, text_of
 from dimweave.llm.dac import DAC, encode
 from dimweave.llm.tokens import chunks, encoder
 
@@ -32,6 +32,7 @@ CHUNK_TOKENS = 1 << 19
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, key: str = "doc_id", text_col: str = "text", chunk_tokens: int = CHUNK_TOKENS) -> None:
+    ship_package(docs.sparkSession)
     key_type = docs.schema[key].dataType
     schema = T.StructType([
         T.StructField("part", T.IntegerType()), T.StructField("chunk", T.IntegerType()),
@@ -77,6 +78,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
 def read_token_files(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     """``key, start, ids``: per document how many ids lie before it, and its ids as little-endian unsigned 32-bit bytes."""
+    ship_package(spark)
     files = spark.read.parquet(path)
     key_type = files.schema["keys"].dataType.elementType
     sizes = files.select("part", "chunk", F.element_at("ends", -1).alias("n"))

@@ -16,7 +16,7 @@
 4. A logistic regression on the entries found, the voters' patterns and their number is trained on the
    posteriors. It gives the score; ``CUT`` and more is toxic.
 
-Edge cases: a NULL text scores as an empty one. Without labels, with one class only or without a
+Edge cases: a NULL text scores as an empty one. Very long texts are read whole. Without labels, with one class only or without a
 lexicon entry, every score is the share of toxic labels, kept below ``CUT``. Repeated rows are scored
 one by one. An empty table gives an empty result. ``score`` returns the ``keep`` columns and
 ``score, predicted``; an input column of one of these names is left out.

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dimweave.llm.common import ship_package
+
 TOKEN = r"[A-Za-z0-9]+"
 OUTPUT = ("host", "path", "rule", "verdict")
 _LOWER = {i: i + 32 for i in range(ord("A"), ord("Z") + 1)}
@@ -96,6 +98,7 @@ def judge_urls(urls: DataFrame, rules: Sequence[UrlRule], keep: Sequence[str] =
 
     The rules are a parameter, so what each task holds is bounded by it and not by the table.
     """
+    ship_package(urls.sparkSession)
     index, rest = index_rules(rules, token_counts(urls, sorted({t for r in rules for t in r.tokens()}), url_col))
     keep = [c for c in keep if c not in OUTPUT]
     schema = T.StructType([T.StructField(f"k{i}", urls.schema[c].dataType) for i, c in enumerate(keep)] + [T.StructField(c, T.StringType()) for c in OUTPUT])
