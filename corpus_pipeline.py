@@ -1,7 +1,15 @@
 """The training-data pipeline: stages over ``documents``, each written and read again.
 
-Every stage takes the documents the one before it kept; the first four return the columns of
-``documents``, the last the packed pieces.
+Every stage takes the documents the one before it kept, whole; the first four return the columns of
+``documents`` (whatever their names), the last the packed pieces. The folder of the input may be any that
+Spark reads.
+
+Edge cases, as tested: a NULL or empty text is scored as an empty text, is no copy of anything, and packs into one
+piece with the end id. Rows with a NULL key are never copies, and their labels are not learned from. Repeated
+rows are judged one by one until the third stage, where of those with one key and one set of shingles the first by text
+stays; rows with one key and other texts are judged by their own texts. Without labels, or with labels of one class,
+the first two stages keep everything. Ties at a threshold stay. Empty tables give an empty result. Very long texts
+are read whole; the last stage cuts them into pieces.
 """
 
 from __future__ import annotations
