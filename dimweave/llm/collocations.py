@@ -45,8 +45,8 @@ HEAD = 400_000
 HEAD_BYTES = 48
 SIEVE_BITS = 1 << 26
 _HELD_WORDS = 300_000
-_BUFFER = 2_000_000
-_FILTER = 3_000_000
+_BUFFER = 1_000_000
+_FILTER = 2_000_000
 _CUT_KEYS = 1 << 20
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _BREAK = b"\n"
