@@ -1,4 +1,4 @@
-"""A bounded sample of labelled rows, the only rows a classifier learns labels from."""
+"""Labelled rows of the training fold, the only rows a classifier learns labels from."""
 
 from __future__ import annotations
 
@@ -21,15 +21,17 @@ def _training(labels: DataFrame, label: str, key: str) -> DataFrame:
     return usable.groupBy(key).agg(F.when(F.avg(label) >= 0.5, 1).otherwise(0).alias("label"))
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> DataFrame:
-    """``text, label`` of at most ``per_class`` training rows of each class, chosen by a hash of the key.
+def training_texts(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text_col: str = "text", per_class: int | None = PER_CLASS) -> DataFrame:
+    """``text, label`` of at most ``per_class`` training rows of each class, chosen by a hash of the key; of all with None.
 
     The chosen keys are written first, so Spark knows their size when it joins them to the texts.
     """
     ship_package(docs.sparkSession)
     rows = _training(labels, label, key)
-    order = [F.xxhash64(key), F.col(key)]
-    chosen = rows.where("label = 1").orderBy(*order).limit(per_class).unionByName(rows.where("label = 0").orderBy(*order).limit(per_class))
+    chosen = rows
+    if per_class is not None:
+        order = [F.xxhash64(key), F.col(key)]
+        chosen = rows.where("label = 1").orderBy(*order).limit(per_class).unionByName(rows.where("label = 0").orderBy(*order).limit(per_class))
     chosen = saved(chosen.withColumnRenamed(key, "chosen_key"), "labelled")
     texts = docs.where(is_training_row(F.col(key))).select(F.col(key).alias("doc_key"), text_of(text_col).alias("text"))
     return texts.join(chosen, F.col("doc_key") == F.col("chosen_key")).select("text", "label")

@@ -1,9 +1,12 @@
 """Quality by pairwise ranking: a Bradley-Terry model on features of form, thresholded at a score quantile.
 
-``train`` draws preference pairs (a document labelled good is preferred to one labelled bad) from a
-bounded sample of labelled training rows and fits document scores, linear in the features, by the
-logistic loss on feature differences. The threshold is the quantile of the training scores at the
-share of bad labels among all training rows. ``score`` maps a raw score r to
+``train`` takes every pair of labelled training rows as a preference (a document labelled good is preferred to
+one labelled bad) and fits document scores, linear in the features, by the logistic loss on feature
+differences. The pairs are never made: Newton's method needs their sums alone, and these follow from how many
+rows of each class, with which features, score about how much. The rows stay where they lie; a pass over their features
+adds them up on a grid of scores ``STEP`` apart (a row counts with both neighbouring grid points, so a pair's chance
+is off by less than 0.001). The threshold is the quantile of the scores of all training rows at the share of
+bad labels, found by counting. ``score`` maps a raw score r to
 sigmoid(r - threshold + logit(CUT)), so a document is kept from ``CUT`` on.
 
 Features are counts of the whole text: letters' case, digits, spaces, punctuation, other signs,
@@ -19,18 +22,22 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from dimweave.llm.labelled import PER_CLASS, label_shares, training_texts
+from dimweave.llm.common import saved
+from dimweave.llm.labelled import label_shares, training_texts
 from dimweave.llm.scoring import keep_texts, score_texts
 
 CUT = 0.7
-PAIRS = 60_000
+STEP = 0.25
+GRID = np.arange(-32, 32 + STEP, STEP)
+CELLS = 4096
+ROUNDS = 20
 _PLAIN = frozenset(".,;:'\"-?()")
 
 
@@ -84,39 +91,152 @@ def _curves(z: np.ndarray) -> np.ndarray:
     return np.hstack([z, np.abs(z), z * z / 4, np.sqrt(np.abs(z)) * np.sign(z)])
 
 
-def fit_pairs(rows: np.ndarray, good: np.ndarray, bad_share: float, pairs: int = PAIRS, penalty: float = 1e-3) -> QualityModel:
-    """Bradley-Terry weights by Newton's method on at most ``pairs`` pairs, and the quantile threshold."""
-    mean, scale = rows.mean(axis=0), rows.std(axis=0) + 1e-9
-    z = _curves((rows - mean) / scale)
-    better, worse = np.flatnonzero(good == 1), np.flatnonzero(good == 0)
-    draw = np.random.default_rng(11)
-    diff = z[draw.choice(better, pairs)] - z[draw.choice(worse, pairs)]
-    w = np.zeros(z.shape[1])
-    for _ in range(15):
-        s = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))
-        gradient = -(diff * s[:, None]).mean(axis=0) + penalty * w
-        curvature = (diff * (s * (1 - s))[:, None]).T @ diff / pairs + penalty * np.eye(len(w))
-        w -= np.linalg.solve(curvature, gradient)
-    raw = z @ w
-    order = np.argsort(raw)
-    weight = np.where(good == 1, (1 - bad_share) / len(better), bad_share / len(worse))[order]
-    below = int(np.clip(np.searchsorted(np.cumsum(weight), bad_share * (1 - 1e-9)) + 1, 1, len(raw) - 1))
-    return QualityModel(mean, scale, w, float(raw[order][below - 1:below + 1].mean()))
-
-
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> QualityModel | None:
-    """The model, or None when a class has no training row. At most ``per_class`` rows a class reach the driver, as features."""
+# What a pass takes from a block of rows (their classes and features): numbers to add up, and numbers whose least counts.
+Part = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+Passes = Callable[[Part], tuple[np.ndarray, np.ndarray]]
+
+
+def _moments(passes: Passes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many rows the classes 0 and 1 have, and the features' mean and deviation."""
+
+    def sums(good: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([[(good == 0).sum(), (good == 1).sum()], rows.sum(axis=0)]), np.zeros(0)
+
+    total = passes(sums)[0]
+    if not len(total):
+        return np.zeros(2), total, total
+    mean = total[2:] / total[:2].sum()
+    squares = passes(lambda good, rows: (((rows - mean) ** 2).sum(axis=0), np.zeros(0)))[0]
+    return total[:2], mean, np.sqrt(squares / total[:2].sum()) + 1e-9
+
+
+def _weights(passes: Passes, counts: np.ndarray, curves: Callable[[np.ndarray], np.ndarray], width: int, penalty: float) -> np.ndarray:
+    """Bradley-Terry weights over all pairs of a good and a bad row, by Newton's method with halved steps where the loss grows."""
+    n = len(GRID)
+
+    def on_grid(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = (np.clip(scores, GRID[0], GRID[-1]) - GRID[0]) / STEP
+        low = np.minimum(at.astype("i8"), n - 2)
+        return low, at - low
+
+    def gathered(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each class and grid point: its share of the class's rows, and their features added up."""
+
+        def part(good: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            z = curves(rows)
+            low, upper = on_grid(z @ w)
+            out = np.zeros((2 * n, 1 + width))
+            for point, weight in ((low, 1 - upper), (low + 1, upper)):
+                np.add.at(out, good * n + point, np.hstack([weight[:, None], z * weight[:, None]]))
+            return out.ravel(), np.zeros(0)
+
+        out = passes(part)[0].reshape(2, n, 1 + width) / counts[:, None, None]
+        return out[:, :, 0], out[:, :, 1:]
+
+    apart = GRID[None, :] - GRID[:, None]  # bad score less good score: good, bad
+    wrong = 1 / (1 + np.exp(-np.clip(apart, -30, 30)))
+    w, held, best = np.zeros(width), np.zeros(width), np.inf
+    for _ in range(ROUNDS):
+        (bad, good), (bad_z, good_z) = gathered(w)
+        loss = good @ np.logaddexp(0, apart) @ bad + penalty * (w @ w) / 2
+        if loss > best:
+            w = (w + held) / 2
+            continue
+        held, best = w, loss
+        gradient = (good @ wrong) @ bad_z - (wrong @ bad) @ good_z + penalty * w
+        if np.abs(gradient).max() < 1e-6:
+            break
+        bend = wrong * (1 - wrong)
+        own = np.stack([good @ bend, bend @ bad])  # of a bad row and of a good row, by its score
+
+        def part(good: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            z = curves(rows)
+            low, upper = on_grid(z @ w)
+            weight = ((1 - upper) * own[good, low] + upper * own[good, low + 1]) / counts[good]
+            return ((z * weight[:, None]).T @ z).ravel(), np.zeros(0)
+
+        across = good_z.T @ bend @ bad_z
+        curvature = passes(part)[0].reshape(width, width) - across - across.T + penalty * np.eye(width)
+        # what the grid rounds off could make a direction without any slope bend downwards
+        values, vectors = np.linalg.eigh((curvature + curvature.T) / 2)
+        w = w - vectors @ ((vectors.T @ gradient) / np.maximum(values, penalty))
+    return held
+
+
+def _quantile(passes: Passes, counts: np.ndarray, raw: Callable[[np.ndarray], np.ndarray], bad_share: float) -> float:
+    """Midway between the least score up to which the rows weigh ``bad_share``, each class its share, and the next score."""
+    each = np.array([bad_share, 1 - bad_share]) / counts
+    low, high = -np.inf, np.inf
+    edges = None
+    while True:
+
+        def part(good: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            scores = raw(rows)
+            inside = scores[(scores > low) & (scores <= high)]
+            above = scores[scores > high]
+            cells = np.zeros((2, CELLS + 2))
+            if edges is not None:
+                np.add.at(cells, (good, np.searchsorted(edges, scores, "left")), 1)
+            return cells.ravel(), np.array([inside.min(initial=np.inf), -inside.max(initial=-np.inf), above.min(initial=np.inf)])
+
+        cells, (least, most, after) = passes(part)
+        most = -most
+        if edges is not None:
+            reached = np.cumsum(each @ cells.reshape(2, CELLS + 2)) >= bad_share * (1 - 1e-9)
+            at = min(int(np.argmax(reached)), CELLS)
+            at_low, at_high = (edges[at - 1] if at else low), edges[at]
+            if (at_low, at_high) == (low, high):
+                least = most  # no number lies between
+            low, high, edges = at_low, at_high, None
+            continue
+        if least >= most or np.nextafter(least, np.inf) >= most:
+            return float((most + after) / 2 if np.isfinite(after) else most)
+        edges = np.linspace(least, most, CELLS + 1)
+
+
+def _fit(passes: Passes, bad_share: float, penalty: float) -> QualityModel | None:
+    counts, mean, scale = _moments(passes)
+    if not counts.all():
+        return None
+    middle = passes(lambda good, rows: (_curves((rows - mean) / scale).sum(axis=0), np.zeros(0)))[0] / counts.sum()
+    w = _weights(passes, counts, lambda rows: _curves((rows - mean) / scale) - middle, len(middle), penalty)
+    model = QualityModel(mean, scale, w, 0.0)
+    return QualityModel(mean, scale, w, _quantile(passes, counts, model.raw, bad_share))
+
+
+def fit_pairs(rows: np.ndarray, good: np.ndarray, bad_share: float, penalty: float = 1e-3) -> QualityModel | None:
+    """The model of rows in memory: Bradley-Terry weights on all pairs of a good and a bad row, and the quantile threshold."""
+    return _fit(lambda part: part(good, rows), bad_share, penalty)
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text_col: str = "text", penalty: float = 1e-3) -> QualityModel | None:
+    """The model of all labelled training rows, or None when a class has none. A task's sums over its rows alone reach the driver."""
     shares = label_shares(labels, label, key)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"label": batch["label"], "x": [features(t) for t in batch["text"]]})
 
-    sample = training_texts(docs, labels, label, key, text_col, per_class).mapInPandas(measure, "label int, x array<double>").toPandas()
-    good = sample["label"].to_numpy()
-    if not len(good) or good.min() == good.max():
-        return None
-    return fit_pairs(np.array(sample["x"].tolist()), good, shares[0] / sum(shares.values()))
+    rows = training_texts(docs, labels, label, key, text_col, per_class=None)
+    rows = saved(rows.mapInPandas(measure, "label int, x array<double>"), "quality-features")
+
+    def passes(part: Part) -> tuple[np.ndarray, np.ndarray]:
+        def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums = least = None
+            for batch in batches:
+                if len(batch):
+                    own, low = part(batch["label"].to_numpy(), np.stack(batch["x"].to_list()))
+                    sums, least = (own, low) if sums is None else (sums + own, np.minimum(least, low))
+            if sums is not None:
+                yield pd.DataFrame({"sums": [sums.astype("f8").tobytes()], "least": [least.astype("f8").tobytes()]})
+
+        found = rows.mapInPandas(gather, "sums binary, least binary").collect()
+        if not found:
+            return np.zeros(0), np.zeros(0)
+        sums, least = (np.stack([np.frombuffer(r[c], dtype="f8") for r in found]) for c in ("sums", "least"))
+        return sums.sum(axis=0), least.min(axis=0)
+
+    return _fit(passes, shares.get(0, 0) / max(1, sum(shares.values())), penalty)
 
 
 def _scorer(model: QualityModel | None):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from dimweave.llm import quality, toxicity
-from dimweave.llm.common import table
+from dimweave.llm.common import is_training_row, table
 from dimweave.llm.ngram_join import similarity_groups
 from dimweave.llm.packing import lower_bound
 from dimweave.llm.queries import QUERIES
@@ -153,3 +153,38 @@ def test_pipeline_stages(spark, monkeypatch):
     pieces = kept[5].collect()
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in kept[4].collect()}
     assert len({r["sequence_id"] for r in pieces}) <= lower_bound(np.array([r["length"] for r in pieces]), 4096) + 1
+
+
+def _noisy(n, seed):
+    draw = np.random.default_rng(seed)
+    good = (draw.random(n) < 0.7).astype(int)
+    rows = draw.standard_normal((n, 3))
+    rows[:, 0] += 1.2 * good
+    return rows, good
+
+
+def test_every_pair_counts_in_the_weights():
+    rows, good = _noisy(300, 5)
+    model = quality.fit_pairs(rows, good, bad_share=0.3)
+    z = quality._curves((rows - model.mean) / model.scale)
+    diff = (z[good == 1][:, None] - z[good == 0][None]).reshape(-1, z.shape[1])
+    wrong = 1 / (1 + np.exp(diff @ model.weights))
+    slope = -(diff * wrong[:, None]).mean(axis=0) + 1e-3 * model.weights
+    assert np.abs(slope).max() < 2e-3  # the loss over all pairs has its least value there
+    share = np.where(good == 1, 0.7 / good.sum(), 0.3 / (good == 0).sum())
+    below = share[model.raw(rows) < model.threshold].sum()
+    assert 0.3 - 1e-9 <= below < 0.3 + share.max() + 1e-9
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    rows = [(i, f"{prose(i, 30)}" + " ###|||" * (i % 3 == 0), int(i % 3 > 0)) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    kept = [r["doc_id"] for r in docs.where(is_training_row(F.col("doc_id"))).collect()]
+    texts = {i: (t, q) for i, t, q in rows}
+    x = np.array([quality.features(texts[i][0]) for i in kept])
+    want = quality.fit_pairs(x, np.array([texts[i][1] for i in kept]), sum(texts[i][1] == 0 for i in kept) / len(kept))
+    got = quality.train(docs, labels)
+    assert np.allclose(got.mean, want.mean) and np.allclose(got.scale, want.scale)  # of all rows, in any partitions
+    assert np.allclose(got.weights, want.weights, atol=1e-4) and abs(got.threshold - want.threshold) < 1e-2
+    assert quality.train(docs, labels.where("quality = 1")) is None
