@@ -5,7 +5,8 @@ vectors; with the query scaled alike, the largest inner product is the smallest
 random directions are drawn once from a seed (nothing is fitted). The rows are dealt into blocks of
 about ``block_rows``; a block sorts its projections on every line. For a query, a window centred on
 its own projection opens on each line; a vector collides on the lines whose window holds it. The
-window grows by ``GROWTH`` (virtual rehashing: no index is built anew) until ``share`` of the block,
+window grows by ``GROWTH`` (virtual rehashing: no index is built anew; later queries start from the width that
+was enough for those before) until ``share`` of the block,
 and at least ``LEAST_VERIFIED`` of its vectors, collide on ``threshold`` of the lines; those vectors are verified by their exact
 inner product in double precision. When the window holds the whole block, all of it is verified.
 
@@ -61,7 +62,7 @@ class Block:
     """Sorted projections of some vectors on all lines, and the search in them."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float, directions: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.vectors, self.longest = ids, vectors, longest
         at = (_unit(vectors, longest) @ directions).astype("f4").T  # lines, rows
         order = np.argsort(at, axis=1, kind="stable")
         self.sorted = np.take_along_axis(at, order, axis=1)
@@ -93,26 +94,32 @@ class Block:
         wanted = min(len(self.ids), max(k + 1, LEAST_VERIFIED, int(np.ceil(share * len(self.ids)))))
         least = max(1, int(np.ceil(threshold * len(self.sorted))))
         widest = float(np.abs(self.sorted).max()) + float(np.abs(at).max()) + 1
-        found = []
+        found, opening = [], FIRST_WINDOW * self.spread
         for first in range(0, len(queries), _AT_ONCE):
             left = np.arange(first, min(first + _AT_ONCE, len(queries)))
-            width = np.full(len(left), FIRST_WINDOW * self.spread, dtype="f4")
+            width = np.full(len(left), opening, dtype="f4")
+            enough = []
             while len(left):
                 collide = self.collisions(at[left], width) >= least
                 ready = (collide.sum(axis=1) >= wanted) | (width >= widest)
+                enough += width[ready].tolist()
                 for i, hit in zip(left[ready], collide[ready]):
                     found.append((i, *self.verify(np.flatnonzero(hit), query_ids[i], queries[i], k)))
                 left, width = left[~ready], width[~ready] * np.float32(GROWTH)
                 # many steps without enough: the block is far from the query, so open the windows fast
                 width = np.where(width > 4 * self.spread, 2 * width, width)
+            # the next queries' windows open at the median of those that were enough here
+            opening = float(np.median(enough))
         return found
 
     def verify(self, rows: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         rows = rows[self.ids[rows] != query_id]
-        scores = (self.vectors[rows] * query).sum(axis=1)
         if len(rows) > k:
-            kept = scores >= np.partition(scores, len(rows) - k)[len(rows) - k]
-            rows, scores = rows[kept], scores[kept]
+            # the product of a matrix adds up in another order: rows that rounding could lift stay
+            about = self.vectors[rows] @ query
+            slack = 1e-12 * self.longest * np.sqrt(query @ query)
+            rows = rows[about >= np.partition(about, len(rows) - k)[len(rows) - k] - slack]
+        scores = (self.vectors[rows] * query).sum(axis=1)
         best = np.lexsort((self.ids[rows], -scores))[:k]
         return self.ids[rows[best]], scores[best]
 

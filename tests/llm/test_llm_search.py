@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dimweave.llm import ngram_join
+from dimweave.llm import neighbours, ngram_join
 from dimweave.llm.components import connected_components
 from dimweave.llm.neighbours import nearest
 from dimweave.llm.ngram_join import one_of_each_group, similarity_groups
@@ -208,3 +208,20 @@ def test_one_row_of_each_group_whatever_the_keys(spark):
     assert one_of_each_group(docs.limit(0)).collect() == []
     alone = one_of_each_group(docs.where("doc_id = 7")).collect()
     assert [r["gone_key"] for r in alone] == ["c"] or [r["text"] for r in alone] == [min(base, base.upper())]
+
+
+def test_windows_open_where_the_last_ones_were_enough():
+    draw = np.random.default_rng(2)
+    vectors, ids = draw.standard_normal((2000, 16)), np.arange(2000)
+    block = neighbours.Block(ids, vectors, float(np.sqrt((vectors ** 2).sum(axis=1)).max()), draw.standard_normal((17, 32)))
+    counted, count = [], block.collisions
+    block.collisions = lambda at, width: counted.append(len(at)) or count(at, width)
+    found = block.search(ids[:320], vectors[:320], 10, 0.5, 0.3)
+    assert sum(counted) < 3 * 320
+    hits = 0
+    for i, near, scores in found:
+        exact = (vectors * vectors[i]).sum(axis=1)
+        assert (scores == exact[near]).all() and i not in near and (np.diff(scores) <= 0).all()
+        exact[i] = -np.inf
+        hits += len(set(near) & set(np.argsort(-exact)[:10]))
+    assert hits >= 0.9 * 10 * 320
