@@ -39,7 +39,7 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if done == rounds:
             raise RuntimeError(f"the components have not settled after {rounds} rounds")
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = _least(large)
         stars = small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         edges = saved(stars.distinct(), "edges")

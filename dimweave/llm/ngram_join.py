@@ -15,7 +15,7 @@ only classes are compared. No link between classes that would join two groups is
    enough. That is one comparison per entry of the list at most, whatever its length.
 3. The linked classes form groups of similar documents. In lists that hold followers of several groups,
    a follower (the query) is held against the later followers of other groups, as long as the lists
-   stay mixed; the sizes and places of the two in the list bound their overlap first. Then the token-group
+   stay mixed; the sizes and places of the two in the list and their parity sketches bound their overlap first. Then the token-group
    matrix rules: the asked classes of a group are cut into chunks of about ``CHUNK``, a chunk stores the union of
    their shingles, and the query's overlap with the union bounds its overlap with any of them. Only
    chunks whose bound suffices are opened, and the query compared with their classes. New links join
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from dimweave.llm.common import at_most, column_name, forget_kept, saved, ship_package, text_of
 from dimweave.llm.components import connected_components
-from dimweave.llm.similarity import enough, groups_across, links_of, needed, rows_with_groups, shingles, texts_of
+from dimweave.llm.similarity import brief, candidates, enough, groups_across, keys_of, linked, links_of, needed, rows_with_groups, shingles, sketch, texts_of
 
 WORDS = 5
 PERCENT = 80
@@ -57,25 +57,29 @@ _STRETCH = 2_000_000
 
 
 def _sets(docs: DataFrame, key: str, text_col: str, words: int) -> DataFrame:
-    """``key, n, class`` of every row, and ``shingle, times`` of shingles frequent in a stretch of distinct sets."""
+    """``key, n, class, sketch`` of every row (the sketch with the first of a set in a task), and ``shingle, times`` of shingles frequent in a stretch of distinct sets."""
     key_type = docs.schema[key].dataType.simpleString()
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forget_kept()
-        held, size, seen = [], 0, set()
+        held, size, seen, sketched = [], 0, set(), set()
 
         def frequent() -> pd.DataFrame:
             shingle, times = np.unique(np.concatenate(held), return_counts=True)
             often = times >= _LOCAL
-            return pd.DataFrame({"key": None, "none": None, "n": None, "class": None, "shingle": shingle[often].view("i8"), "times": times[often]})
+            return pd.DataFrame({"key": None, "none": None, "n": None, "class": None, "sketch": None, "shingle": shingle[often].view("i8"), "times": times[often]})
 
         for batch in batches:
-            sizes, classes = [], []
-            for text in batch["text"]:
+            sizes, classes, sketches = [], [], []
+            for text, none in zip(batch["text"], batch["none"]):
                 own = shingles(text, words)
                 name = xxhash.xxh64_intdigest(own.tobytes())
                 sizes.append(len(own))
                 classes.append(name - (1 << 63))
+                sketches.append(None)
+                if len(own) and not none and name not in sketched:
+                    sketched.add(name)
+                    sketches[-1] = sketch(own)
                 if len(own) and name not in seen:
                     seen.add(name)
                     held.append(own)
@@ -83,13 +87,13 @@ def _sets(docs: DataFrame, key: str, text_col: str, words: int) -> DataFrame:
                     if size > _STRETCH:
                         yield frequent()
                         held, size = [], 0
-            yield pd.DataFrame({"key": batch["key"], "none": batch["none"], "n": sizes, "class": classes, "shingle": None, "times": None})
+            yield pd.DataFrame({"key": batch["key"], "none": batch["none"], "n": sizes, "class": classes, "sketch": sketches, "shingle": None, "times": None})
         if held:
             yield frequent()
 
     plain = F.coalesce(F.col(key), F.lit(0).cast(docs.schema[key].dataType)).alias("key")
     rows = docs.select(plain, F.col(key).isNull().alias("none"), text_of(text_col).alias("text"))
-    out = rows.mapInPandas(look, f"key {key_type}, none boolean, n long, class long, shingle long, times long")
+    out = rows.mapInPandas(look, f"key {key_type}, none boolean, n long, class long, sketch binary, shingle long, times long")
     return out.withColumn("key", F.when(~F.col("none"), F.col("key")))
 
 
@@ -171,8 +175,8 @@ def _followers(index: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInPandas(read, "shingle long, class long, at long, lead long, fits boolean, many boolean")
 
 
-def _token_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text_col: str, words: int) -> DataFrame:
-    """``class, n, tokens`` of the classes ``wanted`` (class): the lower 32 bits of their shingles, written."""
+def _token_sets(named: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """``class, n, tokens`` of the classes of the pairs ``named``: the lower 32 bits of their shingles, written."""
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -181,26 +185,26 @@ def _token_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, key: str
             # where two shingles meet in the lower bits, a bound only grows
             yield batch.drop(columns="text").assign(tokens=[s.astype("u4").view("i4") for s in own])[right]
 
-    keyed = saved(wanted.distinct().join(classes, "class"), "matrix-classes")
-    texts = texts_of(docs, key, text_col, keyed.select("key"))
+    sides = [named.select(F.col(side).alias("class"), F.col(f"n_{side}").alias("n"), F.col(f"key_{side}").alias("key")) for side in "ab"]
+    keyed = sides[0].unionByName(sides[1]).distinct()
     rows = keyed.join(texts, F.col("key") == F.col("text_key")).select("class", "n", "text")
-    return saved(rows.mapInPandas(tokens, "class long, n long, tokens array<int>"), "token-sets")
+    return saved(rows.mapInPandas(tokens, "class long, n long, tokens array<int>").dropDuplicates(["class"]), "token-sets")
 
 
-def _through_matrix(pairs: DataFrame, groups: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose chunk of b's group qualifies for a.
+def _through_matrix(named: DataFrame, groups: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs of ``named`` (a, b, their keys and sizes) whose chunk of b's group qualifies for a.
 
     The matrix holds a row for each chunk of the asked classes of a group: the union of their tokens. A class that
     asks a chunk can have no more in common with any class in it than with the union; chunks where that is too
     little stay closed.
     """
-    asked = pairs.join(groups.select(F.col("node").alias("b"), "component"), "b", "left")
-    asked = saved(asked.select("a", "b", F.coalesce("component", "b").alias("group")), "asked")
+    asked = named.join(groups.select(F.col("node").alias("b"), "component"), "b", "left")
+    asked = saved(asked.select(*named.columns, F.coalesce("component", "b").alias("group")), "asked")
     members = asked.select(F.col("b").alias("class"), "group").distinct()
     sizes = members.groupBy("group").count()
     chunk = F.pmod(F.xxhash64("class"), F.ceil(F.col("count") / CHUNK)).cast("int")
     placed = saved(members.join(sizes, "group").select("class", "group", chunk.alias("chunk")), "chunks")
-    sets = _token_sets(placed.select("class").unionByName(asked.select(F.col("a").alias("class"))), classes, docs, key, text_col, words)
+    sets = _token_sets(named, texts, words)
     rows = sets.join(placed, "class")
     unions = rows.groupBy("group", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"), F.max("n").alias("largest"))
 
@@ -210,7 +214,7 @@ def _through_matrix(pairs: DataFrame, groups: DataFrame, classes: DataFrame, doc
     # tokens of the query that are one in 32 bits may all be common: count them on top
     common = F.size(F.array_intersect("tokens", "union")) + (F.size("tokens") - F.size(F.array_distinct("tokens")))
     opened = queries.join(unions, ["group", "chunk"]).where((F.col("largest") >= least) & (common >= least)).select("a", "group", "chunk")
-    return asked.join(saved(opened, "opened"), ["a", "group", "chunk"], "left_semi").select("a", "b")
+    return asked.join(saved(opened, "opened"), ["a", "group", "chunk"], "left_semi").select(*named.columns)
 
 
 def _groups(docs: DataFrame, key: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -218,11 +222,12 @@ def _groups(docs: DataFrame, key: str, text_col: str, words: int, percent: int)
     ship_package(docs.sparkSession)
     looked = saved(_sets(docs, key, text_col, words), "sets")
     rows = looked.where(F.col("n").isNotNull()).select("key", "n", "class")
+    known = looked.where("n > 0 AND key IS NOT NULL").groupBy("class", "n").agg(F.min("key").alias("key"), F.max("sketch").alias("sketch"))
+    classes = saved(known, "classes")
     often = looked.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= COMMON_FROM)
     often = at_most(saved(often, "common"), "times", COMMON).select("shingle").toPandas()["shingle"].to_numpy(dtype="i8")
     last = np.sort(often.view("u8"))
 
-    classes = saved(rows.where("n > 0 AND key IS NOT NULL").groupBy("class", "n").agg(F.min("key").alias("key")), "classes")
     for _ in range(REPEATS + 1):
         followers = saved(_followers(_index(docs, key, text_col, words, percent, last), percent), "followers")
         long = followers.groupBy("shingle").count().where(F.col("count") >= LONG)
@@ -232,16 +237,21 @@ def _groups(docs: DataFrame, key: str, text_col: str, words: int, percent: int)
             break
         last = np.union1d(last, more)
     stars = followers.where("fits").select(F.col("class").alias("a"), F.col("lead").alias("b")).distinct()
-    links = links_of(stars, classes, docs, key, text_col, words, percent)
+    links = links_of(saved(stars, "stars"), classes, docs, key, text_col, words, percent)
     groups = saved(connected_components(links), "groups")
 
-
     def links_across(pairs: DataFrame, now: DataFrame) -> DataFrame:
-        opened = _through_matrix(pairs, now, classes, docs, key, text_col, words, percent)
-        return links_of(opened, classes, docs, key, text_col, words, percent)
+        named = candidates(pairs, classes, percent)
+        texts = texts_of(docs, key, text_col, keys_of(named))
+        return linked(_through_matrix(named, now, texts, words, percent), texts, words, percent)
+
+    @F.pandas_udf("binary")
+    def brief_of(whole: pd.Series) -> pd.Series:
+        return whole.map(brief)
 
     lists = followers.where("many").select(F.col("shingle").alias("list"), "class", "at")
-    groups = groups_across(lists, groups, links_across, percent)
+    briefs = saved(classes.select("class", brief_of("sketch").alias("brief")), "briefs")
+    groups = groups_across(lists, groups, links_across, percent, briefs)
     return rows, classes, groups
 
 

@@ -16,8 +16,8 @@
    with their places, which bound how much two sets can have in common from there on. (The ``COMMON`` most
    frequent shingles among these sets count as frequent, the others as rare; any order gives the same links.)
    Variants of one text that lie just below the limit differ in rare shingles, so few of their pairs pass.
-   In the lists of shingles the first 32 sets lead, then the next 1,024, and so on: each is compared
-   with the later sets of other groups that the bound lets through, until a list is one group or all its
+   In the lists of shingles the first 32 sets lead, then the next 8,192, and so on: each is compared
+   with the later sets of other groups that the bound and the parity sketches let through, until a list is one group or all its
    pairs are compared or ruled out. No pair is left out that could join two groups.
 4. Union-find runs as connected components over the verified links.
 
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from dimweave.llm.common import at_most, forget_kept, saved, ship_package, text_of
 from dimweave.llm.components import connected_components
-from dimweave.llm.similarity import groups_across, links_of, mixed, mixed_lists, needed, rows_with_groups, shingles, texts_of
+from dimweave.llm.similarity import brief, candidates, groups_across, linked, links_of, mixed, mixed_lists, needed, rows_with_groups, shingles, sketch, texts_of
 
 WORDS = 3
 PERCENT = 85
@@ -105,7 +105,7 @@ def bands(signature: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _look(docs: DataFrame, key: str, text_col: str, words: int) -> DataFrame:
-    """``key, n, class, bands`` of every row; the bands with the first row of a class in a task."""
+    """``key, n, class, sketch, bands`` of every row; the last two with the first row of a class in a task."""
     key_type = docs.schema[key].dataType
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,14 +124,14 @@ def _look(docs: DataFrame, key: str, text_col: str, words: int) -> DataFrame:
                     seen.add(name)
                     new.append(own)
                     at.append(i)
-            named = np.full(len(batch), None, dtype=object)
-            for i, own in zip(at, bands(signatures(new, BANDS * ROWS), ROWS)):
-                named[i] = own
-            yield pd.DataFrame({"key": batch["key"], "none": batch["none"], "n": sizes, "class": classes, "bands": named})
+            named, sketches = (np.full(len(batch), None, dtype=object) for _ in range(2))
+            for i, own, names in zip(at, new, bands(signatures(new, BANDS * ROWS), ROWS)):
+                named[i], sketches[i] = names, sketch(own)
+            yield pd.DataFrame({"key": batch["key"], "none": batch["none"], "n": sizes, "class": classes, "sketch": sketches, "bands": named})
 
     plain = F.coalesce(F.col(key), F.lit(0).cast(key_type)).alias("key")
     rows = docs.select(plain, F.col(key).isNull().alias("none"), text_of(text_col).alias("text"))
-    out = rows.mapInPandas(look, f"key {key_type.simpleString()}, none boolean, n long, class long, bands array<long>")
+    out = rows.mapInPandas(look, f"key {key_type.simpleString()}, none boolean, n long, class long, sketch binary, bands array<long>")
     return out.withColumn("key", F.when(~F.col("none"), F.col("key"))).drop("none")
 
 
@@ -150,18 +150,17 @@ def _frequent(texts: DataFrame, words: int) -> np.ndarray:
     return np.sort(often.select("shingle").toPandas()["shingle"].to_numpy(dtype="i8").view("u8"))
 
 
-def _rare_lists(members: DataFrame, docs: DataFrame, key: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """``list, class, at``: each of ``members`` (class, key) under its first shingles, the rare ones before the frequent ones.
+def _rare_lists(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """``list, class, at, brief``: each of ``members`` (class, key) under its first shingles, the rare ones before the frequent ones.
 
     ``at`` is the set's size (upper half) and the shingle's place in its order (lower half).
     """
-    texts = texts_of(docs, key, text_col, members.select("key"))
-    last = docs.sparkSession.sparkContext.broadcast(_frequent(texts, words))
+    last = members.sparkSession.sparkContext.broadcast(_frequent(texts, words))
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         late = last.value
         for batch in batches:
-            found, names, at = [], [], []
+            found, names, at, briefs = [], [], [], []
             for text, name in zip(batch["text"], batch["class"]):
                 own = shingles(text, words)
                 if xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63) != name:
@@ -171,18 +170,19 @@ def _rare_lists(members: DataFrame, docs: DataFrame, key: str, text_col: str, wo
                 found.append(np.concatenate([own[~often], own[often]])[:first])
                 names.append(name)
                 at.append((len(own) << 32) + np.arange(first))
+                briefs += [brief(sketch(own))] * first
             if found:
-                yield pd.DataFrame({"list": np.concatenate(found).view("i8"), "class": np.repeat(names, [len(f) for f in found]), "at": np.concatenate(at)})
+                yield pd.DataFrame({"list": np.concatenate(found).view("i8"), "class": np.repeat(names, [len(f) for f in found]), "at": np.concatenate(at), "brief": briefs})
 
     keyed = members.join(texts, F.col("key") == F.col("text_key")).select("class", "text")
-    return keyed.mapInPandas(look, "list long, class long, at long")
+    return keyed.mapInPandas(look, "list long, class long, at long, brief binary")
 
 
 def groups_of_leaders(lists: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``node, component`` by the links of each list's classes with its first; ``links(pairs)`` gives the pairs (a, b) that do."""
     head = lists.groupBy("list").agg(F.min("class").alias("b"), F.count("*").alias("size")).where("size > 1").select("list", "b")
     pairs = lists.join(head, "list").where("class <> b").select(F.col("class").alias("a"), "b").distinct()
-    return saved(connected_components(links(pairs)), "groups")
+    return saved(connected_components(links(saved(pairs, "with-first"))), "groups")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -190,18 +190,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
     ship_package(docs.sparkSession)
     looked = saved(_look(docs, key, text_col, words), "signatures")
     rows = looked.select("key", "n", "class")
-    classes = saved(rows.where("n > 0 AND key IS NOT NULL").groupBy("class", "n").agg(F.min("key").alias("key")), "classes")
+    known = looked.where("n > 0 AND key IS NOT NULL").groupBy("class", "n").agg(F.min("key").alias("key"), F.max("sketch").alias("sketch"))
+    classes = saved(known, "classes")
     lists = looked.where("bands IS NOT NULL").select("class", F.explode("bands").alias("list")).distinct()
 
-    def links(pairs: DataFrame, _groups: DataFrame | None = None) -> DataFrame:
+    def links(pairs: DataFrame) -> DataFrame:
         return links_of(pairs, classes, docs, key, text_col, words, percent)
 
     lists = saved(lists, "lists")
     groups = groups_of_leaders(lists, links)
-    members = mixed_lists(lists, groups, 2).select("class").distinct()
-    members = saved(members.join(classes.select("class", "key"), "class"), "members")
+    members = saved(classes.select("class", "key").join(mixed_lists(lists, groups, 2).select("class"), "class", "left_semi"), "members")
     if not members.isEmpty():
-        rare = saved(_rare_lists(members, docs, key, text_col, words, percent), "rare-lists")
-        groups = groups_across(rare, groups, links, percent)
+        texts = texts_of(docs, key, text_col, members.select("key"))
+        rare = saved(_rare_lists(members, texts, words, percent), "rare-lists")
+
+        def links_across(pairs: DataFrame, _groups: DataFrame) -> DataFrame:
+            return linked(candidates(pairs, classes, percent), texts, words, percent)
+
+        groups = groups_across(rare, groups, links_across, percent)
     out = rows_with_groups(rows, classes, groups, key).drop("class")
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))

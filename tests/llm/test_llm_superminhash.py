@@ -155,3 +155,41 @@ def test_odd_rows_and_empty_tables(spark):
     out = near_duplicates(docs)
     assert out.columns == ["doc_id", "n_shingles", "component_id", "kept"] and out.count() == 2 * len(odd_rows())
     assert near_duplicates(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_sketches_never_rule_out_a_link(percent):
+    draw = random.Random(percent)
+    ruled_out = 0
+    for size in [1, 2, 5, 30, 127, 128, 129, 500, 3000]:
+        for share in [0.5, 0.7, 0.78, 0.8, 0.85, 0.9, 1.0]:
+            common = [draw.getrandbits(64) for _ in range(max(1, round(size * share)))]
+            extra = [[draw.getrandbits(64) for _ in range(draw.randrange(size - len(common) + 1))] for _ in range(2)]
+            a, b = (np.unique(np.array(common + e, dtype="u8")) for e in extra)
+            met = len(np.intersect1d(a, b))
+            links = 100 * met >= percent * (len(a) + len(b) - met)
+            whole = similarity.may_link(len(a), len(b), similarity.sketch(a), similarity.sketch(b), percent)
+            short = similarity.may_link(len(a), len(b), *(similarity.brief(similarity.sketch(s)) for s in (a, b)), percent)
+            assert not links or (whole and short)
+            assert short or not whole  # folding loses room, never a link
+            ruled_out += not whole
+    assert ruled_out >= 8
+
+
+def test_sketches_leave_few_pairs_to_compare(spark):
+    # one family just below the limit: every pair shares shingles, and no pair links
+    base = [f"w{i}" for i in range(60)]
+    draw = random.Random(3)
+    texts = []
+    for i in range(40):
+        own = list(base)
+        for at in draw.sample(range(60), 6):
+            own[at] = f"edit{i}x{at}"
+        texts.append((i, " ".join(own)))
+    classes = [(int(i), len(s), i, similarity.sketch(s)) for i, t in texts for s in [shingles(t, 3)]]
+    classes = spark.createDataFrame(classes, "class long, n long, key long, sketch binary")
+    pairs = spark.createDataFrame([(a, b) for a in range(40) for b in range(a)], "a long, b long")
+    assert similarity.candidates(pairs, classes, 85).count() < 0.05 * pairs.count()
+    rows = [(1, i, len(s) << 32, i, similarity.brief(similarity.sketch(s))) for i, t in texts for s in [shingles(t, 3)]]
+    lists = spark.createDataFrame(rows, "list long, class long, at long, group long, brief binary")
+    assert similarity.next_pairs(lists, 0, 32, 85).count() < 0.1 * similarity.next_pairs(lists.drop("brief"), 0, 32, 85).count()
