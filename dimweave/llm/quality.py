@@ -3,7 +3,8 @@
 ``train`` takes every pair of labelled training rows as a preference (a document labelled good is preferred to
 one labelled bad) and fits document scores, linear in the features, by the logistic loss on feature
 differences. The pairs are never made: Newton's method needs their sums alone, and these follow from how many
-rows of each class, with which features, score about how much. The rows stay where they lie; a pass over their features
+rows of each class, with which features, score about how much. The texts stay where they lie: they become features
+before the labels are joined to them, and a pass over the labelled rows' features
 adds them up on a grid of scores ``STEP`` apart (a row counts with both neighbouring grid points, so a pair's chance
 is off by less than 0.001). The threshold is the quantile of the scores of all training rows at the share of
 bad labels, found by counting. ``score`` maps a raw score r to
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from dimweave.llm.common import saved
-from dimweave.llm.labelled import label_shares, training_texts
+from dimweave.llm.labelled import label_shares, training_features
 from dimweave.llm.scoring import keep_texts, score_texts
 
 CUT = 0.7
@@ -212,13 +213,7 @@ def fit_pairs(rows: np.ndarray, good: np.ndarray, bad_share: float, penalty: flo
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text_col: str = "text", penalty: float = 1e-3) -> QualityModel | None:
     """The model of all labelled training rows, or None when a class has none. A task's sums over its rows alone reach the driver."""
     shares = label_shares(labels, label, key)
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"label": batch["label"], "x": [features(t) for t in batch["text"]]})
-
-    rows = training_texts(docs, labels, label, key, text_col, per_class=None)
-    rows = saved(rows.mapInPandas(measure, "label int, x array<double>"), "quality-features")
+    rows = saved(training_features(docs, labels, label, features, key, text_col), "quality-features")
 
     def passes(part: Part) -> tuple[np.ndarray, np.ndarray]:
         def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

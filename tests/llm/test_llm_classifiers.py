@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from dimweave.llm import quality, toxicity
 from dimweave.llm.common import is_training_row, table
+from dimweave.llm.labelled import training_features
 from dimweave.llm.ngram_join import similarity_groups
 from dimweave.llm.packing import lower_bound
 from dimweave.llm.queries import QUERIES
@@ -188,3 +189,50 @@ def test_quality_learns_from_every_labelled_row(spark):
     assert np.allclose(got.mean, want.mean) and np.allclose(got.scale, want.scale)  # of all rows, in any partitions
     assert np.allclose(got.weights, want.weights, atol=1e-4) and abs(got.threshold - want.threshold) < 1e-2
     assert quality.train(docs, labels.where("quality = 1")) is None
+
+
+def _bytes_shuffled(df):
+    """Bytes that the exchanges of the final plan wrote, before they are compressed."""
+    df.collect()
+    written, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        if name == "Exchange":
+            written += node.metrics().apply("dataSize").value()
+        todo.extend(node.children().apply(i) for i in range(node.children().size()))
+    return written
+
+
+def test_quality_moves_no_texts_to_the_labels(spark, monkeypatch):
+    rows = [(i, prose(i, 2000) + " ###|||" * (i % 3 == 0), int(i % 3 > 0)) for i in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows] * 2, "doc_id long, quality int")
+    written, saved = [], quality.saved
+    monkeypatch.setattr(quality, "saved", lambda df, name: written.append(df) or saved(df, name))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the labels are many
+    try:
+        model = quality.train(docs, labels)
+        shuffled = sum(map(_bytes_shuffled, written))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert 0 < shuffled < 400 * len(rows) < sum(len(t) for _, t, _ in rows) / 20
+    assert model is not None
+
+
+def test_quality_features_of_odd_rows_and_keys(spark):
+    # a NULL text counts as an empty one, a repeated row twice, a NULL key and a key without a label not at all
+    rows = [("1", "one two"), ("1", "one two"), ("3", None), ("4", "no label"), (None, "no key"), (str(2**60 + 3), "Long key!")]
+    marked = [("1", 1), ("3", 0), ("3", 1), ("3", 0), (str(2**60 + 3), 0), (None, 1), ("7", None), ("9", 1)]
+    for kind in ("string", "long"):
+        docs = spark.createDataFrame(rows, "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+        labels = spark.createDataFrame(marked, "doc_id string, quality int").withColumn("doc_id", F.col("doc_id").cast(kind))
+        share = {"1": 1, "3": 0, str(2**60 + 3): 0}
+        want = sorted((quality.features(t or ""), share[k]) for k, t in rows if k in share)
+        got = training_features(docs, labels, "quality", quality.features).collect()
+        assert len(want) == 4 and sorted((list(r["x"]), r["label"]) for r in got) == want
